@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .jaccard_join import jaccard_join
+from .neighbour_quality import neighbour_quality
+from .quality_rules import quality_rules
 from .token_counts import token_counts
 
 
@@ -23,6 +25,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents")).drop("text")
+
+
+def op4_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -34,6 +44,8 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_neighbour_quality": op4_neighbour_quality,
     "op5_decontaminate": op5_decontaminate,
     "op9_jaccard_join": op9_jaccard_join,
 }
