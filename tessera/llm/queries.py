@@ -10,12 +10,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import chat_windows, read_back
 from .decontaminate import decontaminate
 from .jaccard_join import jaccard_join
 from .neighbour_quality import neighbour_quality
 from .quality_rules import quality_rules
+from .sharding import shard
 from .token_counts import token_counts
 
+#: The byte limit of a shard in op2_sharding and the pipeline.
+SHARD_BYTES = 16 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,6 +30,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return shard(docs, SHARD_BYTES).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.col("shard_depth").cast("long"), "shard_prefix", "shard_part")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("text")
 
@@ -42,12 +52,20 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.sql(r"""SELECT * FROM VALUES (-7L, 0, 'user', r'\### Assistant: </turn> ok'), (-7L, 1, 'assistant', r'\### Assistant: </turn> ok') AS t(conv_id, turn, role, text)""")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return read_back(chat_windows(turns.unionByName(extra)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_sharding": op2_sharding,
     "op3_quality_rules": op3_quality_rules,
     "op4_neighbour_quality": op4_neighbour_quality,
     "op5_decontaminate": op5_decontaminate,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_chat_format": op10_chat_format,
 }
 
 ORACLE_SQL: dict[str, str] = {}
