@@ -16,6 +16,7 @@ from .jaccard_join import jaccard_join
 from .neighbour_quality import neighbour_quality
 from .quality_rules import quality_rules
 from .sharding import shard
+from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 
 #: The byte limit of a shard in op2_sharding and the pipeline.
@@ -48,6 +49,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_neighbour_quality": op4_neighbour_quality,
     "op5_decontaminate": op5_decontaminate,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_chat_format": op10_chat_format,
 }
