@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .chat_format import chat_windows, read_back
 from .decontaminate import decontaminate
 from .jaccard_join import jaccard_join
+from .lm_scores import lm_scores
 from .neighbour_quality import neighbour_quality
 from .quality_rules import quality_rules
 from .sharding import shard
@@ -49,6 +50,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_neighbour_quality": op4_neighbour_quality,
     "op5_decontaminate": op5_decontaminate,
+    "op7_lm_scores": op7_lm_scores,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_chat_format": op10_chat_format,
