@@ -1,11 +1,66 @@
-"""The corpus pipeline (stages are added as their operators land)."""
+"""The corpus pipeline: rules, near-copies, benchmark passages, mixing, shards.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and returns a DataFrame
+that is written as Parquet and read again as the next stage's documents.  All but the last return the
+columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.cluster import written
+from tessera.llm.decontaminate import decontaminate
+from tessera.llm.jaccard_join import jaccard_join
+from tessera.llm.mixing import mix_to_targets
+from tessera.llm.quality_rules import quality_rules
+from tessera.llm.queries import SHARD_BYTES, table
+from tessera.llm.sharding import shard
+
+CARRY = ("lang", "source", "n_chars")
+
+
+def documents(rows: DataFrame) -> DataFrame:
+    """The columns of `documents` from an operator's doc_id, text and carried columns."""
+    return rows.select("doc_id", "text", "carried.*").select("doc_id", "text", "lang", "source", "n_chars")
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go; frequent lines go from the rest."""
+    kept = documents(quality_rules(docs, carry=CARRY).where("kept"))
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component stays, the one with the smallest doc_id; rows without an id stay."""
+    stay = jaccard_join(docs).where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return documents(decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=CARRY).where("not contaminated"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its rate says."""
+    mixed = mix_to_targets(docs, table(spark, sf_dir, "labels"), carry=CARRY).where("copies > 0")
+    return documents(mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return shard(docs, SHARD_BYTES)
+
+
+STAGES = [("quality rules", rules), ("near copies", near_copies), ("benchmark passages", benchmark_passages), ("mixing", mixing), ("sharding", shards)]
+
+#: The classifier of the mixing stage has no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

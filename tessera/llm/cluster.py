@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,8 +46,13 @@ def own_names(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
     return df.select(*(F.col(f"`{c}`").cast(t).alias(c) for c, t in wanted.items()))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def carried(df: DataFrame, names: Sequence[str]) -> Column:
+    """The named columns as one struct `carried`, which an operator hands on untouched."""
+    return F.struct(*(F.col(f"`{c}`") for c in names) if names else [F.lit(0).alias("none")]).alias("carried")
+
+
+def carried_type(df: DataFrame, names: Sequence[str]) -> str:
+    return df.select(carried(df, names)).schema[0].dataType.simpleString()
 
 
 SLICES = 64

@@ -19,14 +19,14 @@ are compared by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import own_names, parts, written
+from .cluster import carried, carried_type, own_names, parts, written
 from .text import Words, batches, covered, shingles, shingles_one
 
 SHINGLE = 5
@@ -145,7 +145,7 @@ def token_counts_in(docs: DataFrame, block: Block) -> dict[tuple[int, int], int]
     return {(q, token % 2**64): n for q, token, n in rows}
 
 
-STATE = "doc_id long, text string, starts array<int>, sizes array<int>, items array<string>"
+STATE = "doc_id long, text string, starts array<int>, sizes array<int>, items array<string>, carried "
 
 
 def scan(docs: DataFrame, block: Block) -> DataFrame:
@@ -165,18 +165,18 @@ def scan(docs: DataFrame, block: Block) -> DataFrame:
                 at, first = np.unique(np.stack([start[i] - w.first[d], b.k[window[i]]]), axis=1)
                 starts[d], sizes[d] = starts[d] + at.tolist(), sizes[d] + first.tolist()
                 items[d] = sorted({*items[d], *(b.items[x] for x in np.unique(window[i]))})
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(starts, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["doc_id", "text", "starts", "sizes", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(starts, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), batch.column(5)], ["doc_id", "text", "starts", "sizes", "items", "carried"])
 
-    return docs.mapInArrow(run, STATE)
+    return docs.mapInArrow(run, STATE + docs.schema["carried"].dataType.simpleString())
 
 
-def found_windows(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_pairs: int = 100_000) -> DataFrame:
-    """doc_id, text, and all occurrences: starts and sizes (in words) and the items found."""
+def found_windows(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_pairs: int = 100_000, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, text, all occurrences (starts and sizes in words, and the items found), carried."""
     spark = docs.sparkSession
     pairs = written(item_windows(benchmark, size), "windows")
     n = parts(pairs.count(), block_pairs, least=0)
-    none = lambda t: F.lit(None).cast(t)
-    out = own_names(docs, {"doc_id": "long", "text": "string"}).withColumns({"starts": F.coalesce(none("array<int>"), F.array().cast("array<int>")), "sizes": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
+    empty = {"starts": "array<int>", "sizes": "array<int>", "items": "array<string>"}
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.array().cast(t).alias(c) for c, t in empty.items()), carried(docs, carry))
     texts = own_names(docs, {"text": "string"})
     for i in range(n):
         if i:
@@ -188,8 +188,8 @@ def found_windows(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_p
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, percent: int = 5, block_pairs: int = 100_000) -> DataFrame:
-    """doc_id, text, n_words, n_hit, items (sorted as strings), contaminated, for every row.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, percent: int = 5, block_pairs: int = 100_000, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, text, n_words, n_hit, items (sorted as strings), contaminated, carried, for every row.
 
     A word is hit inside any occurrence of a window; contaminated: n_hit > 0 and the hits are at
     least `percent` of the words.
@@ -203,7 +203,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, percent
                 if len(starts):
                     hit[d] = covered(n_words[d], starts.values.to_numpy(), sizes.values.to_numpy()).sum()
             bad = (hit > 0) & (100 * hit >= percent * n_words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words.astype(np.int64)), pa.array(hit), batch.column(4), pa.array(bad)], ["doc_id", "text", "n_words", "n_hit", "items", "contaminated"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words.astype(np.int64)), pa.array(hit), batch.column(4), pa.array(bad), batch.column(5)], ["doc_id", "text", "n_words", "n_hit", "items", "contaminated", "carried"])
 
-    return found_windows(docs, benchmark, size, block_pairs).mapInArrow(run, "doc_id long, text string, n_words long, n_hit long, items array<string>, contaminated boolean")
+    return found_windows(docs, benchmark, size, block_pairs, carry).mapInArrow(run, f"doc_id long, text string, n_words long, n_hit long, items array<string>, contaminated boolean, carried {carried_type(docs, carry)}")
 

@@ -17,14 +17,14 @@ null ids stay null; other columns are left behind; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import lookup, written
+from .cluster import carried, carried_type, lookup, written
 from .text import _BYTE, _P, _P_INV, _Q, _Q_INV, Words, batches, mix, powers, shingles
 
 #: Fixed values of the base rules.
@@ -119,8 +119,8 @@ def measures(w: Words, lines: Lines) -> dict[str, np.ndarray]:
     return {"n_words": w.counts.astype(np.int64), "word_chars": chars[w.first[1:]] - chars[w.first[:-1]], "n_symbols": per_doc(_IS_SYMBOL[w.raw], w.offsets), "n_dup_lines": (held - unlike).astype(np.int64), "n_repeat_words": per_doc(hot, w.first)}
 
 
-def _inputs(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("source").cast("string")).alias("host"))
+def _inputs(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("source").cast("string")).alias("host"), carried(docs, carry))
 
 
 def frequent_lines(docs: DataFrame, min_docs: int, max_share: int) -> DataFrame:
@@ -149,8 +149,9 @@ def frequent_lines(docs: DataFrame, min_docs: int, max_share: int) -> DataFrame:
     return above.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
 
-def quality_rules(docs: DataFrame, min_docs: int = 4, max_share: int = 10, min_left: int = 30) -> DataFrame:
-    """doc_id, text (without the removed lines), the measures, n_removed_words, base_failed, kept."""
+def quality_rules(docs: DataFrame, min_docs: int = 4, max_share: int = 10, min_left: int = 30, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, text (without the removed lines), the measures, n_removed_words, base_failed, kept, and
+    the columns named in `carry` as the struct `carried`."""
     above = written(frequent_lines(docs, min_docs, max_share), "above")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -176,10 +177,10 @@ def quality_rules(docs: DataFrame, min_docs: int = 4, max_share: int = 10, min_l
             n = m["n_words"]
             failed = (n < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * n)
             kept = ~failed & (100 * (n - removed) >= min_left * n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), text, *(pa.array(m[x]) for x in names), pa.array(removed), pa.array(failed), pa.array(kept)], ["doc_id", "text", *names, "n_removed_words", "base_failed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), text, *(pa.array(m[x]) for x in names), pa.array(removed), pa.array(failed), pa.array(kept), batch.column(3)], ["doc_id", "text", *names, "n_removed_words", "base_failed", "kept", "carried"])
 
-    joined = lookup(_inputs(docs), above, "host").select("doc_id", "text", "lines")
-    return joined.mapInArrow(run, "doc_id long, text string, " + ", ".join(f"{x} long" for x in names) + ", n_removed_words long, base_failed boolean, kept boolean")
+    joined = lookup(_inputs(docs, carry), above, "host").select("doc_id", "text", "lines", "carried")
+    return joined.mapInArrow(run, "doc_id long, text string, " + ", ".join(f"{x} long" for x in names) + f", n_removed_words long, base_failed boolean, kept boolean, carried {carried_type(docs, carry)}")
 
 
 def without(text: str, out: np.ndarray) -> str:

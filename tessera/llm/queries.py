@@ -14,6 +14,7 @@ from .chat_format import chat_windows, read_back
 from .decontaminate import decontaminate
 from .jaccard_join import jaccard_join
 from .lm_scores import lm_scores
+from .mixing import mix_to_targets
 from .neighbour_quality import neighbour_quality
 from .quality_rules import quality_rules
 from .sharding import shard
@@ -38,7 +39,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents")).drop("text")
+    return quality_rules(table(spark, sf_dir, "documents")).drop("text", "carried")
 
 
 def op4_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +51,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_to_targets(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text", "carried")
+
+
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_neighbour_quality": op4_neighbour_quality,
     "op5_decontaminate": op5_decontaminate,
+    "op6_mixing": op6_mixing,
     "op7_lm_scores": op7_lm_scores,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_jaccard_join": op9_jaccard_join,
