@@ -41,6 +41,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> SparkSession:
+    """Keeps the Arrow batches that go to Python workers small, so that several fit beside a broadcast."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return spark
+
+
 def own_names(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
     """Only the columns in `wanted`, cast; other columns, whatever their names, are left behind."""
     return df.select(*(F.col(f"`{c}`").cast(t).alias(c) for c, t in wanted.items()))

@@ -4,11 +4,13 @@ A document's set is its distinct word shingles (the whole sequence if it has few
 sets are one node; a node's shingles are ordered by how often the corpus has them (a fixed-size
 count sketch, ties by hash: one total order for all), rarest first.  Two nodes with
 100*|A∩B| >= percent*|A∪B| share a token in their first n - ceil(percent*n/100) + 1 tokens, so
-nodes are joined on prefix tokens, cut by the length and positional bounds, and each pair is
-verified once: a suffix filter (a bound from the halves of both sets), then the exact overlap.
+nodes are joined on prefix tokens, cut by the length bound and by the positional bound for the first
+token a pair shares, and each pair is
+verified once: a suffix filter (the overlap is at most the sum, over ranges of hashes, of the smaller
+count of both sets), then the exact overlap.  Only nodes that pass it have their sets read.
 
 A token that m nodes share never makes m*m rows while they are one group already: rounds first
-compare every node with one pivot of its token (the node with most shared prefix tokens), linked
+compare every node with one pivot of its token (the node with fewest rarer tokens), linked
 nodes become one component, and only pairs that are still in different components are then
 enumerated.  Pairs inside a component can't change it, so no component is lost, whatever the
 group's size.  Token counts only choose the order; the filters before the joins are fixed-size Bloom
@@ -29,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import bloom, components, in_bloom, merged_sketch, own_names, written
+from .cluster import bloom, components, in_bloom, merged_sketch, own_names, small_batches, written
 from .text import Words, batches, mix, shingles, shingles_one
 
-SKETCH = 1 << 19
+SKETCH_BITS = 21
+PROFILE = 256
 FILTER_BITS = 1 << 26
 #: Nodes that a task remembers, so that copies it has met send nothing again.
 REMEMBER = 200_000
@@ -60,16 +63,43 @@ def prefix_of(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
     """Places in `s` of its prefix tokens, rarest first."""
     n = len(s)
     keep = n - (percent * n + 99) // 100 + 1
-    return np.argsort(counts[(s >> np.uint64(45)).astype(np.int64)], kind="stable")[:keep]
+    return np.argsort(counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[:keep]
 
 
 def count_sketch(docs: DataFrame, k: int) -> np.ndarray:
     def fill(own: np.ndarray, batch: pa.RecordBatch) -> None:
         for part in batches(iter([batch])):
             s = shingles(Words(part.column(0), lower=True).hashes(), k)
-            own += np.bincount((s >> np.uint64(45)).astype(np.int64), minlength=SKETCH)
+            own += np.bincount((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(own))
 
-    return merged_sketch(docs.select("text"), fill, SKETCH, "int64", False)
+    return merged_sketch(docs.select("text"), fill, 1 << SKETCH_BITS, "float32", False)
+
+
+def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
+    """The overlap that two sets of together n tokens need."""
+    return -(-percent * n // (100 + percent))
+
+
+def profile_of(s: np.ndarray) -> bytes:
+    """How many tokens lie in each range of hashes (255: that many or more)."""
+    return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=PROFILE), 255).astype(np.uint8).tobytes()
+
+
+def suffix_filter(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose profiles allow the overlap they need."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            n_a, n_b = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 4))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, PROFILE) for i in (3, 5))
+            # a full cell bounds nothing: the pair is kept if one is full in both
+            most = np.minimum(x, y).sum(1, dtype=np.int64)
+            keep = pa.array((most >= least_overlap(n_a + n_b, percent)) | ((x == 255) & (y == 255)).any(1))
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:2]], ["a", "b"])
+
+    a = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("profile").alias("p_a"))
+    b = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("profile").alias("p_b"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "p_a", "n_b", "p_b").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -79,15 +109,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in stream:
             keep = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                least = -(-percent * (len(a) + len(b)) // (100 + percent))
-                cut = a[len(a) // 2]
-                i_a, i_b = len(a) // 2, int(np.searchsorted(b, cut))
-                if min(i_a, i_b) + min(len(a) - i_a, len(b) - i_b) < least:
-                    continue
-                both = np.concatenate([a, b])
+                both = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)])
                 both.sort()
-                keep[i] = np.count_nonzero(both[1:] == both[:-1]) >= least
+                keep[i] = np.count_nonzero(both[1:] == both[:-1]) >= least_overlap(len(both), percent)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
 
     a = sets.select(F.col("node").alias("a"), F.col("items").alias("set_a"))
@@ -95,9 +119,29 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def sets_of(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """node, items: the shingles of the wanted nodes, from one more scan of the texts."""
+    wanted = docs.sparkSession.sparkContext.broadcast(bloom(nodes, "node", FILTER_BITS))
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches(stream, "text"):
+            w = Words(batch.column(0), lower=True)
+            found, items = [], []
+            for s in doc_sets(w, w.hashes(), k):
+                if len(s) and (node := node_of(s)) not in seen and in_bloom(wanted.value, np.array([node], np.int64).view(np.uint64))[0]:
+                    if len(seen) < REMEMBER:
+                        seen.add(node)
+                    found.append(node)
+                    items.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(items, pa.binary())], ["node", "items"])
+
+    return written(docs.select("text").mapInArrow(run, "node long, items binary").dropDuplicates(["node"]).join(nodes, "node", "left_semi"), "sets")
+
+
 def jaccard_nodes(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node, n) for every row, and (node, component) for every node with a link."""
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     docs = own_names(docs, {"doc_id": "long", "text": "string"})
     counts = spark.sparkContext.broadcast(count_sketch(docs, k))
 
@@ -122,7 +166,7 @@ def jaccard_nodes(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataF
         seen: set[int] = set()
         for batch in batches(stream):
             w = Words(batch.column(1), lower=True)
-            nodes, sizes, found, places = [], [], [], []
+            nodes, sizes, found, places, profiles = [], [], [], [], []
             for s in doc_sets(w, w.hashes(), k):
                 sizes.append(len(s))
                 node = node_of(s) if len(s) else None
@@ -135,41 +179,27 @@ def jaccard_nodes(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataF
                     at = np.flatnonzero(in_bloom(repeated.value, p))
                 found.append(p[at].view(np.int64))
                 places.append(at)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], ["doc_id", "node", "n", "tokens", "places"])
+                profiles.append(profile_of(s) if len(at) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(profiles, pa.binary())], ["doc_id", "node", "n", "tokens", "places", "profile"])
 
-    members = written(docs.mapInArrow(postings, "doc_id long, node long, n int, tokens array<long>, places array<int>"), "members")
+    members = written(docs.mapInArrow(postings, "doc_id long, node long, n int, tokens array<long>, places array<int>, profile binary"), "members")
+    nodes = members.where(F.col("profile").isNotNull()).select("node", "n", "profile").dropDuplicates(["node"])
     rows = members.where(F.size("tokens") > 0).select("node", "n", F.size("tokens").alias("degree"), F.explode(F.arrays_zip("tokens", "places")).alias("x")).select(F.col("x.tokens").alias("token"), "node", "n", F.col("x.places").alias("place"), "degree")
     rows = rows.groupBy("token", "node").agg(F.first("n").alias("n"), F.first("place").alias("place"), F.max("degree").alias("degree"))
     several = rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token")
     rows = written(rows.join(several, "token", "left_semi"), "postings")
 
-    wanted = spark.sparkContext.broadcast(bloom(rows.select("node").distinct(), "node", FILTER_BITS))
-
-    def contents(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches(stream, "text"):
-            w = Words(batch.column(0), lower=True)
-            nodes, items = [], []
-            for s in doc_sets(w, w.hashes(), k):
-                if len(s) and (node := node_of(s)) not in seen and in_bloom(wanted.value, np.array([node], np.int64).view(np.uint64))[0]:
-                    if len(seen) < REMEMBER:
-                        seen.add(node)
-                    nodes.append(node)
-                    items.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(items, pa.binary())], ["node", "items"])
-
-    sets = written(docs.select("text").mapInArrow(contents, "node long, items binary").dropDuplicates(["node"]), "sets")
-
-    similar = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & ((100 + percent) * (F.least("place", "spot") + 1 + F.least(F.col("n") - F.col("place"), F.col("m") - F.col("spot")) - 1) >= percent * (F.col("n") + F.col("m")))
+    # the first token that two nodes share has no shared one before it: from it on, both need the overlap
+    least = F.expr(f"({percent} * (n + m) + {100 + percent} - 1) div {100 + percent}")
+    similar = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("n") - F.col("place") >= least) & (F.col("m") - F.col("spot") >= least)
     pair = (F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-    done = links = None
-    group = None
+    done = links = group = sets = None
     for turn in range(3):
         now = rows.withColumn("component", F.col("node"))
         if group is not None:
             now = rows.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
         if turn < 2:  # every node with the pivot of its token
-            order = F.struct(F.col("degree") / F.col("n"), F.xxhash64("node", F.lit(turn)))
+            order = F.struct(-F.col("place") / F.col("n") if turn == 0 else F.col("degree") / F.col("n"), F.xxhash64("node"))
             pivots = now.groupBy("token").agg(F.max(F.struct(order.alias("o"), "node", "n", "place", "component")).alias("p"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
             pivots = pivots.select("token", F.col("p.node").alias("other"), F.col("p.n").alias("m"), F.col("p.place").alias("spot"), F.col("p.component").alias("own"))
             pairs = now.join(pivots, "token").where("component <> own").where(similar).select(*pair).distinct()
@@ -182,6 +212,14 @@ def jaccard_nodes(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataF
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         done = pairs if done is None else done.union(pairs)
+        pairs = written(suffix_filter(pairs, nodes, percent), "pairs")
+        need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        need = written(need if sets is None else need.join(sets, "node", "left_anti"), "need")
+        if need.limit(1).count():
+            more = sets_of(docs, need, k)
+            sets = more if sets is None else sets.union(more)
+        if sets is None:
+            continue
         new = written(verified(pairs, sets, percent), "links")
         if not new.limit(1).count():
             continue

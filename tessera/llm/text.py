@@ -23,7 +23,7 @@ _Q_INV = U64(pow(int(_Q), -1, 2**64))
 _MULT = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
 
 #: Bytes of text that one numpy batch holds, unless one document is larger.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 _SPACE = np.ones(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = False
