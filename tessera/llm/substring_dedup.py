@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import bloom, in_bloom, own_names, parts, written
+from .cluster import bloom, in_bloom, own_names, parts, small_batches, written
 from .text import _Q, _Q_INV, Words, batches, covered, mix, powers, shingles
 
 SAMPLE, RUN = 8, 10
@@ -151,7 +151,7 @@ def repeated_spans(docs: DataFrame, size: int = 50) -> DataFrame:
     windows with a smaller doc_id elsewhere cover; only documents with such a window."""
     if not SAMPLE + RUN - 1 <= size <= 62:
         raise ValueError("size must be between 17 and 62 words")
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     docs = own_names(docs, {"doc_id": "long", "text": "string"})
     runs = size - SAMPLE - RUN + 2
 
