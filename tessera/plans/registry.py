@@ -1,4 +1,29 @@
-"""The registered queries and their oracles."""
+"""The registered queries and their oracles; each plan module adds its own."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    """Registers fn(spark, sf_dir) and, where SQL can state it, the same result in DuckDB's SQL."""
+
+    def add(fn: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[name] = fn
+        if sql:
+            ORACLE_SQL[name] = sql
+        return fn
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+from . import feeds, graphs, hexes, rasters, spatial, stats, tables  # noqa: E402, F401
