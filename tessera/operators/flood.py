@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,21 +21,48 @@ def neighbours(cells: DataFrame) -> DataFrame:
     return cells.withColumn("_s", F.explode(steps)).withColumn("nrow", F.col("row") + F.col("_s.r")).withColumn("ncol", F.col("col") + F.col("_s.c")).drop("_s")
 
 
-def flood_levels(grid: DataFrame, seeds: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+def _settle(tile: pd.DataFrame) -> pd.DataFrame:
+    """The levels inside one tile, from the cells that have one."""
+    elev = {(r, c): e for r, c, e in zip(tile["row"], tile["col"], tile["elev"])}
+    level = {(r, c): x for r, c, x in zip(tile["row"], tile["col"], tile["level"]) if x == x}
+    heap = [(x, at) for at, x in level.items()]
+    heapq.heapify(heap)
+    while heap:
+        x, (r, c) = heapq.heappop(heap)
+        if x > level[r, c]:
+            continue
+        for dr, dc in STEPS:
+            at = (r + dr, c + dc)
+            if at in elev and (new := max(x, elev[at])) < level.get(at, math.inf):
+                level[at] = new
+                heapq.heappush(heap, (new, at))
+    return tile.assign(level=[level.get(at, math.nan) for at in zip(tile["row"], tile["col"])])
+
+
+def flood_levels(grid: DataFrame, seeds: DataFrame, tile: int = 256, max_rounds: int = 10_000) -> DataFrame:
     """row, col, level: the lowest water level at which each cell is reached from the seeds (the least over paths of
-    the highest cell on the way).  Only cells whose level fell are expanded in the next round."""
-    start = grid.join(seeds.select("row", "col").distinct(), ["row", "col"]).select("row", "col", F.col("elev").cast("double").alias("level"))
-    state = graph.cut(start)
-    frontier = state
+    the highest cell on the way); cells that aren't reached are left out.
+
+    Tiles of tile x tile cells are settled one by one in tasks; then levels cross the tile borders, and only tiles
+    that a border lowered are settled again.  Rounds are counted in tiles, not cells.
+    """
+    wet = seeds.select("row", "col").distinct().withColumn("_w", F.lit(True))
+    size = F.lit(tile)
+    state = grid.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("elev").cast("double").alias("elev")).join(wet, ["row", "col"], "left")
+    state = state.select("row", "col", "elev", F.when(F.col("_w"), F.col("elev")).otherwise(F.lit(float("nan"))).alias("level"), F.floor(F.col("row") / size).cast("int").alias("ty"), F.floor(F.col("col") / size).cast("int").alias("tx"))
+    state = graph.cut(state)
+    stale = graph.cut(state.where(~F.isnan("level")).select("ty", "tx").distinct())
     for _ in range(max_rounds):
-        if not frontier.limit(1).count():
-            return state
-        offers = neighbours(frontier).select(F.col("nrow").alias("row"), F.col("ncol").alias("col"), "level")
-        offers = offers.groupBy("row", "col").agg(F.min("level").alias("_in")).join(grid, ["row", "col"]).select("row", "col", F.greatest("_in", F.col("elev").cast("double")).alias("_new"))
-        both = state.join(offers, ["row", "col"], "full")
-        fell = F.col("_new").isNotNull() & (F.col("level").isNull() | (F.col("_new") < F.col("level")))
-        both = graph.cut(both.select("row", "col", fell.alias("_fell"), F.when(fell, F.col("_new")).otherwise(F.col("level")).alias("level")))
-        state, frontier = both.drop("_fell"), both.where("_fell").drop("_fell")
+        if not stale.limit(1).count():
+            return state.where(~F.isnan("level")).select("row", "col", "level")
+        settled = state.join(stale, ["ty", "tx"], "left_semi").select(state.columns).groupBy("ty", "tx").applyInPandas(_settle, state.schema)
+        state = graph.cut(settled.unionByName(state.join(stale, ["ty", "tx"], "left_anti")))
+        rim = (F.col("row") % tile).isin(0, tile - 1) | (F.col("col") % tile).isin(0, tile - 1)
+        out = neighbours(state.where(rim & ~F.isnan("level"))).where((F.floor(F.col("nrow") / size) != F.col("ty")) | (F.floor(F.col("ncol") / size) != F.col("tx")))
+        offers = out.groupBy(F.col("nrow").alias("row"), F.col("ncol").alias("col")).agg(F.min("level").alias("_in"))
+        lower = F.col("_in").isNotNull() & (F.isnan("level") | (F.greatest("_in", "elev") < F.col("level")))
+        both = graph.cut(state.join(offers, ["row", "col"], "left").select("row", "col", "elev", F.when(lower, F.greatest("_in", "elev")).otherwise(F.col("level")).alias("level"), "ty", "tx", F.coalesce(lower, F.lit(False)).alias("_fell")))
+        state, stale = both.drop("_fell"), both.where("_fell").select("ty", "tx").distinct()
     raise RuntimeError(f"not settled after {max_rounds} rounds")
 
 

@@ -89,7 +89,7 @@ def nearest_k(left: DataFrame, right: DataFrame, k: int, km: float, grow: float
 
 def points_in_rings(points: DataFrame, rings: DataFrame, step: float) -> DataFrame:
     """Points (id, lon, lat) inside polygons (zone, ring): grid tiles of the ring's box, then ray casting."""
-    x, y = (F.transform("ring", lambda p, k=k: p[k]) for k in ("x", "y"))
+    x, y = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
     tiles = lambda a: F.sequence(F.floor(F.array_min(a) / step), F.floor(F.array_max(a) / step))
     spread = rings.withColumn("_x", F.explode(tiles(x))).withColumn("_y", F.explode(tiles(y)))
     at = points.withColumn("_x", F.floor(F.col("lon") / step)).withColumn("_y", F.floor(F.col("lat") / step))

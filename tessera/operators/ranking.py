@@ -123,6 +123,6 @@ def filtered(df: DataFrame, filters: Sequence[dict], sorts: Sequence[dict] = ())
     """Filter and sort specs; unknown columns and operators are left out, and no text becomes SQL."""
     for f in filters:
         if f.get("column") in df.columns and f.get("op") in FILTERS:
-            df = df.where(FILTERS[f["op"]](F.col(f"`{f['column']}`"), F.lit(f.get("value"))))
+            df = df.where(FILTERS[f["op"]](F.col(f"`{f['column']}`"), f.get("value")))
     order = [F.col(f"`{s['column']}`").desc() if s.get("dir") == "desc" else F.col(f"`{s['column']}`").asc() for s in sorts if s.get("column") in df.columns]
     return df.orderBy(*order) if order else df

@@ -43,7 +43,7 @@ def radius_counts(spark, sf):
 
 @query("nearest_three", f"WITH {PTS}, {SITES}, {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY km, site) AS rank FROM pairs) SELECT id, site, round(km, 4) AS km, rank FROM r WHERE rank <= 3")
 def nearest_three(spark, sf):
-    return joins.nearest_k(points(spark, sf).select("id", "lat", "lon"), sites(spark, sf), 3, 800).withColumn("km", F.round("km", 4))
+    return joins.nearest_k(points(spark, sf).select("id", "lat", "lon"), sites(spark, sf), 3, 2500).withColumn("km", F.round("km", 4))
 
 
 @query("capture", f"WITH {PTS}, {SITES}, {PAIRS} SELECT id, arg_min(site, km) AS site, round(min(km), 4) AS km FROM pairs WHERE km <= 1000 GROUP BY 1")
@@ -95,11 +95,11 @@ def ring_areas(spark, sf):
     return z.select("zone", F.round(geo.ring_area_m2(F.array(corner(0.0, 0.0), corner(12.0, 0.0), corner(0.0, 15.0))) / 1e6, 3).alias("km2"))
 
 
-_BOXES = "b AS (SELECT s_suppkey AS id, s_suppkey * 37 % 360 - 180.0 AS w, s_suppkey * 53 % 160 - 80.0 AS s, s_suppkey * 37 % 360 - 180.0 + 4 + s_suppkey % 9 AS e, s_suppkey * 53 % 160 - 80.0 + 3 + s_suppkey % 5 AS n FROM supplier)"
+_BOXES = "b AS (SELECT s_suppkey AS id, s_suppkey * 37 % 360 - 180.0 AS w, s_suppkey * 53 % 160 - 80.0 AS s, s_suppkey * 37 % 360 - 180.0 + 14 + s_suppkey % 9 AS e, s_suppkey * 53 % 160 - 80.0 + 13 + s_suppkey % 5 AS n FROM supplier)"
 
 
 def _boxes(spark, sf):
-    return table(spark, sf, "supplier").selectExpr("s_suppkey AS id", "s_suppkey * 37 % 360 - 180.0D AS w", "s_suppkey * 53 % 160 - 80.0D AS s", "s_suppkey * 37 % 360 - 180.0D + 4 + s_suppkey % 9 AS e", "s_suppkey * 53 % 160 - 80.0D + 3 + s_suppkey % 5 AS n")
+    return table(spark, sf, "supplier").selectExpr("s_suppkey AS id", "s_suppkey * 37 % 360 - 180.0D AS w", "s_suppkey * 53 % 160 - 80.0D AS s", "s_suppkey * 37 % 360 - 180.0D + 14 + s_suppkey % 9 AS e", "s_suppkey * 53 % 160 - 80.0D + 13 + s_suppkey % 5 AS n")
 
 
 @query("box_overlaps", f"WITH {_BOXES} SELECT p.id AS a, q.id AS b FROM b p, b q WHERE p.id < q.id AND p.w <= q.e AND q.w <= p.e AND p.s <= q.n AND q.s <= p.n")

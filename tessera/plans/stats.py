@@ -210,15 +210,15 @@ def as_of_rate(spark, sf):
   SELECT route, sum(abs(a - b) + 1)::BIGINT AS cost, count(*) AS hops FROM h GROUP BY 1""")
 def path_costs(spark, sf):
     stops = table(spark, sf, "orders").select(F.col("o_custkey").alias("route"), F.col("o_orderkey").alias("i"), (F.col("o_orderkey") % 25).alias("stop"))
-    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
-    costs = n.select(F.col("k").alias("a")).join(n.select(F.col("k").alias("b")), F.lit(True)).withColumn("cost", F.abs(F.col("a") - F.col("b")) + 1)
+    ends = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long"))).alias("b"))
+    costs = ends.withColumn("cost", F.abs(F.col("a") - F.col("b")) + 1)
     return ranking.path_cost(stops, costs, ["route"], "i", "stop")
 
 
-@query("legs", """WITH h AS (SELECT l_orderkey AS trip, l_linenumber AS i, l_partkey % 2 AS line, l_quantity::BIGINT AS cost FROM lineitem), f AS (SELECT *, CASE WHEN lag(line) OVER w = line THEN 0 ELSE 1 END AS new FROM h WINDOW w AS (PARTITION BY trip ORDER BY i)), g AS (SELECT *, sum(new) OVER (PARTITION BY trip ORDER BY i) AS leg FROM f)
+@query("legs", """WITH h AS (SELECT user_id AS trip, event_id AS i, event_id * 7 // 3 % 2 AS line, event_id % 50 AS cost FROM events), f AS (SELECT *, CASE WHEN lag(line) OVER w = line THEN 0 ELSE 1 END AS new FROM h WINDOW w AS (PARTITION BY trip ORDER BY i)), g AS (SELECT *, sum(new) OVER (PARTITION BY trip ORDER BY i) AS leg FROM f)
   SELECT trip, leg::BIGINT AS leg, line, count(*) AS hops, sum(cost)::BIGINT AS cost, min(i) AS first FROM g GROUP BY 1, 2, 3""")
 def legs(spark, sf):
-    hops = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("trip"), F.col("l_linenumber").alias("i"), (F.col("l_partkey") % 2).alias("line"), F.col("l_quantity").cast("long").alias("cost"))
+    hops = table(spark, sf, "events").selectExpr("user_id AS trip", "event_id AS i", "event_id * 7 div 3 % 2 AS line", "event_id % 50 AS cost")
     return ranking.legs(hops, ["trip"], "i", "line", "cost")
 
 
