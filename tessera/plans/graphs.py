@@ -48,7 +48,7 @@ def label_borders(spark, sf):
     return graph.label_borders(graph.shortest(e, _start(spark, sf, "p_partkey % 500 = 1")), e)
 
 
-@query("connected_parts", """WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey // 2 AS b FROM part WHERE p_partkey > 1 AND p_partkey % 16 <> 0), n AS (SELECT p_partkey AS node FROM part), r AS (SELECT node, node AS at FROM n UNION SELECT r.node, e.b FROM r JOIN e ON r.at = e.a) SELECT node, min(at) AS component FROM r GROUP BY 1""")
+@query("connected_parts", """WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey // 2 AS b FROM part WHERE p_partkey > 1 AND p_partkey % 16 <> 0), n AS (SELECT p_partkey AS node FROM part), r AS (SELECT node, node AS top FROM n UNION SELECT r.node, e.b FROM r JOIN e ON r.top = e.a) SELECT node, min(top) AS component FROM r GROUP BY 1""")
 def connected_parts(spark, sf):
     p = table(spark, sf, "part").selectExpr("p_partkey AS node")
     edges = p.where("node > 1 AND node % 16 <> 0").selectExpr("node AS a", "node div 2 AS b")
