@@ -37,7 +37,7 @@ def numbers_or_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def units_csv(spark: SparkSession, path: str, columns: Sequence[str], numeric: Sequence[str], marker: Column) -> DataFrame:
     """CSV with a header and a units row (where `marker` is true), named columns, numbers or null."""
-    return numbers_or_null(spark.read.csv(path, header=True).where(~marker).select(*columns), numeric)
+    return numbers_or_null(spark.read.csv(path, header=True).where(~F.coalesce(marker, F.lit(False))).select(*columns), numeric)
 
 
 def piped(spark: SparkSession, path: str, key: str, prefix: str, value: str, missing_below: float = 0) -> DataFrame:
