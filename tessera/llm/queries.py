@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracle
 from .chat_format import chat_windows, read_back
 from .decontaminate import decontaminate
 from .jaccard_join import jaccard_join
@@ -86,4 +87,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_format": op10_chat_format,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_sharding": oracle.op2(SHARD_BYTES),
+    "op3_quality_rules": oracle.op3(min_docs=4, max_share=10, min_left=30),
+    "op5_decontaminate": oracle.op5(),
+    "op7_lm_scores": oracle.op7(),
+    "op8_substring_dedup": oracle.op8(),
+    "op9_jaccard_join": oracle.op9(),
+    "op10_chat_format": oracle.op10(budget=1024, history=256),
+}

@@ -145,6 +145,7 @@ def batches(stream: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             end = min(max(end, row + 1), n)
             yield batch.slice(row, end - row)
             row = end
+        pa.default_memory_pool().release_unused()
 
 
 def covered(n: int, starts: np.ndarray, length: int | np.ndarray) -> np.ndarray:
