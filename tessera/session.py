@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
 
 def session(app: str = "tessera", master: str | None = None, **conf: str) -> SparkSession:
     """A session in UTC with adaptive execution; other settings are the cluster's."""
@@ -13,3 +19,13 @@ def session(app: str = "tessera", master: str | None = None, **conf: str) -> Spa
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Gives the executors this package, once per application, wherever the driver was started."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parent.parent
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/tessera", "zip", root, "tessera"))
+        _shipped.add(app)
+    return spark
