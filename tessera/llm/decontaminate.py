@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import carried, carried_type, own_names, parts, written
+from .cluster import carried, carried_type, own_names, parts, small_batches, written
 from .text import Words, batches, covered, shingles, shingles_one
 
 SHINGLE = 5
@@ -172,7 +172,7 @@ def scan(docs: DataFrame, block: Block) -> DataFrame:
 
 def found_windows(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_pairs: int = 100_000, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, text, all occurrences (starts and sizes in words, and the items found), carried."""
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     pairs = written(item_windows(benchmark, size), "windows")
     n = parts(pairs.count(), block_pairs, least=0)
     empty = {"starts": "array<int>", "sizes": "array<int>", "items": "array<string>"}

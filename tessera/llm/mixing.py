@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import carried, carried_type, written
+from .cluster import carried, carried_type, small_batches, written
 from .neighbour_quality import _CLASS, held_out
 from .text import Words, batches, mix
 
@@ -202,6 +202,7 @@ def rate_steps(members: DataFrame, gradients: list[list[float]]) -> DataFrame:
 
 def mix_to_targets(docs: DataFrame, labels: DataFrame, targets: Sequence[float] = TARGETS, carry: Sequence[str] = (), sample_rows: int = 8000, boost: int = 15) -> DataFrame:
     """doc_id, text, carried, n_tokens, p_<domain>, rate, copies for every row."""
+    small_batches(docs.sparkSession)
     model = fit(docs, labels, sample_rows)
     rows = posteriors(docs, model, carry)
     names = [f"p_{d}" for d in DOMAINS]

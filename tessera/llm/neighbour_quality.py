@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import own_names
+from .cluster import own_names, small_batches
 from .quality_rules import per_doc
 from .text import Words, batches, shingles
 
@@ -114,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows:
 
 def neighbour_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **params) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold) for every row."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **params))
+    model = small_batches(docs.sparkSession).sparkContext.broadcast(fit(docs, labels, **params))
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream):

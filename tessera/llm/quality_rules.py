@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import carried, carried_type, lookup, written
+from .cluster import carried, carried_type, lookup, small_batches, written
 from .text import _BYTE, _P, _P_INV, _Q, _Q_INV, Words, batches, mix, powers, shingles
 
 #: Fixed values of the base rules.
@@ -152,6 +152,7 @@ def frequent_lines(docs: DataFrame, min_docs: int, max_share: int) -> DataFrame:
 def quality_rules(docs: DataFrame, min_docs: int = 4, max_share: int = 10, min_left: int = 30, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, text (without the removed lines), the measures, n_removed_words, base_failed, kept, and
     the columns named in `carry` as the struct `carried`."""
+    small_batches(docs.sparkSession)
     above = written(frequent_lines(docs, min_docs, max_share), "above")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 

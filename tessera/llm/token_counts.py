@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .cluster import own_names
+from .cluster import own_names, small_batches
 from .text import batches, spans_of
 
 SPACE = "▁"
@@ -137,4 +137,5 @@ def token_counts(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int
             _, off = spans_of(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
+    small_batches(docs.sparkSession)
     return own_names(docs, {"doc_id": "long", "text": "string"}).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
