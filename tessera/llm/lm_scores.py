@@ -17,6 +17,10 @@ document (for scoring) summed first, so that neither a frequent n-gram nor a lon
 key.  Each partition of n-grams meets its partition of the table in a cogroup, and the sums are added
 by document.  A fixed-size Bloom filter spares n-grams that no table has; the join decides.
 
+With min_count 1 nothing is pruned, so every n-gram of a document is in its table and no word backs off: a
+document's total telescopes to sums of L over its longest n-grams and their contexts (`unpruned`), and one order
+after the other is counted and scored in the same partition, from the same arrays.
+
 Defined cases: a null, empty or word-free text scores 0 with 0 words; texts of equal words score
 alike, each row for itself; null ids stay null; other columns are left behind; an empty table gives no
 rows.  N-grams are compared by 64-bit hashes.
@@ -28,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -241,7 +246,143 @@ def packed_table(changes: DataFrame, partitions: int) -> DataFrame:
     return changes.mapInArrow(run, "part int, n int, keys binary, changes binary")
 
 
-def lm_scores(docs: DataFrame, order: int = 2, min_count: int = 2) -> DataFrame:
+def unpruned_sums(docs: DataFrame, n: int, order: int, partitions: int, known: np.ndarray | None) -> DataFrame:
+    """content, total: what the n-grams of length n add to the texts (see `unpruned`).
+
+    Lots of documents send, to each partition of n-grams, their keys with the documents (as places in the lot) that
+    hold them; the partition counts its keys and sends back one sum for each document of each lot.  known: a Bloom
+    filter of the keys that matter, if not all do.
+    """
+    cells = docs.sparkSession.sparkContext.broadcast(known) if known is not None else None
+
+    def explode(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        contents: list[np.ndarray] = []
+        lot = TaskContext.get().partitionId() << 32
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            keys, of, weight = (np.concatenate([x[i] for x in held]) for i in range(3))
+            if not len(keys):
+                return
+            by = np.argsort(keys, kind="stable")  # documents stay in order within a key
+            keys, of, weight = keys[by], of[by], weight[by]
+            new = np.append(True, keys[1:] != keys[:-1])
+            pair = np.flatnonzero(new | np.append(True, of[1:] != of[:-1]))
+            times, weight = np.diff(np.append(pair, len(keys))), np.add.reduceat(weight, pair)
+            first = np.flatnonzero(new[pair])
+            keys, of = keys[pair], of[pair]
+            edge = np.searchsorted(part_of(keys, partitions), np.arange(partitions + 1))
+            out: list[list] = [[] for _ in range(10)]
+            for p in range(partitions):
+                a, b = edge[p], edge[p + 1]
+                if a == b:
+                    continue
+                own = first[np.searchsorted(first, a) : np.searchsorted(first, b)]
+                row = (p, lot, len(own), b - a, steps(keys[own]), squeezed(np.diff(np.append(own, b)).astype(np.uint16)), squeezed(of[a:b].astype(np.uint16)), squeezed(times[a:b].astype(np.uint32)), None if n == order else squeezed(weight[a:b].astype(np.int32)), None)
+                for column, x in zip(out, row):
+                    column.append(x)
+            # the names of the lot's documents go past the counting, beside the sums
+            for column, x in zip(out, (partitions + lot % 1009 % partitions, lot, 0, 0, None, None, None, None, None, np.concatenate(contents).tobytes())):
+                column.append(x)
+            types = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 6)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["part", "lot", "n_keys", "n", "keys", "each", "docs", "times", "weights", "contents"])
+
+        for batch in batches(stream, "text"):
+            for some in (batch.slice(i, 10_000) for i in range(0, batch.num_rows, 10_000)):
+                w = Words(some.column(0), lower=True)
+                h = w.hashes()
+                if sum(map(len, contents)) + w.n_docs > 60_000:
+                    yield from flush()
+                    held, contents, lot = [], [], lot + 1
+                base = sum(map(len, contents))
+                contents.append(content_of(w, h))
+                at, keys = grams(w, h, n)
+                doc = np.searchsorted(w.first, at, side="right") - 1
+                place, size = at - w.first[doc], w.counts[doc]
+                weight = np.ones(len(at), np.int32)
+                if n < order:
+                    weight = (size == n).astype(np.int32)
+                    if n == order - 1:
+                        weight -= (place > 0) & (place + n < size)
+                if cells is not None:
+                    matters = in_bloom(cells.value, keys)
+                    keys, doc, weight = keys[matters], doc[matters], weight[matters]
+                held.append((keys, (doc + base).astype(np.int32), weight))
+            if sum(len(x[0]) for x in held) >= PACKED_WORDS:
+                yield from flush()
+                held, contents, lot = [], [], lot + 1
+        if held:
+            yield from flush()
+
+    def score(key: tuple, table: pa.Table) -> pa.Table:
+        names, lots = ["lot", "docs", "totals", "n", "contents"], table.column("lot").to_pylist()
+        types = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary())
+        if key[0].as_py() >= partitions:
+            return pa.table([pa.array(x, t) for x, t in zip((lots, [None] * len(lots), [None] * len(lots), [0] * len(lots), table.column("contents").to_pylist()), types)], names)
+        n_keys, n_pairs, each, times = (table.column(x).to_pylist() for x in ("n_keys", "n", "each", "times"))
+        keys = np.concatenate([np.cumsum(restored(x, k, np.uint64), dtype=np.uint64) for x, k in zip(table.column("keys").to_pylist(), n_keys)])
+        here = [np.add.reduceat(restored(t, m, np.uint32).astype(np.int64), np.cumsum(np.append(0, restored(e, k, np.uint16)[:-1]), dtype=np.int64)) for t, m, e, k in zip(times, n_pairs, each, n_keys)]
+        keys, where = np.unique(keys, return_inverse=True)
+        c = np.bincount(where, weights=np.concatenate(here), minlength=len(keys))
+        value = np.floor(np.log10(c) * 1_000_000 + 0.5).astype(np.int64)
+        out: list[list] = [[] for _ in range(5)]
+        at = 0
+        for lot, k, m, e, t, d, x in zip(lots, n_keys, n_pairs, each, times, table.column("docs").to_pylist(), table.column("weights").to_pylist()):
+            weight = restored(t, m, np.uint32).astype(np.int64) if x is None else restored(x, m, np.int32)
+            worth = np.repeat(value[where[at : at + k]], restored(e, k, np.uint16)) * weight
+            at += k
+            docs_, place = np.unique(restored(d, m, np.uint16), return_inverse=True)
+            sums = np.zeros(len(docs_), np.int64)
+            np.add.at(sums, place, worth)
+            docs_, sums = docs_[sums != 0], sums[sums != 0]
+            for column, v in zip(out, (lot, squeezed(docs_), squeezed(sums), len(docs_), None)):
+                column.append(v)
+        return pa.table([pa.array(x, t) for x, t in zip(out, types)], names)
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        content = np.frombuffer(b"".join(x for x in table.column("contents").to_pylist() if x is not None), np.int64)
+        total = np.zeros(len(content), np.int64)
+        for d, t, m in zip(*(table.column(x).to_pylist() for x in ("docs", "totals", "n"))):
+            if m:
+                total[restored(d, m, np.uint16)] += restored(t, m, np.int64)
+        return pa.table({"content": content, "total": total})
+
+    packed = docs.select("text").mapInArrow(explode, "part int, lot long, n_keys int, n int, keys binary, each binary, docs binary, times binary, weights binary, contents binary")
+    sums = packed.groupBy("part").applyInArrow(score, "lot long, docs binary, totals binary, n int, contents binary")
+    return sums.groupBy("lot").applyInArrow(add, "content long, total long")
+
+
+def unpruned(docs: DataFrame, rows: DataFrame, order: int, n_words: int) -> DataFrame:
+    """content, total: the texts' sums of scores with all n-grams in the tables, but for L(all words).
+
+    Each word's L(c(context)) cancels the word before it up to the order, so that a text's sum is L of its n-grams
+    of length `order`, less L of those one shorter that are neither its first nor its last; a text of fewer words
+    has L of itself.  Orders below order - 1 thus only matter where a whole text is as short.
+    """
+    sums = None
+    for n in range(order, 0, -1):
+        known = None
+        if n < order - 1:
+            short = rows.where(F.col("n_words") == n).select("short")
+            if not short.limit(1).count():
+                continue
+            known = bloom(short, "short", FILTER_BITS)
+        own = written(unpruned_sums(docs, n, order, parts(n_words, PARTITION_GRAMS), known), f"sums{n}")
+        sums = own if sums is None else sums.unionByName(own)
+    return sums.groupBy("content").agg(F.sum("total").alias("total"))
+
+
+def scored(rows: DataFrame, sums: DataFrame, rest: Column) -> DataFrame:
+    """The result's rows from the sums by content and what each row has besides."""
+    # rows of equal words added up: each row's share is the sum over their number
+    times = rows.groupBy("content").agg(F.count(F.lit(1)).alias("rows"))
+    per = written(sums.join(times, "content").select("content", F.expr("total div rows").alias("total")), "totals")
+    micro = F.coalesce(F.col("total"), F.lit(0)) + rest
+    out = rows.join(per, "content", "left").select("doc_id", "n_words", F.when(F.col("n_words") > 0, micro).otherwise(0).cast("long").alias("score_micro"))
+    return out.withColumn("score", F.when(F.col("n_words") > 0, F.col("score_micro") / 1e6 / F.col("n_words")).otherwise(F.lit(0.0)))
+
+
+def lm_scores(docs: DataFrame, order: int = 3, min_count: int = 1) -> DataFrame:
     """doc_id, n_words, score_micro (sum over words, millionths of log10), score (mean log10)."""
     spark = small_batches(docs.sparkSession)
     docs = own_names(docs, {"doc_id": "long", "text": "string"})
@@ -249,10 +390,20 @@ def lm_scores(docs: DataFrame, order: int = 2, min_count: int = 2) -> DataFrame:
     def name(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream):
             w = Words(batch.column(1), lower=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content_of(w, w.hashes())), pa.array(w.counts.astype(np.int64))], ["doc_id", "content", "n_words"])
-
-    rows = written(docs.mapInArrow(name, "doc_id long, content long, n_words long"), "rows")
+            h = w.hashes()
+            short = np.zeros(w.n_docs, np.uint64)  # the n-gram that a whole text of few words is
+            for n in range(1, order - 1):
+                at, keys = grams(w, h, n)
+                alone = np.flatnonzero(w.counts == n)
+                short[alone] = keys[np.searchsorted(at, w.first[alone])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content_of(w, h)), pa.array(w.counts.astype(np.int64)), pa.array(short.view(np.int64))], ["doc_id", "content", "n_words", "short"])
+
+    rows = written(docs.mapInArrow(name, "doc_id long, content long, n_words long, short long"), "rows")
     n_words = rows.agg(F.sum("n_words")).first()[0] or 0
+    if min_count <= 1:
+        whole = int(np.floor(np.log10(max(n_words, 1)) * 1_000_000 + 0.5))
+        rest = F.lit(-whole).cast("long") * (F.col("n_words") if order == 1 else F.lit(1))
+        return scored(rows, unpruned(docs, rows, order, n_words), rest)
     partitions = parts(n_words * order, SCORED_GRAMS)
     changes = written(score_table(docs, order, min_count, n_words), "changes")
     known = spark.sparkContext.broadcast(bloom(changes, "key", FILTER_BITS << 1))
@@ -340,10 +491,5 @@ def lm_scores(docs: DataFrame, order: int = 2, min_count: int = 2) -> DataFrame:
     packed = docs.select("text").mapInArrow(explode, "part int, n_keys int, n int, keys binary, each binary, docs binary, times binary, contents binary")
     sums = packed.groupBy("part").cogroup(packed_table(changes, partitions).groupBy("part")).applyInArrow(join, "part int, contents binary, totals binary")
     sums = sums.groupBy("part").applyInArrow(add, "content long, total long")
-    # rows of equal words added up: each row's share is the sum over their number
-    times = rows.groupBy("content").agg(F.count(F.lit(1)).alias("rows"))
-    per = written(sums.join(times, "content").select("content", F.expr("total div rows").alias("total")), "totals")
     longer = sum((F.greatest(F.col("n_words") - n, F.lit(0)) for n in range(1, order)), F.lit(0).cast("long"))
-    micro = F.coalesce(F.col("total"), F.lit(0)) + longer * BACKOFF
-    out = rows.join(per, "content", "left").select("doc_id", "n_words", F.when(F.col("n_words") > 0, micro).otherwise(0).cast("long").alias("score_micro"))
-    return out.withColumn("score", F.when(F.col("n_words") > 0, F.col("score_micro") / 1e6 / F.col("n_words")).otherwise(F.lit(0.0)))
+    return scored(rows, sums, longer * BACKOFF)

@@ -74,6 +74,19 @@ WITH pos AS ({words_of('documents', 'doc_id', lower("coalesce(text, '')"), WORD)
 SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(score_micro, 0) AS score_micro, coalesce(score_micro::DOUBLE / 1000000 / n_words, 0) AS score FROM documents LEFT JOIN x USING (doc_id)"""
 
 
+def op7_order3() -> str:
+    """Trigrams, none pruned; millionths of log10 as whole numbers."""
+    log = lambda x: f"floor(log10({x}::DOUBLE) * 1000000 + 0.5)::BIGINT"
+    return f"""
+WITH pos AS ({words_of('documents', 'doc_id', lower("coalesce(text, '')"), WORD)}),
+  g AS (SELECT doc_id, lag(w, 2) OVER o AS a, lag(w) OVER o AS b, w AS c FROM pos WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+  u AS (SELECT c, count(*) AS n FROM g GROUP BY 1), t AS (SELECT b, c, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY 1, 2), v AS (SELECT a, b, c, count(*) AS n FROM g WHERE a IS NOT NULL GROUP BY 1, 2, 3), n AS (SELECT count(*) AS n FROM g),
+  s AS (SELECT doc_id, CASE WHEN v.n IS NOT NULL THEN {log('v.n')} - {log('tab.n')} WHEN t.n IS NOT NULL THEN {log('t.n')} - {log('ub.n')} ELSE {log('uc.n')} - {log('n.n')} END AS s
+    FROM g CROSS JOIN n JOIN u uc ON uc.c = g.c LEFT JOIN u ub ON ub.c = g.b LEFT JOIN t ON t.b = g.b AND t.c = g.c LEFT JOIN t tab ON tab.b = g.a AND tab.c = g.b LEFT JOIN v ON v.a = g.a AND v.b = g.b AND v.c = g.c),
+  x AS (SELECT doc_id, count(*) AS n_words, sum(s)::BIGINT AS score_micro FROM s GROUP BY 1)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(score_micro, 0) AS score_micro, coalesce(score_micro::DOUBLE / 1000000 / n_words, 0) AS score FROM documents LEFT JOIN x USING (doc_id)"""
+
+
 def op8(size: int = 50) -> str:
     return f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {WORD}) AS ws FROM documents),
