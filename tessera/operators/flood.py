@@ -5,8 +5,9 @@ from __future__ import annotations
 import heapq
 import math
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph
@@ -86,9 +87,52 @@ def dilated(cells: DataFrame, k: int) -> DataFrame:
     return out
 
 
+def _nearest_in_row(far: pd.DataFrame, land: pd.DataFrame) -> pd.DataFrame:
+    """The banks of one row's water cells from each column's land nearest to the row: columns outwards from the cell
+    until they alone are further than the best found."""
+    far = far.reset_index(drop=True)
+    if far.empty or land.empty:
+        return far.iloc[:0].assign(bank=np.zeros(0))
+    land = land.sort_values(["lcol", "up", "elev"]).drop_duplicates("lcol")
+    low = int(land["lcol"].min())
+    width = int(land["lcol"].max()) - low + 1
+    none = np.iinfo(np.int64).max
+    up, elev = np.full(width, none), np.zeros(width, land["elev"].dtype)
+    up[land["lcol"] - low], elev[land["lcol"] - low] = land["up"].to_numpy(np.int64) ** 2, land["elev"]
+    col = far["col"].to_numpy(np.int64) - low
+    d, bank, k, open_ = np.full(len(far), none), np.zeros(len(far), elev.dtype), 0, np.arange(len(far))
+    while len(open_):
+        for at in (col[open_] - k, col[open_] + k):
+            inside = (at >= 0) & (at < width)
+            i, at = open_[inside], at[inside]
+            some = up[at] < none
+            i, at = i[some], at[some]
+            new = up[at] + k * k
+            better = (new < d[i]) | ((new == d[i]) & (elev[at] < bank[i]))
+            d[i[better]], bank[i[better]] = new[better], elev[at[better]]
+        k += 1
+        open_ = open_[d[open_] >= k * k]
+    return far.assign(bank=bank)
+
+
+def _far_land(rest: DataFrame, land: DataFrame) -> DataFrame:
+    """row, col, bank for water cells at any distance: each column's land is dealt to the rows it is nearest to, and
+    each row looks along its columns (an exact distance transform, linear in the grid)."""
+    low, high = rest.agg(F.min("row"), F.max("row")).first()
+    column = Window.partitionBy("lcol").orderBy("lrow")
+    first = F.coalesce(F.ceil((F.lag("lrow").over(column) + F.col("lrow")) / 2), F.lit(low))
+    last = F.coalesce(F.floor((F.lead("lrow").over(column) + F.col("lrow")) / 2), F.lit(high))
+    near = land.select("lcol", "lrow", "elev", F.greatest(first, F.lit(low)).cast("long").alias("_a"), F.least(last, F.lit(high)).cast("long").alias("_b")).where("_a <= _b")
+    near = near.withColumn("row", F.explode(F.sequence("_a", "_b"))).select("row", F.col("lcol").cast("long").alias("lcol"), F.abs(F.col("row") - F.col("lrow")).alias("up"), "elev")
+    near = near.join(rest.select("row").distinct(), "row", "left_semi")
+    kind = {f.name: f.dataType.simpleString() for f in (*rest.schema, *land.schema)}
+    return rest.groupBy("row").cogroup(near.groupBy("row")).applyInPandas(_nearest_in_row, f"row {kind['row']}, col {kind['col']}, bank {kind['elev']}")
+
+
 def nearest_land(grid: DataFrame, water: DataFrame, rings: int) -> DataFrame:
-    """row, col, bank: the value of the land cell nearest to each water cell (smaller value of equals), looked for in
-    growing squares; beyond `rings` cells there is none."""
+    """row, col, bank: the value of the land cell nearest to each water cell (smaller value of equals), at any
+    distance; only a grid without land gives no rows.  Land is looked for in growing squares up to `rings` cells,
+    and for the water cells that these don't prove by columns and rows."""
     land = grid.join(water.select("row", "col"), ["row", "col"], "left_anti").select(F.col("row").alias("lrow"), F.col("col").alias("lcol"), "elev")
     rest, out, r = water.select("row", "col").distinct(), None, 1
     while True:
@@ -96,14 +140,13 @@ def nearest_land(grid: DataFrame, water: DataFrame, rings: int) -> DataFrame:
         near = rest.withColumn("_r", F.explode(span)).withColumn("_c", F.explode(span)).select("row", "col", (F.col("row") + F.col("_r")).alias("lrow"), (F.col("col") + F.col("_c")).alias("lcol"), (F.col("_r") * F.col("_r") + F.col("_c") * F.col("_c")).alias("d"))
         best = near.join(land, ["lrow", "lcol"]).groupBy("row", "col").agg(F.min(F.struct("d", "elev")).alias("b"))
         # a square only proves distances up to its half side
-        sure = best if r >= rings else best.where(F.col("b.d") <= r * r)
-        sure = graph.cut(sure.select("row", "col", F.col("b.elev").alias("bank")))
+        sure = graph.cut(best.where(F.col("b.d") <= r * r).select("row", "col", F.col("b.elev").alias("bank")))
         out = sure if out is None else out.unionByName(sure)
-        if r >= rings:
-            return out
         rest = graph.cut(rest.join(sure, ["row", "col"], "left_anti"))
         if not rest.limit(1).count():
             return out
+        if r >= rings:
+            return out.unionByName(_far_land(rest, land))
         r = min(2 * r, rings)
 
 
