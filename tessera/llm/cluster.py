@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where none is set (tests)."""
+    """The folder in spark.checkpoint.dir; one of our own only where none is set and all runs on this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -61,74 +63,61 @@ def carried_type(df: DataFrame, names: Sequence[str]) -> str:
     return df.select(carried(df, names)).schema[0].dataType.simpleString()
 
 
-SLICES = 64
+SLICES = 256
 
 
-def merged_sketch(df: DataFrame, fill: Callable[[np.ndarray, pa.RecordBatch], None], cells: int, dtype: str, either: bool) -> np.ndarray:
-    """A sketch of `cells` numbers filled task by task and merged slice by slice.
-
-    `fill(sketch, batch)` updates the task's own sketch.  Slices are merged by Spark (one group for
-    each of SLICES ranges, each group holding one piece from each task), and only the merged
-    sketch, whose size is fixed by `cells`, reaches the driver.  either: merge by OR, else by sum.
-    """
-    part = cells // SLICES
-
-    def local(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(cells, dtype)
-        seen = False
-        for batch in stream:
-            if batch.num_rows:
-                fill(own, batch)
-                seen = True
-        if seen:
-            yield pa.RecordBatch.from_pydict({"slice": np.arange(SLICES, dtype=np.int32), "cells": [own[i * part : (i + 1) * part].tobytes() for i in range(SLICES)]})
-
-    def join(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: dict[int, np.ndarray] = {}
-        for batch in stream:
-            for i, piece in zip(batch.column(0).to_pylist(), batch.column(1)):
-                cells_here = np.frombuffer(piece.as_buffer(), dtype)
-                if i not in out:
-                    out[i] = cells_here.copy()
-                elif either:
-                    out[i] |= cells_here
-                else:
-                    out[i] += cells_here
-        if out:
-            yield pa.RecordBatch.from_pydict({"slice": np.array([*out], np.int32), "cells": [x.tobytes() for x in out.values()]})
-
-    rows = df.mapInArrow(local, "slice int, cells binary").repartition(SLICES // 4, "slice").mapInArrow(join, "slice int, cells binary").collect()
-    whole = np.zeros(cells, dtype)
-    for i, piece in rows:
-        whole[i * part : (i + 1) * part] = np.frombuffer(piece, dtype)
-    return whole
-
-
-def bloom_bits(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    """Three cell numbers for each 64-bit key."""
-    low, high = keys & np.uint64(0xFFFFFFFF), keys >> np.uint64(32)
+def bloom_cells(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """Three cell numbers for each 64-bit key, all in the slice that its first byte names."""
+    own = np.uint64(bits // SLICES - 1)
+    low, high = keys & np.uint64(0xFFFFFFFF), (keys >> np.uint64(32)) & np.uint64(0xFFFFFF)
+    slice_ = (keys >> np.uint64(56)) * np.uint64(bits // SLICES)
     for i in range(3):
-        yield ((low * np.uint64(2 * i + 1) + high * np.uint64(0x9E3779B1 + 2 * i)) >> np.uint64(3)) & np.uint64(bits - 1)
+        yield slice_ + (((low * np.uint64(2 * i + 1) + high * np.uint64(0x9E3779B1 + 2 * i)) >> np.uint64(3)) & own)
 
 
-def bloom(df: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A Bloom filter over a long column, `bits` (a power of two) cells packed in bytes.
+def bloom(df: DataFrame, column: str, bits: int) -> np.ndarray | None:
+    """A Bloom filter over a long column, `bits` (a power of two) cells packed in bytes; None if it would be full.
 
-    It only spares work: whatever passes it is joined or verified exactly afterwards.
+    It only spares work: whatever passes it is joined or verified exactly afterwards.  Keys (8 bytes each) are
+    dealt to slices by their first byte and each slice is filled in one place, so nothing but the filter itself,
+    whose size `bits` fixes, reaches the driver.  Slices with too many keys for their cells let everything pass.
     """
+    each = bits // SLICES
 
-    def fill(own: np.ndarray, batch: pa.RecordBatch) -> None:
-        keys = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        for cell in bloom_bits(keys, bits):
-            np.bitwise_or.at(own, (cell >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (cell & np.uint64(7)).astype(np.uint8)))
-
-    return merged_sketch(df.select(column), fill, bits // 8, "uint8", True)
+    def fill(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        seen: dict[int, int] = {}
+        for batch in stream:
+            keys = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            part = (keys >> np.uint64(56)).astype(np.int64)
+            by = np.argsort(part, kind="stable")
+            for some in np.split(by, np.flatnonzero(np.diff(part[by])) + 1) if len(by) else []:
+                s = int(part[some[0]])
+                seen[s] = seen.get(s, 0) + len(some)
+                cells = own.setdefault(s, np.zeros(each, bool))
+                if seen[s] <= each // 4:
+                    for cell in bloom_cells(keys[some], bits):
+                        cells[(cell & np.uint64(each - 1)).astype(np.int64)] = True
+        if own:
+            full = [seen[s] > each // 4 for s in own]
+            yield pa.RecordBatch.from_arrays([pa.array([*own], pa.int32()), pa.array([None if f else np.packbits(x, bitorder="little").tobytes() for f, x in zip(full, own.values())], pa.binary())], ["slice", "cells"])
+
+    tasks = min(SLICES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = df.where(F.col(column).isNotNull()).select(F.shiftrightunsigned(column, 56).cast("int").alias("slice"), column)
+    rows = dealt.repartition(tasks, "slice").mapInArrow(fill, "slice int, cells binary").collect()
+    if sum(cells is None for _, cells in rows) > SLICES // 2:
+        return None
+    whole = np.zeros(bits // 8, np.uint8)
+    for s, cells in rows:
+        whole[s * each // 8 : (s + 1) * each // 8] = 255 if cells is None else np.frombuffer(cells, np.uint8)
+    return whole
 
 
-def in_bloom(cells: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def in_bloom(cells: np.ndarray | None, keys: np.ndarray) -> np.ndarray:
     out = np.ones(len(keys), bool)
-    for cell in bloom_bits(keys, len(cells) * 8):
-        out &= (cells[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
+    if cells is not None:
+        for cell in bloom_cells(keys, len(cells) * 8):
+            out &= (cells[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
     return out
 
 
@@ -146,6 +135,19 @@ def lookup(big: DataFrame, small: DataFrame, key: str, how: str = "left", broadc
     return big.withColumn("_salt", salt).join(spread, [key, "_salt"], how).drop("_salt")
 
 
+def spread_join(big: DataFrame, small: DataFrame, key: str, rows: str, how: str = "left", most: int = 50_000) -> DataFrame:
+    """Join `big` with `small`, one row for each key, whose column `rows` says how many rows of `big` have the key.
+
+    Keys with more than one in `most` of all these rows (so fewer than `most` keys) are broadcast, so that no hot
+    key lands in one task; the rest is joined by hash.  Both are read twice: give written tables.
+    """
+    total = small.agg(F.sum(rows)).first()[0] or 0
+    bound = max(1000, total // most)
+    hot = F.broadcast(small.where(F.col(rows) > bound).drop(rows))
+    rest = big.join(hot.select(key), key, "left_anti").join(small.where(F.col(rows) <= bound).drop(rows), key, how)
+    return rest.unionByName(big.join(hot, key))
+
+
 def parts(rows: int, each: int, least: int = 1) -> int:
     return max(least, math.ceil(rows / each))
 

@@ -1,8 +1,8 @@
 """N-gram Jaccard join: rare-first prefix filtering, verified once per pair.
 
 A document's set is its distinct word shingles (the whole sequence if it has fewer words).  Equal
-sets are one node; a node's shingles are ordered by how often the corpus has them (a fixed-size
-count sketch, ties by hash: one total order for all), rarest first.  Two nodes with
+sets are one node; a node's shingles are ordered by how often the corpus has them (counts of the most
+frequent ones, all others rarer than these, ties by hash: one total order for all), rarest first.  Two nodes with
 100*|A∩B| >= percent*|A∪B| share a token in their first n - ceil(percent*n/100) + 1 tokens, so
 nodes are joined on prefix tokens, cut by the length bound and by the positional bound for the first
 token a pair shares, and each pair is
@@ -31,10 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import bloom, components, in_bloom, merged_sketch, own_names, small_batches, written
-from .text import Words, batches, mix, shingles, shingles_one
+from .cluster import bloom, components, in_bloom, own_names, small_batches, spread_join, written
+from .text import KeyTable, Words, batches, mix, shingles, shingles_one
 
-SKETCH_BITS = 21
+#: Frequent shingles that are told apart (16 bytes each are broadcast), and how often the least of them occurs.
+COMMON = 400_000
+LEAST_COMMON = 8
+LOT_WORDS = 2_000_000
 PROFILE = 256
 FILTER_BITS = 1 << 26
 #: Nodes that a task remembers, so that copies it has met send nothing again.
@@ -59,20 +62,47 @@ def node_of(s: np.ndarray) -> int:
     return int(mix(mix(s).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s))).view(np.int64)[0])
 
 
-def prefix_of(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+def prefix_of(s: np.ndarray, common: tuple[KeyTable, np.ndarray], percent: int) -> np.ndarray:
     """Places in `s` of its prefix tokens, rarest first."""
     n = len(s)
     keep = n - (percent * n + 99) // 100 + 1
-    return np.argsort(counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[:keep]
+    table, count = common
+    at, i = table.find(s)
+    if not len(at):
+        return np.arange(keep)
+    often = np.zeros(n, np.int64)
+    often[at] = count[i]
+    return np.argsort(often, kind="stable")[:keep]
 
 
-def count_sketch(docs: DataFrame, k: int) -> np.ndarray:
-    def fill(own: np.ndarray, batch: pa.RecordBatch) -> None:
-        for part in batches(iter([batch])):
-            s = shingles(Words(part.column(0), lower=True).hashes(), k)
-            own += np.bincount((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(own))
+def common_tokens(docs: DataFrame, k: int) -> tuple[KeyTable, np.ndarray]:
+    """The most frequent shingles of all documents, fewer than COMMON, with how often they occur.
 
-    return merged_sketch(docs.select("text"), fill, 1 << SKETCH_BITS, "float32", False)
+    Lots of documents send the shingles they hold twice or more (a shingle that is frequent is so in most lots);
+    those with more than one in COMMON of what the lots sent come back.
+    """
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            keys, c = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(keys[c > 1].view(np.int64)), pa.array(c[c > 1])], ["token", "c"])
+
+        for batch in batches(stream, "text"):
+            w = Words(batch.column(0), lower=True)
+            held.append(shingles(w.hashes(), k)[np.flatnonzero(w.doc_of_word()[: len(w.starts) - k + 1] == w.doc_of_word()[k - 1 :])] if len(w.starts) >= k else np.zeros(0, np.uint64))
+            if sum(map(len, held)) >= LOT_WORDS:
+                yield flush()
+                held.clear()
+        if held:
+            yield flush()
+
+    counts = written(docs.select("text").mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")), "tokens")
+    bound = max(LEAST_COMMON, -(-(counts.agg(F.sum("c")).first()[0] or 0) // COMMON))
+    rows = counts.where(F.col("c") > bound).toArrow()
+    keys = rows.column("token").to_numpy().view(np.uint64)
+    return KeyTable(keys), rows.column("c").to_numpy()[np.argsort(keys)]
 
 
 def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
@@ -143,7 +173,7 @@ def jaccard_nodes(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataF
     """(doc_id, node, n) for every row, and (node, component) for every node with a link."""
     spark = small_batches(docs.sparkSession)
     docs = own_names(docs, {"doc_id": "long", "text": "string"})
-    counts = spark.sparkContext.broadcast(count_sketch(docs, k))
+    counts = spark.sparkContext.broadcast(common_tokens(docs, k))
 
     def tokens(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -233,6 +263,9 @@ def jaccard_nodes(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataF
 def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) for every row."""
     members, group = jaccard_nodes(docs, k, percent)
-    linked = members.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    first = linked.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
-    return linked.join(first, "component", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    nodes = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
+    nodes = written(nodes.join(group, "node", "left").withColumn("component", F.coalesce("component", "node")), "nodes")
+    several = nodes.groupBy("component").agg(F.min("least").alias("lowest"), F.count(F.lit(1)).alias("nodes")).where("nodes > 1")
+    firsts = written(spread_join(nodes, written(several, "several"), "component", "nodes").select("node", F.coalesce("lowest", "least").alias("component_id"), "rows"), "firsts")
+    out = spread_join(members.where("n > 0"), firsts, "node", "rows").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    return out.unionByName(members.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))

@@ -1,51 +1,51 @@
-"""Language-model scoring with stupid backoff, as counts and joins.
+"""Language-model scoring with stupid backoff, as count tables, joins and sums.
 
 Words are lower-cased (A-Z) runs of non-space.  All documents are counted: words, and n-grams of each
-order up to `order` that occur `min_count` times or more (rarer ones are pruned).  Logarithms are
+order up to `order` that occur `min_count` times or more (rarer ones are pruned; 1 prunes none).  Logarithms are
 whole millionths of log10, so that sums are exact and don't depend on their order:
 
     S(w | context) = L(c(context w)) - L(c(context))   if the n-gram is in its table
                    = L(0.4) + S(w | shorter context)   otherwise;   S(w) = L(c(w)) - L(all words)
 
-A document's total is the sum over its words of the score without any n-gram (a word's own, and L(0.4)
-for each longer context there was) plus, for each n-gram of a table, what it changes (its own score
-less that of its tail and L(0.4)); that change is joined once per table row.
+1. Count tables: lots of documents send their n-grams' hashes, equal ones of a lot summed; they are dealt by hash
+   and summed to (key, c).
+2. A value table says what each n-gram of a count table adds to a text that holds it.
+3. The documents' n-grams, as rows (key, content, times), are joined with the value table on the key and the
+   values are summed by document (by `content`, a hash of its words: rows of equal words score alike).
 
-Count tables and exploded n-grams are partitioned by hash; between tasks they travel as arrays, one
-for each batch of documents and partition (compressed), with equal n-grams of a batch (for counting) or of a
-document (for scoring) summed first, so that neither a frequent n-gram nor a long document is a hot
-key.  Each partition of n-grams meets its partition of the table in a cogroup, and the sums are added
-by document.  A fixed-size Bloom filter spares n-grams that no table has; the join decides.
+With min_count 1 nothing is pruned, no word of a counted document backs off, and each word's L(c(context))
+cancels the word before it up to the order: a text's sum is L of its n-grams of length `order`, less L of those one
+shorter that are neither its first nor its last, less L(all words); a text of fewer words has L of itself.  The
+rows' `times` carry these signs.  N-grams that occur once have L = 0 and need no row.
 
-With min_count 1 nothing is pruned, so every n-gram of a document is in its table and no word backs off: a
-document's total telescopes to sums of L over its longest n-grams and their contexts (`unpruned`), and one order
-after the other is counted and scored in the same partition, from the same arrays.
+At scale: partitions follow the number of words.  N-grams so frequent that at most HOT of them can exist (more
+often than one in HOT of all n-grams) are broadcast, added up where the document is, and never shuffled: no
+remaining key is hot.  A fixed-size Bloom filter of the value table spares rows that would join nothing, and is left
+out when it would be full; the join decides.
 
 Defined cases: a null, empty or word-free text scores 0 with 0 words; texts of equal words score
 alike, each row for itself; null ids stay null; other columns are left behind; an empty table gives no
-rows.  N-grams are compared by 64-bit hashes.
+rows.  N-grams are compared by 64-bit hashes: of d different n-grams about d * d / 2**65 pairs share a count.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import bloom, in_bloom, own_names, parts, small_batches, written
-from .substring_dedup import content_of
-from .text import Words, batches, mix, shingles
+from .cluster import bloom, in_bloom, own_names, parts, small_batches, spread_join, written
+from .text import KeyTable, Words, batches, content_of, mix, shingles
 
 FILTER_BITS = 1 << 27
-#: N-grams of a partition when counting (all in one task's memory) and when scoring (compressed there), and words
-#: of a packed batch.
-PARTITION_GRAMS = 3_000_000
-SCORED_GRAMS = 8_000_000
-PACKED_WORDS = 2_000_000
+#: N-grams of a shuffle partition, and words that a task sums before it sends them.
+PARTITION_GRAMS = 4_000_000
+LOT_WORDS = 2_000_000
+#: Values that are broadcast at most (12 bytes each).
+HOT = 400_000
 BACKOFF = -397_940
 
 
@@ -62,434 +62,156 @@ def grams(w: Words, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at] if n == 1 else mix(shingles(h, n)[at] + np.uint64(n))
 
 
-def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The hash of bigrams from their words' hashes, as `grams` has it."""
-    return mix(shingles(np.stack([a, b], axis=1).ravel(), 2)[::2] + np.uint64(2)) if len(a) else a
+def gram_rows(docs: DataFrame, n: int, names: bool) -> DataFrame:
+    """key, c for each n-gram of each lot; names: context and tail too, its first and last n - 1 words."""
 
-
-def part_of(keys: np.ndarray, partitions: int) -> np.ndarray:
-    """Partitions are ranges of hashes, so sorted keys are sorted by partition."""
-    return ((keys >> np.uint64(32)) * np.uint64(partitions) >> np.uint64(32)).astype(np.int64)
-
-
-def squeezed(x: np.ndarray) -> bytes:
-    return pa.compress(x.tobytes(), codec="zstd", asbytes=True)
-
-
-def restored(x: bytes, n: int, dtype: type) -> np.ndarray:
-    return np.frombuffer(pa.decompress(x, decompressed_size=n * np.dtype(dtype).itemsize, codec="zstd"), dtype)
-
-
-def steps(keys: np.ndarray) -> bytes:
-    """Sorted keys as their differences."""
-    return squeezed(np.diff(keys, prepend=np.uint64(0)))
-
-
-def count_table(docs: DataFrame, n: int, partitions: int, min_count: int) -> DataFrame:
-    """key, c: the n-grams of all documents that occur min_count times or more."""
-
-    def pack(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def flush() -> pa.RecordBatch:
-            keys, c = np.unique(np.concatenate(held), return_counts=True)
-            edge = np.searchsorted(part_of(keys, partitions), np.arange(partitions + 1))
-            some = [p for p in range(partitions) if edge[p] < edge[p + 1]]
-            cut = [slice(edge[p], edge[p + 1]) for p in some]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([x.stop - x.start for x in cut], pa.int32()), pa.array([steps(keys[x]) for x in cut], pa.binary()), pa.array([squeezed(c[x].astype(np.int32)) for x in cut], pa.binary())], ["part", "n", "keys", "c"])
-
-        for batch in batches(stream, "text"):
-            w = Words(batch.column(0), lower=True)
-            held.append(grams(w, w.hashes(), n)[1])
-            if sum(map(len, held)) >= PACKED_WORDS:
-                yield flush()
-                held = []
-        if held:
-            yield flush()
-
-    def merge(key: tuple, table: pa.Table) -> pa.Table:
-        sizes = table.column("n").to_pylist()
-        keys = np.concatenate([np.cumsum(restored(x, n_, np.uint64), dtype=np.uint64) for x, n_ in zip(table.column("keys").to_pylist(), sizes)])
-        c = np.concatenate([restored(x, n_, np.int32) for x, n_ in zip(table.column("c").to_pylist(), sizes)])
-        keys, where = np.unique(keys, return_inverse=True)
-        c = np.bincount(where, weights=c, minlength=len(keys)).astype(np.int64)
-        keep = c >= min_count
-        return pa.table({"key": keys[keep].view(np.int64), "c": c[keep]})
-
-    return docs.select("text").mapInArrow(pack, "part int, n int, keys binary, c binary").groupBy("part").applyInArrow(merge, "key long, c long")
-
-
-def pair_table(docs: DataFrame, partitions: int, min_count: int) -> DataFrame:
-    """key, context, tail, c: bigrams with the hashes of their words; the words' hashes travel, not the key."""
-
-    def pack(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            keys, a, b = np.concatenate(held, axis=1)
-            keys, first, c = np.unique(keys, return_index=True, return_counts=True)
-            a, b = a[first], b[first]
-            edge = np.searchsorted(part_of(keys, partitions), np.arange(partitions + 1))
-            out: list[list] = [[] for _ in range(5)]
-            for p in range(partitions):
-                if edge[p] == edge[p + 1]:
-                    continue
-                x = edge[p] + np.argsort(a[edge[p] : edge[p + 1]])
-                for column, v in zip(out, (p, len(x), steps(a[x]), b[x].tobytes(), squeezed(c[x].astype(np.int32)))):
-                    column.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.binary()) for x in out[2:])], ["part", "n", "a", "b", "c"])
+            whole = np.concatenate(held, axis=1)
+            keys, first, c = np.unique(whole[0], return_index=True, return_counts=True)
+            columns = [keys, *whole[1:, first]]
+            return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in columns), pa.array(c)], ["key", "context", "tail", "c"] if names else ["key", "c"])
 
         for batch in batches(stream, "text"):
             w = Words(batch.column(0), lower=True)
             h = w.hashes()
-            at, keys = grams(w, h, 2)
-            held.append(np.stack([keys, h[at], h[at + 1]]))
-            if sum(x.shape[1] for x in held) >= PACKED_WORDS:
+            at, keys = grams(w, h, n)
+            rows = [keys]
+            if names:
+                shorter = np.zeros(len(h) + 1, np.uint64)
+                place, own = grams(w, h, n - 1)
+                shorter[place] = own
+                rows += [shorter[at], shorter[at + 1]]
+            held.append(np.stack(rows))
+            if sum(x.shape[1] for x in held) >= LOT_WORDS:
                 yield flush()
-                held = []
-        if held and sum(x.shape[1] for x in held):
+                held.clear()
+        if held:
             yield flush()
 
-    def merge(key: tuple, table: pa.Table) -> pa.Table:
-        sizes = table.column("n").to_pylist()
-        a = np.concatenate([np.cumsum(restored(x, n, np.uint64), dtype=np.uint64) for x, n in zip(table.column("a").to_pylist(), sizes)])
-        b = np.frombuffer(b"".join(table.column("b").to_pylist()), np.uint64)
-        c = np.concatenate([restored(x, n, np.int32) for x, n in zip(table.column("c").to_pylist(), sizes)])
-        keys, first, where = np.unique(pair_key(a, b), return_index=True, return_inverse=True)
-        c = np.bincount(where, weights=c, minlength=len(keys)).astype(np.int64)
-        keep = c >= min_count
-        first = first[keep]
-        return pa.table({"key": keys[keep].view(np.int64), "context": a[first].view(np.int64), "tail": b[first].view(np.int64), "c": c[keep]})
-
-    return docs.select("text").mapInArrow(pack, "part int, n int, a binary, b binary, c binary").groupBy("part").applyInArrow(merge, "key long, context long, tail long, c long")
+    return docs.select("text").mapInArrow(run, "key long, context long, tail long, c long" if names else "key long, c long")
 
 
-def gram_links(docs: DataFrame, order: int, known: np.ndarray) -> DataFrame:
-    """n, key, context, tail: the hashes of an n-gram of a table and of its first and last n - 1 words."""
-    cells = docs.sparkSession.sparkContext.broadcast(known)
+def count_table(docs: DataFrame, n: int, partitions: int, least: int, names: bool = False) -> DataFrame:
+    """key, c (and context, tail): the n-grams of all documents that occur `least` times or more."""
+    rows = gram_rows(docs, n, names).repartition(partitions, "key")
+    extra = [F.first(x).alias(x) for x in ("context", "tail")] if names else []
+    return written(rows.groupBy("key").agg(F.sum("c").alias("c"), *extra).where(F.col("c") >= least), f"counts{n}")
 
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {n: [] for n in range(3, order + 1)}
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for n, rows in held.items():
-                if rows:
-                    found = np.concatenate(rows, axis=1)
-                    _, first = np.unique(found[0], return_index=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), n, np.int32)), *(pa.array(x[first].view(np.int64)) for x in found)], ["n", "key", "context", "tail"])
-                    rows.clear()
+def backoff_values(docs: DataFrame, order: int, min_count: int, n_words: int) -> DataFrame:
+    """key, c, v: what every n-gram of the pruned count tables adds to a text, beside its words' backed-off scores.
 
-        for batch in batches(stream, "text"):
-            w = Words(batch.column(0), lower=True)
-            h = w.hashes()
-            by = {n: grams(w, h, n) for n in range(2, order + 1)}
-            for n in range(3, order + 1):
-                at, keys = by[n]
-                some = in_bloom(cells.value, keys)
-                at, keys = at[some], keys[some]
-                shorter = np.zeros(len(h), np.uint64)
-                shorter[by[n - 1][0]] = by[n - 1][1]
-                held[n].append(np.stack([keys, shorter[at], shorter[at + 1]]))
-            if sum(x.shape[1] for x in held[3]) >= PACKED_WORDS:
-                yield from flush()
-        yield from flush()
-
-    return docs.select("text").mapInArrow(run, "n int, key long, context long, tail long").dropDuplicates(["key"])
-
-
-def score_table(docs: DataFrame, order: int, min_count: int, n_words: int) -> DataFrame:
-    """key, change: what every n-gram of the count tables adds to the text it occurs in."""
+    An n-gram adds its own score less that of its tail and L(0.4).
+    """
     partitions = parts(n_words, PARTITION_GRAMS)
-    counts = [written(pair_table(docs, partitions, min_count) if n == 2 else count_table(docs, n, partitions, 1 if n == 1 else min_count), f"counts{n}") for n in range(1, order + 1)]
-    whole = F.lit(n_words).cast("long")
-    scores = counts[0].select("key", "c", (millionths(F.col("c")) - millionths(whole)).alias("s"))
-    changes = scores.select("key", F.col("s").alias("change"))
-    if order > 2:
-        known = None
-        for table in counts[2:]:
-            cells = bloom(table, "key", FILTER_BITS)
-            known = cells if known is None else known | cells
-        links = written(gram_links(docs, order, known), "links")
+    counts = [count_table(docs, n, partitions, min_count if n > 1 else 1, n > 1) for n in range(1, order + 1)]
+    scores = counts[0].select("key", "c", (millionths(F.col("c")) - millionths(F.lit(n_words))).alias("s"))
+    values = scores.select("key", "c", F.col("s").alias("v"))
     for n in range(2, order + 1):
-        own = counts[1] if n == 2 else links.where(F.col("n") == n).join(counts[n - 1].select("key", "c"), "key")
-        own = own.join(counts[n - 2].select(F.col("key").alias("context"), F.col("c").alias("c_context")), "context")
+        own = counts[n - 1].join(counts[n - 2].select(F.col("key").alias("context"), F.col("c").alias("c_context")), "context")
         own = own.join(scores.select(F.col("key").alias("tail"), F.col("s").alias("s_tail")), "tail")
-        own = own.select("key", "c", (millionths(F.col("c")) - millionths(F.col("c_context"))).alias("s"), "s_tail")
-        own = written(own, f"scores{n}") if n < order else own
-        changes = changes.unionByName(own.select("key", (F.col("s") - BACKOFF - F.col("s_tail")).alias("change")))
+        own = written(own.select("key", "c", (millionths(F.col("c")) - millionths(F.col("c_context"))).alias("s"), "s_tail"), f"scores{n}")
+        values = values.unionByName(own.select("key", "c", (F.col("s") - BACKOFF - F.col("s_tail")).alias("v")))
         scores = own.select("key", "c", "s")
-    return changes.select("key", F.col("change").cast("int").alias("change"))
-
-
-def packed_table(changes: DataFrame, partitions: int) -> DataFrame:
-    """part, n, keys, changes: the rows of a table as arrays for each partition, sorted by key."""
-
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+    return written(values.where("v <> 0"), "values")
 
-        def flush() -> pa.RecordBatch:
-            keys, change = (np.concatenate([x[i] for x in held]) for i in range(2))
-            order = np.argsort(keys)
-            keys, change = keys[order], change[order]
-            edge = np.searchsorted(part_of(keys, partitions), np.arange(partitions + 1))
-            cut = [(p, slice(edge[p], edge[p + 1])) for p in range(partitions) if edge[p] < edge[p + 1]]
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in cut], pa.int32()), pa.array([x.stop - x.start for _, x in cut], pa.int32()), pa.array([steps(keys[x]) for _, x in cut], pa.binary()), pa.array([squeezed(change[x]) for _, x in cut], pa.binary())], ["part", "n", "keys", "changes"])
-
-        for batch in stream:
-            held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
-            if sum(len(x[0]) for x in held) >= PACKED_WORDS:
-                yield flush()
-                held.clear()
-        if held and sum(len(x[0]) for x in held):
-            yield flush()
 
-    return changes.mapInArrow(run, "part int, n int, keys binary, changes binary")
+Signs = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def unpruned_sums(docs: DataFrame, n: int, order: int, partitions: int, known: np.ndarray | None) -> DataFrame:
-    """content, total: what the n-grams of length n add to the texts (see `unpruned`).
+def text_sums(docs: DataFrame, values: DataFrame, signed: dict[int, Signs | None], n_words: int) -> DataFrame:
+    """content, total: the sum of v * times over the texts' n-grams that `values` (key, c, v) has.
 
-    Lots of documents send, to each partition of n-grams, their keys with the documents (as places in the lot) that
-    hold them; the partition counts its keys and sends back one sum for each document of each lot.  known: a Bloom
-    filter of the keys that matter, if not all do.
+    signed: the lengths of n-grams that are looked up, each with a function of (place in the text, words of the
+    text) that says how often an occurrence counts (None: once).
     """
-    cells = docs.sparkSession.sparkContext.broadcast(known) if known is not None else None
-
-    def explode(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        contents: list[np.ndarray] = []
-        lot = TaskContext.get().partitionId() << 32
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            keys, of, weight = (np.concatenate([x[i] for x in held]) for i in range(3))
-            if not len(keys):
-                return
-            by = np.argsort(keys, kind="stable")  # documents stay in order within a key
-            keys, of, weight = keys[by], of[by], weight[by]
-            new = np.append(True, keys[1:] != keys[:-1])
-            pair = np.flatnonzero(new | np.append(True, of[1:] != of[:-1]))
-            times, weight = np.diff(np.append(pair, len(keys))), np.add.reduceat(weight, pair)
-            first = np.flatnonzero(new[pair])
-            keys, of = keys[pair], of[pair]
-            edge = np.searchsorted(part_of(keys, partitions), np.arange(partitions + 1))
-            out: list[list] = [[] for _ in range(10)]
-            for p in range(partitions):
-                a, b = edge[p], edge[p + 1]
-                if a == b:
-                    continue
-                own = first[np.searchsorted(first, a) : np.searchsorted(first, b)]
-                row = (p, lot, len(own), b - a, steps(keys[own]), squeezed(np.diff(np.append(own, b)).astype(np.uint16)), squeezed(of[a:b].astype(np.uint16)), squeezed(times[a:b].astype(np.uint32)), None if n == order else squeezed(weight[a:b].astype(np.int32)), None)
-                for column, x in zip(out, row):
-                    column.append(x)
-            # the names of the lot's documents go past the counting, beside the sums
-            for column, x in zip(out, (partitions + lot % 1009 % partitions, lot, 0, 0, None, None, None, None, None, np.concatenate(contents).tobytes())):
-                column.append(x)
-            types = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 6)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["part", "lot", "n_keys", "n", "keys", "each", "docs", "times", "weights", "contents"])
+    spark = docs.sparkSession
+    bound = max(1, -(-n_words * len(signed) // HOT))
+    top = values.where(F.col("c") > bound).select("key", "v").toArrow()  # fewer than HOT rows, as their counts add up to all n-grams at most
+    keys = top.column("key").to_numpy().view(np.uint64)
+    hot = spark.sparkContext.broadcast((KeyTable(keys), top.column("v").to_numpy()[np.argsort(keys)]))
+    cold = values.where(F.col("c") <= bound).select("key", "v")
+    known = spark.sparkContext.broadcast(bloom(cold, "key", FILTER_BITS))
 
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, worth = hot.value
         for batch in batches(stream, "text"):
-            for some in (batch.slice(i, 10_000) for i in range(0, batch.num_rows, 10_000)):
-                w = Words(some.column(0), lower=True)
-                h = w.hashes()
-                if sum(map(len, contents)) + w.n_docs > 60_000:
-                    yield from flush()
-                    held, contents, lot = [], [], lot + 1
-                base = sum(map(len, contents))
-                contents.append(content_of(w, h))
+            w = Words(batch.column(0), lower=True)
+            h = w.hashes()
+            content = content_of(w, h)
+            here = np.zeros(w.n_docs, np.int64)
+            out: list[list[np.ndarray]] = [[], [], []]
+            for n, sign in signed.items():
                 at, keys = grams(w, h, n)
                 doc = np.searchsorted(w.first, at, side="right") - 1
-                place, size = at - w.first[doc], w.counts[doc]
-                weight = np.ones(len(at), np.int32)
-                if n < order:
-                    weight = (size == n).astype(np.int32)
-                    if n == order - 1:
-                        weight -= (place > 0) & (place + n < size)
-                if cells is not None:
-                    matters = in_bloom(cells.value, keys)
-                    keys, doc, weight = keys[matters], doc[matters], weight[matters]
-                held.append((keys, (doc + base).astype(np.int32), weight))
-            if sum(len(x[0]) for x in held) >= PACKED_WORDS:
-                yield from flush()
-                held, contents, lot = [], [], lot + 1
-        if held:
-            yield from flush()
-
-    def score(key: tuple, table: pa.Table) -> pa.Table:
-        names, lots = ["lot", "docs", "totals", "n", "contents"], table.column("lot").to_pylist()
-        types = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary())
-        if key[0].as_py() >= partitions:
-            return pa.table([pa.array(x, t) for x, t in zip((lots, [None] * len(lots), [None] * len(lots), [0] * len(lots), table.column("contents").to_pylist()), types)], names)
-        n_keys, n_pairs, each, times = (table.column(x).to_pylist() for x in ("n_keys", "n", "each", "times"))
-        keys = np.concatenate([np.cumsum(restored(x, k, np.uint64), dtype=np.uint64) for x, k in zip(table.column("keys").to_pylist(), n_keys)])
-        here = [np.add.reduceat(restored(t, m, np.uint32).astype(np.int64), np.cumsum(np.append(0, restored(e, k, np.uint16)[:-1]), dtype=np.int64)) for t, m, e, k in zip(times, n_pairs, each, n_keys)]
-        keys, where = np.unique(keys, return_inverse=True)
-        c = np.bincount(where, weights=np.concatenate(here), minlength=len(keys))
-        value = np.floor(np.log10(c) * 1_000_000 + 0.5).astype(np.int64)
-        out: list[list] = [[] for _ in range(5)]
-        at = 0
-        for lot, k, m, e, t, d, x in zip(lots, n_keys, n_pairs, each, times, table.column("docs").to_pylist(), table.column("weights").to_pylist()):
-            weight = restored(t, m, np.uint32).astype(np.int64) if x is None else restored(x, m, np.int32)
-            worth = np.repeat(value[where[at : at + k]], restored(e, k, np.uint16)) * weight
-            at += k
-            docs_, place = np.unique(restored(d, m, np.uint16), return_inverse=True)
-            sums = np.zeros(len(docs_), np.int64)
-            np.add.at(sums, place, worth)
-            docs_, sums = docs_[sums != 0], sums[sums != 0]
-            for column, v in zip(out, (lot, squeezed(docs_), squeezed(sums), len(docs_), None)):
-                column.append(v)
-        return pa.table([pa.array(x, t) for x, t in zip(out, types)], names)
-
-    def add(key: tuple, table: pa.Table) -> pa.Table:
-        content = np.frombuffer(b"".join(x for x in table.column("contents").to_pylist() if x is not None), np.int64)
-        total = np.zeros(len(content), np.int64)
-        for d, t, m in zip(*(table.column(x).to_pylist() for x in ("docs", "totals", "n"))):
-            if m:
-                total[restored(d, m, np.uint16)] += restored(t, m, np.int64)
-        return pa.table({"content": content, "total": total})
-
-    packed = docs.select("text").mapInArrow(explode, "part int, lot long, n_keys int, n int, keys binary, each binary, docs binary, times binary, weights binary, contents binary")
-    sums = packed.groupBy("part").applyInArrow(score, "lot long, docs binary, totals binary, n int, contents binary")
-    return sums.groupBy("lot").applyInArrow(add, "content long, total long")
-
-
-def unpruned(docs: DataFrame, rows: DataFrame, order: int, n_words: int) -> DataFrame:
-    """content, total: the texts' sums of scores with all n-grams in the tables, but for L(all words).
-
-    Each word's L(c(context)) cancels the word before it up to the order, so that a text's sum is L of its n-grams
-    of length `order`, less L of those one shorter that are neither its first nor its last; a text of fewer words
-    has L of itself.  Orders below order - 1 thus only matter where a whole text is as short.
-    """
+                times = np.ones(len(at), np.int64) if sign is None else sign(at - w.first[doc], w.counts[doc]).astype(np.int64)
+                found, i = table.find(keys)
+                np.add.at(here, doc[found], worth[i] * times[found])
+                rest = in_bloom(known.value, keys) & (times != 0)
+                rest[found] = False
+                keys, doc, times = keys[rest], doc[rest], times[rest]
+                # equal n-grams of a document are one row
+                _, first, where = np.unique(mix(keys ^ (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), return_index=True, return_inverse=True)
+                total = np.bincount(where, weights=times, minlength=len(first)).astype(np.int64)
+                by = np.argsort(first)
+                for column, x in zip(out, (keys[first[by]], doc[first[by]], total[by])):
+                    column.append(x)
+            keys, doc, times = (np.concatenate(x) for x in out)
+            some = np.flatnonzero(here)
+            # what is known already travels under a key that spreads it and is in no table
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(keys.view(np.int64), content[some])), pa.array(content[np.append(doc, some)]), pa.array(np.append(times, np.zeros(len(some), np.int64)).astype(np.int32)), pa.array(np.append(np.zeros(len(doc), np.int64), here[some]))], ["key", "content", "times", "known"])
+
+    partitions = parts(n_words * len(signed), PARTITION_GRAMS)
+    rows = docs.select("text").mapInArrow(run, "key long, content long, times int, known long").repartition(partitions, "key")
+    joined = rows.join(cold.repartition(partitions, "key").hint("shuffle_hash"), "key", "left")
+    return joined.groupBy("content").agg(F.sum(F.coalesce(F.col("v"), F.lit(0)) * F.col("times") + F.col("known")).alias("total"))
+
+
+def unpruned_sums(docs: DataFrame, rows: DataFrame, order: int, n_words: int) -> DataFrame:
+    """content, total: the texts' sums of scores with all n-grams in the tables, but for L(all words)."""
     sums = None
     for n in range(order, 0, -1):
-        known = None
-        if n < order - 1:
-            short = rows.where(F.col("n_words") == n).select("short")
-            if not short.limit(1).count():
-                continue
-            known = bloom(short, "short", FILTER_BITS)
-        own = written(unpruned_sums(docs, n, order, parts(n_words, PARTITION_GRAMS), known), f"sums{n}")
-        sums = own if sums is None else sums.unionByName(own)
-    return sums.groupBy("content").agg(F.sum("total").alias("total"))
+        if n < order - 1 and not rows.where(F.col("n_words") == n).limit(1).count():
+            continue  # n-grams below order - 1 only matter where they are a whole text
 
+        def whole(place: np.ndarray, size: np.ndarray, n: int = n) -> np.ndarray:
+            return size == n
 
-def scored(rows: DataFrame, sums: DataFrame, rest: Column) -> DataFrame:
-    """The result's rows from the sums by content and what each row has besides."""
-    # rows of equal words added up: each row's share is the sum over their number
-    times = rows.groupBy("content").agg(F.count(F.lit(1)).alias("rows"))
-    per = written(sums.join(times, "content").select("content", F.expr("total div rows").alias("total")), "totals")
-    micro = F.coalesce(F.col("total"), F.lit(0)) + rest
-    out = rows.join(per, "content", "left").select("doc_id", "n_words", F.when(F.col("n_words") > 0, micro).otherwise(0).cast("long").alias("score_micro"))
-    return out.withColumn("score", F.when(F.col("n_words") > 0, F.col("score_micro") / 1e6 / F.col("n_words")).otherwise(F.lit(0.0)))
+        def inner(place: np.ndarray, size: np.ndarray, n: int = n) -> np.ndarray:
+            return (size == n).astype(np.int64) - ((place > 0) & (place + n < size))
+
+        counts = count_table(docs, n, parts(n_words, PARTITION_GRAMS), 2)
+        values = counts.select("key", "c", millionths(F.col("c")).alias("v"))
+        own = written(text_sums(docs, values, {n: None if n == order else inner if n == order - 1 else whole}, n_words), f"sums{n}")
+        sums = own if sums is None else sums.unionByName(own)
+    return sums.groupBy("content").agg(F.sum("total").alias("total"))
 
 
 def lm_scores(docs: DataFrame, order: int = 3, min_count: int = 1) -> DataFrame:
     """doc_id, n_words, score_micro (sum over words, millionths of log10), score (mean log10)."""
-    spark = small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession)
     docs = own_names(docs, {"doc_id": "long", "text": "string"})
 
     def name(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream):
             w = Words(batch.column(1), lower=True)
-            h = w.hashes()
-            short = np.zeros(w.n_docs, np.uint64)  # the n-gram that a whole text of few words is
-            for n in range(1, order - 1):
-                at, keys = grams(w, h, n)
-                alone = np.flatnonzero(w.counts == n)
-                short[alone] = keys[np.searchsorted(at, w.first[alone])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content_of(w, h)), pa.array(w.counts.astype(np.int64)), pa.array(short.view(np.int64))], ["doc_id", "content", "n_words", "short"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content_of(w, w.hashes())), pa.array(w.counts.astype(np.int64))], ["doc_id", "content", "n_words"])
 
-    rows = written(docs.mapInArrow(name, "doc_id long, content long, n_words long, short long"), "rows")
+    rows = written(docs.mapInArrow(name, "doc_id long, content long, n_words long"), "rows")
     n_words = rows.agg(F.sum("n_words")).first()[0] or 0
     if min_count <= 1:
+        sums = unpruned_sums(docs, rows, order, n_words)
         whole = int(np.floor(np.log10(max(n_words, 1)) * 1_000_000 + 0.5))
         rest = F.lit(-whole).cast("long") * (F.col("n_words") if order == 1 else F.lit(1))
-        return scored(rows, unpruned(docs, rows, order, n_words), rest)
-    partitions = parts(n_words * order, SCORED_GRAMS)
-    changes = written(score_table(docs, order, min_count, n_words), "changes")
-    known = spark.sparkContext.broadcast(bloom(changes, "key", FILTER_BITS << 1))
-
-    def explode(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        contents: list[np.ndarray] = []
-
-        def flush() -> pa.RecordBatch:
-            keys, of, times = (np.concatenate([x[i] for x in held]) for i in range(3))
-            content = np.concatenate(contents)
-            order_ = np.argsort(keys, kind="stable")  # documents stay in order within a key
-            keys, of, times = keys[order_], of[order_], times[order_]
-            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            edge = np.searchsorted(part_of(keys, partitions), np.arange(partitions + 1))
-            out: list[list] = [[] for _ in range(8)]
-            for p in range(partitions):
-                a, b = edge[p], edge[p + 1]
-                if a == b:
-                    continue
-                own = first[np.searchsorted(first, a) : np.searchsorted(first, b)]
-                docs_here, local = np.unique(of[a:b], return_inverse=True)
-                row = (p, len(own), b - a, steps(keys[own]), squeezed(np.diff(np.append(own, b)).astype(np.uint16)), squeezed(local.astype(np.uint16)), squeezed(times[a:b]), content[docs_here].tobytes())
-                for column, x in zip(out, row):
-                    column.append(x)
-            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int32()) for x in out[:3]), *(pa.array(x, pa.binary()) for x in out[3:])], ["part", "n_keys", "n", "keys", "each", "docs", "times", "contents"])
-
-        for batch in batches(stream, "text"):
-            for lot in (batch.slice(i, 10_000) for i in range(0, batch.num_rows, 10_000)):
-                w = Words(lot.column(0), lower=True)
-                h = w.hashes()
-                if sum(map(len, contents)) + w.n_docs > 60_000:
-                    yield flush()
-                    held, contents = [], []
-                base = sum(map(len, contents))
-                contents.append(content_of(w, h))
-                for n in range(1, order + 1):
-                    at, keys = grams(w, h, n)
-                    doc = (np.searchsorted(w.first, at, side="right") - 1).astype(np.uint64)
-                    if n > 1:
-                        some = in_bloom(known.value, keys)
-                        keys, doc = keys[some], doc[some]
-                    _, first, times = np.unique(mix(keys ^ (doc * np.uint64(0x9E3779B97F4A7C15))), return_index=True, return_counts=True)
-                    first_sorted = np.argsort(first, kind="stable")
-                    first, times = first[first_sorted], times[first_sorted]
-                    held.append((keys[first], doc[first].astype(np.int64) + base, times.astype(np.uint32)))
-            if sum(len(x[0]) for x in held) >= PACKED_WORDS:
-                yield flush()
-                held, contents = [], []
-        if held:
-            yield flush()
-
-    def join(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        lots = list(zip(*(right.column(x).to_pylist() for x in ("n", "keys", "changes"))))
-        table = np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(restored(k, n, np.uint64), dtype=np.uint64) for n, k, _ in lots)])
-        change = np.concatenate([np.zeros(0, np.int64), *(restored(c, n, np.int32) for n, _, c in lots)])
-        order_ = np.argsort(table)
-        table, change = table[order_], change[order_]
-        content, total = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for n_keys, n, keys, each, docs_, times, contents in zip(*(left.column(x).to_pylist() for x in ("n_keys", "n", "keys", "each", "docs", "times", "contents"))):
-            if not len(table):
-                continue
-            k, own = np.cumsum(restored(keys, n_keys, np.uint64), dtype=np.uint64), np.frombuffer(contents, np.int64)
-            i = np.minimum(np.searchsorted(table, k), len(table) - 1)
-            worth = np.repeat(np.where(table[i] == k, change[i], 0), restored(each, n_keys, np.uint16)) * restored(times, n, np.uint32)
-            sums = np.zeros(len(own), np.int64)
-            np.add.at(sums, restored(docs_, n, np.uint16), worth)
-            content.append(own)
-            total.append(sums)
-        content_, where = np.unique(np.concatenate(content), return_inverse=True)
-        sums = np.zeros(len(content_), np.int64)
-        np.add.at(sums, where, np.concatenate(total))
-        # sums travel on as arrays too, one for each partition of documents that has any
-        names = content_.view(np.uint64)
-        edge = np.searchsorted(part_of(names, partitions)[order_of := np.argsort(names)], np.arange(partitions + 1))
-        cut = [(p, order_of[edge[p] : edge[p + 1]]) for p in range(partitions) if edge[p] < edge[p + 1]]
-        return pa.table({"part": pa.array([p for p, _ in cut], pa.int32()), "contents": pa.array([content_[i].tobytes() for _, i in cut], pa.binary()), "totals": pa.array([sums[i].tobytes() for _, i in cut], pa.binary())})
-
-    def add(key: tuple, table: pa.Table) -> pa.Table:
-        names, where = np.unique(np.frombuffer(b"".join(table.column("contents").to_pylist()), np.int64), return_inverse=True)
-        sums = np.zeros(len(names), np.int64)
-        np.add.at(sums, where, np.frombuffer(b"".join(table.column("totals").to_pylist()), np.int64))
-        return pa.table({"content": names, "total": sums})
-
-    packed = docs.select("text").mapInArrow(explode, "part int, n_keys int, n int, keys binary, each binary, docs binary, times binary, contents binary")
-    sums = packed.groupBy("part").cogroup(packed_table(changes, partitions).groupBy("part")).applyInArrow(join, "part int, contents binary, totals binary")
-    sums = sums.groupBy("part").applyInArrow(add, "content long, total long")
-    longer = sum((F.greatest(F.col("n_words") - n, F.lit(0)) for n in range(1, order)), F.lit(0).cast("long"))
-    return scored(rows, sums, longer * BACKOFF)
+    else:
+        sums = text_sums(docs, backoff_values(docs, order, min_count, n_words), dict.fromkeys(range(1, order + 1)), n_words)
+        rest = BACKOFF * sum((F.greatest(F.col("n_words") - n, F.lit(0)) for n in range(1, order)), F.lit(0).cast("long"))
+    # rows of equal words were added up: each row's share is the sum over their number
+    times = rows.groupBy("content").agg(F.count(F.lit(1)).alias("rows"))
+    per = written(sums.join(times, "content").select("content", F.expr("total div rows").alias("total"), "rows"), "totals")
+    micro = F.coalesce(F.col("total"), F.lit(0)) + rest
+    out = spread_join(rows, per, "content", "rows").select("doc_id", "n_words", F.when(F.col("n_words") > 0, micro).otherwise(0).cast("long").alias("score_micro"))
+    return out.withColumn("score", F.when(F.col("n_words") > 0, F.col("score_micro") / 1e6 / F.col("n_words")).otherwise(F.lit(0.0)))

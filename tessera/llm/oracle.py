@@ -61,20 +61,7 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce
 FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
-def op7(min_count: int = 2) -> str:
-    """Bigrams; millionths of log10 as whole numbers."""
-    log = lambda x: f"floor(log10({x}::DOUBLE) * 1000000 + 0.5)::BIGINT"
-    return f"""
-WITH pos AS ({words_of('documents', 'doc_id', lower("coalesce(text, '')"), WORD)}),
-  g AS (SELECT doc_id, i, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS a, w AS b FROM pos),
-  u AS (SELECT b, count(*) AS c FROM g GROUP BY 1), t AS (SELECT a, b, count(*) AS c FROM g WHERE a IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= {min_count}), n AS (SELECT count(*) AS n FROM g),
-  s AS (SELECT doc_id, CASE WHEN t.c IS NOT NULL THEN {log('t.c')} - {log('ua.c')} ELSE CASE WHEN g.a IS NULL THEN 0 ELSE -397940 END + {log('ub.c')} - {log('n.n')} END AS s
-    FROM g CROSS JOIN n JOIN u ub ON ub.b = g.b LEFT JOIN t ON t.a = g.a AND t.b = g.b LEFT JOIN u ua ON ua.b = g.a),
-  x AS (SELECT doc_id, count(*) AS n_words, sum(s)::BIGINT AS score_micro FROM s GROUP BY 1)
-SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(score_micro, 0) AS score_micro, coalesce(score_micro::DOUBLE / 1000000 / n_words, 0) AS score FROM documents LEFT JOIN x USING (doc_id)"""
-
-
-def op7_order3() -> str:
+def op7() -> str:
     """Trigrams, none pruned; millionths of log10 as whole numbers."""
     log = lambda x: f"floor(log10({x}::DOUBLE) * 1000000 + 0.5)::BIGINT"
     return f"""

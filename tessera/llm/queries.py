@@ -57,12 +57,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bigrams with rare ones pruned, as its SQL has it."""
-    return lm_scores(table(spark, sf_dir, "documents"), order=2, min_count=2)
-
-
-def op7_lm_scores_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole job: trigrams, none pruned."""
+    """Trigrams, none pruned."""
     return lm_scores(table(spark, sf_dir, "documents"), order=3, min_count=1)
 
 
@@ -88,7 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_mixing": op6_mixing,
     "op7_lm_scores": op7_lm_scores,
-    "op7_lm_scores_order3": op7_lm_scores_order3,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_chat_format": op10_chat_format,
@@ -99,7 +93,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": oracle.op3(min_docs=4, max_share=10, min_left=30),
     "op5_decontaminate": oracle.op5(),
     "op7_lm_scores": oracle.op7(),
-    "op7_lm_scores_order3": oracle.op7_order3(),
     "op8_substring_dedup": oracle.op8(),
     "op9_jaccard_join": oracle.op9(),
     "op10_chat_format": oracle.op10(budget=1024, history=256),

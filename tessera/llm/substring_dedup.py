@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import bloom, in_bloom, own_names, parts, small_batches, written
-from .text import _Q, _Q_INV, Words, batches, covered, mix, powers, shingles
+from .text import _Q, _Q_INV, Words, batches, content_of, covered, mix, powers, shingles
 
 SAMPLE, RUN = 8, 10
 FILTER_BITS = 1 << 27
@@ -129,13 +129,6 @@ def first_docs(regions: list[np.ndarray], docs: np.ndarray, size: int) -> list[n
     return out
 
 
-def content_of(w: Words, h: np.ndarray) -> np.ndarray:
-    """A hash of each document's words, in order."""
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * powers(_Q, len(h)), out=total[1:])
-    return mix((total[w.first[1:]] - total[w.first[:-1]]) * powers(_Q_INV, len(h) + 1)[w.first[:-1]] + w.counts.astype(np.uint64)).view(np.int64)
-
-
 def samples_of(w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of SAMPLE words at each word, sampled place of each run, whether the run is in one document)."""
     grams = shingles(h, SAMPLE)

@@ -132,6 +132,13 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     return mix((total[k:] - total[:-k]) * powers(_Q_INV, n))
 
 
+def content_of(w: Words, h: np.ndarray) -> np.ndarray:
+    """A hash of each document's words, in order."""
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * powers(_Q, len(h)), out=total[1:])
+    return mix((total[w.first[1:]] - total[w.first[:-1]]) * powers(_Q_INV, len(h) + 1)[w.first[:-1]] + w.counts.astype(np.uint64)).view(np.int64)
+
+
 def batches(stream: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with at most BATCH_BYTES of text each (one row at least)."""
     for batch in stream:
@@ -154,3 +161,21 @@ def covered(n: int, starts: np.ndarray, length: int | np.ndarray) -> np.ndarray:
     np.add.at(delta, starts, 1)
     np.add.at(delta, starts + length, -1)
     return np.cumsum(delta[:-1]) > 0
+
+
+class KeyTable:
+    """A table of 64-bit keys that answers fast for most keys outside it."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = np.unique(keys)
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[(self.keys >> U64(42)).astype(np.int64)] = True
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in h, index in keys) of the hashes of h that are in the table."""
+        at = np.flatnonzero(self.maybe[(h >> U64(42)).astype(np.int64)])
+        if not len(at) or not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        i = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
+        same = self.keys[i] == h[at]
+        return at[same], i[same]

@@ -39,11 +39,12 @@ def test_scores_equal_plain_python(spark, order, min_count):
 
 
 def test_the_registered_query_scores_trigrams(spark, sf):
-    assert_same(spark, database(sf), sf, QUERIES["op7_lm_scores_order3"], ORACLE_SQL["op7_lm_scores_order3"])
+    assert_same(spark, database(sf), sf, QUERIES["op7_lm_scores"], ORACLE_SQL["op7_lm_scores"])
 
 
 def test_small_lots_and_many_partitions(spark, monkeypatch):
-    monkeypatch.setattr(lm_scores, "PACKED_WORDS", 7)
+    monkeypatch.setattr(lm_scores, "LOT_WORDS", 7)
+    monkeypatch.setattr(lm_scores, "HOT", 9)
     monkeypatch.setattr(lm_scores, "PARTITION_GRAMS", 11)
     texts = [" ".join("abcdefg"[(i * j * j + j) % 7] for j in range(i % 13)) for i in range(60)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
