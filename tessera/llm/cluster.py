@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +64,7 @@ def carried_type(df: DataFrame, names: Sequence[str]) -> str:
 
 
 SLICES = 256
+SKETCH_SLICES = 512
 
 
 def bloom_cells(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
@@ -121,6 +122,40 @@ def in_bloom(cells: np.ndarray | None, keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def summed_sketch(df: DataFrame, count: Callable[[pa.RecordBatch], np.ndarray], cells: int) -> np.ndarray:
+    """How often `count` names each of `cells` (a power of two) cells over all batches, at most 65,535.
+
+    Every task sums its own batches and sends its cells in SKETCH_SLICES compressed slices, which are added up slice by
+    slice; only the sums, whose size `cells` fixes, reach the driver.
+    """
+    each = cells // SKETCH_SLICES
+
+    def local(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(cells, np.uint32)
+        for batch in stream:
+            if batch.num_rows:
+                np.add(own, np.bincount(count(batch), minlength=cells), out=own, casting="unsafe")
+        own = own.reshape(SKETCH_SLICES, each)
+        some = np.flatnonzero(own.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([pa.compress(own[i].tobytes(), codec="zstd", asbytes=True) for i in some], pa.binary())], ["slice", "cells"])
+
+    def add(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[int, np.ndarray] = {}
+        for batch in stream:
+            for i, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                out.setdefault(i, np.zeros(each, np.uint64))
+                out[i] += np.frombuffer(pa.decompress(piece, decompressed_size=4 * each, codec="zstd"), np.uint32)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([*out], pa.int32()), pa.array([np.minimum(x, 65_535).astype(np.uint16).tobytes() for x in out.values()], pa.binary())], ["slice", "cells"])
+
+    tasks = min(SKETCH_SLICES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = df.mapInArrow(local, "slice int, cells binary").repartition(tasks, "slice").mapInArrow(add, "slice int, cells binary").collect()
+    whole = np.zeros(cells, np.uint16)
+    for i, piece in rows:
+        whole[i * each : (i + 1) * each] = np.frombuffer(piece, np.uint16)
+    return whole
+
+
 def lookup(big: DataFrame, small: DataFrame, key: str, how: str = "left", broadcast_rows: int = 100_000, salts: int = 32) -> DataFrame:
     """Join `big` with a table that is usually small: broadcast after counting it, else salted.
 

@@ -1,20 +1,25 @@
 """Benchmark decontamination as a prefix-filtered containment join.
 
 A benchmark item's windows (its runs of `size` words, or the whole item if shorter) are sets of
-5-word shingles in fixed places.  A window is contained only if all its shingles are, so one
-prefix token decides: the shingle that the corpus holds least often (counted over all documents).
-Documents are joined with the windows on that token; the place of the token bounds where the
-window must start and end (length and positional bounds), and the window's words are then compared
-one by one.
+5-word shingles in fixed places.  A window is contained only if all its shingles are, so one prefix token decides:
+the shingle that the corpus holds least often.
 
-Windows travel as (item, window) pairs in blocks of at most `block_pairs`, which bounds what is
-broadcast whatever the benchmark's size; a benchmark of one block takes two scans of the corpus
-and no shuffle of texts.
+1. The benchmark's windows and shingles are tables; equal windows of any number of items are one row.
+2. The corpus counts of these shingles come from one scan; windows with a shingle that no document has go.  Each
+   other window keeps its rarest shingle and its place.
+3. A second scan sends the documents' occurrences of these prefix tokens with the words around them, once for
+   equal texts; they are joined with the windows on the token.  The place bounds where the window must start and
+   end (length and positional bounds), and the words are compared one by one.
+4. Found windows are gathered by text and attached to the documents in a third scan.
+
+Only shingles that a fixed-size Bloom filter of the benchmark's lets pass leave the scans.  Windows are broadcast for
+the join only after a count (at most 100,000 rows of `size` words), else joined with salted tokens; what was found
+likewise, by its number of spans and items, and then only texts that may have any are shuffled.
 
 Defined cases: a null or empty text has no words, no hits and is clean; an item without words is
-never found; items with equal windows are all reported; repeated document rows are each reported;
-an empty benchmark finds nothing; other columns are left behind, clashing names included.  Words
-are compared by 64-bit hashes.
+never found; items with equal windows are all reported; the windows of an item without an id hit like any other but
+name no item; repeated document rows are each reported; an empty benchmark finds nothing; other columns are
+left behind, clashing names included.  Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,184 +31,170 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import carried, carried_type, own_names, parts, small_batches, written
-from .text import Words, batches, covered, shingles, shingles_one
+from .cluster import bloom, carried, carried_type, in_bloom, lookup, own_names, small_batches, written
+from .text import Words, batches, content_of, covered, shingles, shingles_one
 
 SHINGLE = 5
+FILTER_BITS = 1 << 26
+LOT_TOKENS = 1_000_000
+#: Texts that a task remembers, so that copies it has met send nothing again.
+REMEMBER = 200_000
+#: Spans and items that are broadcast at most (some 50 bytes each).
+BROADCAST_FOUND = 500_000
 
 
 def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
-    """item, words array<long>: the distinct windows of each item."""
+    """item, window (a hash of its words), words array<long>: the distinct windows of each item."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream):
             w = Words(batch.column(1), lower=True, alnum=True)
-            h = w.hashes().view(np.int64)
-            items, rows = [], []
+            h = w.hashes()
+            items, names, rows = [], [], []
             for i, item in enumerate(batch.column(0).to_pylist()):
                 own = h[w.first[i] : w.first[i + 1]]
                 k = min(size, len(own))
                 for j in range(len(own) - k + 1 if k else 0):
                     items.append(item)
-                    rows.append(own[j : j + k])
-            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(rows, pa.list_(pa.int64()))], ["item", "words"])
-
-    return own_names(benchmark, {"item_id": "string", "text": "string"}).where("item_id is not null").mapInArrow(run, "item string, words array<long>").distinct()
-
-
-class Tokens:
-    """A set of 64-bit tokens that answers fast for most tokens outside it."""
-
-    def __init__(self, keys: np.ndarray) -> None:
-        self.keys = np.unique(keys)
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.keys >> np.uint64(44)).astype(np.int64)] = True
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places in h, index in keys) of the tokens of h that are in the set."""
-        at = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
-        if not len(at) or not len(self.keys):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        i = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
-        same = self.keys[i] == h[at]
-        return at[same], i[same]
-
-
-class Block:
-    """The windows of one block, indexed by the prefix token of each."""
-
-    def __init__(self, items: list[str], rows: list[np.ndarray]) -> None:
-        self.items = items
-        self.k = np.array([len(r) for r in rows], np.int64)
-        self.words = np.zeros((len(rows), max(self.k, default=1)), np.uint64)
-        for i, r in enumerate(rows):
-            self.words[i, : len(r)] = r
-        self.q = np.minimum(SHINGLE, self.k)
-        self.tokens: list[np.ndarray] = []
-        for i, r in enumerate(rows):
-            own = np.asarray(r).view(np.uint64)
-            self.tokens.append(shingles(own, SHINGLE) if len(own) >= SHINGLE else np.array([shingles_one(own)]))
-        self.sets = {int(q): Tokens(np.concatenate([t for t, x in zip(self.tokens, self.q) if x == q])) for q in np.unique(self.q)}
-
-    def choose(self, count: dict[tuple[int, int], int]) -> None:
-        """Keeps for each window its rarest token; windows with a token that no document has go."""
-        picks: dict[int, list[tuple[int, int, int]]] = {q: [] for q in self.sets}
-        for i, own in enumerate(self.tokens):
-            q = int(self.q[i])
-            n, token, place = min((count.get((q, int(t)), 0), int(t), j) for j, t in enumerate(own))
-            if n:
-                picks[q].append((token, i, place))
-        self.prefix: dict[int, tuple[Tokens, np.ndarray, np.ndarray, np.ndarray]] = {}
-        for q, rows in picks.items():
-            if rows:
-                rows.sort()
-                tokens = np.array([r[0] for r in rows], np.uint64)
-                index = Tokens(tokens)
-                self.prefix[q] = index, np.searchsorted(tokens, index.keys), np.searchsorted(tokens, index.keys, side="right"), np.array([r[1:] for r in rows], np.int64)
-        self.tokens, self.sets = [], {}
-
-    def occurrences(self, w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, window) of every verified occurrence in a batch of documents."""
-        found_at, found = [], []
-        for q, (index, low, high, rows) in self.prefix.items():
-            at, token = index.find(shingles(h, q))
-            if not len(at):
-                continue
-            n = high[token] - low[token]
-            row = rows[np.repeat(low[token], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            at = np.repeat(at, n)
-            start, window = at - row[:, 1], row[:, 0]
-            doc = np.searchsorted(w.first, at, side="right") - 1
-            fits = (start >= w.first[doc]) & (start + self.k[window] <= w.first[doc + 1])
-            start, window = start[fits], window[fits]
-            same = np.ones(len(start), bool)
-            for j in range(self.words.shape[1]):
-                part = self.k[window] > j
-                same[part] &= h[start[part] + j] == self.words[window[part], j]
-            found_at.append(start[same])
-            found.append(window[same])
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(found_at), np.concatenate(found)
-
-
-def token_counts_in(docs: DataFrame, block: Block) -> dict[tuple[int, int], int]:
-    """How often the corpus has each token of the block (at most the block's tokens come back)."""
-    sets = docs.sparkSession.sparkContext.broadcast(block.sets)
+                    rows.append(own[j : j + k].view(np.int64))
+                    names.append(shingles_one(own[j : j + k]) + np.uint64(k))
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(rows, pa.list_(pa.int64()))], ["item", "window", "words"])
+
+    return written(own_names(benchmark, {"item_id": "string", "text": "string"}).mapInArrow(run, "item string, window long, words array<long>").dropDuplicates(["item", "window"]), "windows")
+
+
+def window_tokens(windows: DataFrame) -> DataFrame:
+    """window, token, place: the shingles of each window (of q words: SHINGLE, or all of a shorter window)."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = {q: np.zeros(len(s.keys), np.int64) for q, s in sets.value.items()}
-        for batch in batches(stream):
-            h = Words(batch.column(0), lower=True, alnum=True).hashes()
-            for q, s in sets.value.items():
-                own[q] += np.bincount(s.find(shingles(h, q))[1], minlength=len(s.keys))
-        for q, n in own.items():
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), q, np.int32)), pa.array(sets.value[q].keys[some].view(np.int64)), pa.array(n[some])], ["q", "token", "n"])
+        for batch in stream:
+            names, tokens, places = [], [], []
+            for name, words in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = words.values.to_numpy().view(np.uint64)
+                t = shingles(own, min(SHINGLE, len(own)))
+                names += [name] * len(t)
+                tokens.append(t)
+                places += range(len(t))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.concatenate([np.zeros(0, np.uint64), *tokens]).view(np.int64)), pa.array(places, pa.int32())], ["window", "token", "place"])
 
-    rows = docs.select("text").mapInArrow(run, "q int, token long, n long").groupBy("q", "token").agg(F.sum("n").alias("n")).collect()
-    return {(q, token % 2**64): n for q, token, n in rows}
+    return windows.select("window", "words").dropDuplicates(["window"]).mapInArrow(run, "window long, token long, place int")
 
 
-STATE = "doc_id long, text string, starts array<int>, sizes array<int>, items array<string>, carried "
+def tokens_in(w: Words, h: np.ndarray, q: int, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(place, token) of the shingles of q words, each in one document, that pass the filter."""
+    t = shingles(h, q)
+    if not len(t):
+        return np.zeros(0, np.int64), t
+    of = w.doc_of_word()
+    at = np.flatnonzero(in_bloom(known, t) & (of[: len(t)] == of[q - 1 :]))
+    return at, t[at]
 
 
-def scan(docs: DataFrame, block: Block) -> DataFrame:
-    """`docs` in STATE, with what the block's windows find added."""
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+def corpus_counts(texts: DataFrame, tokens: DataFrame, lengths: Sequence[int]) -> DataFrame:
+    """token, n: how often the corpus has the tokens that pass the benchmark's filter."""
+    known = texts.sparkSession.sparkContext.broadcast(bloom(tokens, "token", FILTER_BITS))
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = shared.value
-        for batch in batches(stream):
-            w = Words(batch.column(1), lower=True, alnum=True)
-            start, window = b.occurrences(w, w.hashes())
-            doc = np.searchsorted(w.first, start, side="right") - 1
-            starts, sizes, items = (batch.column(i).to_pylist() for i in (2, 3, 4))
-            order = np.argsort(doc, kind="stable")
-            for i in np.split(order, np.flatnonzero(np.diff(doc[order])) + 1) if len(order) else []:
-                d = doc[i[0]]
-                at, first = np.unique(np.stack([start[i] - w.first[d], b.k[window[i]]]), axis=1)
-                starts[d], sizes[d] = starts[d] + at.tolist(), sizes[d] + first.tolist()
-                items[d] = sorted({*items[d], *(b.items[x] for x in np.unique(window[i]))})
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(starts, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), batch.column(5)], ["doc_id", "text", "starts", "sizes", "items", "carried"])
-
-    return docs.mapInArrow(run, STATE + docs.schema["carried"].dataType.simpleString())
-
-
-def found_windows(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_pairs: int = 100_000, carry: Sequence[str] = ()) -> DataFrame:
-    """doc_id, text, all occurrences (starts and sizes in words, and the items found), carried."""
-    small_batches(docs.sparkSession)
-    pairs = written(item_windows(benchmark, size), "windows")
-    n = parts(pairs.count(), block_pairs, least=0)
-    empty = {"starts": "array<int>", "sizes": "array<int>", "items": "array<string>"}
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.array().cast(t).alias(c) for c, t in empty.items()), carried(docs, carry))
-    texts = own_names(docs, {"text": "string"})
-    for i in range(n):
-        if i:
-            out = written(out, "found")
-        rows = pairs.where(F.pmod(F.xxhash64("item", "words"), F.lit(n)) == i).orderBy("item", "words").toArrow()
-        block = Block(rows.column("item").to_pylist(), [np.array(x, np.int64) for x in rows.column("words").to_pylist()])
-        block.choose(token_counts_in(texts, block))
-        out = scan(out, block)
-    return out
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, percent: int = 5, block_pairs: int = 100_000, carry: Sequence[str] = ()) -> DataFrame:
-    """doc_id, text, n_words, n_hit, items (sorted as strings), contaminated, carried, for every row.
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["token", "n"])
+
+        for batch in batches(stream, "text"):
+            w = Words(batch.column(0), lower=True, alnum=True)
+            h = w.hashes()
+            held += [tokens_in(w, h, q, known.value)[1] for q in lengths]
+            if sum(map(len, held)) >= LOT_TOKENS:
+                yield flush()
+                held.clear()
+        if held:
+            yield flush()
+
+    return written(texts.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
+
+
+def occurrences(texts: DataFrame, prefixes: DataFrame, lengths: Sequence[int], size: int) -> DataFrame:
+    """content (of a text), start, k, window: every verified occurrence, once for equal texts."""
+    known = texts.sparkSession.sparkContext.broadcast(bloom(prefixes, "token", FILTER_BITS))
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches(stream, "text"):
+            w = Words(batch.column(0), lower=True, alnum=True)
+            h = w.hashes()
+            content = content_of(w, h)
+            new = np.array([c not in seen for c in content.tolist()], bool)
+            met: list[np.ndarray] = []
+            for q in lengths:
+                at, token = tokens_in(w, h, q, known.value)
+                doc = np.searchsorted(w.first, at, side="right") - 1
+                at, token, doc = at[new[doc]], token[new[doc]], doc[new[doc]]
+                low = np.maximum(at - size + 1, w.first[doc])
+                high = np.minimum(at + size, w.first[doc + 1])
+                met.append(doc)
+                around = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(high - low)).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *(h[a:b].view(np.int64) for a, b in zip(low, high))])))
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(content[doc]), pa.array((at - w.first[doc]).astype(np.int32)), pa.array((at - low).astype(np.int32)), around], ["token", "content", "at", "before", "around"])
+            if len(seen) < REMEMBER and met:
+                seen.update(content[np.unique(np.concatenate(met))].tolist())
+
+    rows = texts.mapInArrow(run, "token long, content long, at int, before int, around array<long>").dropDuplicates(["token", "content", "at"])
+    near = lookup(rows, prefixes, "token", "inner")
+    fits = (F.col("place") <= F.col("before")) & (F.col("before") - F.col("place") + F.col("k") <= F.size("around"))
+    same = F.slice("around", F.col("before") - F.col("place") + 1, F.col("k")) == F.col("words")
+    return near.where(fits).where(same).select("content", (F.col("at") - F.col("place")).alias("start"), "k", "window")
+
+
+def found_windows(texts: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
+    """content, spans array<struct<start, size>> (in words), items array<string>: the texts with occurrences."""
+    windows = item_windows(benchmark, size)
+    tokens = written(window_tokens(windows), "tokens")
+    distinct = tokens.select("token").distinct()
+    lengths = sorted(r[0] for r in windows.select(F.least(F.size("words"), F.lit(SHINGLE))).distinct().collect())  # SHINGLE values at most
+    counts = corpus_counts(texts, distinct, lengths)
+    rarest = lookup(tokens, counts, "token").groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "place")).alias("p")).where("p.n > 0")
+    once = windows.select("window", "words").dropDuplicates(["window"])
+    prefixes = written(rarest.join(once, "window").select("p.token", "p.place", F.size("words").alias("k"), "words", "window"), "prefixes")
+    hits = written(occurrences(texts, prefixes, lengths, size), "hits")
+    spans = hits.groupBy("content").agg(F.sort_array(F.collect_set(F.struct("start", F.col("k").alias("size")))).alias("spans"))
+    named = lookup(hits.select("content", "window").distinct(), windows.where("item is not null").select("window", "item"), "window", "inner")
+    items = named.groupBy("content").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return written(spans.join(items, "content", "left").select("content", "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items")), "found")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, percent: int = 5, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, text, n_words, n_hit, items (sorted as strings), spans, contaminated, carried, for every row.
 
     A word is hit inside any occurrence of a window; contaminated: n_hit > 0 and the hits are at
     least `percent` of the words.
     """
+    spark = small_batches(docs.sparkSession)
+    found = found_windows(own_names(docs, {"text": "string"}), benchmark, size)
+    known = spark.sparkContext.broadcast(bloom(found, "content", FILTER_BITS))
 
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def name(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream):
-            n_words = Words(batch.column(1), lower=True, alnum=True).counts
+            w = Words(batch.column(1), lower=True, alnum=True)
+            content = content_of(w, w.hashes())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(w.counts.astype(np.int64)), pa.array(content), pa.array(in_bloom(known.value, content.view(np.uint64)))], [*batch.schema.names, "n_words", "content", "touched"])
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            n_words = batch.column(3).to_numpy()
             hit = np.zeros(len(n_words), np.int64)
-            for d, (starts, sizes) in enumerate(zip(batch.column(2), batch.column(3))):
-                if len(starts):
-                    hit[d] = covered(n_words[d], starts.values.to_numpy(), sizes.values.to_numpy()).sum()
+            for d, spans in enumerate(batch.column(4)):
+                if len(spans):
+                    at, sizes = (spans.values.field(i).to_numpy() for i in (0, 1))
+                    hit[d] = covered(n_words[d], at, sizes).sum()
             bad = (hit > 0) & (100 * hit >= percent * n_words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words.astype(np.int64)), pa.array(hit), batch.column(4), pa.array(bad), batch.column(5)], ["doc_id", "text", "n_words", "n_hit", "items", "contaminated", "carried"])
-
-    return found_windows(docs, benchmark, size, block_pairs, carry).mapInArrow(run, f"doc_id long, text string, n_words long, n_hit long, items array<string>, contaminated boolean, carried {carried_type(docs, carry)}")
-
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(3), pa.array(hit), batch.column(5), batch.column(4), pa.array(bad), batch.column(2)], ["doc_id", "text", "n_words", "n_hit", "items", "spans", "contaminated", "carried"])
+
+    kind = carried_type(docs, carry)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), carried(docs, carry)).mapInArrow(name, f"doc_id long, text string, carried {kind}, n_words long, content long, touched boolean")
+    if (found.agg(F.sum(F.size("spans") + F.size("items"))).first()[0] or 0) <= BROADCAST_FOUND:
+        rows = rows.join(F.broadcast(found), "content", "left")
+    else:
+        nothing = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("spans", "items")]
+        rows = rows.where("not touched").select("*", *nothing).unionByName(lookup(rows.where("touched"), found, "content", broadcast_rows=0))
+    empty = [F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c) for c in ("spans", "items")]
+    return rows.select("doc_id", "text", "carried", "n_words", *empty).mapInArrow(run, f"doc_id long, text string, n_words long, n_hit long, items array<string>, spans array<struct<start: int, size: int>>, contaminated boolean, carried {kind}")

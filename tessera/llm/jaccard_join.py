@@ -1,8 +1,8 @@
 """N-gram Jaccard join: rare-first prefix filtering, verified once per pair.
 
 A document's set is its distinct word shingles (the whole sequence if it has fewer words).  Equal
-sets are one node; a node's shingles are ordered by how often the corpus has them (counts of the most
-frequent ones, all others rarer than these, ties by hash: one total order for all), rarest first.  Two nodes with
+sets are one node; a node's shingles are ordered by how often the corpus has them (exact counts of the most frequent
+ones, a sketch's of the others, ties by hash: one total order for all), rarest first.  Two nodes with
 100*|A∩B| >= percent*|A∪B| share a token in their first n - ceil(percent*n/100) + 1 tokens, so
 nodes are joined on prefix tokens, cut by the length bound and by the positional bound for the first
 token a pair shares, and each pair is
@@ -31,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import bloom, components, in_bloom, own_names, small_batches, spread_join, written
+from .cluster import bloom, components, in_bloom, own_names, small_batches, spread_join, summed_sketch, written
 from .text import KeyTable, Words, batches, mix, shingles, shingles_one
 
 #: Frequent shingles that are told apart (16 bytes each are broadcast), and how often the least of them occurs.
 COMMON = 400_000
 LEAST_COMMON = 8
 LOT_WORDS = 2_000_000
+#: Cells of the sketch of all other shingles (two bytes each).
+SKETCH_BITS = 22
 PROFILE = 256
 FILTER_BITS = 1 << 26
 #: Nodes that a task remembers, so that copies it has met send nothing again.
@@ -62,25 +64,39 @@ def node_of(s: np.ndarray) -> int:
     return int(mix(mix(s).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s))).view(np.int64)[0])
 
 
-def prefix_of(s: np.ndarray, common: tuple[KeyTable, np.ndarray], percent: int) -> np.ndarray:
+#: The frequent shingles, how often each occurs, and a sketch of how often the others do.
+Rarity = tuple[KeyTable, np.ndarray, np.ndarray]
+
+
+def prefix_of(s: np.ndarray, rarity: Rarity, percent: int) -> np.ndarray:
     """Places in `s` of its prefix tokens, rarest first."""
     n = len(s)
-    keep = n - (percent * n + 99) // 100 + 1
-    table, count = common
+    table, count, sketch = rarity
+    often = sketch[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64)
     at, i = table.find(s)
-    if not len(at):
-        return np.arange(keep)
-    often = np.zeros(n, np.int64)
     often[at] = count[i]
-    return np.argsort(often, kind="stable")[:keep]
+    return np.argsort(often, kind="stable")[: n - (percent * n + 99) // 100 + 1]
 
 
-def common_tokens(docs: DataFrame, k: int) -> tuple[KeyTable, np.ndarray]:
-    """The most frequent shingles of all documents, fewer than COMMON, with how often they occur.
+def rarity_of(docs: DataFrame, k: int) -> Rarity:
+    """How often the corpus has each shingle, for an order of all: exact counts of the frequent ones, a sketch's for
+    the rest.
 
     Lots of documents send the shingles they hold twice or more (a shingle that is frequent is so in most lots);
-    those with more than one in COMMON of what the lots sent come back.
+    those with more than one in COMMON of what the lots sent come back, fewer than COMMON.  The sketch tells apart
+    the others as long as they are not many times its cells; then they count as alike.
     """
+    texts = docs.select("text")
+
+    def shingles_in(batch: pa.RecordBatch) -> np.ndarray:
+        w = Words(batch.column(0), lower=True)
+        if len(w.starts) < k:
+            return np.zeros(0, np.uint64)
+        of = w.doc_of_word()
+        return shingles(w.hashes(), k)[of[: len(of) - k + 1] == of[k - 1 :]]
+
+    def cells_in(batch: pa.RecordBatch) -> np.ndarray:
+        return np.concatenate([(shingles_in(part) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64) for part in batches(iter([batch]), "text")])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -90,19 +106,18 @@ def common_tokens(docs: DataFrame, k: int) -> tuple[KeyTable, np.ndarray]:
             return pa.RecordBatch.from_arrays([pa.array(keys[c > 1].view(np.int64)), pa.array(c[c > 1])], ["token", "c"])
 
         for batch in batches(stream, "text"):
-            w = Words(batch.column(0), lower=True)
-            held.append(shingles(w.hashes(), k)[np.flatnonzero(w.doc_of_word()[: len(w.starts) - k + 1] == w.doc_of_word()[k - 1 :])] if len(w.starts) >= k else np.zeros(0, np.uint64))
+            held.append(shingles_in(batch))
             if sum(map(len, held)) >= LOT_WORDS:
                 yield flush()
                 held.clear()
         if held:
             yield flush()
 
-    counts = written(docs.select("text").mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")), "tokens")
+    counts = written(texts.mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")), "tokens")
     bound = max(LEAST_COMMON, -(-(counts.agg(F.sum("c")).first()[0] or 0) // COMMON))
     rows = counts.where(F.col("c") > bound).toArrow()
     keys = rows.column("token").to_numpy().view(np.uint64)
-    return KeyTable(keys), rows.column("c").to_numpy()[np.argsort(keys)]
+    return KeyTable(keys), rows.column("c").to_numpy()[np.argsort(keys)], summed_sketch(texts, cells_in, 1 << SKETCH_BITS)
 
 
 def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
@@ -173,7 +188,7 @@ def jaccard_nodes(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataF
     """(doc_id, node, n) for every row, and (node, component) for every node with a link."""
     spark = small_batches(docs.sparkSession)
     docs = own_names(docs, {"doc_id": "long", "text": "string"})
-    counts = spark.sparkContext.broadcast(common_tokens(docs, k))
+    counts = spark.sparkContext.broadcast(rarity_of(docs, k))
 
     def tokens(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -269,3 +284,34 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     firsts = written(spread_join(nodes, written(several, "several"), "component", "nodes").select("node", F.coalesce("lowest", "least").alias("component_id"), "rows"), "firsts")
     out = spread_join(members.where("n > 0"), firsts, "node", "rows").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     return out.unionByName(members.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def keep_one(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
+    """`docs` with one row of each class left: the one with the smallest doc_id, a null being the largest.
+
+    Among rows of one id it is the one of the smallest set (by its name); rows that share id and set are copies, and
+    one of them stays.  Different texts under one id are different documents.  Rows without words all stay.
+    """
+    members, group = jaccard_nodes(docs, k, percent)
+    nodes = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
+    nodes = written(nodes.join(group, "node", "left").withColumn("component", F.coalesce("component", "node")), "nodes")
+    # F.min of the struct: nulls of `least` last, then the smallest id, then the smallest node
+    first = F.min(F.struct(F.col("least").isNull().alias("unnamed"), "least", "node")).alias("first")
+    several = nodes.groupBy("component").agg(first, F.sum("rows").alias("members"), F.count(F.lit(1)).alias("nodes")).where("members > 1")
+    several = written(several.select("component", F.col("first.node").alias("stays"), F.col("first.least").alias("stays_as"), "nodes"), "several")
+    classes = written(spread_join(nodes, several, "component", "nodes", "inner").select("node", "stays", "stays_as", "rows"), "classes")
+    known = docs.sparkSession.sparkContext.broadcast(bloom(classes, "node", FILTER_BITS))
+
+    def name(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(stream):
+            w = Words(batch.column(1), lower=True)
+            nodes = [node_of(s) if len(s) else None for s in doc_sets(w, w.hashes(), k)]
+            near = in_bloom(known.value, np.array([x or 0 for x in nodes], np.int64).view(np.uint64)) & np.array([x is not None for x in nodes], bool)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64()), pa.array(near)], ["doc_id", "text", "row", "node", "near"])
+
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row.alias("row"))
+    rows = rows.mapInArrow(name, f"doc_id long, text string, row {rows.schema['row'].dataType.simpleString()}, node long, near boolean").drop("text")
+    placed = spread_join(written(rows.where("near"), "near"), classes, "node", "rows")
+    stay = placed.where("stays is null").select("row").unionByName(placed.where("node = stays and doc_id <=> stays_as").dropDuplicates(["node"]).select("row"))
+    return rows.where("not near").select("row").unionByName(stay).select("row.*")

@@ -8,10 +8,10 @@ document a posterior over the domains.  Nonnegative rates r then minimise
 
 by projected gradient: each round is one distributed sum over the documents (a few numbers come back),
 and r = max(0, r - step * sum_k p_k * residual_k / current_k) is evaluated where the document is.
-Rates depend on posteriors alone, so nothing but those sums meets in one place.  The target total
-is chosen so that the domain that must grow most keeps all its tokens and `boost` percent more: no
-document of it is lost.  A rate becomes whole copies: its floor, plus one with the odds of its rest, drawn
-from a hash of the row.
+Rates depend on posteriors alone, so nothing but those sums meets in one place.  The targets are shares; the total
+is that at which the largest target keeps all its tokens and `boost` percent more, so that a document whose
+posterior is all that domain has a rate over 1 and stays (one with a mixed posterior may have less).  A rate
+becomes whole copies: its floor, plus one with the odds of its rest, drawn from a hash of the row.
 
 Defined cases: a null or empty text has no tokens and the intercepts' posterior; label rows with nulls
 are not used, contradicting labels of an id count as the worse one; without labels all domains are
@@ -36,8 +36,6 @@ DOMAINS = ("clean", "low", "toxic")
 #: Target shares of the tokens, in the order of DOMAINS.
 TARGETS = (0.92, 0.05, 0.03)
 BUCKETS = 1 << 16
-#: Posteriors are raised to this power (and add up to 1 again): a small sample leaves them too even.
-SHARPEN = 2.0
 
 
 def domain_of() -> Column:
@@ -142,7 +140,7 @@ def posteriors(docs: DataFrame, model: np.ndarray, carry: Sequence[str] = ()) ->
             w = Words(batch.column(1))
             doc, bucket = features(w)
             score = np.stack([np.bincount(doc, weights=row[bucket].astype(np.float64), minlength=w.n_docs) for row in weights], axis=1) + prior
-            p = np.exp(SHARPEN * (score - score.max(1, keepdims=True)))
+            p = np.exp(score - score.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(w.counts.astype(np.int64)), *(pa.array(p[:, i].copy()) for i in range(len(names)))], ["doc_id", "text", "carried", "n_tokens", *names])
 
@@ -201,12 +199,14 @@ def rate_steps(members: DataFrame, gradients: list[list[float]]) -> DataFrame:
 
 
 def mix_to_targets(docs: DataFrame, labels: DataFrame, targets: Sequence[float] = TARGETS, carry: Sequence[str] = (), sample_rows: int = 8000, boost: int = 15) -> DataFrame:
-    """doc_id, text, carried, n_tokens, p_<domain>, rate, copies for every row."""
+    """doc_id, text, carried, n_tokens, p_<domain>, rate, copies for every row, and the domains' token totals that were
+    aimed at and that the rates expect (`goal`, `met`: the same arrays in every row, in the order of DOMAINS)."""
     small_batches(docs.sparkSession)
     model = fit(docs, labels, sample_rows)
     rows = posteriors(docs, model, carry)
     names = [f"p_{d}" for d in DOMAINS]
     members = written(rows.select("n_tokens", *names), "posteriors")
-    gradients, _, _ = fit_rates(members, targets, boost)
+    gradients, met, goal = fit_rates(members, targets, boost)
+    totals = {name: F.array(*(F.lit(float(x)) for x in values)) for name, values in (("goal", goal), ("met", met))}
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1_000_000
-    return rate_steps(rows, gradients).withColumn("copies", F.floor(F.col("rate") + chance).cast("long"))
+    return rate_steps(rows, gradients).withColumn("copies", F.floor(F.col("rate") + chance).cast("long")).withColumns(totals)

@@ -20,24 +20,26 @@ def op2(limit: int) -> str:
     return f"""
 WITH h AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes,
     ('0x' || substr(md5(concat_ws(chr(31), coalesce(doc_id::VARCHAR, ''), coalesce(text, ''), coalesce(lang, ''), coalesce(source, ''), coalesce(n_chars::VARCHAR, ''))), 1, 15))::BIGINT AS h FROM documents),
-  p AS (SELECT *, h >> (60 - d) AS prefix FROM h, (SELECT unnest(range(61)) AS d)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY h) - 1 AS copy, sum(n_bytes) OVER (PARTITION BY h) AS all_bytes FROM h),
+  p AS (SELECT *, h >> (60 - d) AS prefix FROM r, (SELECT unnest(range(61)) AS d)),
   b AS (SELECT d, prefix, sum(n_bytes) <= {limit} OR count(DISTINCT h) = 1 AS fits FROM p GROUP BY 1, 2),
-  f AS (SELECT doc_id, n_bytes, min(p.d) AS shard_depth FROM p JOIN b USING (d, prefix) WHERE fits GROUP BY 1, 2)
-SELECT doc_id, n_bytes, shard_depth::BIGINT AS shard_depth, (SELECT h.h >> (60 - f.shard_depth) FROM h WHERE h.doc_id = f.doc_id) AS shard_prefix, 0::BIGINT AS shard_part FROM f"""
+  f AS (SELECT doc_id, n_bytes, h, copy, all_bytes, min(p.d) AS shard_depth FROM p JOIN b USING (d, prefix) WHERE fits GROUP BY 1, 2, 3, 4, 5)
+SELECT doc_id, n_bytes, shard_depth::BIGINT AS shard_depth, h >> (60 - shard_depth) AS shard_prefix,
+  CASE WHEN all_bytes <= {limit} THEN 0 ELSE copy // greatest({limit} // greatest(n_bytes, 1), 1) END::BIGINT AS shard_part FROM f"""
 
 
-def op3(min_docs: int, max_share: int, min_left: int) -> str:
+def op3(min_docs: int, max_share: int, max_docs: int, min_left: int) -> str:
     norm = f"array_to_string(regexp_extract_all(regexp_replace({lower('line')}, '[0-9]', '0', 'g'), {WORD}), ' ')"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, source FROM documents),
   w AS (SELECT doc_id, t, regexp_extract_all(t, {WORD}) AS ws FROM d),
   base AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols FROM w),
   l0 AS (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS line FROM d),
-  l AS (SELECT doc_id, source, md5(t) AS content, line, {norm} AS norm, len(regexp_extract_all(line, {WORD})) AS n FROM l0 WHERE regexp_matches(line, {WORD})),
+  l AS (SELECT doc_id, source, line, {norm} AS norm, len(regexp_extract_all(line, {WORD})) AS n FROM l0 WHERE regexp_matches(line, {WORD})),
   dup AS (SELECT doc_id, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines FROM l GROUP BY 1),
-  held AS (SELECT source, norm, count(DISTINCT content) AS c FROM l GROUP BY 1, 2),
-  hosts AS (SELECT source, count(DISTINCT md5(t)) AS docs FROM d GROUP BY 1),
-  above AS (SELECT held.source, norm FROM held JOIN hosts USING (source) WHERE c > {min_docs} AND c * 100 > docs * {max_share}),
+  held AS (SELECT source, norm, count(DISTINCT doc_id) AS c FROM l GROUP BY 1, 2),
+  hosts AS (SELECT source, count(DISTINCT doc_id) AS docs FROM d GROUP BY 1),
+  above AS (SELECT held.source, norm FROM held JOIN hosts USING (source) WHERE c > {min_docs} AND (c * 100 > docs * {max_share} OR c > {max_docs})),
   gone AS (SELECT doc_id, sum(n)::BIGINT AS n_removed_words FROM l JOIN above USING (source, norm) GROUP BY 1),
   pos AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w),
   g AS (SELECT doc_id, i, w, lead(w) OVER a AS w2, lead(w, 2) OVER a AS w3 FROM pos WINDOW a AS (PARTITION BY doc_id ORDER BY i)),

@@ -1,18 +1,20 @@
 """Quality rules: per-text measures and cross-document line frequency.
 
 Lines are normalised (A-Z lower-cased, digits folded to 0, white space collapsed) and hashed.  For
-each host the distinct documents (texts) that hold a line are counted over the whole corpus; a line
-is above the limit if more than `min_docs` of them and more than `max_share` percent of the host's
-documents hold it.  Such lines are removed, and a document that keeps less than `min_left` percent
-of its words is rejected as depleted, as are documents that fail the base rules.
+each host the documents that hold a line are counted over the whole corpus.  A line is above the limit if more
+than `min_docs` documents of the host hold it, and either more than `max_share` percent of the host's documents or
+more than `max_docs` of them: on a large host the absolute limit decides.  Such lines are removed, and a
+document that keeps less than `min_left` percent of its words is rejected as depleted, as are documents that fail
+the base rules.
 
-Counting distinct texts is two partial aggregations, so neither a hot line nor a hot host gathers in
-one task.  A host has at most 100/max_share times its mean lines per document above the limit;
-that table is broadcast only after a count, else joined with salted keys.
+Tasks sum equal lines of a host over many documents before they send counts, so neither a hot line nor a hot
+host gathers in one task.  The lines above the limit are broadcast (8 bytes each) after a count shows at most
+BROADCAST_LINES of them; otherwise the lines of documents that may be above it (a fixed-size Bloom filter tells) are
+joined with the table, and the found lines with their documents.
 
 Defined cases: null and empty texts have no words, lines or symbols and fail the base rules; a null
-host is a host of its own; copies of a text count once for a line but each row gets its verdict;
-null ids stay null; other columns are left behind; an empty table gives no rows.
+host is a host of its own; every row is one document, copies and repeated rows included; null ids stay null;
+other columns are left behind; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,14 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import carried, carried_type, lookup, small_batches, written
-from .text import _BYTE, _P, _P_INV, _Q, _Q_INV, Words, batches, mix, powers, shingles
+from .cluster import bloom, carried, carried_type, in_bloom, lookup, small_batches, written
+from .text import _BYTE, _P, _P_INV, _Q, _Q_INV, KeyTable, Words, batches, content_of, mix, powers, shingles
 
 #: Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
+#: Lines above the limit that are broadcast at most, and lines that a task sums before it sends them.
+BROADCAST_LINES = 1_000_000
+LOT_LINES = 500_000
+FILTER_BITS = 1 << 27
+
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 32
 _FOLD[0x30:0x3A] = 0x30
@@ -123,65 +130,104 @@ def _inputs(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("source").cast("string")).alias("host"), carried(docs, carry))
 
 
-def frequent_lines(docs: DataFrame, min_docs: int, max_share: int) -> DataFrame:
-    """host (hashed), lines array<long>: the lines above the limit of each host that has any."""
+def line_keys(w: Words, lines: Lines, host: np.ndarray) -> np.ndarray:
+    """A hash of each line and its host."""
+    return mix(lines.hash ^ mix(host[lines.doc].view(np.uint64)))
+
+
+def frequent_lines(docs: DataFrame, min_docs: int, max_share: int, max_docs: int) -> DataFrame:
+    """key (of line and host): the lines above the limit."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            key, host = (np.concatenate(x) for x in zip(*held))
+            key, first, n = np.unique(key, return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(host[first]), pa.array(n)], ["key", "host", "n"])
+
         for batch in batches(stream, "text"):
-            w = Words(batch.column(0))
+            w, host = Words(batch.column(0)), batch.column(1).to_numpy()
             lines = Lines(w)
-            # every document also holds "line" 0: its count is the host's number of documents
-            doc = np.concatenate([lines.doc, np.arange(w.n_docs)])
-            h = np.concatenate([lines.hash, np.zeros(w.n_docs, np.uint64)])
-            once = np.unique(np.stack([doc.astype(np.uint64), h], 1), axis=0) if w.n_docs > 1 else np.stack([np.zeros(len(np.unique(h)), np.uint64), np.unique(h)], 1)
-            doc = once[:, 0].astype(np.int64)
-            total = np.zeros(len(w.raw) + 1, np.uint64)
-            np.cumsum(_BYTE[w.raw] * powers(_P, len(w.raw)), out=total[1:])
-            low, high = w.offsets[:-1], w.offsets[1:]
-            content = mix((total[high] - total[low]) * powers(_P_INV, len(w.raw) + 1)[low] + (high - low).astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(doc)), pa.array(once[:, 1].copy().view(np.int64)), pa.array(content[doc].view(np.int64))], ["host", "line", "content"])
-
-    held = _inputs(docs).select("text", "host").mapInArrow(run, "host long, line long, content long")
-    counts = held.groupBy("host", "line").agg(F.count_distinct("content").alias("n"))
-    counts = written(counts.where((F.col("line") == 0) | (F.col("n") > min_docs)), "lines")
-    hosts = counts.where("line = 0").select("host", F.col("n").alias("docs"))
-    above = counts.where("line <> 0").join(hosts, "host").where(F.col("n") * 100 > F.col("docs") * max_share)
-    return above.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines"))
-
-
-def quality_rules(docs: DataFrame, min_docs: int = 4, max_share: int = 10, min_left: int = 30, carry: Sequence[str] = ()) -> DataFrame:
+            key = line_keys(w, lines, host)
+            _, once = np.unique(mix(key ^ (lines.doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), return_index=True)
+            # every document also holds its host's own key: that count is the host's number of documents
+            held.append((np.append(key[once], host.view(np.uint64)), np.append(host[lines.doc[once]], host)))
+            if sum(len(x) for x, _ in held) >= LOT_LINES:
+                yield flush()
+                held.clear()
+        if held:
+            yield flush()
+
+    counts = _inputs(docs).select("text", "host").mapInArrow(run, "key long, host long, n long").groupBy("key", "host").agg(F.sum("n").alias("n"))
+    counts = written(counts.where((F.col("key") == F.col("host")) | (F.col("n") > min_docs)), "lines")
+    hosts = counts.where("key = host").select("host", F.col("n").alias("docs"))
+    held = lookup(counts.where("key <> host"), hosts, "host", "inner")
+    return written(held.where((F.col("n") * 100 > F.col("docs") * max_share) | (F.col("n") > max_docs)).select("key"), "above")
+
+
+def banned_lines(docs: DataFrame, above: DataFrame) -> DataFrame:
+    """content (of text and host), banned array<long>: the keys above the limit in each text that has any."""
+    known = docs.sparkSession.sparkContext.broadcast(bloom(above, "key", FILTER_BITS))
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(stream, "text"):
+            w, host = Words(batch.column(0)), batch.column(1).to_numpy()
+            lines = Lines(w)
+            key = line_keys(w, lines, host)
+            some = np.flatnonzero(in_bloom(known.value, key))
+            yield pa.RecordBatch.from_arrays([pa.array(content_of(w, w.hashes())[lines.doc[some]] ^ host[lines.doc[some]]), pa.array(key[some].view(np.int64))], ["content", "key"])
+
+    rows = _inputs(docs).select("text", "host").mapInArrow(run, "content long, key long").distinct()
+    return written(rows.join(above, "key", "left_semi").groupBy("content").agg(F.collect_set("key").alias("banned")), "banned")
+
+
+def quality_rules(docs: DataFrame, min_docs: int = 4, max_share: int = 10, max_docs: int = 10_000, min_left: int = 30, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, text (without the removed lines), the measures, n_removed_words, base_failed, kept, and
     the columns named in `carry` as the struct `carried`."""
-    small_batches(docs.sparkSession)
-    above = written(frequent_lines(docs, min_docs, max_share), "above")
+    spark = small_batches(docs.sparkSession)
+    above = frequent_lines(docs, min_docs, max_share, max_docs)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    small = above.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+    table = spark.sparkContext.broadcast(KeyTable(above.toArrow().column("key").to_numpy().view(np.uint64)) if small else None)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream):
-            w = Words(batch.column(1))
+            w, host = Words(batch.column(1)), batch.column(2).to_numpy()
             lines = Lines(w)
             m = measures(w, lines)
-            removed = np.zeros(w.n_docs, np.int64)
-            texts: dict[int, str] = {}
+            key = line_keys(w, lines, host)
+            out = np.zeros(len(key), bool)
             edges = np.searchsorted(lines.doc, np.arange(w.n_docs + 1))
-            for d, banned in enumerate(batch.column(2)):
-                a, b = edges[d], edges[d + 1]
-                if a == b or banned.values is None:
-                    continue
-                out = np.isin(lines.hash[a:b], banned.values.to_numpy().view(np.uint64))
-                if out.any():
-                    removed[d] = lines.words[a:b][out].sum()
-                    texts[d] = without(batch.column(1)[d].as_py(), out)
+            if table.value is not None:
+                out[table.value.find(key)[0]] = True
+            else:
+                for d, banned in enumerate(batch.column(4)):
+                    if banned.values is not None:
+                        out[edges[d] : edges[d + 1]] = np.isin(key[edges[d] : edges[d + 1]], banned.values.to_numpy().view(np.uint64))
+            removed = np.bincount(lines.doc[out], weights=lines.words[out], minlength=w.n_docs).astype(np.int64)
             text = batch.column(1)
-            if texts:
-                text = pa.array([texts.get(d, x) for d, x in enumerate(text.to_pylist())], pa.string())
+            if out.any():
+                plain = text.to_pylist()
+                for d in np.unique(lines.doc[out]):
+                    plain[d] = without(plain[d], out[edges[d] : edges[d + 1]])
+                text = pa.array(plain, pa.string())
             n = m["n_words"]
             failed = (n < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * n)
             kept = ~failed & (100 * (n - removed) >= min_left * n)
             yield pa.RecordBatch.from_arrays([batch.column(0), text, *(pa.array(m[x]) for x in names), pa.array(removed), pa.array(failed), pa.array(kept), batch.column(3)], ["doc_id", "text", *names, "n_removed_words", "base_failed", "kept", "carried"])
 
-    joined = lookup(_inputs(docs, carry), above, "host").select("doc_id", "text", "lines", "carried")
-    return joined.mapInArrow(run, "doc_id long, text string, " + ", ".join(f"{x} long" for x in names) + f", n_removed_words long, base_failed boolean, kept boolean, carried {carried_type(docs, carry)}")
+    def name(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(stream):
+            w = Words(batch.column(1))
+            content = content_of(w, w.hashes()) ^ batch.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(content)], [*batch.schema.names, "content"])
+
+    rows = _inputs(docs, carry)
+    if not small:
+        kind = carried_type(docs, carry)
+        rows = lookup(rows.mapInArrow(name, f"doc_id long, text string, host long, carried {kind}, content long"), banned_lines(docs, above), "content", broadcast_rows=0).select("doc_id", "text", "host", "carried", "banned")
+    return rows.mapInArrow(run, "doc_id long, text string, " + ", ".join(f"{x} long" for x in names) + f", n_removed_words long, base_failed boolean, kept boolean, carried {carried_type(docs, carry)}")
 
 
 def without(text: str, out: np.ndarray) -> str:

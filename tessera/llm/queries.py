@@ -22,8 +22,10 @@ from .sharding import shard
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 
-#: The byte limit of a shard in op2_sharding and the pipeline.
-SHARD_BYTES = 16 << 20
+#: The byte limit of a shard in op2_sharding and the pipeline: small, so that the given tables split into many.
+SHARD_BYTES = 64 << 10
+#: Tokens of a window and of its repeated history in op10_chat_format: most conversations need several windows.
+CHAT_BUDGET, CHAT_HISTORY = 200, 50
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,7 +74,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.sql(r"""SELECT * FROM VALUES (-7L, 0, 'user', r'\### Assistant: </turn> ok'), (-7L, 1, 'assistant', r'\### Assistant: </turn> ok') AS t(conv_id, turn, role, text)""")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return read_back(chat_windows(turns.unionByName(extra)))
+    return read_back(chat_windows(turns.unionByName(extra), CHAT_BUDGET, CHAT_HISTORY))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -90,10 +92,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_sharding": oracle.op2(SHARD_BYTES),
-    "op3_quality_rules": oracle.op3(min_docs=4, max_share=10, min_left=30),
+    "op3_quality_rules": oracle.op3(min_docs=4, max_share=10, max_docs=10_000, min_left=30),
     "op5_decontaminate": oracle.op5(),
     "op7_lm_scores": oracle.op7(),
     "op8_substring_dedup": oracle.op8(),
     "op9_jaccard_join": oracle.op9(),
-    "op10_chat_format": oracle.op10(budget=1024, history=256),
+    "op10_chat_format": oracle.op10(CHAT_BUDGET, CHAT_HISTORY),
 }

@@ -6,9 +6,9 @@ bucket fits or holds one row value alone.  Bytes per hash are aggregated once, a
 only the hashes of buckets that are still too large, eight bits further.  Rows then find their bucket
 by an equality on the shortest prefix in use plus the bucket's hash range.
 
-A row value that alone exceeds the limit can't be split by bits: its equal rows are counted
-and dealt to as many parts as the limit asks for (one row at least per part), which changes nothing
-but how many equal rows lie where.  A single row larger than the limit gets a shard of its own.
+A row value that alone exceeds the limit can't be split by bits: its equal rows are counted (in each task
+first) and dealt to as many parts as the limit asks for (one row at least per part), which are made in as many
+tasks; this changes nothing but how many equal rows lie where.  A single row larger than the limit gets a shard of its own.
 
 Defined cases: null columns count as empty for the hash and the size; repeated rows share a bucket or
 its parts; columns `shard_depth`, `shard_prefix` and `shard_part` of the input are replaced, any
@@ -76,10 +76,13 @@ def shard(docs: DataFrame, limit_bytes: int = 16 << 20, text: str = "text") -> D
     placed = rows.join(tree, (rows["_coarse"] == tree["_coarse"]) & F.col("_h").between(F.col("_low"), F.col("_high"))).select("_row", "_bytes", "_h", "shard_depth", "shard_prefix", "_over")
     out = placed.where(~F.col("_over")).select("_row", "shard_depth", "shard_prefix", F.lit(0).cast("long").alias("shard_part"))
     if found.where(F.col("bytes") > limit_bytes).limit(1).count():
-        held = F.greatest(F.floor(F.lit(limit_bytes) / F.greatest("_bytes", F.lit(1))), F.lit(1))
-        equal = placed.where("_over").groupBy("_row", "_bytes", "shard_depth", "shard_prefix").agg(F.count(F.lit(1)).alias("n"))
-        each = equal.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-        out = out.unionByName(each.select("_row", "shard_depth", "shard_prefix", F.floor(F.col("i") / held).cast("long").alias("shard_part")))
+        held = F.greatest(F.floor(F.lit(limit_bytes) / F.greatest("_bytes", F.lit(1))), F.lit(1)).cast("long")
+        equal = placed.where("_over").groupBy("_row", "_bytes", "shard_depth", "shard_prefix").agg(F.count(F.lit(1)).alias("n")).withColumn("held", held)
+        # first the parts, dealt over all tasks, then the rows of each: as many as a shard holds
+        part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.col("held")))).alias("shard_part")
+        dealt = equal.select("*", part).repartition(F.col("shard_prefix"), F.col("shard_part"))
+        copies = F.explode(F.sequence(F.lit(1).cast("long"), F.least("held", F.col("n") - F.col("shard_part") * F.col("held"))))
+        out = out.unionByName(dealt.withColumn("_copy", copies).select("_row", "shard_depth", "shard_prefix", "shard_part"))
     return out.select("_row.*", *SHARD_COLUMNS)
 
 

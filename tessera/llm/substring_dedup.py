@@ -1,15 +1,16 @@
 """Substring deduplication with a compressed FM-index per shard.
 
-1. Each document gives content-defined samples (the least of every run of RUN hashes of SAMPLE words);
-   samples that two documents or more have go into a fixed-size Bloom filter.  A window of `size`
-   words can only repeat if all samples that lie in it do, so only such windows go on.
-2. A window belongs to the shard of its least sample hash: equal windows meet in one shard.
-   Neighbouring windows of one key travel as one region (its word hashes); equal regions of
-   any number of documents travel once, with the smallest doc_id that has them.
-3. Each shard builds an FM-index over its regions (suffixes in order, their BWT as a wavelet matrix of
-   bit vectors with rank counts) and streams the regions past it: backward search, one step per
-   word for all regions at once, with the match cut to `size` words after each step.  The range of a
-   full-length match gives the smallest doc_id that has the window.
+1. Each document gives content-defined samples (the least of every run of RUN hashes of SAMPLE words).
+   A window of `size` words can only repeat if all samples that lie in it do, so only windows whose
+   samples two documents or more have go on (a fixed-size Bloom filter tells; it is left out when full).
+2. A document visits the shards of its windows' keys, the least sample hash of each: equal windows meet in one
+   shard.  Neighbouring windows of one key travel as one region (its word hashes); equal regions of any number of
+   documents travel once, with the smallest doc_id that has them.  Keys that very many documents have are told apart
+   by their second least sample too, so that a frequent phrase is many keys and not one.
+3. A shard takes its documents by rising doc_id, in blocks.  Each block gets a run-length FM-index
+   (`fm_index`); its own documents and those of all later blocks are streamed past it, and backward search over
+   the wavelet matrix gives their matching statistics: at each word, how long a match with the index starts there.
+   Where it reaches `size` words, the range of suffixes gives the smallest doc_id that has the window.
 4. A window whose smallest doc_id is below the document's own is reported; overlapping windows
    make one span.
 
@@ -29,104 +30,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import bloom, in_bloom, own_names, parts, small_batches, written
-from .text import _Q, _Q_INV, Words, batches, content_of, covered, mix, powers, shingles
+from .cluster import bloom, in_bloom, own_names, parts, small_batches, spread_join, written
+from .fm_index import NO_DOC, FMIndex
+from .text import _Q, _Q_INV, KeyTable, Words, batches, content_of, covered, mix, powers, shingles
 
 SAMPLE, RUN = 8, 10
 FILTER_BITS = 1 << 27
 REMEMBER = 200_000
-#: Words that one index holds at most, unless a single key has more.
-INDEX_WORDS = 1_000_000
-NO_DOC = np.iinfo(np.int64).max
-
-
-class Ranked:
-    """A bit vector with rank: bits packed in 64-bit words and counts before each."""
-
-    def __init__(self, bits: np.ndarray) -> None:
-        packed = np.packbits(bits, bitorder="little")
-        self.words = np.zeros(len(bits) // 64 + 1, np.uint64)
-        self.words.view(np.uint8)[: len(packed)] = packed
-        self.before = np.zeros(len(self.words), np.int64)
-        np.cumsum(np.bitwise_count(self.words[:-1]), out=self.before[1:])
-
-    def ones(self, at: np.ndarray) -> np.ndarray:
-        i, j = at >> 6, (at & 63).astype(np.uint64)
-        return self.before[i] + np.bitwise_count(self.words[i] & ((np.uint64(1) << j) - np.uint64(1)))
-
-
-class FMIndex:
-    """An FM-index over integer symbols 1.. with 0 after each region; searches run in lockstep."""
-
-    def __init__(self, symbols: np.ndarray, docs: np.ndarray, size: int) -> None:
-        n = len(symbols)
-        rank, step, at_32 = symbols.astype(np.int64), 1, None
-        while step < 64:  # order of the first 64 symbols: enough for patterns of size + 1
-            ahead = np.zeros(n, np.int64)
-            ahead[: n - step] = rank[step:] + 1 if step < n else 0
-            if step == 32:
-                at_32 = rank
-            _, rank = np.unique(rank * (n + 2) + ahead, return_inverse=True)
-            step *= 2
-        order = np.argsort(rank, kind="stable")
-        rest = np.zeros(n, np.int64)
-        rest[: n - (size - 32)] = at_32[size - 32 :] + 1 if size - 32 < n else 0
-        window = (at_32 * (n + 2) + rest)[order]
-        new = np.ones(n, bool)
-        new[1:] = window[1:] != window[:-1]
-        self.window_of = np.cumsum(new) - 1
-        self.window_start = np.flatnonzero(new)
-        self.window_end = np.append(self.window_start[1:], n)
-        self.first_doc = np.minimum.reduceat(docs[order], self.window_start)
-        self.n = n
-        sigma = int(symbols.max()) + 1
-        self.below = np.searchsorted(np.sort(symbols), np.arange(sigma))
-        column, self.levels = symbols[order - 1], []
-        for level in range(max(1, sigma.bit_length()) - 1, -1, -1):
-            bits = (column >> level) & 1
-            one = bits.astype(bool)
-            self.levels.append((level, Ranked(bits.astype(np.uint8)), int(n - one.sum())))
-            column = np.concatenate([column[~one], column[one]])
-        self.origin = self._path(np.arange(sigma), np.zeros(sigma, np.int64))
-
-    def _path(self, c: np.ndarray, at: np.ndarray) -> np.ndarray:
-        for level, bits, zeros in self.levels:
-            ones = bits.ones(at)
-            at = np.where((c >> level) & 1, zeros + ones, at - ones)
-        return at
-
-    def extend(self, c: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """One step of backward search for one end of each range."""
-        return self.below[c] + self._path(c, at) - self.origin[c]
+#: Words that one shard takes at most, unless a single key has more, and words of one index.
+SHARD_WORDS = 1_000_000
+INDEX_WORDS = 350_000
+#: Keys that are told apart by a second sample at most, and windows of a region.
+HOT = 100_000
+LEAST_HOT = 2_000
+REGION = 256
 
 
 def first_docs(regions: list[np.ndarray], docs: np.ndarray, size: int) -> list[np.ndarray]:
     """For each window of each region, the smallest doc of the regions that hold it."""
-    length = np.array([len(r) for r in regions])
-    whole = np.concatenate(regions)
-    _, ids = np.unique(whole, return_inverse=True)
-    start = np.concatenate([[0], np.cumsum(length + 1)[:-1]])
-    symbols = np.zeros(int((length + 1).sum()), np.int64)
-    own = np.ones(len(symbols), bool)
-    own[start + length] = False
-    symbols[own] = ids + 1
-    index = FMIndex(symbols, np.repeat(docs, length + 1), size)
-    low, high = np.zeros(len(regions), np.int64), np.full(len(regions), index.n)
-    out = [np.zeros(m - size + 1, np.int64) for m in length]
-    flat = np.zeros(int((length - size + 1).sum()), np.int64)
-    base = np.concatenate([[0], np.cumsum(length - size + 1)[:-1]])
-    for t in range(int(length.max())):
-        live = np.flatnonzero(length > t)
-        at = length[live] - 1 - t
-        c = symbols[start[live] + at]
-        low[live], high[live] = index.extend(c, low[live]), index.extend(c, high[live])
-        if t >= size - 1:
-            w = index.window_of[low[live]]
-            flat[base[live] + at] = index.first_doc[w]
-            low[live], high[live] = index.window_start[w], index.window_end[w]
-    for i, m in enumerate(length - size + 1):
-        out[i] = flat[base[i] : base[i] + m]
-    return out
+    length = np.array([len(r) for r in regions], np.int64)
+    names, ids = np.unique(np.concatenate(regions), return_inverse=True)
+    start = np.append(0, np.cumsum(length)[:-1])
+    ids, out = ids + 1, np.full(int(length.sum()), NO_DOC, np.int64)
+    by = np.argsort(docs, kind="stable")
+    block = np.cumsum(length[by]) // INDEX_WORDS
+    for b in np.unique(block):
+        here = by[block == b]
+        own = np.unique(np.concatenate([ids[start[i] : start[i] + length[i]] for i in here]))
+        local = np.zeros(len(names) + 1, np.int64)
+        local[own] = np.arange(1, len(own) + 1)
+        index = FMIndex([local[ids[start[i] : start[i] + length[i]]] for i in here], docs[here], len(own) + 1, size)
+        later = by[block >= b]
+        _, found = index.match(local[ids], start[later], length[later])
+        np.minimum(out, found, out=out)
+    return [out[a : a + m - size + 1] for a, m in zip(start, length)]
 
 
 def samples_of(w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,8 +95,11 @@ def repeated_spans(docs: DataFrame, size: int = 50) -> DataFrame:
             keys, n = np.unique(grams[at[first]], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
 
-    repeated = docs.select("text").mapInArrow(sample, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+    repeated = written(docs.select("text").mapInArrow(sample, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "samples")
     known = spark.sparkContext.broadcast(bloom(repeated, "key", FILTER_BITS))
+    bound = max(LEAST_HOT, -(-(repeated.agg(F.sum("n")).first()[0] or 0) // HOT))
+    hot_keys = repeated.where(F.col("n") > bound).select("key").toArrow()  # fewer than HOT rows
+    hot = spark.sparkContext.broadcast(KeyTable(hot_keys.column("key").to_numpy().view(np.uint64)))
 
     def cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
@@ -178,11 +118,20 @@ def repeated_spans(docs: DataFrame, size: int = 50) -> DataFrame:
             start = np.flatnonzero(bad[runs : runs + n] == bad[:n])
             if not len(start):
                 continue
-            key_at = np.empty(len(start), np.int64)
-            for i in range(0, len(start), 50_000):
-                part = start[i : i + 50_000]
-                key_at[i : i + 50_000] = part + grams[part[:, None] + np.arange(size - SAMPLE + 1)].argmin(1)
-            edge = np.flatnonzero(np.append(True, (start[1:] != start[:-1] + 1) | (key_at[1:] != key_at[:-1])))
+            key = np.empty(len(start), np.uint64)
+            for i in range(0, len(start), 20_000):
+                inside = grams[start[i : i + 20_000, None] + np.arange(size - SAMPLE + 1)]
+                least = inside.min(1)
+                often = hot.value.find(least)[0]
+                if len(often):
+                    rest = inside[often]
+                    rest[rest == least[often, None]] = np.iinfo(np.uint64).max
+                    least[often] = mix(least[often] ^ mix(rest.min(1)))
+                key[i : i + 20_000] = least
+            new = np.append(True, (start[1:] != start[:-1] + 1) | (key[1:] != key[:-1]))
+            # long regions (of a text that repeats one phrase) are cut; an index finds their windows all the same
+            run = np.arange(len(start)) - np.maximum.accumulate(np.where(new, np.arange(len(start)), 0))
+            edge = np.flatnonzero(run % REGION == 0)
             low, high = start[edge], start[np.append(edge[1:], len(start)) - 1] + size
             total = np.zeros(len(h) + 1, np.uint64)
             np.cumsum(h * powers(_Q, len(h)), out=total[1:])
@@ -198,40 +147,35 @@ def repeated_spans(docs: DataFrame, size: int = 50) -> DataFrame:
                 words.append(h[a:b].tobytes())
             content = content_of(w, h)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(doc)), pa.array(content[doc]), pa.array((low - w.first[doc]).astype(np.int32)), pa.array(grams[key_at[edge]].view(np.int64)), pa.array(region), pa.array(words, pa.binary())],
+                [batch.column(0).take(pa.array(doc)), pa.array(content[doc]), pa.array((low - w.first[doc]).astype(np.int32)), pa.array(key[edge].view(np.int64)), pa.array(region), pa.array(words, pa.binary())],
                 ["doc_id", "content", "start", "key", "region", "words"],
             )
 
     held = written(docs.mapInArrow(cut, "doc_id long, content long, start int, key long, region long, words binary"), "regions")
-    regions = held.groupBy("key", "region").agg(F.min("doc_id").alias("doc_id"), F.max("words").alias("words"))
+    regions = held.groupBy("key", "region").agg(F.min("doc_id").alias("doc_id"), F.max("words").alias("words"), F.count(F.lit(1)).alias("rows"))
     n_words = held.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    shards = regions.repartition(parts(n_words // 8, INDEX_WORDS), "key").sortWithinPartitions("key", "region")
+    shards = regions.repartition(parts(n_words // 8, SHARD_WORDS), "key").sortWithinPartitions("key", "region")
 
     def index(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[int] = []
-        names: list[int] = []
-        owners: list[int] = []
-        texts: list[np.ndarray] = []
-        held_words = 0
+        held: list[tuple] = []
+        last, held_words = None, 0
 
         def flush() -> pa.RecordBatch:
-            found = first_docs(texts, np.array(owners, np.int64), size)
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["region", "first"])
+            names, owners, texts, rows = zip(*held)
+            found = first_docs([np.frombuffer(x, np.uint64) for x in texts], np.array([NO_DOC if x is None else x for x in owners], np.int64), size)
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(rows, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["region", "rows", "first"])
 
         for batch in stream:
-            for key, name, owner, words in zip(*(c.to_pylist() for c in batch.columns)):
-                if held_words >= INDEX_WORDS and key != keys[-1]:
+            for key, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held_words >= SHARD_WORDS and key != last:
                     yield flush()
-                    keys, names, owners, texts, held_words = [], [], [], [], 0
-                keys.append(key)
-                names.append(name)
-                owners.append(NO_DOC if owner is None else owner)
-                texts.append(np.frombuffer(words, np.uint64))
-                held_words += len(texts[-1])
-        if texts:
+                    held, held_words = [], 0
+                held.append(tuple(row))
+                last, held_words = key, held_words + len(row[2]) // 8
+        if held:
             yield flush()
 
-    firsts = written(shards.select("key", "region", "doc_id", "words").mapInArrow(index, "region long, first array<long>"), "firsts")
+    firsts = written(shards.select("key", "region", "doc_id", "words", "rows").mapInArrow(index, "region long, rows long, first array<long>"), "firsts")
 
     def spans(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -247,7 +191,8 @@ def repeated_spans(docs: DataFrame, size: int = 50) -> DataFrame:
             pick = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(low, pa.int32()), pa.array(high, pa.int32())], ["doc_id", "content", "start", "end"])
 
-    own = held.where("doc_id is not null").select("doc_id", "content", "start", "region").join(firsts, "region").select("doc_id", "content", "start", "first")
+    own = held.where("doc_id is not null").select("doc_id", "content", "start", "region")
+    own = spread_join(own, firsts, "region", "rows", "inner").select("doc_id", "content", "start", "first")
     found = own.mapInArrow(spans, "doc_id long, content long, start int, end int")
     return found.groupBy("doc_id", "content").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
 

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.llm import mixing, neighbour_quality, queries, sharding, token_counts
@@ -48,6 +49,15 @@ def test_mixing_meets_targets(spark):
     assert np.allclose(p.sum(1), 1)
     met = (p * (rows["n_tokens"] * rows["rate"]).to_numpy()[:, None]).sum(0)
     assert np.allclose(met / met.sum(), np.array(mixing.TARGETS) / sum(mixing.TARGETS), atol=0.01)
+    assert np.allclose(met, rows["met"][0]) and np.allclose(rows["met"][0], rows["goal"][0], rtol=1e-3)
+    # the rates are those of the same descent on one machine
+    goal, current = np.array(rows["goal"][0]), (p * rows["n_tokens"].to_numpy()[:, None]).sum(0)
+    weighted = p * rows["n_tokens"].to_numpy()[:, None]
+    step = 1 / np.linalg.eigvalsh((weighted.T @ p) / np.sqrt(np.outer(current, current))).max()
+    r = np.ones(len(p))
+    for _ in range(2000):
+        r = np.maximum(0, r - step * (p @ ((weighted.T @ r - goal) / current)))
+    assert np.allclose(r, rows["rate"], atol=2e-3)
     labels = spark.read.parquet(f"{sf}/labels.parquet").toPandas().merge(rows, on="doc_id")
     assert (labels[(labels.quality == 1) & (labels.toxic == 0)].copies > 0).mean() > 0.97
 
@@ -62,3 +72,17 @@ def test_shards_fit_and_follow_the_directory(spark, docs):
         members = [x for x in rows if x["h"] >> (sharding.BITS - d) == p]
         assert size(d, p) <= limit or len(members) == 1
         assert d == 0 or size(d - 1, p >> 1) > limit
+
+
+def test_votes_equal_plain_cosines(spark):
+    sf = "/root/testdata/sf0.01"
+    read = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
+    model = neighbour_quality.fit(read("documents"), read("labels"))
+    texts = read("documents").where("doc_id % 11 = 0 and text <> ''").toPandas()
+    own = {r["doc_id"]: r["score"] for r in neighbour_quality.neighbour_quality(read("documents"), read("labels")).collect()}
+    assert abs(np.linalg.norm(model.vectors, axis=1) - 1).max() < 1e-4
+    for i, text in zip(texts["doc_id"], texts["text"]):
+        v = model.project(neighbour_quality.terms(pa.array([text])))[0]
+        cos = np.array([float(np.dot(v, u)) for u in model.vectors])
+        near = np.argsort(-cos, kind="stable")[: model.k]
+        assert abs((cos[near] * model.labels[near]).sum() / cos[near].sum() - own[i]) < 1e-3

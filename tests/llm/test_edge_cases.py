@@ -82,9 +82,19 @@ def test_chat_round_trip_and_budget(spark):
     windows = chat_format.chat_windows(turns, budget=200, history=50).collect()
     assert all(w["n_tokens"] <= 200 or w["n_repeated"] <= 1 for w in windows)
     assert all(w["text"].startswith("### system\nrules here</turn>\n") for w in windows if w["conv_id"] == 3)
-    back = {r["conv_id"]: r for r in chat_format.read_back(chat_format.chat_windows(turns, budget=200, history=50)).collect()}
-    for conv in (1, 2, 3, None):
+    whole = chat_format.read_back(chat_format.chat_windows(turns, budget=200, history=50)).collect()
+    back = {r["conv_id"]: r for r in whole if r["conv_id"] is not None}
+    for conv in (1, 2, 3):
         own = sorted(((t is not None, t or 0), r or "", x or "") for c, t, r, x, _ in rows if c == conv)
         assert back[conv]["n_turns"] == len(own)
         assert back[conv]["loss_chars"] == sum(len(x) for _, r, x in own if r == "assistant")
+    assert sorted((r["n_turns"], r["loss_chars"]) for r in whole if r["conv_id"] is None) == [(1, 0), (1, len(text)), (1, len(text))]
     assert chat_format.chat_windows(turns.limit(0)).count() == 0
+
+
+def test_a_very_long_turn_and_a_very_long_conversation(spark):
+    rows = [(1, 0, "user", "word " * 300_000), (1, 1, "assistant", "yes")] + [(2, i, "assistant" if i % 2 else "user", f"t{i} and some more") for i in range(3000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    windows = chat_format.chat_windows(turns, budget=200, history=50)
+    assert windows.where("conv_id = 1").count() == 2 and windows.where("conv_id = 2 and n_repeated > 0").count() > 50
+    assert {(r["conv_id"], r["n_turns"], r["loss_chars"]) for r in chat_format.read_back(windows).collect()} == {(1, 2, 3), (2, 3000, sum(len(x) for _, _, r, x in rows[2:] if r == "assistant"))}

@@ -26,7 +26,7 @@ def test_stages(spark, sf):
             assert ids == {r["doc_id"] for r in quality_rules.quality_rules(before).where("kept").collect()}
             assert docs.where(F.length("text") != F.col("n_chars")).count() == 0
         if name == "near copies":
-            assert ids == {r["component_id"] for r in jaccard_join.jaccard_join(before).collect()} and docs.count() == len(ids)
+            assert ids == {r["component_id"] for r in jaccard_join.jaccard_join(before, k=5, percent=80).collect()} and docs.count() == len(ids)
         if name == "benchmark passages":
             bench = spark.read.parquet(f"{sf}/benchmark.parquet")
             assert was - ids == {r["doc_id"] for r in decontaminate.decontaminate(before, bench).where("contaminated").collect()}
