@@ -68,10 +68,11 @@ SKETCH_SLICES = 512
 
 
 def bloom_cells(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    """Three cell numbers for each 64-bit key, all in the slice that its first byte names."""
+    """Three cell numbers for each 64-bit key, all in the slice that its last byte names (keys that were chosen for
+    their smallness differ there as others do)."""
     own = np.uint64(bits // SLICES - 1)
-    low, high = keys & np.uint64(0xFFFFFFFF), (keys >> np.uint64(32)) & np.uint64(0xFFFFFF)
-    slice_ = (keys >> np.uint64(56)) * np.uint64(bits // SLICES)
+    low, high = (keys >> np.uint64(8)) & np.uint64(0xFFFFFFFF), keys >> np.uint64(40)
+    slice_ = (keys & np.uint64(SLICES - 1)) * np.uint64(bits // SLICES)
     for i in range(3):
         yield slice_ + (((low * np.uint64(2 * i + 1) + high * np.uint64(0x9E3779B1 + 2 * i)) >> np.uint64(3)) & own)
 
@@ -80,7 +81,7 @@ def bloom(df: DataFrame, column: str, bits: int) -> np.ndarray | None:
     """A Bloom filter over a long column, `bits` (a power of two) cells packed in bytes; None if it would be full.
 
     It only spares work: whatever passes it is joined or verified exactly afterwards.  Keys (8 bytes each) are
-    dealt to slices by their first byte and each slice is filled in one place, so nothing but the filter itself,
+    dealt to slices by their last byte and each slice is filled in one place, so nothing but the filter itself,
     whose size `bits` fixes, reaches the driver.  Slices with too many keys for their cells let everything pass.
     """
     each = bits // SLICES
@@ -90,7 +91,7 @@ def bloom(df: DataFrame, column: str, bits: int) -> np.ndarray | None:
         seen: dict[int, int] = {}
         for batch in stream:
             keys = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            part = (keys >> np.uint64(56)).astype(np.int64)
+            part = (keys & np.uint64(SLICES - 1)).astype(np.int64)
             by = np.argsort(part, kind="stable")
             for some in np.split(by, np.flatnonzero(np.diff(part[by])) + 1) if len(by) else []:
                 s = int(part[some[0]])
@@ -104,7 +105,7 @@ def bloom(df: DataFrame, column: str, bits: int) -> np.ndarray | None:
             yield pa.RecordBatch.from_arrays([pa.array([*own], pa.int32()), pa.array([None if f else np.packbits(x, bitorder="little").tobytes() for f, x in zip(full, own.values())], pa.binary())], ["slice", "cells"])
 
     tasks = min(SLICES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = df.where(F.col(column).isNotNull()).select(F.shiftrightunsigned(column, 56).cast("int").alias("slice"), column)
+    dealt = df.where(F.col(column).isNotNull()).select(F.col(column).bitwiseAND(SLICES - 1).cast("int").alias("slice"), column)
     rows = dealt.repartition(tasks, "slice").mapInArrow(fill, "slice int, cells binary").collect()
     if sum(cells is None for _, cells in rows) > SLICES // 2:
         return None

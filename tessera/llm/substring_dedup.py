@@ -202,7 +202,7 @@ def substring_dedup(docs: DataFrame, size: int = 50) -> DataFrame:
     where any were removed, else null) for every row."""
     spans = written(repeated_spans(docs, size), "spans")
     docs = own_names(docs, {"doc_id": "long", "text": "string"})
-    touched = docs.sparkSession.sparkContext.broadcast(bloom(spans, "content", FILTER_BITS >> 3))
+    touched = docs.sparkSession.sparkContext.broadcast(bloom(spans.select("content").distinct(), "content", FILTER_BITS >> 3))
 
     def words_of(w: Words, i: int) -> list[bytes]:
         raw = w.raw
