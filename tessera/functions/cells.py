@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import hexgrid
+
 DIGITS = 15
 #: Base cells that are pentagons (fixed values of the public cell layout).
 PENTAGONS = (4, 14, 24, 38, 49, 58, 63, 72, 83, 97, 107, 117)
@@ -60,3 +64,60 @@ def from_text(text: Column) -> Column:
 
 def resolution_for_area(km2: Column) -> Column:
     return F.when(km2 <= 120, 9).when(km2 <= 900, 8).otherwise(7)
+
+
+def _per_column(kind: str, fn):
+    """A column function of `fn` (numpy array of cells to a list or array of results); null cells give null."""
+
+    def run(cell: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(cell), dtype=object)
+        known = cell.notna().to_numpy()
+        if known.any():
+            found = fn(cell[known].to_numpy().astype(np.int64))
+            out[np.flatnonzero(known)] = pd.Series(list(found), index=np.flatnonzero(known), dtype=object)
+        return out
+
+    return F.pandas_udf(run, kind)
+
+
+def at(lat: Column, lon: Column, res: int) -> Column:
+    """The cell of a resolution (0 to 15) that holds a point in degrees; null without a finite point."""
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(a), dtype=object)
+        known = np.flatnonzero(np.isfinite(a.to_numpy(float)) & np.isfinite(b.to_numpy(float)))
+        if len(known):
+            out[known] = pd.Series(hexgrid.cell_of(a.to_numpy(float)[known], b.to_numpy(float)[known], res).tolist(), index=known, dtype=object)
+        return out
+
+    return F.pandas_udf(run, "long")(lat, lon)
+
+
+def center(cell: Column) -> Column:
+    """The centre of a cell as a struct (lat, lon) in degrees."""
+    flat = _per_column("array<double>", lambda c: np.stack(hexgrid.center_of(c), 1))(cell)
+    return F.when(cell.isNotNull(), F.struct(F.get(flat, F.lit(0)).alias("lat"), F.get(flat, F.lit(1)).alias("lon")))
+
+
+def boundary(cell: Column) -> Column:
+    """The closed ring of a cell's corners, counter-clockwise: array of struct (x = lon, y = lat) in degrees."""
+
+    def run(ids: pd.Series) -> pd.DataFrame:
+        x, y = [None] * len(ids), [None] * len(ids)
+        known = np.flatnonzero(ids.notna().to_numpy())
+        for i, ring in zip(known, hexgrid.boundary_of(ids.to_numpy()[known].astype(np.int64)) if len(known) else []):
+            y[i], x[i] = hexgrid.degrees_of(np.concatenate([ring, ring[:1]]))
+        return pd.DataFrame({"x": x, "y": y})
+
+    corners = F.pandas_udf(run, "struct<x: array<double>, y: array<double>>")(cell)
+    return F.arrays_zip(corners["x"], corners["y"])
+
+
+def area_m2(cell: Column) -> Column:
+    """The area of a cell on the sphere."""
+    return _per_column("double", hexgrid.area_of)(cell)
+
+
+def neighbours(cell: Column) -> Column:
+    """The cells that share an edge with a cell, in rising order: six, or five around a pentagon."""
+    return _per_column("array<long>", hexgrid.neighbours_of)(cell)

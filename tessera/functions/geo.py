@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0
 KM_PER_NM = 1.852
+#: The radius in metres of the sphere with the earth's area.
+AUTHALIC_M = 6371007.180918475
 MERCATOR_LIMIT = 85.05
 
 
@@ -40,8 +42,16 @@ def tile_of(lon: Column, lat: Column, zoom: int) -> tuple[Column, Column]:
     return (lon + 180) / 360 * n, (1 - mercator_y(lat) / math.pi) / 2 * n
 
 
-def zoom_for(west: Column, east: Column, pixels: int, most: int) -> Column:
-    z = F.ceil(F.log2(pixels * 360 / (256 * F.greatest(east - west, F.lit(1e-9)))))
+def tile_box(x: Column, y: Column, zoom: int) -> tuple[Column, Column, Column, Column]:
+    """West, south, east, north of a tile in mercator metres."""
+    half = math.pi * 6378137.0
+    size = 2 * half / (1 << zoom)
+    return x * size - half, half - (y + 1) * size, (x + 1) * size - half, half - y * size
+
+
+def zoom_for(west: Column, east: Column, pixels: int = 700, most: int = 14) -> Column:
+    """The zoom at which a box is nearest to `pixels` wide."""
+    z = F.rint(F.log2(pixels * 360 / (256 * F.greatest(east - west, F.lit(1e-6)))))
     return F.greatest(F.lit(6), F.least(F.lit(most), z)).cast("int")
 
 
@@ -65,6 +75,13 @@ def elevation_decoded(r: Column, g: Column, b: Column) -> Column:
     return r * 256 + g + b / 256 - 32768
 
 
+def elevation_encoded(metres: Column) -> tuple[Column, Column, Column]:
+    """Red, green and blue of an elevation: 256ths of a metre above -32768."""
+    v = F.greatest(F.lit(0.0), F.least(metres + 32768.0, F.lit(65535.9)))
+    r = F.floor(v / 256)
+    return r.cast("int"), F.floor(v - r * 256).cast("int"), F.floor((v - F.floor(v)) * 256).cast("int")
+
+
 def unpacked(v: Column, scale: float, offset: float, fill: float) -> Column:
     return F.when(v == fill, None).otherwise(v * scale + offset)
 
@@ -105,3 +122,21 @@ def box_within(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
 
 def corner_within(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     return a[0].between(b[0], b[2]) & a[1].between(b[1], b[3])
+
+
+def equidistant(lat0: Column, lon0: Column, lat: Column, lon: Column) -> tuple[Column, Column]:
+    """x and y in metres of a point in the azimuthal equidistant projection around (lat0, lon0)."""
+    a, b, d = F.radians(lat0), F.radians(lat), F.radians(lon - lon0)
+    far = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.sin(a) * F.sin(b) + F.cos(a) * F.cos(b) * F.cos(d))))
+    turn = F.atan2(F.sin(d) * F.cos(b), F.cos(a) * F.sin(b) - F.sin(a) * F.cos(b) * F.cos(d))
+    metres = F.when(far < 1e-12, 0.0).otherwise(far * AUTHALIC_M)
+    return metres * F.sin(turn), metres * F.cos(turn)
+
+
+def ring_orientation(ring: Column, n: int) -> Column:
+    """The circular mean, modulo 360 / n degrees, of the directions from a ring's middle to its corners (x, y)."""
+    size = F.size(ring)
+    total = lambda f: F.aggregate(ring, F.lit(0.0), lambda a, p: a + f(p))
+    cx, cy = total(lambda p: p["x"]) / size, total(lambda p: p["y"]) / size
+    angle = lambda p: F.atan2(p["y"] - cy, p["x"] - cx) * n
+    return F.degrees(F.atan2(total(lambda p: F.sin(angle(p))), total(lambda p: F.cos(angle(p))))) / n

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells
+from . import graph
 
 
 def hexify(points: DataFrame, cell: str, value: Column) -> DataFrame:
@@ -67,17 +68,33 @@ def histogram(df: DataFrame, value: str, bins: int, widen: bool = False) -> Data
     return every.join(counts, "bin", "left").select("bin", edge(F.col("bin")).alias("left_edge"), edge(F.col("bin") + 1).alias("right_edge"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def band_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.02), F.lit(0.5), F.lit(0.98)))
+def band_stats(df: DataFrame, keys: Sequence[str], value: str, accuracy: int | None = None) -> DataFrame:
+    """Counts, extremes, moments and percentiles of each group; accuracy: approximate percentiles, off by at most one
+    in `accuracy` of the rank, for groups with more different values than a task can hold."""
+    at = F.array(F.lit(0.02), F.lit(0.5), F.lit(0.98))
+    q = F.percentile(value, at) if accuracy is None else F.percentile_approx(value, at, accuracy)
     return df.groupBy(*keys).agg(F.count(value).alias("n"), (F.count(F.lit(1)) - F.count(value)).alias("missing"), F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), q.alias("q")).select("*", F.col("q")[1].alias("median"), F.col("q")[0].alias("p2"), F.col("q")[2].alias("p98")).drop("q")
 
 
+def below(counts: DataFrame, keys: Sequence[str], value: str, n: str) -> DataFrame:
+    """`counts` (one row for each value of each group, n of them) with `_before`, the number of smaller ones, and
+    `_all`, the number in the group.
+
+    Values are dealt by range and summed within ranges first, so that a group's size is no task's size.
+    """
+    dealt = graph.cut(counts.repartitionByRange(*[F.col(k) for k in keys], F.col(value)).withColumn("_p", F.spark_partition_id()))
+    sums = dealt.groupBy(*keys, "_p").agg(F.sum(n).alias("_n"))
+    up_to = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(*keys, "_p", F.coalesce(up_to, F.lit(0)).alias("_offset"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_all"))
+    inside = F.sum(n).over(Window.partitionBy(*keys, "_p").orderBy(value)) - F.col(n)
+    return dealt.withColumn("_inside", inside).join(F.broadcast(sums), [*keys, "_p"]).withColumn("_before", F.col("_inside") + F.col("_offset")).drop("_p", "_inside", "_offset")
+
+
 def floor_quantile(df: DataFrame, keys: Sequence[str], value: str, t: float) -> DataFrame:
     """The value at index floor(t * n), which is an element of the data (t = 0.5: the upper middle)."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    rows = df.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", n)
-    return rows.where(F.col("_i") == F.least(F.floor(F.col("_n") * t), F.col("_n") - 1)).select(*keys, F.col(value).alias("quantile"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    at = F.least(F.floor(F.col("_all") * t), F.col("_all") - 1)
+    return below(counts, keys, value, "_c").where((F.col("_before") <= at) & (at < F.col("_before") + F.col("_c"))).select(*keys, F.col(value).alias("quantile"))
 
 
 def top_n(df: DataFrame, key: str, n: int) -> DataFrame:

@@ -159,3 +159,77 @@ def with_barriers(grid: DataFrame, barrier: DataFrame, height: float) -> DataFra
 def covered_cells(subcells: DataFrame, share: float = 0.45) -> DataFrame:
     """Cells whose 3x3 subcells (row, col, inside) are covered for at least `share`."""
     return subcells.groupBy(F.floor(F.col("row") / 3).cast("int").alias("row"), F.floor(F.col("col") / 3).cast("int").alias("col")).agg(F.avg(F.col("inside").cast("int")).alias("_s")).where(F.col("_s") >= share).select("row", "col")
+
+
+#: The height of a barrier, what counts as one, and the least level that floods land (metres).
+WALL, WALL_FROM, LAND_LEAST = 20.0, 19.0, 0.1
+
+
+def flood_grid(grid: DataFrame, water: DataFrame, barriers: DataFrame | None = None, edge: DataFrame | None = None, bank_least: float = 0.0, least_cells: int = 50) -> DataFrame:
+    """row, col, elev, level: what the sea reaches at which level; a null level is never reached.
+
+    water: row, col, managed (canals and basins held at a level, through which the sea doesn't come in).  Water lies at
+    0 at most; barriers (row, col) are walls; with `edge` (row, col) only water connected to it rises; managed water
+    is crossed at the height of its nearest bank; `bank_least` raises a band of two cells around open water.
+    Land counts and floods at LAND_LEAST at least.
+    """
+    wet = water.groupBy("row", "col").agg(F.min("managed").alias("managed"))
+    cells = grid.join(wet, ["row", "col"], "left").select("row", "col", F.when(F.col("managed").isNotNull(), F.least("elev", F.lit(0.0))).otherwise(F.col("elev")).alias("elev"), "managed")
+    if barriers is not None:
+        walls = barriers.select("row", "col").distinct().withColumn("_b", F.lit(True))
+        cells = cells.join(walls, ["row", "col"], "left").withColumn("elev", F.when(F.col("_b"), F.lit(WALL)).otherwise(F.col("elev"))).drop("_b")
+    cells = graph.cut(cells)
+    open_ = cells.where("managed = false").where(F.col("elev") < WALL).select("row", "col")
+    seeds = open_ if edge is None else sea_water(open_, edge, least_cells)
+    low = F.col("elev") < WALL_FROM
+    fill = cells
+    canals = cells.where("managed = true")
+    if canals.limit(1).count():
+        land = cells.where(F.col("managed").isNull() & low).select("row", "col", "elev")
+        banks = nearest_land(land.unionByName(canals.select("row", "col", "elev")), canals.select("row", "col"), 16)
+        fill = fill.join(banks, ["row", "col"], "left").withColumn("elev", F.when(F.col("bank").isNotNull() & low, F.greatest("bank", F.lit(LAND_LEAST))).otherwise(F.col("elev"))).drop("bank")
+    if bank_least:
+        band = dilated(open_, 2).join(open_, ["row", "col"], "left_anti").withColumn("_band", F.lit(True))
+        low_now = cells.where(low).select("row", "col").withColumn("_low", F.lit(True))
+        fill = fill.join(band, ["row", "col"], "left").join(low_now, ["row", "col"], "left")
+        fill = fill.withColumn("elev", F.when(F.col("_band") & F.col("_low"), F.greatest("elev", F.lit(bank_least))).otherwise(F.col("elev"))).drop("_band", "_low")
+    levels = flood_levels(fill.select("row", "col", "elev"), seeds)
+    dry = F.col("managed").isNull()
+    held = lambda c: F.when(dry, F.greatest(F.col(c), F.lit(LAND_LEAST))).otherwise(F.col(c))
+    both = cells.join(levels, ["row", "col"], "left")
+    return both.select("row", "col", held("elev").alias("elev"), F.when(F.col("level").isNotNull(), held("level")).alias("level"))
+
+
+def exposure(features: DataFrame, flooded: DataFrame, west: float, north: float, step: float, rows: int, cols: int) -> DataFrame:
+    """The features (id, lon, lat) with `level`, at which each floods (LAND_LEAST at least; null: never), and `ground`."""
+    from . import joins
+
+    at = joins.sample_grid(features, flooded, west, north, step, rows, cols)
+    level = F.when(F.col("level").isNotNull(), F.round(F.greatest("level", F.lit(LAND_LEAST)), 2))
+    return at.select(*features.columns, level.alias("level"), F.round(F.greatest("elev", F.lit(0.0)), 1).alias("ground"))
+
+
+def line_cells(segments: DataFrame, west: float, north: float, step: float, width: int = 4) -> DataFrame:
+    """row, col: the cells within half of `width` cells of line segments (x1, y1, x2, y2), by points a quarter of a
+    cell apart."""
+    c = lambda a: (F.col(a) - west) / step if a.startswith("x") else (north - F.col(a)) / step
+    rows = segments.select(*(c(a).alias(a) for a in ("x1", "y1", "x2", "y2")))
+    n = F.greatest(F.ceil(4 * F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))), F.lit(1)).cast("int")
+    points = rows.withColumn("_n", n).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n")))).select((F.col("x1") + (F.col("x2") - F.col("x1")) * F.col("_k") / F.col("_n")).alias("x"), (F.col("y1") + (F.col("y2") - F.col("y1")) * F.col("_k") / F.col("_n")).alias("y"))
+    reach = width // 2
+    around = F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(q).alias("q")) for r in range(-reach, reach + 1) for q in range(-reach, reach + 1)))).alias("_o")
+    near = points.select("x", "y", around).select("x", "y", (F.floor("y") + F.col("_o.r")).cast("int").alias("row"), (F.floor("x") + F.col("_o.q")).cast("int").alias("col"))
+    return near.where(F.hypot(F.col("col") + 0.5 - F.col("x"), F.col("row") + 0.5 - F.col("y")) <= width / 2).select("row", "col").distinct()
+
+
+def polygon_cells(rings: DataFrame, west: float, north: float, step: float, share: float = 0.45) -> DataFrame:
+    """row, col: the grid cells that polygons (ring) cover for at least `share`, by 3 x 3 points in each cell."""
+    from ..functions import geo
+
+    fine = step / 3
+    x, y = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    box = rings.select("ring", F.floor((F.array_min(x) - west) / fine).cast("int").alias("_a"), F.floor((F.array_max(x) - west) / fine).cast("int").alias("_b"), F.floor((north - F.array_max(y)) / fine).cast("int").alias("_c"), F.floor((north - F.array_min(y)) / fine).cast("int").alias("_d"))
+    sub = box.withColumn("row", F.explode(F.sequence("_c", "_d"))).withColumn("col", F.explode(F.sequence("_a", "_b")))
+    inside = sub.where(geo.ring_contains(F.col("ring"), west + (F.col("col") + 0.5) * fine, north - (F.col("row") + 0.5) * fine)).select("row", "col").distinct()
+    cell = inside.groupBy(F.floor(F.col("row") / 3).cast("int").alias("row"), F.floor(F.col("col") / 3).cast("int").alias("col")).agg(F.count(F.lit(1)).alias("_n"))
+    return cell.where(F.col("_n") / 9 >= share).select("row", "col")

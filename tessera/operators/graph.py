@@ -14,10 +14,14 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` checkpointed in the shared folder (one of our own only where none is configured)."""
+    """`df` checkpointed in the shared folder (one of our own only where none is set and all runs on this machine)."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where:
+            if not sc.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            where = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(where)
     return df.checkpoint()
 
@@ -106,3 +110,46 @@ def connected(edges: DataFrame, nodes: DataFrame, max_rounds: int = 1000) -> Dat
         if not new.where("_moved").limit(1).count():
             return state
     raise RuntimeError(f"not settled after {max_rounds} rounds")
+
+
+def alternatives(edges: DataFrame, sources: DataFrame, targets: DataFrame, worst: float = 1.6, keep: int = 3, factor: float = 8.0) -> DataFrame:
+    """rank, cost, lines (array, in order of riding), nodes: the best way and up to `keep` - 1 others.
+
+    edges: src, dst, cost, line (null for a transfer).  Each of the three longest ridden lines of the best way is made
+    `factor` times as slow in turn; all these scenarios are solved in one loop.  Ways are counted at their true
+    cost, those of the same lines once, none over `worst` times the best.
+    """
+    plain = edges.select("src", "dst", "cost", "line")
+    first = _ways(plain.withColumn("scenario", F.lit("")), sources, targets, plain)
+    legs = first.select(F.explode("hops").alias("h")).where("h.line is not null").groupBy("h.line").agg(F.sum("h.cost").alias("_c")).orderBy(F.desc("_c"), "line").limit(3)
+    slow = cut(legs.select("line"))
+    scenarios = plain.crossJoin(F.broadcast(slow.withColumnRenamed("line", "scenario")))
+    scenarios = scenarios.withColumn("cost", F.when(F.col("line") == F.col("scenario"), F.col("cost") * factor).otherwise(F.col("cost")))
+    ways = first.unionByName(_ways(scenarios, sources, targets, plain))
+    ways = ways.withColumn("lines", F.filter(F.transform("hops", lambda h: h["line"]), lambda x: x.isNotNull()))
+    # consecutive rides on one line are one
+    ridden = F.filter(F.transform("lines", lambda x, i: F.when((i == 0) | (F.get("lines", i - 1) != x), x)), lambda x: x.isNotNull())
+    ways = cut(ways.select("scenario", "cost", ridden.alias("lines"), F.concat(F.array(F.col("hops")[0]["src"]), F.transform("hops", lambda h: h["dst"])).alias("nodes")))
+    best = ways.agg(F.min("cost").alias("_best"))
+    once = ways.groupBy("lines").agg(F.min(F.struct("cost", "nodes")).alias("w")).select("lines", "w.cost", "w.nodes")
+    near = once.crossJoin(F.broadcast(best)).where(F.col("cost") <= F.col("_best") * worst).drop("_best").orderBy("cost", "nodes").limit(keep)
+    return near.withColumn("rank", F.row_number().over(Window.orderBy("cost", "nodes"))).select("rank", "cost", "lines", "nodes")
+
+
+def _ways(edges: DataFrame, sources: DataFrame, targets: DataFrame, plain: DataFrame) -> DataFrame:
+    """scenario, cost (by `plain`), hops (array of struct src, dst, cost, line): the best way of each scenario."""
+    names = edges.select("scenario").distinct()
+    least = edges.groupBy("scenario", "src", "dst").agg(F.min("cost").alias("cost"))
+    paths = shortest(least, sources.crossJoin(F.broadcast(names)), keys=["scenario"])
+    ends = paths.join(targets.select("node"), "node").groupBy("scenario").agg(F.min(F.struct("cost", "node")).alias("e")).select("scenario", "e.node")
+    at, rows, hop = cut(ends), None, 0
+    while at.limit(1).count():
+        back = cut(at.join(paths.select("scenario", "node", "prev"), ["scenario", "node"]).where("prev is not null").select("scenario", F.col("prev").alias("src"), F.col("node").alias("dst"), F.lit(-hop).alias("i")))
+        rows = back if rows is None else rows.unionByName(back)
+        at, hop = back.select("scenario", F.col("src").alias("node")), hop + 1
+    # of parallel edges the one that made the scenario's way
+    used = rows.join(edges.withColumnRenamed("cost", "_slow"), ["scenario", "src", "dst"]).groupBy("scenario", "src", "dst", "i").agg(F.min_by("line", F.struct("_slow", F.coalesce("line", F.lit("")))).alias("line"))
+    true = plain.groupBy("src", "dst", F.coalesce("line", F.lit("")).alias("_l")).agg(F.min("cost").alias("cost"))
+    priced = used.withColumn("_l", F.coalesce("line", F.lit(""))).join(true, ["src", "dst", "_l"])
+    hops = F.transform(F.array_sort(F.collect_list(F.struct("i", "src", "dst", "cost", "line"))), lambda h: F.struct(h["src"].alias("src"), h["dst"].alias("dst"), h["cost"].alias("cost"), h["line"].alias("line")))
+    return priced.groupBy("scenario").agg(F.sum("cost").alias("cost"), hops.alias("hops"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from . import graph
 
 #: Kilometres in a degree of latitude, taken low: buckets are then wide enough towards the poles too.
 KM_PER_DEGREE = 105.0
@@ -145,3 +146,40 @@ def same_group_pairs(df: DataFrame, group: str, item: str, line: str) -> DataFra
     a = df.select(group, F.col(item).alias("a"), F.col(line).alias("_la"))
     b = df.select(group, F.col(item).alias("b"), F.col(line).alias("_lb"))
     return a.join(b, group).where((F.col("a") < F.col("b")) & (F.col("_la") != F.col("_lb"))).select(group, "a", "b")
+
+
+def snapped(points: DataFrame, vertices: DataFrame, group: str, step: float = 0.01) -> DataFrame:
+    """id, vx, vy, km: the vertex nearest to each point (id, group, x, y) among those of its own group (group, x, y).
+
+    First the 3 x 3 grid cells around the point are looked at, as truncation towards zero makes them; points that find
+    none there are compared with their whole group.  Of equal distances the smaller (x, y) counts.
+    """
+    cell = lambda c: (F.col(c) / step).cast("long")
+    v = vertices.select(group, F.col("x").alias("vx"), F.col("y").alias("vy"), cell("x").alias("_gx"), cell("y").alias("_gy")).distinct()
+    km = geo.haversine(F.col("y"), F.col("x"), F.col("vy"), F.col("vx"))
+    near = F.min(F.struct(km.alias("km"), "vx", "vy")).alias("b")
+    around = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))).alias("_o")
+    spread = points.select("id", group, "x", "y", around).select("id", group, "x", "y", (cell("x") + F.col("_o.dx")).alias("_gx"), (cell("y") + F.col("_o.dy")).alias("_gy"))
+    found = graph.cut(spread.join(v, [group, "_gx", "_gy"]).groupBy("id").agg(near))
+    rest = points.join(found.select("id"), "id", "left_anti")
+    far = rest.select("id", group, "x", "y").join(v, group).groupBy("id").agg(near)
+    return found.unionByName(far).select("id", "b.vx", "b.vy", "b.km")
+
+
+def nearest_on_axes(points: DataFrame, axes: dict[str, DataFrame], series: DataFrame) -> DataFrame:
+    """The rows of a gridded `series` at the grid point nearest to each point.
+
+    axes: for each coordinate column, its axis as (index, value); `series` is keyed by `<coordinate>_index`.  A
+    longitude in -180..180 meets an axis of 0..360.  Axes are small (a few thousand values): they are broadcast after
+    a count; of equal distances the smaller value counts.
+    """
+    out = points
+    for name, axis in axes.items():
+        if axis.limit(100_001).count() > 100_000:
+            raise ValueError(f"the axis {name} has more than 100,000 values")
+        own = F.array_sort(F.collect_list(F.struct(F.col("value"), F.col("index"))))
+        out = out.crossJoin(F.broadcast(axis.agg(own.alias("_axis"), F.max("value").alias("_top"))))
+        at = F.when((F.col("_top") > 180) & F.lit(name == "lon"), (F.col(name) % 360 + 360) % 360).otherwise(F.col(name))
+        best = F.array_min(F.transform("_axis", lambda a: F.struct(F.abs(a["value"] - at).alias("d"), a["value"].alias("value"), a["index"].alias("index"))))
+        out = out.withColumn("_b", best).withColumn(f"{name}_index", F.col("_b.index")).withColumn(f"{name}_grid", F.col("_b.value")).drop("_axis", "_top", "_b")
+    return out.join(series, [f"{name}_index" for name in axes])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from . import graph, joins
+from . import aggregates, graph, joins
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:
@@ -26,7 +26,11 @@ def global_rank(df: DataFrame, order: Sequence[str], name: str = "rank", ranges:
 
 
 def min_max_score(df: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """Columns scaled to 0..1 over the table (a zero span gives 0), weighted, and scaled to 0..100 again."""
+    """Columns scaled to 0..1 over the table (a zero span gives 0), weighted, and scaled to 0..100 again; a missing
+    value takes the upper median of its column."""
+    for c in weights:
+        median = aggregates.floor_quantile(df.withColumn("_one", F.lit(1)), ["_one"], c, 0.5).select(F.col("quantile").alias("_median"))
+        df = df.join(F.broadcast(median), how="left").withColumn(c, F.coalesce(c, "_median")).drop("_median")
     ends = df.agg(*(F.min(c).alias(f"_lo_{c}") for c in weights), *(F.max(c).alias(f"_hi_{c}") for c in weights))
     scaled = lambda c, lo, hi: F.when(hi > lo, (c - lo) / (hi - lo)).otherwise(F.lit(0.0))
     raw = sum((scaled(F.col(c), F.col(f"_lo_{c}"), F.col(f"_hi_{c}")) * w for c, w in weights.items()), F.lit(0.0)) / sum(weights.values())
@@ -55,6 +59,26 @@ def site_scores(points: DataFrame, sites: DataFrame, km: float) -> DataFrame:
     return near.groupBy("site").agg(F.count(F.lit(1)).alias("captured"), F.avg(1 - F.col("km") / km).alias("_c")).select("site", "captured", (F.col("captured") + F.col("_c") * 0.5).alias("score"))
 
 
+#: Fixed values of a delivery round, in seconds: a home stop, a stop at a locker, a parcel put into one.
+HOME_STOP_S, LOCKER_STOP_S, LOCKER_PARCEL_S = 120, 180, 15
+
+
+def service_kpis(rounds: DataFrame) -> DataFrame:
+    """What lockers save in each round.
+
+    rounds: round, n parcels, n_failed (at the door), redirected (to lockers), failed_captured (of the failed ones),
+    lockers used, and km and drive minutes before and after (km_before, drive_before, km_after, drive_after).
+    Productivity is parcels in ten minutes.
+    """
+    c = F.col
+    before = c("drive_before") + c("n") * HOME_STOP_S / 60
+    after = c("drive_after") + ((c("n") - c("redirected")) * HOME_STOP_S + c("lockers") * LOCKER_STOP_S + c("redirected") * LOCKER_PARCEL_S) / 60
+    delivered = c("n") - c("n_failed") + c("failed_captured")
+    saved = before - after
+    return rounds.select("round", "redirected", c("failed_captured").alias("failed_avoided"), F.round(c("km_before") - c("km_after"), 2).alias("distance_saved_km"), F.round(saved, 1).alias("time_saved_min"), (c("redirected") - c("lockers")).alias("stops_removed"),
+        F.round((c("n") - c("n_failed")) / (before / 10), 2).alias("productivity_before"), F.round(delivered / (after / 10), 2).alias("productivity_after"), F.greatest(F.lit(0), F.floor(saved / (before / c("n")))).cast("long").alias("extra_capacity"))
+
+
 def even_sample(df: DataFrame, index: str, total: int, k: int) -> DataFrame:
     """The rows int(i * n / k) of a table numbered from 0 by `index`."""
     before = F.expr(f"({index} * {k} + {total - 1}) div {total}")
@@ -96,21 +120,35 @@ def calendar_deviation(df: DataFrame, keys: Sequence[str], day: str, value: str)
 
 
 def path_cost(stops: DataFrame, costs: DataFrame, keys: Sequence[str], order: str, stop: str) -> DataFrame:
-    """The cost of each round trip: consecutive stops and back to the first, priced by (a, b, cost)."""
+    """The cost of each round trip: consecutive stops and back to the first, priced by (a, b, cost); null, with the
+    number of hops without a price, where any has none."""
     w = Window.partitionBy(*keys).orderBy(order)
     after = F.coalesce(F.lead(stop).over(w), F.first(stop).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return stops.select(*keys, F.col(stop).alias("a"), after.alias("b")).join(costs, ["a", "b"]).groupBy(*keys).agg(F.sum("cost").alias("cost"), F.count(F.lit(1)).alias("hops"))
+    hops = stops.select(*keys, F.col(stop).alias("a"), after.alias("b")).join(costs.select("a", "b", "cost"), ["a", "b"], "left")
+    unpriced = F.count(F.lit(1)) - F.count("cost")
+    return hops.groupBy(*keys).agg(F.when(unpriced == 0, F.sum("cost")).alias("cost"), F.count(F.lit(1)).alias("hops"), unpriced.alias("unpriced"))
 
 
 def legs(hops: DataFrame, keys: Sequence[str], order: str, line: str, cost: str) -> DataFrame:
-    """Consecutive hops on one line as one leg."""
+    """keys, leg, line, hops, cost, first: rides on one line as one leg, transfers (a null line) as legs between.
+
+    Of transfers in a row the first counts, and a transfer between two rides on one line is none: the ride goes on.
+    """
     w = Window.partitionBy(*keys).orderBy(order)
-    new = F.when(F.lag(line).over(w).eqNullSafe(F.col(line)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    return hops.withColumn("_new", new).withColumn("leg", F.sum("_new").over(w)).groupBy(*keys, "leg", line).agg(F.count(F.lit(1)).alias("hops"), F.sum(cost).alias("cost"), F.min(order).alias("first"))
+    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    was, comes = F.last(line, ignorenulls=True).over(before), F.first(line, ignorenulls=True).over(after)
+    again = F.lag(line).over(w).isNull() & (F.row_number().over(w) > 1)
+    rows = hops.withColumn("_was", was).withColumn("_comes", comes).withColumn("_again", again)
+    rows = rows.where(F.col(line).isNotNull() | (~F.col("_again") & F.coalesce(F.col("_was") != F.col("_comes"), F.lit(True))))
+    new = F.when(F.col(line).isNotNull() & F.coalesce(F.col("_was") == F.col(line), F.lit(False)), 0).otherwise(1)
+    numbered = rows.withColumn("_new", new).withColumn("leg", F.sum("_new").over(w))
+    return numbered.groupBy(*keys, "leg", line).agg(F.count(F.lit(1)).alias("hops"), F.sum(cost).alias("cost"), F.min(order).alias("first"))
 
 
 def page(df: DataFrame, order: Sequence[Column | str], offset: int, n: int) -> DataFrame:
-    return df.orderBy(*order).offset(offset).limit(n)
+    """n rows from `offset` on, each with the table's number of rows as `total`."""
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    return df.orderBy(*order).offset(offset).limit(n).crossJoin(F.broadcast(total))
 
 
 FILTERS = {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,12 +14,12 @@ def pixel_center(west: float, north: float, width: float, height: float, rows: i
 
 
 def factors(width: int, height: int, smallest: int = 512) -> list[int]:
-    """2, 4, 8, .. until the longest side is below `smallest`."""
+    """2, 4, 8, .. while the longest side is still `smallest` or more; one level at least."""
     out, f = [], 2
-    while max(width, height) / (f / 2) >= smallest:
+    while max(width, height) / f >= smallest:
         out.append(f)
         f *= 2
-    return out
+    return out or [2]
 
 
 def pyramid(pixels: DataFrame, levels: Sequence[int], keys: Sequence[str] = ()) -> DataFrame:
@@ -28,12 +28,29 @@ def pyramid(pixels: DataFrame, levels: Sequence[int], keys: Sequence[str] = ())
     return each.groupBy(*keys, "level", F.floor(F.col("row") / F.col("level")).cast("int").alias("row"), F.floor(F.col("col") / F.col("level")).cast("int").alias("col")).agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("n"))
 
 
+def depth(longest: Column, smallest: int = 512) -> Column:
+    """How many overviews `factors` asks for."""
+    return F.greatest(F.floor(F.log2(longest / smallest)), F.lit(1)).cast("int")
+
+
+def missing_pyramids(levels: DataFrame, catalog: DataFrame) -> DataFrame:
+    """What overviews would add to rasters that have none: pixels, their percent, and bytes.
+
+    catalog: raster, bytes (of the file), compression.  Resampled pixels take 1.5 times the bytes per pixel under
+    lossless codecs, and as many under jpeg, webp or none.
+    """
+    area = F.col("width") * F.col("height")
+    added = levels.groupBy("raster").agg(F.sum(F.when(F.col("k") > 0, area)).alias("added"), F.max(F.when(F.col("k") == 0, area)).alias("whole"))
+    codec = F.lower(F.coalesce("compression", F.lit("")))
+    penalty = F.when(codec.isin("jpeg", "webp", "none", ""), 1.0).otherwise(1.5)
+    rows = added.join(catalog.select("raster", "bytes", penalty.alias("penalty")), "raster")
+    return rows.select("raster", "added", F.round(100 * F.col("added") / F.col("whole"), 1).alias("percent"), (F.col("added") * F.col("bytes") / F.col("whole") * F.col("penalty")).cast("long").alias("estimate"))
+
+
 def level_table(catalog: DataFrame, pixel_bytes: int, block: int) -> DataFrame:
     """Size, pixel size, blocks and share of bytes of every overview level of a raster catalog
     (raster, width, height, res)."""
-    longest = F.greatest("width", "height")
-    depth = F.greatest(F.ceil(F.log2(longest / 512)), F.lit(0))
-    levels = catalog.withColumn("k", F.explode(F.sequence(F.lit(0), depth.cast("int"))))
+    levels = catalog.withColumn("k", F.explode(F.sequence(F.lit(0), depth(F.greatest("width", "height")))))
     f = F.pow(F.lit(2.0), F.col("k"))
     w, h = (F.ceil(F.col(c) / f).cast("long") for c in ("width", "height"))
     rows = levels.select("raster", "k", w.alias("width"), h.alias("height"), (F.col("res") * f).alias("res"))
@@ -52,6 +69,31 @@ def window(pixels: DataFrame, rows: tuple[int, int], cols: tuple[int, int]) -> D
     return pixels.where(F.col("row").between(rows[0], rows[1] - 1) & F.col("col").between(cols[0], cols[1] - 1))
 
 
+def fractional_window(rasters: DataFrame, box: Sequence[str]) -> DataFrame:
+    """x0, y0, x1, y1: the pixel window of a box (columns of fractions: left, top, right, bottom) in rasters of
+    `width` by `height`; nulls for a window under two pixels and for the whole raster."""
+    left, top, right, bottom = (F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c))) for c in box)
+    ends = {"x0": F.floor(left * F.col("width")), "y0": F.floor(top * F.col("height")), "x1": F.least(F.col("width"), F.rint(right * F.col("width"))), "y1": F.least(F.col("height"), F.rint(bottom * F.col("height")))}
+    rows = rasters.withColumns({c: x.cast("long") for c, x in ends.items()})
+    whole = (F.col("x0") == 0) & (F.col("y0") == 0) & (F.col("x1") == F.col("width")) & (F.col("y1") == F.col("height"))
+    ok = (F.col("x1") - F.col("x0") >= 2) & (F.col("y1") - F.col("y0") >= 2) & ~whole
+    return rows.withColumns({c: F.when(ok, F.col(c)) for c in ends})
+
+
+def window_bounds(windows: DataFrame, transform: Sequence[float]) -> DataFrame:
+    """left, bottom, right, top of pixel windows under an affine transform (a, b, c, d, e, f)."""
+    a, b, c, d, e, f = transform
+    xs = [c + a * F.col(x) + b * F.col(y) for x, y in (("x0", "y0"), ("x1", "y1"))]
+    ys = [f + d * F.col(x) + e * F.col(y) for x, y in (("x0", "y0"), ("x1", "y1"))]
+    return windows.withColumns({"left": F.least(*xs), "bottom": F.least(*ys), "right": F.greatest(*xs), "top": F.greatest(*ys)})
+
+
+def composite(pixels: DataFrame, low: float = 0.02, high: float = 0.98) -> DataFrame:
+    """row, col, r, g, b: bands 1, 2 and 3, each stretched between its percentiles."""
+    rows = stretched(pixels.where(F.col("band").isin(1, 2, 3)), low, high)
+    return rows.groupBy("row", "col").agg(*(F.max(F.when(F.col("band") == i, F.col("value"))).alias(c) for i, c in enumerate("rgb", 1)))
+
+
 def mosaic(tiles: DataFrame, size: int = 256) -> DataFrame:
     """Tile pixels (tile_x, tile_y, row, col, value) on the global pixel grid."""
     return tiles.select((F.col("tile_y") * size + F.col("row")).alias("row"), (F.col("tile_x") * size + F.col("col")).alias("col"), "value")
@@ -97,10 +139,26 @@ def _below(chunks: Sequence[int], i: int) -> int:
     return out
 
 
+#: Words in the names of auxiliary arrays, which are nobody's first choice.
+AUXILIARY = ("mask", "quality", "condition", "angle", "footprint", "classification", "probability")
+
+
 def inventory(arrays: DataFrame) -> DataFrame:
-    """Chunk counts and bytes of arrays (name, shape, chunks, itemsize)."""
-    n = F.aggregate(F.zip_with("shape", "chunks", lambda s, c: F.ceil(s / c)), F.lit(1).cast("long"), lambda a, x: a * x)
-    return arrays.select("name", n.alias("n_chunks"), (F.aggregate("shape", F.lit(1).cast("long"), lambda a, x: a * x) * F.col("itemsize")).alias("bytes"))
+    """grid (chunks along each axis), their number and the bytes of arrays (store, name, shape, chunks, itemsize, dtype),
+    and `preferred`: its store's default variable.
+
+    That is, of arrays with two axes or more that aren't bounds: no auxiliary one, with the largest last two axes,
+    of floats, with most axes, by name.
+    """
+    grid = F.zip_with("shape", "chunks", lambda s, c: F.greatest(F.ceil(s / c), F.lit(1)))
+    product = lambda x: F.aggregate(x, F.lit(1).cast("long"), lambda a, y: a * y)
+    name = F.lower("name")
+    data = (F.size("shape") >= 2) & ~F.coalesce(name.endswith("bnds") | name.endswith("_bounds"), F.lit(False))
+    aux = name.rlike("|".join(AUXILIARY))
+    rows = arrays.withColumn("_data", data).withColumn("_last", F.when(F.size("shape") >= 2, product(F.slice("shape", F.greatest(F.size("shape") - 1, F.lit(1)), F.lit(2)))))
+    order = [F.desc("_data"), aux, F.desc("_last"), F.desc(F.col("dtype").startswith("float")), F.desc(F.size("shape")), "name"]
+    first = F.row_number().over(Window.partitionBy("store").orderBy(*order)) == 1
+    return rows.select("store", "name", grid.alias("grid"), product(grid).alias("n_chunks"), (product("shape") * F.col("itemsize")).alias("bytes"), (first & F.col("_data")).alias("preferred"))
 
 
 def read_ledger(log: DataFrame) -> DataFrame:

@@ -15,55 +15,68 @@ def feed(spark, sf):
         "cast(user_id AS string) AS hex", "event_id", "concat(element_at(array('ABC','DEF','GHI','XY'), cast(user_id % 4 + 1 AS int)), user_id % 1000) AS cs",
         "CASE WHEN event_id % 17 = 0 THEN NULL ELSE cast(event_id * 7919 % 17000 AS double) / 100 - 85 END AS lat", "cast(event_id * 104729 % 36000 AS double) / 100 - 180 AS lon",
         "CASE WHEN event_id % 5 = 0 THEN 'ground' ELSE cast(event_id * 37 % 42000 AS string) END AS alt_baro", "cast(event_id % 500 AS double) AS gs", "cast(event_id * 13 % 360 AS double) AS track",
-        "CASE WHEN event_id % 101 = 0 THEN '7700' WHEN event_id % 103 = 0 THEN '7600' ELSE '1200' END AS squawk", "cast(event_id % 3 AS int) AS source_rank", "ts",
+        "CASE WHEN event_id % 101 = 0 THEN '7700' WHEN event_id % 103 = 0 THEN '7600' WHEN event_id % 107 = 0 THEN '7500' ELSE '1200' END AS squawk", "cast(event_id % 3 AS int) AS source_rank", "ts",
+        "concat('R', event_id % 90) AS reg", "concat(' t', user_id % 23) AS kind", "concat('region', event_id % 3) AS region", "cast(event_id * 31 % 2000 - 1000 AS double) AS rate",
     )
 
 
 FEED = """f AS (SELECT user_id::VARCHAR AS hex, event_id, ['ABC','DEF','GHI','XY'][user_id % 4 + 1] || (user_id % 1000) AS cs,
   CASE WHEN event_id % 17 = 0 THEN NULL ELSE (event_id * 7919 % 17000)::DOUBLE / 100 - 85 END AS lat, (event_id * 104729 % 36000)::DOUBLE / 100 - 180 AS lon,
   CASE WHEN event_id % 5 = 0 THEN 'ground' ELSE (event_id * 37 % 42000)::VARCHAR END AS alt_baro, (event_id % 500)::DOUBLE AS gs, (event_id * 13 % 360)::DOUBLE AS track,
-  CASE WHEN event_id % 101 = 0 THEN '7700' WHEN event_id % 103 = 0 THEN '7600' ELSE '1200' END AS squawk, (event_id % 3)::INT AS source_rank, ts FROM events)"""
-_BAND = "CASE WHEN feet >= 30000 THEN '30k+' WHEN feet >= 20000 THEN '20k-30k' WHEN feet >= 10000 THEN '10k-20k' WHEN feet >= 1000 THEN '1k-10k' WHEN feet >= 0 THEN 'ground-1k' END"
-_AIR = "a AS (SELECT *, alt_baro::DOUBLE AS feet FROM {} WHERE lat IS NOT NULL AND alt_baro <> 'ground')"
+  CASE WHEN event_id % 101 = 0 THEN '7700' WHEN event_id % 103 = 0 THEN '7600' WHEN event_id % 107 = 0 THEN '7500' ELSE '1200' END AS squawk, (event_id % 3)::INT AS source_rank, ts,
+  'R' || event_id % 90 AS reg, ' t' || user_id % 23 AS kind, 'region' || event_id % 3 AS region, (event_id * 31 % 2000 - 1000)::DOUBLE AS rate FROM events)"""
+_BAND = "CASE WHEN feet >= 40000 THEN '>40k' WHEN feet >= 30000 THEN '30-40k' WHEN feet >= 20000 THEN '20-30k' WHEN feet >= 10000 THEN '10-20k' ELSE '<10k' END"
+_AIR = "a AS (SELECT *, alt_baro::DOUBLE AS feet FROM f WHERE lat IS NOT NULL AND alt_baro <> 'ground')"
+_ONCE = "o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hex ORDER BY source_rank, ts, lat, lon) AS i FROM a) WHERE i = 1)"
 
 
-@query("traffic_pulse", f"WITH {FEED}, o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hex ORDER BY source_rank, ts, lat, lon) AS i FROM f) WHERE i = 1), {_AIR.format('o')} SELECT {_BAND} AS band, count(*) AS n, max(gs) AS fastest FROM a GROUP BY 1")
+@query("traffic_pulse", f"""WITH {FEED}, {_AIR}, {_ONCE},
+  x AS (SELECT 'region' AS facet, region AS name FROM o UNION ALL SELECT 'airline', substr(cs, 1, 3) FROM o WHERE substr(cs, 1, 3) IN ('ABC', 'DEF') UNION ALL SELECT 'type', upper(trim(kind)) FROM o UNION ALL SELECT 'band', {_BAND} FROM o),
+  c AS (SELECT facet, name, count(*) AS n, row_number() OVER (PARTITION BY facet ORDER BY count(*) DESC, name) AS i FROM x GROUP BY 1, 2)
+  SELECT facet, name, n FROM c WHERE i <= CASE facet WHEN 'airline' THEN 12 WHEN 'type' THEN 10 ELSE 1000 END""")
 def traffic_pulse(spark, sf):
-    return live.pulse(feed(spark, sf))
+    return live.pulse(feed(spark, sf), ["ABC", "DEF"])
 
 
-@query("airborne_snapshot", f"WITH {FEED}, {_AIR.format('f')} SELECT event_id, feet, round(gs * 1.943844, 6) AS kt FROM a")
+@query("airborne_snapshot", f"WITH {FEED}, {_AIR} SELECT event_id, feet, round(gs * 1.943844, 6) AS kt FROM a")
 def airborne_snapshot(spark, sf):
     return live.airborne(feed(spark, sf)).select("event_id", "feet", F.round(geo.knots(F.col("gs")), 6).alias("kt"))
 
 
-@query("emergencies", f"WITH {FEED} SELECT hex, squawk, min(ts) AS ts FROM f WHERE squawk IN ('7500', '7600', '7700') GROUP BY 1, 2")
+@query("emergencies", f"WITH {FEED}, e AS (SELECT *, row_number() OVER (PARTITION BY hex ORDER BY squawk DESC, ts, lat, lon) AS i FROM f WHERE squawk IN ('7600', '7700') AND lat IS NOT NULL) SELECT hex, squawk, ts, cs AS label FROM e WHERE i = 1")
 def emergencies(spark, sf):
-    return live.emergencies(feed(spark, sf)).select("hex", "squawk", "ts")
+    return live.emergencies(feed(spark, sf)).select("hex", "squawk", "ts", "label")
 
 
-_K = "2 * 6371.0 * asin(sqrt(pow(sin(radians(40 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(40)) * pow(sin(radians(-70 - lon) / 2), 2)))"
-_B = "((degrees(atan2(sin(radians(-70 - lon)) * cos(radians(40)), cos(radians(lat)) * sin(radians(40)) - sin(radians(lat)) * cos(radians(40)) * cos(radians(-70 - lon)))) + 360) % 360)"
+_NM = "round(2 * 6371.0 * asin(sqrt(pow(sin(radians(40 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(40)) * pow(sin(radians(-70 - lon) / 2), 2))) / 1.852, 1)"
+_TO = "((degrees(atan2(sin(radians(-70 - lon)) * cos(radians(40)), cos(radians(lat)) * sin(radians(40)) - sin(radians(lat)) * cos(radians(40)) * cos(radians(-70 - lon)))) + 360) % 360)"
+_FROM = "((degrees(atan2(sin(radians(lon + 70)) * cos(radians(lat)), cos(radians(40)) * sin(radians(lat)) - sin(radians(40)) * cos(radians(lat)) * cos(radians(lon + 70)))) + 360) % 360)"
 
 
-@query("airport_phases", f"""WITH {FEED}, k AS (SELECT *, {_K} AS km, (track - {_B} + 360) % 360 AS d FROM f WHERE lat IS NOT NULL), o AS (SELECT *, least(d, 360 - d) AS off FROM k),
-  p AS (SELECT *, CASE WHEN alt_baro = 'ground' THEN 'ground' WHEN km > 4000 THEN 'far' WHEN off <= 45 THEN 'arrival' WHEN off >= 135 THEN 'departure' ELSE 'overhead' END AS phase FROM o)
-  SELECT event_id, phase, round(CASE WHEN phase = 'arrival' AND gs > 30 THEN km / 1.852 / gs * 60 END, 4) AS eta FROM p""")
+@query("airport_phases", f"""WITH {FEED}, k AS (SELECT *, {_NM} AS nm, (track - {_TO} + 360) % 360 AS d, (track - {_FROM} + 360) % 360 AS g FROM f WHERE lat IS NOT NULL),
+  p AS (SELECT *, CASE WHEN alt_baro = 'ground' THEN 'ground' WHEN alt_baro::DOUBLE < 20000 AND rate < 200 AND least(d, 360 - d) <= 55 THEN 'arrival'
+    WHEN alt_baro::DOUBLE < 20000 AND rate > 300 AND least(g, 360 - g) <= 70 THEN 'departure' ELSE 'overhead' END AS phase FROM k)
+  SELECT event_id, phase, nm, CASE WHEN phase = 'arrival' THEN round_even(nm / greatest(CASE WHEN gs > 0 THEN gs ELSE 80 END, 80) * 60, 0)::INT END AS eta_min FROM p""")
 def airport_phases(spark, sf):
-    return live.phase(feed(spark, sf).where("lat IS NOT NULL"), 40.0, -70.0, 4000.0).select("event_id", "phase", F.round("eta_min", 4).alias("eta"))
+    return live.phase(feed(spark, sf), 40.0, -70.0).select("event_id", "phase", "nm", "eta_min")
 
 
-@query("strong_quakes", "SELECT event_id, value / 20 AS mag, greatest((epoch(TIMESTAMP '2024-01-20 00:00:00') - epoch(date_trunc('second', ts))) / 3600.0, 0) AS age_h FROM events WHERE value / 20 >= 2.5 ORDER BY mag DESC, event_id LIMIT 80")
+@query("strong_quakes", "SELECT event_id, round(value / 20, 1) AS mag, round(value * 3.37, 1) AS depth, round(greatest((epoch(TIMESTAMP '2024-01-20 00:00:00') - epoch(date_trunc('second', ts))) / 3600.0, 0), 1) AS age_h FROM events WHERE value / 20 >= 2.5 ORDER BY mag DESC, event_id LIMIT 80")
 def strong_quakes(spark, sf):
-    q = table(spark, sf, "events").selectExpr("event_id", "value / 20 AS mag", "ts")
-    return live.strong_quakes(q, F.lit("2024-01-20 00:00:00").cast("timestamp")).orderBy(F.desc("mag"), "event_id").limit(80).select("event_id", "mag", "age_h")
+    q = table(spark, sf, "events").selectExpr("event_id", "value / 20 AS mag", "value * 3.37D AS depth", "ts")
+    return live.strong_quakes(q, F.lit("2024-01-20 00:00:00").cast("timestamp")).orderBy(F.desc("mag"), "event_id").limit(80).select("event_id", "mag", "depth", "age_h")
 
 
-@query("flight_candidates", f"WITH {FEED}, {_AIR.format('f')} SELECT cs, min(hex) AS hex, max(feet) AS feet FROM a WHERE feet > 10000 AND regexp_matches(cs, '^[A-Z]{{3}}[0-9]{{1,4}}[A-Z]?$') AND substr(cs, 1, 3) IN ('ABC', 'GHI') GROUP BY 1 ORDER BY 1 LIMIT 50")
+@query("flight_candidates", f"""WITH {FEED}, {_AIR}, k AS (SELECT *, CASE substr(cs, 1, 3) WHEN 'ABC' THEN 'A1' WHEN 'GHI' THEN 'G2' END || substr(cs, 4) AS flight FROM a WHERE feet >= 10000 AND regexp_matches(cs, '^[A-Z]{{3}}[0-9]{{1,4}}$') AND substr(cs, 1, 3) IN ('ABC', 'GHI')),
+  o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY flight ORDER BY source_rank, ts, hex) AS i FROM k) WHERE i = 1),
+  r AS (SELECT cs, min(hex::BIGINT) AS k FROM f WHERE hex::BIGINT % 3 > 0 GROUP BY 1)
+  SELECT flight, cs, hex, feet, 'P' || (k % 7) || ' > P' || (k % 5) AS route FROM o JOIN r USING (cs) ORDER BY source_rank, ts, flight LIMIT 50""")
 def flight_candidates(spark, sf):
     rows = feed(spark, sf)
-    lines = rows.select(F.substring("cs", 1, 3).alias("airline")).where("airline IN ('ABC', 'GHI')").distinct()
-    return live.flight_candidates(rows, lines, 50)
+    lines = spark.createDataFrame([("ABC", "A1"), ("GHI", "G2")], "airline string, iata string")
+    known = rows.selectExpr("cs", "cast(hex AS bigint) AS k").where("k % 3 > 0").groupBy("cs").agg(F.min("k").alias("k"))
+    routes = known.selectExpr("cs", "concat('P', k % 7) AS origin", "concat('P', k % 5) AS destination")
+    return live.flight_candidates(rows, lines, routes, 50)
 
 
 @query("first_half_of_kind", "WITH r AS (SELECT event_type AS kind, event_id, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) AS i FROM events) SELECT kind, event_id FROM r WHERE i <= 120")
@@ -72,15 +85,29 @@ def first_half_of_kind(spark, sf):
     return live.last_geometry(rows).select("kind", "event_id")
 
 
-@query("last_places", None)
+@query("last_places", "WITH l AS (SELECT user_id AS event_id, min(event_type) AS kind, max(ts) AS ts, arg_max(value, (ts, value)) AS value FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY ts DESC, event_id) AS i FROM l) SELECT event_id, kind, ts, value FROM r WHERE i <= 120")
 def last_places(spark, sf):
     """Each user's track as an array, then its last place."""
     rows = table(spark, sf, "events").groupBy(F.col("user_id").alias("event_id")).agg(F.sort_array(F.collect_list(F.struct("ts", "value"))).alias("geometry"), F.min("event_type").alias("kind"))
     return live.last_geometry(rows).select("event_id", "kind", "geom.ts", "geom.value")
 
 
-@query("wind_maximum", f"WITH {FEED} SELECT floor(lat / 30) AS belt, arg_max(event_id, gs * 1000000 - event_id % 1000000) AS event_id, max(gs) AS gs FROM f WHERE lat IS NOT NULL GROUP BY 1")
+_GRID = "g AS (SELECT round(lat / 30) * 30 AS lat, (user_id % 12)::DOUBLE * 30 - 180 AS lon, event_id, gs FROM (SELECT *, hex::BIGINT AS user_id FROM f) WHERE lat IS NOT NULL)"
+
+
+@query("wind_maximum", f"""WITH {FEED}, {_GRID}, b AS (SELECT lat, arg_max(lon, gs * 1000000 - event_id % 1000000) AS lon, arg_max(event_id, gs * 1000000 - event_id % 1000000) AS event_id, max(gs) AS gs FROM g GROUP BY 1)
+  SELECT lat, lon, event_id, gs, CASE WHEN lat >= 0 THEN CASE lon::INT WHEN -120 THEN 'the N Pacific' WHEN -90 THEN 'North America' WHEN -60 THEN 'the N Atlantic' WHEN -30 THEN 'the N Atlantic' WHEN 0 THEN 'W Europe' WHEN 30 THEN 'E Europe' WHEN 60 THEN 'Central Asia' WHEN 90 THEN 'Asia' WHEN 120 THEN 'E Asia' WHEN 150 THEN 'the NW Pacific' ELSE 'the northern band' END
+    ELSE CASE lon::INT WHEN -120 THEN 'the S Pacific' WHEN -90 THEN 'South America' WHEN -60 THEN 'the S Atlantic' WHEN -30 THEN 'the S Atlantic' WHEN 0 THEN 'the S Atlantic' WHEN 30 THEN 'southern Africa' WHEN 60 THEN 'the Indian Ocean' WHEN 90 THEN 'the Indian Ocean' WHEN 120 THEN 'Australia' WHEN 150 THEN 'the S Pacific' ELSE 'the southern band' END END AS region FROM b""")
 def wind_maximum(spark, sf):
-    rows = feed(spark, sf).where("lat IS NOT NULL").withColumn("belt", F.floor(F.col("lat") / 30))
-    best = F.max_by("event_id", F.struct("gs", -F.col("event_id")))
-    return rows.groupBy("belt").agg(best.alias("event_id"), F.max("gs").alias("gs"))
+    """The strongest wind of each belt of a 30-degree grid, and the region it blows over."""
+    rows = feed(spark, sf).where("lat IS NOT NULL").select((F.round(F.col("lat") / 30) * 30).alias("lat"), (F.col("hex").cast("bigint") % 12 * 30.0 - 180).alias("lon"), "event_id", "gs")
+    best = F.struct("gs", -F.col("event_id"))
+    top = rows.groupBy("lat").agg(F.max_by("lon", best).alias("lon"), F.max_by("event_id", best).alias("event_id"), F.max("gs").alias("gs"))
+    return top.withColumn("region", live.wind_region(F.col("lat"), F.col("lon")))
+
+
+@query("search_circles", "WITH i AS (SELECT unnest(range(-3, 4)) * 250.0 * sqrt(2) AS dy), j AS (SELECT unnest(range(-3, 4)) * 250.0 * sqrt(2) AS dx), c AS (SELECT c_custkey AS id, (c_custkey % 120)::DOUBLE - 60 AS lat, (c_custkey % 300)::DOUBLE - 150 AS lon FROM customer WHERE c_custkey % 50 = 0) SELECT id, round(lat + dy / 60, 6) AS lat, round(lon + dx / (60 * cos(radians(lat + dy / 60))), 6) AS lon FROM c, i, j WHERE sqrt(dx * dx + dy * dy) <= 1000 + 250")
+def search_circles(spark, sf):
+    """Circles of 250 nm that cover circles of 1,000 nm around every fiftieth customer's place."""
+    at = table(spark, sf, "customer").where("c_custkey % 50 = 0").selectExpr("c_custkey AS id", "cast(c_custkey % 120 AS double) - 60 AS lat", "cast(c_custkey % 300 AS double) - 150 AS lon")
+    return live.cover_circles(at, 1000.0).select("id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))

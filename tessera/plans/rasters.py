@@ -21,7 +21,7 @@ def pyramid(spark, sf):
 
 
 _CAT = "c AS (SELECT p_partkey AS raster, 300 + p_partkey * 37 % 5000 AS width, 200 + p_partkey * 53 % 4000 AS height, 10.0 AS res FROM part)"
-_LEVELS = f"""{_CAT}, k AS (SELECT *, unnest(range(greatest(ceil(log2(greatest(width, height) / 512.0)), 0)::INT + 1)) AS k FROM c), l AS (SELECT raster, k::INT AS k, ceil(width / pow(2, k))::BIGINT AS width, ceil(height / pow(2, k))::BIGINT AS height, res * pow(2, k) AS res FROM k),
+_LEVELS = f"""{_CAT}, k AS (SELECT *, unnest(range(greatest(floor(log2(greatest(width, height) / 512.0)), 1)::INT + 1)) AS k FROM c), l AS (SELECT raster, k::INT AS k, ceil(width / pow(2, k))::BIGINT AS width, ceil(height / pow(2, k))::BIGINT AS height, res * pow(2, k) AS res FROM k),
   m AS (SELECT *, (ceil(width / 256.0) * ceil(height / 256.0))::BIGINT AS blocks, width * height * 2 AS bytes FROM l)"""
 
 
@@ -40,10 +40,20 @@ def level_for(spark, sf):
     return raster.level_for(_levels(spark, sf), F.col("raster") % 60 + 5.0)
 
 
-@query("missing_pyramids", f"WITH {_LEVELS} SELECT raster, sum(width * height) FILTER (k > 0)::BIGINT AS added, (sum(width * height) FILTER (k > 0) * 1.5)::BIGINT AS estimate FROM m GROUP BY 1 HAVING max(k) > 0")
+@query("missing_pyramids", f"""WITH {_LEVELS}, a AS (SELECT raster, sum(width * height) FILTER (k > 0) AS added, max(width * height) FILTER (k = 0) AS whole FROM m GROUP BY 1)
+  SELECT raster, added::BIGINT AS added, round(100 * added::DOUBLE / whole, 1) AS percent, trunc((added * (raster % 1000 * 997))::DOUBLE / whole * CASE raster % 3 WHEN 0 THEN 1.0 ELSE 1.5 END)::BIGINT AS estimate FROM a""")
 def missing_pyramids(spark, sf):
-    area = F.sum(F.when(F.col("k") > 0, F.col("width") * F.col("height")))
-    return _levels(spark, sf).groupBy("raster").agg(area.alias("added"), F.round(area * 1.5).cast("long").alias("estimate")).where("added IS NOT NULL")
+    files = table(spark, sf, "part").selectExpr("p_partkey AS raster", "p_partkey % 1000 * 997 AS bytes", "element_at(array('JPEG', 'deflate', 'lzw'), cast(p_partkey % 3 + 1 AS int)) AS compression")
+    return raster.missing_pyramids(_levels(spark, sf), files)
+
+
+@query("fractional_windows", """WITH r AS (SELECT o_orderkey AS id, 100 + o_orderkey % 900 AS width, 50 + o_custkey % 700 AS height, (o_orderkey * 7 % 130 - 15) / 100.0::DOUBLE AS l, (o_orderkey * 11 % 90 - 10) / 100.0::DOUBLE AS t, (o_orderkey * 7 % 130 - 15) / 100.0::DOUBLE + (o_custkey % 50) / 100.0::DOUBLE AS r, 0.9::DOUBLE AS b FROM orders),
+  c AS (SELECT id, width, height, floor(greatest(0, least(1, l)) * width)::BIGINT AS x0, floor(greatest(0, least(1, t)) * height)::BIGINT AS y0, least(width, round_even(greatest(0, least(1, r)) * width, 0))::BIGINT AS x1, least(height, round_even(greatest(0, least(1, b)) * height, 0))::BIGINT AS y1 FROM r),
+  k AS (SELECT *, x1 - x0 >= 2 AND y1 - y0 >= 2 AND NOT (x0 = 0 AND y0 = 0 AND x1 = width AND y1 = height) AS ok FROM c)
+  SELECT id, CASE WHEN ok THEN x0 END AS x0, CASE WHEN ok THEN y0 END AS y0, CASE WHEN ok THEN x1 END AS x1, CASE WHEN ok THEN y1 END AS y1, CASE WHEN ok THEN 500.0 + 10 * x0 END AS "left", CASE WHEN ok THEN 9000.0 - 10 * y1 END AS bottom FROM k""")
+def fractional_windows(spark, sf):
+    r = table(spark, sf, "orders").selectExpr("o_orderkey AS id", "100 + o_orderkey % 900 AS width", "50 + o_custkey % 700 AS height", "cast(o_orderkey * 7 % 130 - 15 AS double) / 100 AS l", "cast(o_orderkey * 11 % 90 - 10 AS double) / 100 AS t", "cast(o_orderkey * 7 % 130 - 15 AS double) / 100 + cast(o_custkey % 50 AS double) / 100 AS r", "0.9D AS b")
+    return raster.window_bounds(raster.fractional_window(r, ["l", "t", "r", "b"]), (10.0, 0.0, 500.0, 0.0, -10.0, 9000.0)).select("id", "x0", "y0", "x1", "y1", "left", "bottom")
 
 
 @query("window_read", f"WITH {PIXELS} SELECT row, col, value FROM pixels WHERE row BETWEEN 10 AND 29 AND col BETWEEN 30 AND 99")
@@ -80,6 +90,12 @@ def stretched(spark, sf):
     return raster.stretched(pixels(spark, sf).withColumn("band", F.col("row") % 3)).select("band", "row", "col", "value")
 
 
+@query("composite", f"""WITH {PIXELS}, p AS (SELECT row % 4 AS band, row // 4 AS y, col, value FROM pixels WHERE row % 4 > 0), e AS (SELECT band, quantile_cont(value, 0.02) AS lo, quantile_cont(value, 0.98) AS hi FROM p GROUP BY 1),
+  s AS (SELECT band, y, col, greatest(0, least(255, floor((value - lo) / (hi - lo) * 255 + 0.0)))::INT AS v FROM p JOIN e USING (band)) SELECT y AS row, col, max(v) FILTER (band = 1) AS r, max(v) FILTER (band = 2) AS g, max(v) FILTER (band = 3) AS b FROM s GROUP BY 1, 2""")
+def composite(spark, sf):
+    return raster.composite(pixels(spark, sf).where("row % 4 > 0").selectExpr("row % 4 AS band", "row div 4 AS row", "col", "value"))
+
+
 @query("chunk_plan", "WITH w AS (SELECT o_orderkey AS id, o_orderkey % 300 AS a, o_custkey % 500 AS b FROM orders), x AS (SELECT id, unnest(range(a // 90, (a + 119) // 90 + 1)) AS i, b FROM w), y AS (SELECT id, i, unnest(range(b // 180, (b + 99) // 180 + 1)) AS j FROM x) SELECT id, 'c/' || i || '/' || j AS key FROM y")
 def chunk_plan(spark, sf):
     w = table(spark, sf, "orders").selectExpr("o_orderkey AS id", "array(o_orderkey % 300, o_custkey % 500) AS lo", "array(o_orderkey % 300 + 120, o_custkey % 500 + 100) AS hi")
@@ -92,10 +108,12 @@ def point_chunks(spark, sf):
     return raster.point_chunk(p, ["y", "x"], [90, 180]).select("id", "key", "offset")
 
 
-@query("array_inventory", "SELECT p_partkey AS name, (ceil((p_size + 1) / 7.0) * ceil((p_partkey % 50 + 1) / 16.0))::BIGINT AS n_chunks, (p_size + 1) * (p_partkey % 50 + 1) * 4 AS bytes FROM part")
+@query("array_inventory", """WITH a AS (SELECT p_partkey % 20 AS store, CASE p_partkey % 5 WHEN 0 THEN 'cloud_mask' WHEN 1 THEN 'lat' ELSE 'v' END || p_partkey || CASE p_partkey % 5 WHEN 1 THEN '_bnds' ELSE '' END AS name, (p_size + 1)::BIGINT AS y, p_partkey % 50 + 1 AS x, p_partkey % 2 = 0 AS float FROM part),
+  k AS (SELECT *, ceil(y / 7.0)::BIGINT AS gy, ceil(x / 16.0)::BIGINT AS gx, row_number() OVER (PARTITION BY store ORDER BY name LIKE '%bnds%', name LIKE '%mask%', y * x DESC, float DESC, name) = 1 AS best FROM a)
+  SELECT name, gy AS grid_y, gx AS grid_x, gy * gx AS n_chunks, y * x * 4 AS bytes, best AND name NOT LIKE '%bnds%' AS preferred FROM k""")
 def array_inventory(spark, sf):
-    a = table(spark, sf, "part").selectExpr("p_partkey AS name", "array(cast(p_size + 1 AS bigint), p_partkey % 50 + 1) AS shape", "array(7L, 16L) AS chunks", "4 AS itemsize")
-    return raster.inventory(a)
+    a = table(spark, sf, "part").selectExpr("p_partkey % 20 AS store", "concat(CASE p_partkey % 5 WHEN 0 THEN 'cloud_mask' WHEN 1 THEN 'lat' ELSE 'v' END, p_partkey, CASE p_partkey % 5 WHEN 1 THEN '_bnds' ELSE '' END) AS name", "array(cast(p_size + 1 AS bigint), p_partkey % 50 + 1) AS shape", "array(7L, 16L) AS chunks", "4 AS itemsize", "CASE WHEN p_partkey % 2 = 0 THEN 'float32' ELSE 'int16' END AS dtype")
+    return raster.inventory(a).select("name", F.col("grid")[0].alias("grid_y"), F.col("grid")[1].alias("grid_x"), "n_chunks", "bytes", "preferred")
 
 
 @query("read_ledger", "SELECT user_id % 40 AS key, count(*) AS requests, sum(CASE WHEN event_id % 3 <> 0 THEN event_id % 1000 ELSE 0 END)::BIGINT AS fetched, sum((event_id % 3 = 0)::INT)::BIGINT AS hits FROM events GROUP BY 1")

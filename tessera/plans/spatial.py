@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -16,24 +17,25 @@ PAIRS = f"pairs AS (SELECT id, site, {KM} AS km FROM pts, sites)"
   round(((degrees(atan2(sin(radians(20 - lon)) * cos(radians(10)), cos(radians(lat)) * sin(radians(10)) - sin(radians(lat)) * cos(radians(10)) * cos(radians(20 - lon)))) + 360) % 360), 5) AS bearing,
   round(least((lon - lat + 720) % 360, 360 - (lon - lat + 720) % 360), 5) AS angle,
   round(ln(tan(pi() / 4 + radians(lat) / 2)), 5) AS my, round((lon + 180) / 360 * 1024, 5) AS tx, round((1 - ln(tan(pi() / 4 + radians(lat) / 2)) / pi()) / 2 * 1024, 5) AS ty,
-  round(-abs(elev) * sin(radians(lon)), 5) AS u, round(-abs(elev) * cos(radians(lon)), 5) AS v, round(elev * 1.943844, 5) AS kt, round(elev * 3.28084, 5) AS ft FROM pts""")
+  round(-abs(elev) * sin(radians(lon)), 5) AS u, round(-abs(elev) * cos(radians(lon)), 5) AS v, round(elev * 1.943844, 5) AS kt, round(elev * 3.28084, 5) AS ft,
+  round(floor((lon + 180) / 360 * 1024) * (2 * pi() * 6378137 / 1024) - pi() * 6378137, 3) AS west, round(pi() * 6378137 - (floor((1 - ln(tan(pi() / 4 + radians(lat) / 2)) / pi()) / 2 * 1024) + 1) * (2 * pi() * 6378137 / 1024), 3) AS south FROM pts""")
 def geo_scalars(spark, sf):
     lat, lon, elev = F.col("lat"), F.col("lon"), F.col("elev")
     tx, ty = geo.tile_of(lon, lat, 10)
     r = lambda c, n: F.round(c, 5).alias(n)
-    return points(spark, sf).select("id", r(geo.haversine(lat, lon, F.lit(10.0), F.lit(20.0)), "km"), r(geo.bearing(lat, lon, F.lit(10.0), F.lit(20.0)), "bearing"), r(geo.angle_between(lon, lat), "angle"), r(geo.mercator_y(lat), "my"), r(tx, "tx"), r(ty, "ty"), r(geo.wind_u(F.abs(elev), lon), "u"), r(geo.wind_v(F.abs(elev), lon), "v"), r(geo.knots(elev), "kt"), r(geo.feet(elev), "ft"))
+    return points(spark, sf).select("id", r(geo.haversine(lat, lon, F.lit(10.0), F.lit(20.0)), "km"), r(geo.bearing(lat, lon, F.lit(10.0), F.lit(20.0)), "bearing"), r(geo.angle_between(lon, lat), "angle"), r(geo.mercator_y(lat), "my"), r(tx, "tx"), r(ty, "ty"), r(geo.wind_u(F.abs(elev), lon), "u"), r(geo.wind_v(F.abs(elev), lon), "v"), r(geo.knots(elev), "kt"), r(geo.feet(elev), "ft"), *(F.round(c, 3).alias(n) for c, n in zip(geo.tile_box(F.floor(tx), F.floor(ty), 10), ("west", "south"))))
 
 
-@query("zoom_levels", f"WITH {PTS} SELECT id, greatest(6, least(14, ceil(log2(512.0 * 360 / (256 * (abs(elev) / 100 + 0.001))))))::INT AS zoom FROM pts")
+@query("zoom_levels", f"WITH {PTS} SELECT id, greatest(6, least(14, round_even(log2(512.0 * 360 / (256 * (abs(elev) / 100 + 0.001))), 0)))::INT AS zoom FROM pts")
 def zoom_levels(spark, sf):
     return points(spark, sf).select("id", geo.zoom_for(F.lit(0.0), F.abs("elev") / 100 + 0.001, 512, 14).alias("zoom"))
 
 
 @query("value_codecs", f"""WITH {PTS} SELECT id, abs(cents) % 256 * 256 + id % 256 + (id % 7)::DOUBLE / 256 - 32768 AS terrain, CASE WHEN id % 10 = 9 THEN NULL ELSE round((id % 10) * 0.01 + 273.15, 6) END AS unpacked,
-  greatest(-32768, least(32767, round(elev * 1000)))::INT AS tenths FROM pts""")
+  greatest(-32768, least(32767, round(elev * 1000)))::INT AS tenths, floor((elev + 32768) / 256)::INT AS r, floor((elev + 32768) % 256)::INT AS g, floor((elev - floor(elev)) * 256)::INT AS b FROM pts""")
 def value_codecs(spark, sf):
     p = points(spark, sf)
-    return p.select("id", geo.elevation_decoded(F.abs("cents") % 256, F.col("id") % 256, F.col("id") % 7).alias("terrain"), F.round(geo.unpacked(F.col("id") % 10, 0.01, 273.15, 9), 6).alias("unpacked"), geo.tenths(F.col("elev") * 100).cast("int").alias("tenths"))
+    return p.select("id", geo.elevation_decoded(F.abs("cents") % 256, F.col("id") % 256, F.col("id") % 7).alias("terrain"), F.round(geo.unpacked(F.col("id") % 10, 0.01, 273.15, 9), 6).alias("unpacked"), geo.tenths(F.col("elev") * 100).cast("int").alias("tenths"), *(c.alias(n) for c, n in zip(geo.elevation_encoded(F.col("elev")), "rgb")))
 
 
 @query("radius_counts", f"WITH {PTS}, {SITES}, {PAIRS} SELECT id, count(*) FILTER (km <= 1500) AS n FROM pairs GROUP BY 1")
@@ -61,13 +63,30 @@ def site_scores(spark, sf):
     return ranking.site_scores(points(spark, sf).select("id", "lat", "lon"), sites(spark, sf), 1200).withColumn("score", F.round("score", 5))
 
 
-@query("service_kpis", f"""WITH {PTS}, {SITES}, {PAIRS}, c AS (SELECT arg_min(site, km) AS site, min(km) AS km FROM pairs WHERE km <= 1000 GROUP BY id)
-  SELECT site, count(*) AS parcels, count(*) * 3 + 8 AS minutes, round(100 * (1 - (count(*) * 3.0 + 8) / (count(*) * 7)), 5) AS saving FROM c GROUP BY 1""")
+_HOP = "2 * 6371.0 * asin(sqrt(pow(sin(radians(y2 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(y2)) * pow(sin(radians(x2 - lon) / 2), 2)))"
+
+
+@query("service_kpis", f"""WITH {PTS}, {SITES}, {PAIRS}, c AS (SELECT id, arg_min(site, km) AS site FROM pairs WHERE km <= 1000 GROUP BY id), p AS (SELECT pts.*, site FROM pts LEFT JOIN c USING (id)),
+  a AS (SELECT *, coalesce(lead(lat) OVER w, first_value(lat) OVER w) AS y2, coalesce(lead(lon) OVER w, first_value(lon) OVER w) AS x2 FROM p WINDOW w AS (PARTITION BY nation ORDER BY id)),
+  b AS (SELECT *, coalesce(lead(lat) OVER w, first_value(lat) OVER w) AS y2, coalesce(lead(lon) OVER w, first_value(lon) OVER w) AS x2 FROM p WHERE site IS NULL WINDOW w AS (PARTITION BY nation ORDER BY id)),
+  r AS (SELECT nation, count(*) AS n, count(*) FILTER (id % 7 = 0) AS nf, count(site) AS red, count(site) FILTER (id % 7 = 0) AS fc, count(DISTINCT site) AS l, sum({_HOP}) AS kb FROM a GROUP BY 1),
+  s AS (SELECT nation, sum({_HOP}) AS ka FROM b GROUP BY 1), t AS (SELECT *, coalesce(ka, 0) AS k2, kb / 0.5 + n * 2 AS tb, coalesce(ka, 0) / 0.5 + ((n - red) * 120 + l * 180 + red * 15) / 60 AS ta FROM r LEFT JOIN s USING (nation))
+  SELECT nation AS round, red AS redirected, fc AS failed_avoided, round(kb - k2, 2) AS distance_saved_km, round(tb - ta, 1) AS time_saved_min, red - l AS stops_removed, round((n - nf) / (tb / 10), 2) AS productivity_before, round((n - nf + fc) / (ta / 10), 2) AS productivity_after, greatest(0, floor((tb - ta) / (tb / n)))::BIGINT AS extra_capacity FROM t""")
 def service_kpis(spark, sf):
-    """Minutes of a drop-off point (8 and 3 for each parcel) against 7 for each door."""
-    c = joins.nearest_within(points(spark, sf).select("id", "lat", "lon"), sites(spark, sf), 1000)
-    k = c.groupBy("site").agg(F.count(F.lit(1)).alias("parcels"))
-    return k.select("site", "parcels", (F.col("parcels") * 3 + 8).alias("minutes"), F.round(100 * (1 - (F.col("parcels") * 3.0 + 8) / (F.col("parcels") * 7)), 5).alias("saving"))
+    """A round per nation: parcels in order of their ids, those near a site go to it; two minutes drive a kilometre."""
+    p = points(spark, sf).select("id", "lat", "lon", "nation")
+    captured = joins.nearest_within(p.select("id", "lat", "lon"), sites(spark, sf), 1000).select("id", "site")
+    rows = p.join(captured, "id", "left")
+
+    def tour(stops, name):
+        w = Window.partitionBy("nation").orderBy("id")
+        after = [F.coalesce(F.lead(c).over(w), F.first(c).over(w)) for c in ("lat", "lon")]
+        return stops.withColumn("km", geo.haversine(F.col("lat"), F.col("lon"), *after)).groupBy("nation").agg(F.sum("km").alias(name))
+
+    counts = rows.groupBy("nation").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") % 7 == 0).alias("n_failed"), F.count("site").alias("redirected"), F.count_if(F.col("site").isNotNull() & (F.col("id") % 7 == 0)).alias("failed_captured"), F.count_distinct("site").alias("lockers"))
+    rounds = counts.join(tour(rows, "km_before"), "nation").join(tour(rows.where("site IS NULL"), "km_after"), "nation", "left").fillna(0.0, ["km_after"])
+    rounds = rounds.withColumns({"drive_before": F.col("km_before") / 0.5, "drive_after": F.col("km_after") / 0.5}).withColumnRenamed("nation", "round")
+    return ranking.service_kpis(rounds)
 
 
 @query("greedy_sites", None)
@@ -162,12 +181,13 @@ def series_override(spark, sf):
     return fixed.join(live, "id", "left").select("id", F.coalesce("v_live", "v_fixed").alias("v")).where("v IS NOT NULL")
 
 
-_SC = "r AS (SELECT p_partkey AS id, p_size::DOUBLE AS a, p_retailprice AS b FROM part), e AS (SELECT min(a) AS la, max(a) AS ha, min(b) AS lb, max(b) AS hb FROM r), w AS (SELECT id, ((a - la) / (ha - la) * 2 + (b - lb) / (hb - lb)) / 3 AS raw FROM r, e)"
+_SC = """q AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 9 > 0 THEN p_size::DOUBLE END AS a, p_retailprice AS b FROM part), m AS (SELECT a AS median FROM (SELECT a, row_number() OVER (ORDER BY a) - 1 AS i, count(*) OVER () AS n FROM q WHERE a IS NOT NULL) WHERE i = n // 2),
+  r AS (SELECT id, coalesce(a, median) AS a, b FROM q, m), e AS (SELECT min(a) AS la, max(a) AS ha, min(b) AS lb, max(b) AS hb FROM r), w AS (SELECT id, ((a - la) / (ha - la) * 2 + (b - lb) / (hb - lb)) / 3 AS raw FROM r, e)"""
 
 
 @query("weighted_scores", f"WITH {_SC} SELECT id, round((raw - (SELECT min(raw) FROM w)) / ((SELECT max(raw) FROM w) - (SELECT min(raw) FROM w)) * 100, 5) AS score FROM w")
 def weighted_scores(spark, sf):
-    rows = table(spark, sf, "part").selectExpr("p_partkey AS id", "cast(p_size AS double) AS a", "p_retailprice AS b")
+    rows = table(spark, sf, "part").selectExpr("p_partkey AS id", "CASE WHEN p_partkey % 9 > 0 THEN cast(p_size AS double) END AS a", "p_retailprice AS b")
     return ranking.min_max_score(rows, {"a": 2.0, "b": 1.0}).select("id", F.round("score", 5).alias("score"))
 
 
@@ -218,9 +238,11 @@ def newest_log(spark, sf):
     return table(spark, sf, "events").where("event_type = 'purchase'").orderBy(F.desc("ts"), "event_id").limit(40).select("event_id", "ts")
 
 
-@query("paged", "SELECT c_custkey, c_name FROM customer ORDER BY c_name DESC, c_custkey LIMIT 25 OFFSET 100")
+@query("paged", "SELECT c_custkey, c_name, count(*) OVER () AS total FROM customer ORDER BY CASE WHEN c_acctbal < 5000 THEN c_acctbal END DESC NULLS LAST, c_name, c_custkey LIMIT 60 OFFSET 100")
 def paged(spark, sf):
-    return ranking.page(table(spark, sf, "customer").select("c_custkey", "c_name"), [F.desc("c_name"), "c_custkey"], 100, 25)
+    """A page by balance, unknown ones (here those of 5,000 and more) last."""
+    rows = table(spark, sf, "customer").withColumn("balance", F.when(F.col("c_acctbal") < 5000, F.col("c_acctbal")))
+    return ranking.page(rows, [F.desc_nulls_last("balance"), "c_name", "c_custkey"], 100, 60).select("c_custkey", "c_name", "total")
 
 
 @query("filter_specs", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal >= 1000 AND c_name LIKE '%1%' AND c_mktsegment LIKE 'B%' AND c_custkey IS NOT NULL")

@@ -207,18 +207,22 @@ def as_of_rate(spark, sf):
 
 
 @query("path_costs", """WITH s AS (SELECT o_custkey AS route, o_orderkey AS i, o_orderkey % 25 AS stop FROM orders), h AS (SELECT route, stop AS a, coalesce(lead(stop) OVER (PARTITION BY route ORDER BY i), first_value(stop) OVER (PARTITION BY route ORDER BY i)) AS b FROM s)
-  SELECT route, sum(abs(a - b) + 1)::BIGINT AS cost, count(*) AS hops FROM h GROUP BY 1""")
+  SELECT route, CASE WHEN count(*) FILTER (a = 7 AND b > 20) = 0 THEN sum(abs(a - b) + 1)::BIGINT END AS cost, count(*) AS hops, count(*) FILTER (a = 7 AND b > 20) AS unpriced FROM h GROUP BY 1""")
 def path_costs(spark, sf):
     stops = table(spark, sf, "orders").select(F.col("o_custkey").alias("route"), F.col("o_orderkey").alias("i"), (F.col("o_orderkey") % 25).alias("stop"))
     ends = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long"))).alias("b"))
-    costs = ends.withColumn("cost", F.abs(F.col("a") - F.col("b")) + 1)
+    costs = ends.where("NOT (a = 7 AND b > 20)").withColumn("cost", F.abs(F.col("a") - F.col("b")) + 1)
     return ranking.path_cost(stops, costs, ["route"], "i", "stop")
 
 
-@query("legs", """WITH h AS (SELECT user_id AS trip, event_id AS i, event_id * 7 // 3 % 2 AS line, event_id % 50 AS cost FROM events), f AS (SELECT *, CASE WHEN lag(line) OVER w = line THEN 0 ELSE 1 END AS new FROM h WINDOW w AS (PARTITION BY trip ORDER BY i)), g AS (SELECT *, sum(new) OVER (PARTITION BY trip ORDER BY i) AS leg FROM f)
+@query("legs", """WITH h AS (SELECT user_id AS trip, event_id AS i, CASE WHEN event_id % 3 = 0 OR event_id % 10 = 1 THEN NULL ELSE event_id * 7 // 31 % 2 END AS line, event_id % 50 AS cost FROM events),
+  w AS (SELECT *, last_value(line IGNORE NULLS) OVER (PARTITION BY trip ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was, first_value(line IGNORE NULLS) OVER (PARTITION BY trip ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS comes,
+    row_number() OVER p > 1 AND lag(line) OVER p IS NULL AS again FROM h WINDOW p AS (PARTITION BY trip ORDER BY i)),
+  k AS (SELECT * FROM w WHERE line IS NOT NULL OR (NOT again AND coalesce(was <> comes, true))),
+  g AS (SELECT *, sum(CASE WHEN line IS NOT NULL AND coalesce(was = line, false) THEN 0 ELSE 1 END) OVER (PARTITION BY trip ORDER BY i) AS leg FROM k)
   SELECT trip, leg::BIGINT AS leg, line, count(*) AS hops, sum(cost)::BIGINT AS cost, min(i) AS first FROM g GROUP BY 1, 2, 3""")
 def legs(spark, sf):
-    hops = table(spark, sf, "events").selectExpr("user_id AS trip", "event_id AS i", "event_id * 7 div 3 % 2 AS line", "event_id % 50 AS cost")
+    hops = table(spark, sf, "events").selectExpr("user_id AS trip", "event_id AS i", "CASE WHEN event_id % 3 = 0 OR event_id % 10 = 1 THEN NULL ELSE event_id * 7 div 31 % 2 END AS line", "event_id % 50 AS cost")
     return ranking.legs(hops, ["trip"], "i", "line", "cost")
 
 

@@ -1,7 +1,7 @@
 """Live traffic and hazard feeds; each works on a batch and, where it says so, on a stream.
 
-Events are (hex, cs, lat, lon, alt_baro text, gs, track, squawk, source_rank, ts).  Late rows beyond the
-watermark are dropped.
+Events are (hex, cs, reg, kind, region, lat, lon, alt_baro text, gs, rate, track, squawk, source_rank, ts).  Late rows
+beyond the watermark are dropped.
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 
-EMERGENCY = ("7500", "7600", "7700")
-BANDS = ((0, "ground-1k"), (1000, "1k-10k"), (10_000, "10k-20k"), (20_000, "20k-30k"), (30_000, "30k+"))
+#: Emergency codes by rank, and altitude bands (lower edges in feet).
+EMERGENCY = ("7700", "7600")
+BANDS = ((float("-inf"), "<10k"), (10_000, "10-20k"), (20_000, "20-30k"), (30_000, "30-40k"), (40_000, ">40k"))
 WATERMARK = "10 minutes"
 
 
@@ -29,18 +30,35 @@ def altitude_band(feet: Column) -> Column:
 
 def airborne(events: DataFrame) -> DataFrame:
     """Stateless: drops rows without a position or on the ground, adds the altitude in feet."""
-    return events.where(F.col("lat").isNotNull() & F.col("lon").isNotNull() & (F.col("alt_baro") != "ground")).withColumn("feet", altitude(F.col("alt_baro")))
+    return events.where(F.col("lat").isNotNull() & F.col("lon").isNotNull() & (F.coalesce("alt_baro", F.lit("")) != "ground")).withColumn("feet", altitude(F.col("alt_baro")))
 
 
 def first_seen(events: DataFrame) -> DataFrame:
-    """Batch: one row per aircraft, by source rank and time."""
+    """Batch: one row per aircraft, by source rank and time; rows without an id go."""
     w = Window.partitionBy("hex").orderBy("source_rank", "ts", "lat", "lon")
-    return events.withColumn("_i", F.row_number().over(w)).where("_i = 1").drop("_i")
+    return events.where("hex is not null").withColumn("_i", F.row_number().over(w)).where("_i = 1").drop("_i")
 
 
-def pulse(events: DataFrame) -> DataFrame:
-    """Batch: airborne aircraft by band, each once."""
-    return airborne(first_seen(events)).groupBy(altitude_band(F.col("feet")).alias("band")).agg(F.count(F.lit(1)).alias("n"), F.max("gs").alias("fastest"))
+def airline(cs: Column) -> Column:
+    """The first three letters of a callsign, if it has as many."""
+    letters = F.substring(F.regexp_replace(F.upper(cs), "[^A-Z]", ""), 1, 3)
+    return F.when(F.length(letters) == 3, letters)
+
+
+def pulse(events: DataFrame, airlines: list[str], most: dict[str, int] | None = None) -> DataFrame:
+    """Batch: facet, name, n: the airborne aircraft, each once, by region, airline (of `airlines`), type and band.
+
+    Only the `most` frequent airlines and types are told (12 and 10), ties by name.
+    """
+    most = {"airline": 12, "type": 10} if most is None else most
+    code = airline(F.col("cs"))
+    kind = F.upper(F.trim("kind"))
+    facets = {"region": F.col("region"), "airline": F.when(code.isin(airlines), code), "type": F.when(kind != "", kind), "band": altitude_band(F.col("feet"))}
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("facet"), c.alias("name")) for f, c in facets.items())))
+    counts = first_seen(airborne(events)).select(each.alias("x")).where("x.name is not null").groupBy("x.facet", "x.name").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "name"))
+    limit = F.coalesce(*(F.when(F.col("facet") == f, n) for f, n in most.items()), F.lit(2**31 - 1)) if most else F.lit(2**31 - 1)
+    return counts.withColumn("_i", place).where(F.col("_i") <= limit).drop("_i")
 
 
 def pulse_stream(events: DataFrame, window: str = "5 minutes") -> DataFrame:
@@ -50,11 +68,14 @@ def pulse_stream(events: DataFrame, window: str = "5 minutes") -> DataFrame:
 
 
 def emergencies(events: DataFrame) -> DataFrame:
-    """Batch or stream: rows with an emergency code, one per aircraft and code within the watermark."""
-    rows = events.where(F.col("squawk").isin(*EMERGENCY))
+    """Batch or stream: one row per aircraft that has a position and an emergency code; in a batch its first code by
+    rank and then its first row, in a stream its first row within the watermark.  `label` names it."""
+    rows = events.where(F.col("squawk").isin(*EMERGENCY) & F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    named = [F.when(F.trim(c) != "", F.trim(c)) for c in ("cs", "reg")]
+    rows = rows.withColumn("label", F.coalesce(*named, F.upper("hex")))
     if events.isStreaming:
-        return rows.withWatermark("ts", WATERMARK).dropDuplicatesWithinWatermark(["hex", "squawk"])
-    w = Window.partitionBy("hex", "squawk").orderBy("ts")
+        return rows.withWatermark("ts", WATERMARK).dropDuplicatesWithinWatermark(["hex"])
+    w = Window.partitionBy("hex").orderBy(F.desc("squawk"), "ts", "lat", "lon")
     return rows.withColumn("_i", F.row_number().over(w)).where("_i = 1").drop("_i")
 
 
@@ -64,19 +85,28 @@ def sessions(events: DataFrame, key: str, gap: str = "30 minutes") -> DataFrame:
     return rows.groupBy(F.session_window("ts", gap).alias("s"), key).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
-def phase(events: DataFrame, lat: float, lon: float, near_km: float = 60.0) -> DataFrame:
-    """Batch or stream, stateless: ground, arrival, departure or overhead as seen from an airport, and minutes to go."""
-    km = geo.haversine(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon))
-    off = geo.angle_between(F.col("track"), geo.bearing(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon)))
-    kind = F.when(F.col("alt_baro") == "ground", "ground").when(km > near_km, "far").when(off <= 45, "arrival").when(off >= 135, "departure").otherwise("overhead")
-    eta = F.when((kind == "arrival") & (F.col("gs") > 30), km / geo.KM_PER_NM / F.col("gs") * 60)
-    return events.withColumn("km", km).withColumn("phase", kind).withColumn("eta_min", eta)
+def phase(events: DataFrame, lat: float, lon: float) -> DataFrame:
+    """Batch or stream, stateless: ground, arrival, departure or overhead as seen from an airport, and minutes to go.
+
+    Below 20,000 ft a flight arrives if it climbs less than 200 ft/min on a track within 55 degrees of the field, and
+    departs if it climbs more than 300 ft/min within 70 degrees of the way out.  The time to go takes 80 kt at least.
+    """
+    here, field = (F.col("lat"), F.col("lon")), (F.lit(lat), F.lit(lon))
+    nm = F.round(geo.haversine(*here, *field) / geo.KM_PER_NM, 1)
+    rate, feet = F.coalesce("rate", F.lit(0.0)), altitude(F.col("alt_baro"))
+    low = (feet < 20_000) & F.col("track").isNotNull()
+    arrives = low & (rate < 200) & (geo.angle_between(F.col("track"), geo.bearing(*here, *field)) <= 55)
+    departs = low & (rate > 300) & (geo.angle_between(F.col("track"), geo.bearing(*field, *here)) <= 70)
+    kind = F.when(F.col("alt_baro") == "ground", "ground").when(arrives, "arrival").when(departs, "departure").otherwise("overhead")
+    speed = F.greatest(F.when(F.col("gs") > 0, F.col("gs")).otherwise(F.lit(80.0)), F.lit(80.0))
+    eta = F.when(kind == "arrival", F.rint(nm / speed * 60).cast("int"))
+    return events.where("lat is not null and lon is not null").withColumn("nm", nm).withColumn("phase", kind).withColumn("eta_min", eta)
 
 
 def strong_quakes(quakes: DataFrame, now: Column, least: float = 2.5) -> DataFrame:
-    """Batch or stream, stateless: magnitude, and age in hours (0 at least)."""
+    """Batch or stream, stateless: magnitude, depth and age in hours (0 at least), all to one place."""
     age = F.greatest((F.unix_timestamp(now) - F.unix_timestamp("ts")) / 3600, F.lit(0.0))
-    return quakes.where(F.col("mag") >= least).withColumn("age_h", age)
+    return quakes.where(F.col("mag") >= least).withColumn("mag", F.round("mag", 1)).withColumn("depth", F.round("depth", 1)).withColumn("age_h", F.round(age, 1))
 
 
 def last_geometry(events: DataFrame, per_kind: int = 120) -> DataFrame:
@@ -86,20 +116,36 @@ def last_geometry(events: DataFrame, per_kind: int = 120) -> DataFrame:
     return rows.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= per_kind).drop("_i")
 
 
-def cover_centers(spark, lat: float, lon: float, radius_nm: float, each_nm: float = 250.0) -> DataFrame:
-    """Centres of circles of `each_nm` that cover a larger circle (a square lattice inside it)."""
+def cover_circles(searches: DataFrame, radius_nm: float, each_nm: float = 250.0) -> DataFrame:
+    """For each search (id, lat, lon), the centres of circles of `each_nm` that cover a circle of `radius_nm` (a square
+    lattice): id, lat, lon."""
     step = each_nm * 2**0.5
     n = int(radius_nm // step) + 1
-    i = spark.range(-n, n + 1).select((F.col("id") * step).alias("dy"))
-    j = spark.range(-n, n + 1).select((F.col("id") * step).alias("dx"))
-    at = i.crossJoin(j).where(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")) <= radius_nm + each_nm)
-    y = lat + F.col("dy") / 60
-    return at.select(y.alias("lat"), (lon + F.col("dx") / (60 * F.cos(F.radians(y)))).alias("lon"))
-
-
-def flight_candidates(events: DataFrame, airlines: DataFrame, n: int) -> DataFrame:
-    """Airborne above 10,000 ft with a callsign of a known airline, one per callsign, first n by callsign."""
-    form = "^([A-Z]{3})[0-9]{1,4}[A-Z]?$"
-    rows = airborne(events).where((F.col("feet") > 10_000) & F.col("cs").rlike(form)).withColumn("airline", F.regexp_extract("cs", form, 1))
-    rows = rows.join(airlines.select("airline"), "airline", "left_semi")
-    return rows.groupBy("cs").agg(F.min("hex").alias("hex"), F.max("feet").alias("feet")).orderBy("cs").limit(n)
+    places = [(i * step, j * step) for i in range(-n, n + 1) for j in range(-n, n + 1) if ((i * step) ** 2 + (j * step) ** 2) ** 0.5 <= radius_nm + each_nm]
+    off = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in places))).alias("o")
+    y = F.col("lat") + F.col("o.dy") / 60
+    return searches.select("id", "lat", "lon", off).select("id", y.alias("lat"), (F.col("lon") + F.col("o.dx") / (60 * F.cos(F.radians(y)))).alias("lon"))
+
+
+def flight_candidates(events: DataFrame, airlines: DataFrame, routes: DataFrame, n: int) -> DataFrame:
+    """Airborne at 10,000 ft or more, with an exact callsign (three letters, one to four digits) of a known airline
+    (airline, iata) and a known route (cs, origin, destination): one row per flight, the first n by source and time."""
+    form = "^([A-Z]{3})([0-9]{1,4})$"
+    cs = F.upper(F.trim("cs"))
+    rows = airborne(events).withColumn("cs", cs).where((F.col("feet") >= 10_000) & F.col("cs").rlike(form))
+    rows = rows.withColumn("airline", F.regexp_extract("cs", form, 1)).join(airlines.select("airline", "iata"), "airline")
+    rows = rows.withColumn("flight", F.concat("iata", F.regexp_extract("cs", form, 2)))
+    w = Window.partitionBy("flight").orderBy("source_rank", "ts", "hex")
+    once = rows.withColumn("_i", F.row_number().over(w)).where("_i = 1").join(routes.select("cs", F.concat_ws(" > ", "origin", "destination").alias("route")), "cs")
+    return once.orderBy("source_rank", "ts", "flight").limit(n).select("flight", "cs", "hex", "feet", "route")
+
+
+#: What lies under the points of the wind grid, by longitude, in the north and in the south.
+NORTH = {-120: "the N Pacific", -90: "North America", -60: "the N Atlantic", -30: "the N Atlantic", 0: "W Europe", 30: "E Europe", 60: "Central Asia", 90: "Asia", 120: "E Asia", 150: "the NW Pacific"}
+SOUTH = {-120: "the S Pacific", -90: "South America", -60: "the S Atlantic", -30: "the S Atlantic", 0: "the S Atlantic", 30: "southern Africa", 60: "the Indian Ocean", 90: "the Indian Ocean", 120: "Australia", 150: "the S Pacific"}
+
+
+def wind_region(lat: Column, lon: Column) -> Column:
+    """The region of a point of the wind grid, or the band it lies in."""
+    named = lambda table: F.coalesce(*(F.when(lon == x, name) for x, name in table.items()))
+    return F.when(lat >= 0, F.coalesce(named(NORTH), F.lit("the northern band"))).otherwise(F.coalesce(named(SOUTH), F.lit("the southern band")))
