@@ -132,13 +132,24 @@ def with_fallback(df: DataFrame, table: DataFrame, key: str, second: Column, val
     return out.join(two, F.col("_second") == F.col("_k2"), "left").withColumn(value, F.coalesce("_v1", "_v2")).drop("_k1", "_v1", "_k2", "_v2", "_second")
 
 
-def as_of(df: DataFrame, rates: DataFrame, keys: Sequence[str], when: str, value: str) -> DataFrame:
-    """The latest value at or before each row's time, per key: a union and a running last value."""
+def as_of(df: DataFrame, rates: DataFrame, keys: Sequence[str], when: str, value: str, bucket: Column | None = None) -> DataFrame:
+    """The latest value at or before each row's time, per key: a union and a running last value.
+
+    bucket: a coarse form of `when` (its month, say).  Running values are then kept within buckets, and each bucket
+    starts with the last value of those before it, so that a key with many rows is not one task's.
+    """
+    at = F.lit(0) if bucket is None else bucket
     left = df.withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(rates.schema[value].dataType))
     right = rates.select(*keys, when, F.col(value).alias("_v")).withColumn("_side", F.lit(0))
-    w = Window.partitionBy(*keys).orderBy(when, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionByName(right, allowMissingColumns=True).withColumn("_v", F.last("_v", ignorenulls=True).over(w))
-    return both.where("_side = 1").withColumn(value, F.col("_v")).drop("_side", "_v")
+    both = left.unionByName(right, allowMissingColumns=True).withColumn("_bucket", at)
+    w = Window.partitionBy(*keys, "_bucket").orderBy(when, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w))
+    if bucket is not None:
+        ends = both.groupBy(*keys, "_bucket").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(when))).alias("_last"))
+        before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select(*keys, "_bucket", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+        out = out.join(ends, [*keys, "_bucket"]).withColumn("_v", F.coalesce("_v", "_carry")).drop("_carry")
+    return out.where("_side = 1").withColumn(value, F.col("_v")).drop("_side", "_v", "_bucket")
 
 
 def same_group_pairs(df: DataFrame, group: str, item: str, line: str) -> DataFrame:

@@ -15,9 +15,10 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
 
 
-def global_rank(df: DataFrame, order: Sequence[str], name: str = "rank", ranges: int = 64) -> DataFrame:
-    """Row numbers of the whole table without one task for all: range partitions, then their offsets."""
-    parts = df.repartitionByRange(ranges, *order).withColumn("_p", F.spark_partition_id())
+def global_rank(df: DataFrame, order: Sequence[Column | str], name: str = "rank") -> DataFrame:
+    """Row numbers of the whole table without one task for all: range partitions (as many as a shuffle has), then
+    their offsets."""
+    parts = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
     local = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     local = graph.cut(local)  # range bounds are sampled: both uses below must see the same ones
     sizes = local.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))

@@ -29,9 +29,10 @@ class VersionedTable:
         return stamp
 
     def history(self) -> list[str]:
-        """Snapshot names from the folder listing (a few strings), oldest first."""
-        files = self.spark.read.parquet(self.path).inputFiles()
-        return sorted({f.split("snapshot_ts=", 1)[1].split("/", 1)[0] for f in files})
+        """The names of the snapshots that were committed, oldest first; one that died while written has no marker."""
+        marks = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/snapshot_ts=*/_SUCCESS")
+        found = marks.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).globStatus(marks) or []
+        return sorted(str(f.getPath().getParent().getName()).split("=", 1)[1] for f in found)
 
     def at(self, stamp: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/snapshot_ts={stamp}")
@@ -44,8 +45,10 @@ class VersionedTable:
         return self.write(self.latest().unionByName(new, allowMissingColumns=True))
 
     def update(self, changes: DataFrame) -> str:
-        """Changed columns by id; an id that isn't there is an error."""
+        """Changed columns by id; an id that isn't there, or is changed twice, is an error."""
         now = self.latest()
+        if changes.groupBy("id").count().where("count > 1").limit(1).count():
+            raise ValueError("an id is changed twice")
         lost = changes.join(now, "id", "left_anti").limit(1).count()
         if lost:
             raise KeyError("an id to update is not in the table")
@@ -75,6 +78,7 @@ class VersionedTable:
 
 
 def updated(now: DataFrame, changes: DataFrame) -> DataFrame:
+    """`now` with the columns of `changes` (one row for each id) set."""
     cols = [c for c in changes.columns if c != "id"]
     new = changes.select("id", *(F.col(c).alias(f"_new_{c}") for c in cols), F.lit(True).alias("_hit"))
     out = now.join(new, "id", "left")

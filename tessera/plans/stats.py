@@ -203,7 +203,7 @@ def day_readout(spark, sf):
 def as_of_rate(spark, sf):
     q = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 5).alias("pair"), F.to_date("o_orderdate").alias("day"))
     rates = q.where("id % 3 = 0").groupBy("pair", "day").agg(F.max("id").alias("rate"))
-    return joins.as_of(q, rates, ["pair"], "day", "rate").select("id", "rate")
+    return joins.as_of(q, rates, ["pair"], "day", "rate", F.trunc("day", "month")).select("id", "rate")
 
 
 @query("path_costs", """WITH s AS (SELECT o_custkey AS route, o_orderkey AS i, o_orderkey % 25 AS stop FROM orders), h AS (SELECT route, stop AS a, coalesce(lead(stop) OVER (PARTITION BY route ORDER BY i), first_value(stop) OVER (PARTITION BY route ORDER BY i)) AS b FROM s)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import versioned
+from ..operators import ranking, versioned
 from ..sources import io
 from .registry import query, table
 
@@ -31,10 +31,8 @@ def row_deletes(spark, sf):
 
 @query("reordered_rows", "WITH f AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS r FROM part WHERE p_size = 7) SELECT p_partkey AS id, coalesce(r, p_partkey + 1099511627776) AS pos FROM part LEFT JOIN f ON id = p_partkey")
 def reordered_rows(spark, sf):
-    from pyspark.sql import Window
-
     p = table(spark, sf, "part")
-    front = p.where("p_size = 7").select(F.col("p_partkey").alias("id"), F.row_number().over(Window.orderBy(F.desc("p_retailprice"), "p_partkey")).cast("long").alias("pos"))
+    front = ranking.global_rank(p.where("p_size = 7").select(F.col("p_partkey").alias("id"), "p_retailprice"), [F.desc("p_retailprice"), F.col("id")], "pos").select("id", "pos")
     return versioned.reordered(p.select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("pos")), front)
 
 

@@ -47,8 +47,10 @@ def piped(spark: SparkSession, path: str, key: str, prefix: str, value: str, mis
 
 
 def tab_places(spark: SparkSession, path: str, least_fields: int, lat: int, lon: int, name: int, digits: int = 3) -> DataFrame:
-    """Tab-separated places with enough fields, one for each rounded coordinate (the first line's)."""
-    rows = spark.read.text(path).select(F.split("value", "\t").alias("f"), F.monotonically_increasing_id().alias("line")).where(F.size("f") >= least_fields)
+    """Tab-separated places with enough fields, one for each rounded coordinate: the first line's, by file name and
+    place in the file."""
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("i"))
+    rows = spark.read.text(path).select(F.split("value", "\t").alias("f"), place.alias("line")).where(F.size("f") >= least_fields)
     rows = rows.select(F.col("f")[name].alias("name"), F.col("f")[lat].try_cast("double").alias("lat"), F.col("f")[lon].try_cast("double").alias("lon"), "line").where("lat is not null and lon is not null")
     first = F.min_by(F.struct("name", "lat", "lon"), F.col("line"))
     return rows.groupBy(F.round("lat", digits).alias("_y"), F.round("lon", digits).alias("_x")).agg(first.alias("p")).select("p.*")
@@ -104,6 +106,13 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.csv(path, header=True)
 
 
-def jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
-    """A remote query as a table; give partitionColumn, lowerBound, upperBound, numPartitions with dbtable to split it."""
-    return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+def jdbc(spark: SparkSession, url: str, query: str, split: tuple[str, int, int, int] | None = None, **options: str) -> DataFrame:
+    """A remote query as a table.
+
+    split: a numeric column of the query, its lowest and highest value and the number of parts that are read side by side
+    (rows outside the values are read too); without it one task reads all.
+    """
+    if split:
+        column, low, high, parts = split
+        options |= {"partitionColumn": column, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)}
+    return spark.read.format("jdbc").options(url=url, dbtable=f"({query}) q", **options).load()
