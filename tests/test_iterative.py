@@ -124,15 +124,15 @@ def test_text_sources(spark, tmp_path):
 
 
 def test_streams_drop_late_rows_and_repeat_nothing(spark, tmp_path):
-    schema = "hex string, lat double, lon double, alt_baro string, gs double, squawk string, ts timestamp"
-    one = spark.createDataFrame([("a", 1.0, 1.0, "5000", 1.0, "7700", "2024-01-01 00:01:00"), ("a", 1.0, 1.0, "9000", 1.0, "7700", "2024-01-01 00:02:00"), ("b", 1.0, 1.0, "ground", 1.0, "1200", "2024-01-01 00:02:00"), ("c", 1.0, 1.0, "35000", 1.0, "1200", "2024-01-01 02:00:00")], schema.replace("ts timestamp", "ts string")).withColumn("ts", F.col("ts").cast("timestamp"))
+    schema = "hex string, cs string, reg string, lat double, lon double, alt_baro string, gs double, squawk string, ts timestamp"
+    one = spark.createDataFrame([("a", " ", "R1", 1.0, 1.0, "5000", 1.0, "7700", "2024-01-01 00:01:00"), ("a", " ", "R1", 1.0, 1.0, "9000", 1.0, "7700", "2024-01-01 00:02:00"), ("b", " ", "R1", 1.0, 1.0, "ground", 1.0, "1200", "2024-01-01 00:02:00"), ("c", " ", "R1", 1.0, 1.0, "35000", 1.0, "1200", "2024-01-01 02:00:00")], schema.replace("ts timestamp", "ts string")).withColumn("ts", F.col("ts").cast("timestamp"))
     one.coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
     for name, df in (("pulse", live.pulse_stream(stream)), ("codes", live.emergencies(stream))):
         q = df.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/{name}").outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination(120)
-    assert [(r["band"], r["n"]) for r in spark.table("pulse").where("window.start < '2024-01-01 01:00:00'").collect()] == [("1k-10k", 1)]
-    assert [r["hex"] for r in spark.table("codes").collect()] == ["a"]
+    assert [(r["band"], r["n"]) for r in spark.table("pulse").where("window.start < '2024-01-01 01:00:00'").collect()] == [("<10k", 1)]
+    assert [(r["hex"], r["label"]) for r in spark.table("codes").collect()] == [("a", "R1")]
 
 
 def test_ring_area_and_containment(spark):
