@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.cluster import written
+from tessera.llm.cluster import scratch, written
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.jaccard_join import keep_one
 from tessera.llm.mixing import mix_to_targets
@@ -70,5 +70,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark):  # a stage's own tables go when its documents are written
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"), stays=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -46,7 +46,7 @@ def chat_windows(turns: DataFrame, budget: int = 1024, history: int = 256) -> Da
     before), loss_spans (start and end in code points), n_tokens."""
     # a row without a conversation stands alone, whatever its number
     alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
-    rows = turns.select(alone.alias("alone"), F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = turns.select(alone.alias("alone"), F.col("conv_id").try_cast("long").alias("conv_id"), F.col("turn").try_cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("tokens", F.regexp_count("text", F.lit("[^ \\t-\\r]+")).cast("long"))
     order = Window.partitionBy("conv_id", "alone").orderBy("turn", "role", "text")
     rows = rows.withColumn("i", F.row_number().over(order)).withColumn("before", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens"))

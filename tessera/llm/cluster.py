@@ -6,6 +6,7 @@ import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,31 @@ def shared_folder(spark: SparkSession) -> str:
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that `written` makes inside, but for those that stay, when it ends."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def written(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """`df` as a Parquet table in the shared folder: lineage is cut, lost executors cost nothing.
 
-    The shuffle files of the write go when it ends, as the table takes their place.
+    The shuffle files of the write go when it ends, as the table takes their place.  The table goes with the `scratch`
+    around it, unless it stays.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scratch and not stays:
+        _scratch[-1].append(path)
     before = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")
     try:
@@ -50,8 +69,9 @@ def small_batches(spark: SparkSession, size: str = "8m") -> SparkSession:
 
 
 def own_names(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
-    """Only the columns in `wanted`, cast; other columns, whatever their names, are left behind."""
-    return df.select(*(F.col(f"`{c}`").cast(t).alias(c) for c, t in wanted.items()))
+    """Only the columns in `wanted`, cast (an id that is no whole number is null); other columns, whatever their
+    names, are left behind."""
+    return df.select(*(F.col(f"`{c}`").try_cast(t).alias(c) for c, t in wanted.items()))
 
 
 def carried(df: DataFrame, names: Sequence[str]) -> Column:

@@ -190,7 +190,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, percent
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(3), pa.array(hit), batch.column(5), batch.column(4), pa.array(bad), batch.column(2)], ["doc_id", "text", "n_words", "n_hit", "items", "spans", "contaminated", "carried"])
 
     kind = carried_type(docs, carry)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), carried(docs, carry)).mapInArrow(name, f"doc_id long, text string, carried {kind}, n_words long, content long, touched boolean")
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), carried(docs, carry)).mapInArrow(name, f"doc_id long, text string, carried {kind}, n_words long, content long, touched boolean")
     if (found.agg(F.sum(F.size("spans") + F.size("items"))).first()[0] or 0) <= BROADCAST_FOUND:
         rows = rows.join(F.broadcast(found), "content", "left")
     else:

@@ -310,7 +310,7 @@ def keep_one(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64()), pa.array(near)], ["doc_id", "text", "row", "node", "near"])
 
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row.alias("row"))
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row.alias("row"))
     rows = rows.mapInArrow(name, f"doc_id long, text string, row {rows.schema['row'].dataType.simpleString()}, node long, near boolean").drop("text")
     placed = spread_join(written(rows.where("near"), "near"), classes, "node", "rows")
     stay = placed.where("stays is null").select("row").unionByName(placed.where("node = stays and doc_id <=> stays_as").dropDuplicates(["node"]).select("row"))

@@ -64,9 +64,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, n_features:
     most surely (by standard deviations from their overall share) enter a logistic regression.
     """
     k = len(DOMAINS)
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), domain_of().alias("domain")).where(F.col("doc_id").isNotNull() & F.col("domain").isNotNull() & ~held_out())
+    known = labels.select(F.col("doc_id").try_cast("long").alias("doc_id"), domain_of().alias("domain")).where(F.col("doc_id").isNotNull() & F.col("domain").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max("domain").alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
+    texts = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
     texts = written(texts.groupBy("doc_id").agg(F.max("domain").alias("domain"), F.min("text").alias("text")).select("domain", "text"), "labelled")
 
     def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +144,7 @@ def posteriors(docs: DataFrame, model: np.ndarray, carry: Sequence[str] = ()) ->
             p /= p.sum(1, keepdims=True)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(w.counts.astype(np.int64)), *(pa.array(p[:, i].copy()) for i in range(len(names)))], ["doc_id", "text", "carried", "n_tokens", *names])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), carried(docs, carry))
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), carried(docs, carry))
     return rows.mapInArrow(run, f"doc_id long, text string, carried {carried_type(docs, carry)}, n_tokens long, " + ", ".join(f"{x} double" for x in names))
 
 

@@ -111,7 +111,7 @@ def held_out(doc_id: str = "doc_id", folds: int = 5) -> F.Column:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = 4000, rank: int = 64, k: int = 15) -> Neighbours:
     """Fits the space on at most `sample_rows` labelled rows outside the held-out fold."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out())
+    known = labels.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

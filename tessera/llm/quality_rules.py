@@ -127,7 +127,7 @@ def measures(w: Words, lines: Lines) -> dict[str, np.ndarray]:
 
 
 def _inputs(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("source").cast("string")).alias("host"), carried(docs, carry))
+    return docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("source").cast("string")).alias("host"), carried(docs, carry))
 
 
 def line_keys(w: Words, lines: Lines, host: np.ndarray) -> np.ndarray:

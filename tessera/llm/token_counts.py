@@ -40,6 +40,8 @@ class PairMerger:
             raise ValueError("ranks aren't distinct whole numbers")
         if any(SPACE in p.lstrip(SPACE) for p in self.rank):
             raise ValueError("a piece crosses a space: texts can't be cut there")
+        if any("\n" in p[1:] for p in self.rank):
+            raise ValueError("a piece crosses a newline: texts can't be cut there")
         self.pairs = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
         self.kept: dict[str, int] = {}
         self.parts: dict[str, int] = {}
