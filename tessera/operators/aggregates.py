@@ -33,12 +33,18 @@ def multi_resolution(points: DataFrame, cell: str, resolutions: Sequence[int], v
     return points.select(each.alias("x"), value.alias("v")).groupBy("x.res", "x.parent").agg(F.sum("v").alias("total"), F.count(F.lit(1)).alias("n"))
 
 
-def weighted_median(df: DataFrame, value: str, weight: str, keys: Sequence[str]) -> DataFrame:
-    """Per key, the first value whose running weight reaches half of all (equal values count together)."""
-    by = df.groupBy(*keys, value).agg(F.sum(weight).alias("w"))
-    run = Window.partitionBy(*keys).orderBy(value)
-    whole = Window.partitionBy(*keys)
-    return by.withColumn("run", F.sum("w").over(run)).withColumn("all", F.sum("w").over(whole)).where(F.col("run") * 2 >= F.col("all")).groupBy(*keys).agg(F.min(value).alias("weighted_median"))
+def weighted_median(df: DataFrame, value: str, weight: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Per key (or of the whole table), the first value whose running weight reaches half of all (equal values count
+    together).  Weights are added up by ranges, so that no group is one task's."""
+    by = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(weight).alias("_w")).where("_w > 0")
+    reached = (F.col("_before") * 2 < F.col("_all")) & ((F.col("_before") + F.col("_w")) * 2 >= F.col("_all"))
+    return below(by, keys, value, "_w").where(reached).select(*keys, F.col(value).alias("weighted_median"))
+
+
+def distinct_counts(df: DataFrame, keys: Sequence[str], columns: Sequence[str], error: float | None = None) -> DataFrame:
+    """Different values of each column per key: exact, or within a relative standard error by a sketch of fixed size."""
+    count = (lambda c: F.count_distinct(c)) if error is None else (lambda c: F.approx_count_distinct(c, error))
+    return df.groupBy(*keys).agg(*(count(F.col(c)).alias(c) for c in columns))
 
 
 def banded(df: DataFrame, value: str, amount: str, edges: Sequence[float | None]) -> DataFrame:
@@ -80,8 +86,11 @@ def below(counts: DataFrame, keys: Sequence[str], value: str, n: str) -> DataFra
     """`counts` (one row for each value of each group, n of them) with `_before`, the number of smaller ones, and
     `_all`, the number in the group.
 
-    Values are dealt by range and summed within ranges first, so that a group's size is no task's size.
+    Values are dealt by range and summed within ranges first, so that a group's size is no task's size.  Without keys
+    the whole table is one group.
     """
+    if not keys:
+        return below(counts.withColumn("_whole", F.lit(1)), ["_whole"], value, n).drop("_whole")
     dealt = graph.cut(counts.repartitionByRange(*[F.col(k) for k in keys], F.col(value)).withColumn("_p", F.spark_partition_id()))
     sums = dealt.groupBy(*keys, "_p").agg(F.sum(n).alias("_n"))
     up_to = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))

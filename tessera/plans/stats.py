@@ -18,6 +18,11 @@ def weighted_median(spark, sf):
     return agg.weighted_median(points(spark, sf).withColumn("w", F.greatest("cents", F.lit(1))), "elev", "w", ["nation"])
 
 
+@query("weighted_median_of_all", f"WITH {PTS}, v AS (SELECT elev, sum(greatest(cents, 1)) AS w FROM pts GROUP BY 1), r AS (SELECT elev, sum(w) OVER (ORDER BY elev) AS run, sum(w) OVER () AS whole FROM v) SELECT min(elev) AS weighted_median FROM r WHERE run * 2 >= whole")
+def weighted_median_of_all(spark, sf):
+    return agg.weighted_median(points(spark, sf).withColumn("w", F.greatest("cents", F.lit(1))), "elev", "w")
+
+
 @query("histogram_equal_width", f"""WITH {PTS}, e AS (SELECT min(elev) AS lo, max(elev) AS hi FROM pts), c AS (SELECT least(floor((elev - lo) / (hi - lo) * 20), 19)::INT AS bin, count(*) AS n FROM pts, e GROUP BY 1)
   SELECT b.bin, round(lo + (hi - lo) * b.bin / 20, 6) AS left_edge, round(lo + (hi - lo) * (b.bin + 1) / 20, 6) AS right_edge, coalesce(n, 0) AS n FROM (SELECT unnest(range(20))::INT AS bin) b CROSS JOIN e LEFT JOIN c ON b.bin = c.bin""")
 def histogram_equal_width(spark, sf):
@@ -166,7 +171,8 @@ def client_summary(spark, sf):
 
 @query("distinct_counts", "SELECT event_type, count(DISTINCT user_id) AS users, count(DISTINCT ts::DATE) AS days FROM events GROUP BY 1")
 def distinct_counts(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.count_distinct(F.to_date("ts")).alias("days"))
+    rows = table(spark, sf, "events").select("event_type", F.col("user_id").alias("users"), F.to_date("ts").alias("days"))
+    return agg.distinct_counts(rows, ["event_type"], ["users", "days"])
 
 
 _DAILY = "d AS (SELECT event_type, ts::DATE AS day, avg(value) AS v FROM events GROUP BY 1, 2)"

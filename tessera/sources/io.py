@@ -95,6 +95,21 @@ def write_sorted(df: DataFrame, path: str, key: str, partitions: int | None = No
     ranged.sortWithinPartitions(key).write.option("compression", "zstd").parquet(path)
 
 
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """The size of the files in a folder, as its file system tells."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getContentSummary(where).getLength()
+
+
+def write_encodings(df: DataFrame, path: str, cell: str) -> dict[str, int]:
+    """The table sorted by cell, with the cells as numbers (path/int) and as text (path/text), and the bytes of both."""
+    from ..functions.cells import to_text
+
+    write_sorted(df, f"{path}/int", cell)
+    write_sorted(df.withColumn(cell, to_text(F.col(cell))), f"{path}/text", cell)
+    return {name: folder_bytes(df.sparkSession, f"{path}/{name}") for name in ("int", "text")}
+
+
 def write_by_coarse_cell(df: DataFrame, path: str, cell: str, res: int = 0) -> None:
     """Partitions by the parent cell at a coarse resolution, for partition pruning."""
     from ..functions.cells import parent

@@ -83,3 +83,11 @@ def test_as_of_is_the_same_in_buckets(spark):
     rates = spark.range(90).selectExpr("id % 3 AS k", "id * 53 % 700 AS t", "CASE WHEN id % 5 = 0 THEN NULL ELSE id END AS v")
     out = lambda b: {r["id"]: r["v"] for r in joins.as_of(rows, rates, ["k"], "t", "v", b).collect()}
     assert out(None) == out(F.floor(F.col("t") / 60)) and len(set(out(None).values())) > 20
+
+
+def test_encodings_of_cells(spark, tmp_path):
+    rows = spark.range(2000).select(cells.at(F.col("id") % 160 - 80.0, F.col("id") * 7.0 % 360 - 180, 9).alias("cell"), "id")
+    sizes = io.write_encodings(rows, f"file://{tmp_path}/e", "cell")
+    assert 0 < sizes["int"] < sizes["text"]
+    back = spark.read.parquet(f"file://{tmp_path}/e/text").select(cells.from_text(F.col("cell")).alias("cell"), "id")
+    assert back.exceptAll(rows).count() == 0 and back.count() == 2000
