@@ -11,10 +11,10 @@ from .registry import query, table
 
 
 def zones(spark, sf):
-    """id, ring: a triangle for each nation."""
-    z = table(spark, sf, "nation").selectExpr("cast(n_nationkey AS bigint) AS id", "-60.0D + n_nationkey * 5 AS x", "-40.0D + n_nationkey * 2 AS y")
+    """id, ring: a triangle of some degrees for each supplier."""
+    z = table(spark, sf, "supplier").selectExpr("s_suppkey AS id", "cast(s_suppkey * 7919 % 1200 AS double) / 10 - 60 AS x", "cast(s_suppkey * 104729 % 800 AS double) / 10 - 40 AS y")
     corner = lambda a, b: F.struct((F.col("x") + a).alias("x"), (F.col("y") + b).alias("y"))
-    return z.select("id", F.array(corner(0.0, 0.0), corner(12.0, 0.0), corner(0.0, 15.0)).alias("ring"))
+    return z.select("id", F.array(corner(0.0, 0.0), corner(3.0, 0.0), corner(0.0, 4.0)).alias("ring"))
 
 
 @query("cells_of_points", None)
@@ -74,7 +74,7 @@ def fill_report(spark, sf):
 
 @query("carried_mean", None)
 def carried_mean(spark, sf):
-    """Zones with values, cut by the zones of every fourth nation: the mean value of each cell."""
+    """Zones with values, cut by every fourth zone: the mean value of each cell."""
     z = zones(spark, sf)
     return hexes.carried_mean(z.withColumn("income", F.when(F.col("id") % 7 > 0, F.col("id") * 1000)), z.where("id % 4 = 0"), 4, "income")
 

@@ -148,20 +148,20 @@ def flood_exposure(spark, sf):
 
 
 @query("burnt_barriers", """WITH g AS (SELECT ((p_partkey - 1) // 40)::INT AS row, ((p_partkey - 1) % 40)::INT AS col, ((p_partkey * p_partkey * 31 + p_partkey * 17) % 97)::DOUBLE / 10 AS elev FROM part),
-  s AS (SELECT n_nationkey * 1.5::DOUBLE + 3.0::DOUBLE * k / 17 AS x, n_nationkey * 1.0::DOUBLE + 3.0::DOUBLE * k / 17 AS y FROM nation, (SELECT unnest(range(18)) AS k)),
+  s AS (SELECT s_suppkey % 25 * 1.5::DOUBLE + 3.0::DOUBLE * k / 17 AS x, s_suppkey % 25 * 1.0::DOUBLE + 3.0::DOUBLE * k / 17 AS y FROM supplier, (SELECT unnest(range(18)) AS k)),
   b AS (SELECT DISTINCT row, col FROM g JOIN s ON sqrt(pow(col + 0.5 - x, 2) + pow(row + 0.5 - y, 2)) <= 2)
   SELECT row, col, CASE WHEN b.row IS NOT NULL THEN greatest(elev, 20.0) ELSE elev END AS elev FROM g LEFT JOIN b USING (row, col)""")
 def burnt_barriers(spark, sf):
     """Cells of line barriers on the grid, raised."""
-    seg = table(spark, sf, "nation").selectExpr("n_nationkey * 1.5D AS x1", "40 - n_nationkey * 1.0D AS y1", "n_nationkey * 1.5D + 3 AS x2", "37 - n_nationkey * 1.0D AS y2")
+    seg = table(spark, sf, "supplier").selectExpr("s_suppkey % 25 * 1.5D AS x1", "40 - s_suppkey % 25 * 1.0D AS y1", "s_suppkey % 25 * 1.5D + 3 AS x2", "37 - s_suppkey % 25 * 1.0D AS y2")
     return flood.with_barriers(_grid(spark, sf), flood.line_cells(seg, 0.0, 40.0, 1.0), flood.WALL)
 
 
-@query("polygon_raster", """WITH z AS (SELECT n_nationkey * 5.0 AS x, n_nationkey * 2.0 AS y FROM nation), p AS (SELECT r, c, (c + 0.5)::DOUBLE * (0.5::DOUBLE / 3) AS lon, 70 - (r + 0.5)::DOUBLE * (0.5::DOUBLE / 3) AS lat FROM (SELECT unnest(range(421)) AS r), (SELECT unnest(range(800)) AS c)),
+@query("polygon_raster", """WITH z AS (SELECT (s_suppkey * 37 % 600)::DOUBLE / 10 AS x, (s_suppkey * 53 % 450)::DOUBLE / 10 AS y FROM supplier), p AS (SELECT r, c, (c + 0.5)::DOUBLE * (0.5::DOUBLE / 3) AS lon, 70 - (r + 0.5)::DOUBLE * (0.5::DOUBLE / 3) AS lat FROM (SELECT unnest(range(421)) AS r), (SELECT unnest(range(800)) AS c)),
   i AS (SELECT DISTINCT r, c FROM p JOIN z ON lon > x AND lat > y AND (lon - x) / 12 + (lat - y) / 15 < 1) SELECT (r // 3)::INT AS row, (c // 3)::INT AS col FROM i GROUP BY 1, 2 HAVING count(*) / 9.0 >= 0.45""")
 def polygon_raster(spark, sf):
     """Triangles rasterised on a half-degree grid: cells covered for 45 percent or more."""
-    z = table(spark, sf, "nation").selectExpr("n_nationkey * 5.0D AS x", "n_nationkey * 2.0D AS y")
+    z = table(spark, sf, "supplier").selectExpr("cast(s_suppkey * 37 % 600 AS double) / 10 AS x", "cast(s_suppkey * 53 % 450 AS double) / 10 AS y")
     corner = lambda a, b: F.struct((F.col("x") + a).alias("x"), (F.col("y") + b).alias("y"))
     return flood.polygon_cells(z.select(F.array(corner(0.0, 0.0), corner(12.0, 0.0), corner(0.0, 15.0)).alias("ring")), 0.0, 70.0, 0.5)
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions import cells, geo, hexgrid
 from tessera.operators import hexes
-from tessera.plans import grid
 
 #: Published cells with their corners (lon, lat), and centres (lat, lon) and km2 of base cells.
 CORNERS = {
@@ -59,10 +58,15 @@ def test_columns_and_nulls(spark):
     assert all(r[c] is None for r in out[1:] for c in ("cell", "c", "ring", "m2"))
 
 
-def test_fills_hold_every_centre_inside(spark, sf):
+def triangles(spark):
+    rows = [(i, [(x, y), (x + 12, y), (x, y + 15)]) for i in range(25) for x, y in ((-60.0 + i * 5, -40.0 + i * 2),)]
+    return spark.createDataFrame(rows, "id long, ring array<struct<x: double, y: double>>")
+
+
+def test_fills_hold_every_centre_inside(spark):
     every = np.unique(hexgrid.cell_of(*everywhere(3_000_000, 3), 3))
     lat, lon = hexgrid.center_of(every)
-    zones = grid.zones(spark, sf)
+    zones = triangles(spark)
     rows = spark.createDataFrame([(int(c), float(a), float(b)) for c, a, b in zip(every, lat, lon)], "cell long, lat double, lon double")
     want = rows.join(F.broadcast(zones), geo.ring_contains(F.col("ring"), F.col("lon"), F.col("lat"))).select("id", "cell")
     own = hexes.polyfill(zones, 3)
