@@ -6,6 +6,7 @@ Only nodes whose value improved in a round are expanded in the next.  Rounds end
 
 from __future__ import annotations
 
+import functools
 import tempfile
 from collections.abc import Sequence
 
@@ -13,6 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rounds of a search whose results are kept apart before they are merged.
+MERGED_ROUNDS = 8
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` checkpointed in the shared folder (one of our own only where none is set and all runs on this machine)."""
     sc = df.sparkSession.sparkContext
@@ -34,22 +39,24 @@ def shortest(edges: DataFrame, sources: DataFrame, keys: Sequence[str] = (), max
     best = F.min(F.struct("cost", "label", "prev")).alias("b")
     pick = [*keys, "node", "b.cost", "b.label", "b.prev"]
     start = sources.select(*keys, "node", F.col("cost").cast("double").alias("cost"), "label", F.lit(None).cast(edges.schema["src"].dataType).alias("prev"))
-    state = cut(start.groupBy(*keys, "node").agg(best).select(*pick))
-    frontier, rounds = state, 0
+    frontier = cut(start.groupBy(*keys, "node").agg(best).select(*pick))
+    # each round writes only what it bettered; a node's value is the least of all rounds, which are merged now and then
+    rounds, held = 0, [frontier]
+    merged = lambda: functools.reduce(DataFrame.unionByName, held).groupBy(*keys, "node").agg(best).select(*pick)
+    step = edges.withColumnRenamed("cost", "_w").withColumnRenamed("src", "node")
     while frontier.limit(1).count():
         if rounds >= max_rounds:
             raise RuntimeError(f"not settled after {max_rounds} rounds")
         rounds += 1
-        step = edges.withColumnRenamed("cost", "_w").withColumnRenamed("src", "node")
         reach = frontier.join(step, ["node", *on]).select(*keys, F.col("dst").alias("_to"), (F.col("cost") + F.col("_w")).alias("cost"), "label", F.col("node").alias("prev")).withColumnRenamed("_to", "node")
         reach = reach.groupBy(*keys, "node").agg(best).select(*pick)
-        old = state.select(*keys, "node", F.struct("cost", "label", "prev").alias("_old"))
-        both = old.join(reach.select(*keys, "node", F.struct("cost", "label", "prev").alias("_new")), [*keys, "node"], "full")
-        better = F.col("_new").isNotNull() & (F.col("_old").isNull() | (F.struct("_new.cost", "_new.label") < F.struct("_old.cost", "_old.label")))
-        both = cut(both.select(*keys, "node", better.alias("_better"), F.when(better, F.col("_new")).otherwise(F.col("_old")).alias("_v")))
-        state = both.select(*keys, "node", "_v.cost", "_v.label", "_v.prev")
-        frontier = both.where("_better").select(*keys, "node", "_v.cost", "_v.label", "_v.prev")
-    return state
+        known = merged().select(*keys, "node", F.col("cost").alias("_cost"), F.col("label").alias("_label"))
+        better = F.col("_cost").isNull() | (F.struct("cost", "label") < F.struct("_cost", "_label"))
+        frontier = cut(reach.join(known, [*keys, "node"], "left").where(better).select(*keys, "node", "cost", "label", "prev"))
+        held.append(frontier)
+        if len(held) > MERGED_ROUNDS:
+            held = [cut(merged())]
+    return cut(merged())
 
 
 def reach_by_group(paths: DataFrame, nodes: DataFrame) -> DataFrame:

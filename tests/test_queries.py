@@ -4,16 +4,13 @@ from tessera.plans.registry import ORACLE_SQL, QUERIES
 
 from .compare import assert_same, database
 
-# rounds of many small jobs: compared in test_iterative.py or left to the driver's larger tables
-SLOW = {"travel_times", "reach_by_group", "nearest_three", "connected_parts"}
-
 
 @pytest.fixture(scope="module")
 def db(sf):
     return database(sf)
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_oracle(spark, db, sf, name):
     assert_same(spark, db, sf, QUERIES[name], ORACLE_SQL[name])
 
