@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 
@@ -23,9 +24,10 @@ def neighbours(cells: DataFrame) -> DataFrame:
 
 
 def _settle(tile: pd.DataFrame) -> pd.DataFrame:
-    """The levels inside one tile, from the cells that have one."""
+    """The cells of one tile whose level falls when those that have one spread inside it."""
     elev = {(r, c): e for r, c, e in zip(tile["row"], tile["col"], tile["elev"])}
-    level = {(r, c): x for r, c, x in zip(tile["row"], tile["col"], tile["level"]) if x == x}
+    before = {(r, c): x for r, c, x in zip(tile["row"], tile["col"], tile["level"]) if x == x}
+    level = dict(before)
     heap = [(x, at) for at, x in level.items()]
     heapq.heapify(heap)
     while heap:
@@ -37,7 +39,8 @@ def _settle(tile: pd.DataFrame) -> pd.DataFrame:
             if at in elev and (new := max(x, elev[at])) < level.get(at, math.inf):
                 level[at] = new
                 heapq.heappush(heap, (new, at))
-    return tile.assign(level=[level.get(at, math.nan) for at in zip(tile["row"], tile["col"])])
+    fell = [(r, c, x) for (r, c), x in level.items() if x < before.get((r, c), math.inf)]
+    return pd.DataFrame(fell, columns=["row", "col", "level"])
 
 
 def flood_levels(grid: DataFrame, seeds: DataFrame, tile: int = 256, max_rounds: int = 10_000) -> DataFrame:
@@ -45,25 +48,33 @@ def flood_levels(grid: DataFrame, seeds: DataFrame, tile: int = 256, max_rounds:
     the highest cell on the way); cells that aren't reached are left out.
 
     Tiles of tile x tile cells are settled one by one in tasks; then levels cross the tile borders, and only tiles
-    that a border lowered are settled again.  Rounds are counted in tiles, not cells.
+    that a border lowered are settled again.  Rounds are counted in tiles, not cells, and write only cells whose
+    level fell; a cell's level is the least of all rounds.
     """
-    wet = seeds.select("row", "col").distinct().withColumn("_w", F.lit(True))
-    size = F.lit(tile)
-    state = grid.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("elev").cast("double").alias("elev")).join(wet, ["row", "col"], "left")
-    state = state.select("row", "col", "elev", F.when(F.col("_w"), F.col("elev")).otherwise(F.lit(float("nan"))).alias("level"), F.floor(F.col("row") / size).cast("int").alias("ty"), F.floor(F.col("col") / size).cast("int").alias("tx"))
-    state = graph.cut(state)
-    stale = graph.cut(state.where(~F.isnan("level")).select("ty", "tx").distinct())
+    tiles = lambda df: df.withColumn("ty", F.floor(F.col("row") / tile).cast("int")).withColumn("tx", F.floor(F.col("col") / tile).cast("int"))
+    cells = graph.cut(tiles(grid.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("elev").cast("double").alias("elev"))))
+    start = cells.join(seeds.select("row", "col").distinct(), ["row", "col"], "left_semi")
+    fell = graph.cut(start.select("row", "col", F.col("elev").alias("level")))
+    held = [fell]
+    merged = lambda: functools.reduce(DataFrame.unionByName, held).groupBy("row", "col").agg(F.min("level").alias("level"))
     for _ in range(max_rounds):
-        if not stale.limit(1).count():
-            return state.where(~F.isnan("level")).select("row", "col", "level")
-        settled = state.join(stale, ["ty", "tx"], "left_semi").select(state.columns).groupBy("ty", "tx").applyInPandas(_settle, state.schema)
-        state = graph.cut(settled.unionByName(state.join(stale, ["ty", "tx"], "left_anti")))
+        stale = tiles(fell).select("ty", "tx").distinct()
+        if not fell.limit(1).count():
+            return graph.cut(merged())
+        known = tiles(merged()).join(stale, ["ty", "tx"], "left_semi").select("row", "col", "level")
+        open_ = cells.join(stale, ["ty", "tx"], "left_semi").join(known, ["row", "col"], "left").select("row", "col", "elev", F.coalesce("level", F.lit(float("nan"))).alias("level"), "ty", "tx")
+        inside = open_.groupBy("ty", "tx").applyInPandas(_settle, "row int, col int, level double")
+        settled = graph.cut(inside.unionByName(fell))
+        held.append(settled)
         rim = (F.col("row") % tile).isin(0, tile - 1) | (F.col("col") % tile).isin(0, tile - 1)
-        out = neighbours(state.where(rim & ~F.isnan("level"))).where((F.floor(F.col("nrow") / size) != F.col("ty")) | (F.floor(F.col("ncol") / size) != F.col("tx")))
+        out = neighbours(tiles(settled).where(rim)).where((F.floor(F.col("nrow") / tile) != F.col("ty")) | (F.floor(F.col("ncol") / tile) != F.col("tx")))
         offers = out.groupBy(F.col("nrow").alias("row"), F.col("ncol").alias("col")).agg(F.min("level").alias("_in"))
-        lower = F.col("_in").isNotNull() & (F.isnan("level") | (F.greatest("_in", "elev") < F.col("level")))
-        both = graph.cut(state.join(offers, ["row", "col"], "left").select("row", "col", "elev", F.when(lower, F.greatest("_in", "elev")).otherwise(F.col("level")).alias("level"), "ty", "tx", F.coalesce(lower, F.lit(False)).alias("_fell")))
-        state, stale = both.drop("_fell"), both.where("_fell").select("ty", "tx").distinct()
+        offers = offers.join(cells, ["row", "col"]).select("row", "col", F.greatest("_in", "elev").alias("level"))
+        was = merged().withColumnRenamed("level", "_was")
+        fell = graph.cut(offers.join(was, ["row", "col"], "left").where("_was is null or level < _was").select("row", "col", "level"))
+        held.append(fell)
+        if len(held) > 2 * graph.MERGED_ROUNDS:
+            held = [graph.cut(merged())]
     raise RuntimeError(f"not settled after {max_rounds} rounds")
 
 
