@@ -203,3 +203,12 @@ def test_densified_lines_bend(spark):
     n = int(0.007 / (40 / (111_320 * np.cos(np.radians(0.002)))))
     want = [(1, k, *((round(d, 5), 0.0) if (d := 0.007 * k / n) <= 0.003 else (0.003, round(d - 0.003, 5)))) for k in range(n + 1)] + [(2, 0, 5.0, 5.0), (2, 1, 5.0, 5.0)]
     assert len(rows) == len(want) and np.allclose(np.array(rows), np.array(want), atol=1.1e-5)
+
+
+@pytest.mark.parametrize("longest,want", [(300, [2]), (512, [2]), (1023, [2]), (1024, [2]), (2047, [2]), (2048, [2, 4]), (5000, [2, 4, 8])])
+def test_pyramid_factors_agree_with_the_level_table(spark, longest, want):
+    from tessera.operators import raster
+
+    catalog = spark.createDataFrame([(1, longest, 100, 10.0)], "raster int, width long, height long, res double")
+    levels = sorted(r["k"] for r in raster.level_table(catalog, 2, 256).collect())
+    assert raster.factors(longest, 100) == want and levels == list(range(len(want) + 1))
