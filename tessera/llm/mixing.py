@@ -14,7 +14,8 @@ posterior is all that domain has a rate over 1 and stays (one with a mixed poste
 becomes whole copies: its floor, plus one with the odds of its rest, drawn from a hash of the row.
 
 Defined cases: a null or empty text has no tokens and the intercepts' posterior; label rows with nulls
-are not used, contradicting labels of an id count as the worse one; without labels all domains are
+are not used, contradicting labels of an id count as the worse one, and of several texts of one id the least is
+learned from; without labels all domains are
 equally likely; repeated rows get equal rates and copies; a domain without mass keeps its target
 unmet (least squares); an empty table gives no rows; other columns are left behind unless carried.
 """
