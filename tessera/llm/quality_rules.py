@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import bloom, carried, carried_type, in_bloom, lookup, small_batches, written
-from .text import _BYTE, _P, _P_INV, _Q, _Q_INV, KeyTable, Words, batches, content_of, mix, powers, shingles
+from .text import KeyTable, Words, batches, byte_hashes, content_of, mix, run_hashes, shingles
 
 #: Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -66,12 +66,7 @@ class Lines:
         self.high = np.append(self.low[1:], len(w.starts))
         self.doc = np.searchsorted(w.first, self.low, side="right") - 1
         self.words = self.high - self.low
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[_FOLD[w.raw]] * powers(_P, n), out=total[1:])
-        h = mix((total[w.ends] - total[w.starts]) * powers(_P_INV, n + 1)[w.starts])
-        total = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(h * powers(_Q, len(h)), out=total[1:])
-        self.hash = mix((total[self.high] - total[self.low]) * powers(_Q_INV, len(h) + 1)[self.low])
+        self.hash = run_hashes(byte_hashes(_FOLD[w.raw], w.starts, w.ends), self.low, self.high)
 
     def raw_hash(self, w: Words) -> np.ndarray:
         """Hashes of the lines as they stand, between their \\n."""
@@ -83,9 +78,7 @@ class Lines:
         i = np.searchsorted(breaks, at, side="right")
         begin = breaks[i - 1] + (w.raw[np.minimum(breaks[i - 1], n - 1)] == 0x0A)
         end = breaks[i]
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[w.raw] * powers(_P, n), out=total[1:])
-        return mix((total[end] - total[begin]) * powers(_P_INV, n + 1)[begin] ^ ((end - begin).astype(np.uint64) << np.uint64(44)))
+        return byte_hashes(w.raw, begin, end)
 
 
 def repeated(keys: np.ndarray) -> np.ndarray:

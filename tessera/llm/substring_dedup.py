@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .cluster import bloom, in_bloom, own_names, parts, small_batches, spread_join, written
 from .fm_index import NO_DOC, FMIndex
-from .text import _Q, _Q_INV, KeyTable, Words, batches, content_of, covered, mix, powers, shingles
+from .text import KeyTable, Words, batches, content_of, covered, mix, run_hashes, shingles
 
 SAMPLE, RUN = 8, 10
 FILTER_BITS = 1 << 27
@@ -133,9 +133,7 @@ def repeated_spans(docs: DataFrame, size: int = 50) -> DataFrame:
             run = np.arange(len(start)) - np.maximum.accumulate(np.where(new, np.arange(len(start)), 0))
             edge = np.flatnonzero(run % REGION == 0)
             low, high = start[edge], start[np.append(edge[1:], len(start)) - 1] + size
-            total = np.zeros(len(h) + 1, np.uint64)
-            np.cumsum(h * powers(_Q, len(h)), out=total[1:])
-            region = mix((total[high] - total[low]) * powers(_Q_INV, len(h) + 1)[low] + (high - low).astype(np.uint64)).view(np.int64)
+            region = run_hashes(h, low, high).view(np.int64)
             doc = np.searchsorted(w.first, low, side="right") - 1
             words = []
             for r, a, b in zip(region.tolist(), low.tolist(), high.tolist()):
