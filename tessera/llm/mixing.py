@@ -6,8 +6,9 @@ document a posterior over the domains.  Nonnegative rates r then minimise
 
     sum over domains k of (sum over documents of r * tokens * p_k  -  target_k)^2 / current_k
 
-by projected gradient: each round is one distributed sum over the documents (a few numbers come back),
-and r = max(0, r - step * sum_k p_k * residual_k / current_k) is evaluated where the document is.
+by projected gradient with momentum: each round is one distributed sum over the documents (a few numbers come back),
+and r = max(0, r' - step * sum_k p_k * residual_k / current_k) is evaluated where the document is (r' is r and the
+momentum).  Rounds go on until the targets are met to 1e-5 or nothing moves any more; running out of rounds is an error.
 Rates depend on posteriors alone, so nothing but those sums meets in one place.  The targets are shares; the total
 is that at which the largest target keeps all its tokens and `boost` percent more, so that a document whose
 posterior is all that domain has a rate over 1 and stays (one with a mixed posterior may have less).  A rate
@@ -149,8 +150,12 @@ def posteriors(docs: DataFrame, model: np.ndarray, carry: Sequence[str] = ()) ->
     return rows.mapInArrow(run, f"doc_id long, text string, carried {carried_type(docs, carry)}, n_tokens long, " + ", ".join(f"{x} double" for x in names))
 
 
-def fit_rates(members: DataFrame, targets: Sequence[float], boost: int = 15, rounds: int = 60, tolerance: float = 1e-6) -> tuple[list[list[float]], np.ndarray, np.ndarray]:
-    """The gradients of all rounds (r is their fold), the totals met, and the targets."""
+def fit_rates(members: DataFrame, targets: Sequence[float], boost: int = 15, rounds: int = 300, tolerance: float = 1e-5) -> tuple[list[list[float]], np.ndarray, np.ndarray]:
+    """The steps of all rounds (the rate is their fold), the totals met, and the targets.
+
+    A step is a gradient and a momentum; momentum starts anew where it points uphill.  The descent ends when every
+    target is met to `tolerance`, or when a step moves no total any more (then the least squares leave a rest).
+    """
     names = [f"p_{d}" for d in DOMAINS]
     k, tokens = len(names), F.col("n_tokens")
     sums = members.agg(*(F.sum(tokens * F.col(x)).alias(x) for x in names), *(F.sum(tokens * F.col(a) * F.col(b)).alias(f"{a}_{b}") for a in names for b in names)).first()
@@ -163,40 +168,42 @@ def fit_rates(members: DataFrame, targets: Sequence[float], boost: int = 15, rou
     scale = 1 / np.maximum(current, 1e-9 * current.sum())
     gram = np.array([[sums[f"{a}_{b}"] for b in names] for a in names])
     step = 1 / np.linalg.eigvalsh(np.sqrt(scale)[:, None] * gram * np.sqrt(scale)[None, :]).max()
-    state, base = written(members.select("n_tokens", *names, F.lit(1.0).alias("rate")), "rates"), 0
-    gradients: list[list[float]] = []
-    met, last = current, np.inf
-    for turn in range(rounds):
-        residual = (met - goal) * scale
-        off = float(np.abs(residual[some]).max())
-        if off < tolerance or abs(last - off) < tolerance / 10:
-            break
-        last = off
-        gradients.append([float(x) for x in step * residual])
-        if len(gradients) - base == 10:  # keeps the expression short
-            state = written(state.select("n_tokens", *names, folded(F.col("rate"), gradients[base:]).alias("rate")), "rates")
-            base = len(gradients)
-        rate = folded(F.col("rate"), gradients[base:])
-        row = state.agg(*(F.sum(tokens * F.col(x) * rate).alias(x) for x in names)).first()
-        met = np.array([row[x] for x in names])
-    return gradients, met, goal
-
-
-def folded(rate: Column, gradients: list[list[float]]) -> Column:
-    """The rate after the given projected steps."""
-    for g in gradients:
-        rate = F.greatest(F.lit(0.0), rate - sum((F.col(f"p_{d}") * x for d, x in zip(DOMAINS, g)), F.lit(0.0)))
-    return rate
-
-
-def rate_steps(members: DataFrame, gradients: list[list[float]]) -> DataFrame:
-    """`members` with the final rate, as a fold over the array of gradients."""
-    if not gradients:
-        return members.withColumn("rate", F.lit(1.0))
-    steps = F.array(*(F.array(*(F.lit(x) for x in g)) for g in gradients))
+    one = F.lit(1.0)
+    state, base = written(members.select("n_tokens", *names, F.struct(one.alias("rate"), one.alias("ahead")).alias("r")), "rates"), 0
+    steps: list[list[float]] = []
+    met, ahead, age = current, current, 0
+    for _ in range(rounds):
+        # the momentum of a step is known only after it, so it is that of the step before
+        steps.append([*(float(x) for x in step * (ahead - goal) * scale), 0.0])
+        if len(steps) - base > 10:  # keeps the fold short
+            state, base = written(state.select("n_tokens", *names, folded(F.col("r"), steps[base:-1]).alias("r")), "rates"), len(steps) - 1
+        row = state.select("n_tokens", *names, folded(F.col("r"), steps[base:])["rate"].alias("rate")).agg(*(F.sum(tokens * F.col(x) * F.col("rate")).alias(x) for x in names)).first()
+        new = np.array([row[x] for x in names])
+        miss = float(np.abs(new[some] / goal[some] - 1).max())
+        if miss < tolerance or float((np.abs(new - ahead) * scale)[some].max()) < 1e-9:
+            return steps, new, goal
+        if ((new - met) * (ahead - goal) * scale).sum() > 0:
+            age = 0
+        steps[-1][-1] = age / (age + 3)
+        ahead, met, age = new + steps[-1][-1] * (new - met), new, age + 1
+    raise RuntimeError(f"rates did not meet the targets in {rounds} rounds: {miss} off")
+
+
+def folded(start: Column, steps: list[list[float]]) -> Column:
+    """(rate, ahead) after the given projected steps: rate = max(0, ahead - gradient), then on by the momentum."""
     p = [F.col(f"p_{d}") for d in DOMAINS]
-    fold = F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - sum((x * g[i] for i, x in enumerate(p)), F.lit(0.0))))
-    return members.withColumn("rate", fold)
+
+    def turn(r: Column, g: Column) -> Column:
+        rate = F.greatest(F.lit(0.0), r["ahead"] - sum((x * g[i] for i, x in enumerate(p)), F.lit(0.0)))
+        return F.struct(rate.alias("rate"), (rate + g[len(p)] * (rate - r["rate"])).alias("ahead"))
+
+    return F.aggregate(F.array(*(F.array(*(F.lit(x) for x in g)) for g in steps)), start, turn) if steps else start
+
+
+def rate_steps(members: DataFrame, steps: list[list[float]]) -> DataFrame:
+    """`members` with the final rate, as a fold over the array of steps."""
+    one = F.lit(1.0)
+    return members.withColumn("rate", folded(F.struct(one.alias("rate"), one.alias("ahead")), steps)["rate"])
 
 
 def mix_to_targets(docs: DataFrame, labels: DataFrame, targets: Sequence[float] = TARGETS, carry: Sequence[str] = (), sample_rows: int = 8000, boost: int = 15) -> DataFrame:

@@ -42,6 +42,17 @@ def test_quality_on_held_out_labels(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
 
 
+def test_mixing_tells_unmet_targets(spark):
+    rows = spark.createDataFrame([(n, 1.0, 0.0, 0.0) for n in (5, 7)], "n_tokens long, p_clean double, p_low double, p_toxic double")
+    _, met, goal = mixing.fit_rates(rows, mixing.TARGETS)
+    assert np.allclose(met, [goal[0], 0, 0], rtol=1e-4)
+    both = spark.createDataFrame([(10, 0.5, 0.25, 0.25)], rows.schema)  # one rate can't give 92, 5 and 3 percent
+    steps, met, goal = mixing.fit_rates(both, mixing.TARGETS)
+    current = np.array([5, 2.5, 2.5])
+    best = (goal * current / current).sum() / current.sum()
+    assert np.allclose(met, best * current, rtol=1e-3)
+
+
 def test_mixing_meets_targets(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op6_mixing(spark, sf).toPandas()
@@ -49,15 +60,19 @@ def test_mixing_meets_targets(spark):
     assert np.allclose(p.sum(1), 1)
     met = (p * (rows["n_tokens"] * rows["rate"]).to_numpy()[:, None]).sum(0)
     assert np.allclose(met / met.sum(), np.array(mixing.TARGETS) / sum(mixing.TARGETS), atol=0.01)
-    assert np.allclose(met, rows["met"][0]) and np.allclose(rows["met"][0], rows["goal"][0], rtol=1e-3)
+    assert np.allclose(met, rows["met"][0]) and np.allclose(rows["met"][0], rows["goal"][0], rtol=1e-4)
     # the rates are those of the same descent on one machine
-    goal, current = np.array(rows["goal"][0]), (p * rows["n_tokens"].to_numpy()[:, None]).sum(0)
-    weighted = p * rows["n_tokens"].to_numpy()[:, None]
+    goal, weighted = np.array(rows["goal"][0]), p * rows["n_tokens"].to_numpy()[:, None]
+    current = weighted.sum(0)
     step = 1 / np.linalg.eigvalsh((weighted.T @ p) / np.sqrt(np.outer(current, current))).max()
-    r = np.ones(len(p))
-    for _ in range(2000):
-        r = np.maximum(0, r - step * (p @ ((weighted.T @ r - goal) / current)))
-    assert np.allclose(r, rows["rate"], atol=2e-3)
+    r = ahead = np.ones(len(p))
+    age = 0
+    while np.abs(weighted.T @ r / goal - 1).max() >= 1e-5:
+        uphill = (weighted.T @ ahead - goal) / current
+        new = np.maximum(0, ahead - step * (p @ uphill))
+        age = 0 if weighted.T @ (new - r) @ uphill > 0 else age
+        ahead, r, age = new + age / (age + 3) * (new - r), new, age + 1
+    assert np.allclose(r, rows["rate"], atol=1e-6)
     labels = spark.read.parquet(f"{sf}/labels.parquet").toPandas().merge(rows, on="doc_id")
     assert (labels[(labels.quality == 1) & (labels.toxic == 0)].copies > 0).mean() > 0.97
 
