@@ -117,3 +117,21 @@ WITH RECURSIVE t0 AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce
   f AS (SELECT conv_id, max(again) AS again FROM w GROUP BY 1)
 SELECT p.conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256, (sum(size) + max(again))::BIGINT AS formatted_chars FROM p JOIN f USING (conv_id) GROUP BY 1"""
+
+
+def op12(templates: list[tuple[str, str, list[int], bool]]) -> str:
+    """templates: label, words, places of the key words, whether it is a base phrase."""
+    rows = ", ".join(f"({i}, '{label}', {base}, {q}, '{w}', {q in keys})" for i, (label, words, keys, base) in enumerate(templates) for q, w in enumerate(words.split()))
+    return f"""
+WITH t(k, label, base, q, w, key) AS (VALUES {rows}),
+  d AS (SELECT doc_id, regexp_extract_all({lower("coalesce(text, '')")}, {ALNUM}) AS ws FROM documents),
+  p AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM d),
+  v AS (SELECT w, count(DISTINCT doc_id) AS held FROM p WHERE w IN (SELECT w FROM t) GROUP BY 1),
+  f AS (SELECT w, greatest(1, floor(log10(((SELECT count(*) FROM documents) + 1)::DOUBLE / (coalesce(held, 0) + 1)) * 1000000 + 0.5))::BIGINT AS idf FROM (SELECT DISTINCT w FROM t) LEFT JOIN v USING (w)),
+  n AS (SELECT k, sum(idf)::BIGINT AS whole, count(*) FILTER (key) AS keys FROM t JOIN f USING (w) GROUP BY 1),
+  m AS (SELECT doc_id, k, label, base, i - q AS s, sum(idf)::BIGINT AS own, count(*) FILTER (key) AS keys FROM p JOIN t USING (w) JOIN f USING (w) GROUP BY ALL),
+  x AS (SELECT m.*, own * 1000000 // whole AS score FROM m JOIN n USING (k) WHERE m.keys = n.keys),
+  g AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word, max(score) AS score,
+      array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels FROM x GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE / 1000000 AS score
+FROM d LEFT JOIN g USING (doc_id)"""

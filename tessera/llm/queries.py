@@ -14,6 +14,7 @@ from . import oracle
 from .chat_format import chat_windows, read_back
 from .decontaminate import decontaminate
 from .jaccard_join import jaccard_join
+from .license_scan import BASE, NOTICES, key_places, license_scan
 from .lm_scores import lm_scores
 from .mixing import mix_to_targets
 from .neighbour_quality import neighbour_quality
@@ -77,6 +78,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(chat_windows(turns.unionByName(extra), CHAT_BUDGET, CHAT_HISTORY))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", *(F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")), "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_chat_format": op10_chat_format,
+    "op12_license_scan": op12_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -98,4 +105,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_substring_dedup": oracle.op8(),
     "op9_jaccard_join": oracle.op9(),
     "op10_chat_format": oracle.op10(CHAT_BUDGET, CHAT_HISTORY),
+    "op12_license_scan": oracle.op12([(t.label, t.words, key_places(t), t in BASE) for t in [*BASE, *NOTICES]]),
 }
