@@ -135,3 +135,28 @@ WITH t(k, label, base, q, w, key) AS (VALUES {rows}),
       array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels FROM x GROUP BY 1)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE / 1000000 AS score
 FROM d LEFT JOIN g USING (doc_id)"""
+
+
+def crc32(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text, bit by bit."""
+    eight = "list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: {eight}), 4294967295)"
+
+
+TURN = "md5(concat_ws(':', length(role)::VARCHAR, role, text))"
+
+
+def op11() -> str:
+    return f"""
+WITH t AS (SELECT conv_id AS c, turn, octet_length(encode(text)) AS size, {TURN} AS d FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+  n AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, d) AS i FROM t),
+  v AS (SELECT c, c - c % 5 AS b, {crc32('c::VARCHAR')} % 9 AS h FROM (SELECT DISTINCT c FROM t)),
+  r AS (SELECT v.c, 0 AS part, i, size, d FROM v JOIN n ON n.c = v.b AND i <= h UNION ALL SELECT v.c, 1, i, size, d FROM v JOIN n ON n.c = v.c AND i > h),
+  p AS (SELECT c, row_number() OVER o AS depth, size, list(d) OVER o AS path FROM r WINDOW o AS (PARTITION BY c ORDER BY part, i)),
+  m AS (SELECT c, depth, size, path, depth = max(depth) OVER (PARTITION BY c) AS ends FROM p UNION ALL SELECT c, 0, 0, []::VARCHAR[], c NOT IN (SELECT c FROM p) FROM v),
+  k AS (SELECT path, depth, any_value(size) AS size, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '') AS ids FROM m GROUP BY 1, 2),
+  kids AS (SELECT path[:-2] AS path, count(*) AS n_children FROM k WHERE depth > 0 GROUP BY 1),
+  w AS (SELECT k.*, coalesce(n_children, 0) AS n_children FROM k LEFT JOIN kids USING (path)),
+  s AS (SELECT path[:a] AS path, sum((n_children = 0)::INT) AS n_leaves, sum((n_convs - 1) * size) AS saved FROM w, unnest(range(depth + 1)) AS x(a) GROUP BY 1)
+SELECT w.conv_id, w.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, w.n_convs::BIGINT AS n_convs, w.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(w.ids) AS ends_sha256
+FROM w JOIN s USING (path) LEFT JOIN k up ON w.depth > 0 AND up.path = w.path[:-2]"""

@@ -18,6 +18,7 @@ from .license_scan import BASE, NOTICES, key_places, license_scan
 from .lm_scores import lm_scores
 from .mixing import mix_to_targets
 from .neighbour_quality import neighbour_quality
+from .prefix_trie import prefix_trie
 from .quality_rules import quality_rules
 from .sharding import shard
 from .substring_dedup import substring_dedup
@@ -78,6 +79,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(chat_windows(turns.unionByName(extra), CHAT_BUDGET, CHAT_HISTORY))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation c begins with the first turns of c - c % 5."""
+    base, h = F.col("conv_id") - F.col("conv_id") % 5, (F.crc32(F.col("conv_id").cast("string")) % 9).cast("int")
+    return prefix_trie(table(spark, sf_dir, "conversations"), base, h, longest=8).drop("node")
+
+
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", *(F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")), "score")
@@ -94,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_chat_format": op10_chat_format,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_license_scan": op12_license_scan,
 }
 
@@ -105,5 +113,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_substring_dedup": oracle.op8(),
     "op9_jaccard_join": oracle.op9(),
     "op10_chat_format": oracle.op10(CHAT_BUDGET, CHAT_HISTORY),
+    "op11_prefix_trie": oracle.op11(),
     "op12_license_scan": oracle.op12([(t.label, t.words, key_places(t), t in BASE) for t in [*BASE, *NOTICES]]),
 }
