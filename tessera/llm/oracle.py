@@ -160,3 +160,33 @@ WITH t AS (SELECT conv_id AS c, turn, octet_length(encode(text)) AS size, {TURN}
   s AS (SELECT path[:a] AS path, sum((n_children = 0)::INT) AS n_leaves, sum((n_convs - 1) * size) AS saved FROM w, unnest(range(depth + 1)) AS x(a) GROUP BY 1)
 SELECT w.conv_id, w.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, w.n_convs::BIGINT AS n_convs, w.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(w.ids) AS ends_sha256
 FROM w JOIN s USING (path) LEFT JOIN k up ON w.depth > 0 AND up.path = w.path[:-2]"""
+
+
+def op13() -> str:
+    """Cheapest repairs forwards, row by row: for each state (e: start, s, u, a) cost, letters and turns."""
+
+    def then(x: str, cost: str, letter: str, line: str) -> str:
+        line = f" || chr(10) || {line}" if line else ""
+        return f"CASE WHEN {x} IS NOT NULL THEN struct_pack(c := {x}.c + {cost}, l := {x}.l || '{letter}', t := {x}.t{line}) END"
+
+    drop, insert = (lambda x: then(x, "2", "D", "")), (lambda x, role: then(x, "5", "I", f"'{role}:'"))
+    keep = lambda x, initial: f"CASE WHEN fault NOT IN (1, 2) AND initial = '{initial}' THEN {then(x, 'extra', 'K', 'line')} END"
+    change = lambda x, role: f"CASE WHEN fault NOT IN (1, 2) THEN {then(x, '1 + extra', 'R', repr(role + ':') + ' || text')} END"
+    blank = r"'[^\x20\x09-\x0D]'"
+    return f"""
+WITH RECURSIVE g AS (SELECT *, {crc32("concat_ws(':', coalesce(conv_id::VARCHAR, ' '), coalesce(turn::VARCHAR, ' '))")} % 20 AS g FROM (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations)),
+  r AS (SELECT conv_id, turn, CASE WHEN g = 4 THEN 'user' ELSE role END AS role, CASE WHEN g = 1 THEN '' WHEN g = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN g = 3 THEN [0, 1] ELSE [0] END) AS copy FROM g WHERE g <> 0),
+  o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, {TURN}, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again, substr(role, 1, 1) AS initial, role || ':' || text AS line FROM r),
+  f AS (SELECT *, CASE WHEN fault = 3 THEN 5 ELSE 0 END AS extra, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair
+    FROM (SELECT *, CASE WHEN NOT regexp_matches(text, {blank}) THEN 1 WHEN again > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault FROM o)),
+  n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1),
+  z AS (SELECT conv_id, 0::BIGINT AS i, e, s, u, a FROM (SELECT conv_id, e, NULL::STRUCT(c BIGINT, l VARCHAR, t VARCHAR) AS s, {insert('e', 'user')} AS u, {then('e', '10', 'II', "'user:' || chr(10) || 'assistant:'")} AS a
+      FROM (SELECT conv_id, struct_pack(c := 0::BIGINT, l := '', t := '') AS e FROM n))
+    UNION ALL SELECT conv_id, i, e, s, u1, least(a, {insert('u1', 'assistant')}) FROM (SELECT *, least(u, {insert('e', 'user')}, {insert('s', 'user')}, {insert('a', 'user')}) AS u1
+      FROM (SELECT z.conv_id, f.i, {drop('z.e')} AS e, least({drop('z.s')}, {keep('z.e', 's')}) AS s,
+        least({drop('z.u')}, {', '.join(x for q in 'esa' for x in (keep(f'z.{q}', 'u'), change(f'z.{q}', 'user')))}) AS u, least({drop('z.a')}, {keep('z.u', 'a')}, {change('z.u', 'assistant')}) AS a
+        FROM z JOIN f ON f.conv_id IS NOT DISTINCT FROM z.conv_id AND f.i = z.i + 1))),
+  w AS (SELECT z.conv_id, least(e, a) AS best FROM z JOIN n ON n.conv_id IS NOT DISTINCT FROM z.conv_id AND z.i = n.n)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.l, '') AS audit, sha256(coalesce(substr(best.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM c.conv_id"""

@@ -21,6 +21,7 @@ from .neighbour_quality import neighbour_quality
 from .prefix_trie import prefix_trie
 from .quality_rules import quality_rules
 from .sharding import shard
+from .structure_repair import structure_repair
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 
@@ -90,6 +91,10 @@ def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", *(F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")), "score")
 
 
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_format": op10_chat_format,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_license_scan": op12_license_scan,
+    "op13_structure_repair": op13_structure_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -115,4 +121,5 @@ ORACLE_SQL: dict[str, str] = {
     "op10_chat_format": oracle.op10(CHAT_BUDGET, CHAT_HISTORY),
     "op11_prefix_trie": oracle.op11(),
     "op12_license_scan": oracle.op12([(t.label, t.words, key_places(t), t in BASE) for t in [*BASE, *NOTICES]]),
+    "op13_structure_repair": oracle.op13(),
 }
