@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import heapq
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -23,59 +19,48 @@ def neighbours(cells: DataFrame) -> DataFrame:
     return cells.withColumn("_s", F.explode(steps)).withColumn("nrow", F.col("row") + F.col("_s.r")).withColumn("ncol", F.col("col") + F.col("_s.c")).drop("_s")
 
 
-def _settle(tile: pd.DataFrame) -> pd.DataFrame:
-    """The cells of one tile whose level falls when those that have one spread inside it."""
-    elev = {(r, c): e for r, c, e in zip(tile["row"], tile["col"], tile["elev"])}
-    before = {(r, c): x for r, c, x in zip(tile["row"], tile["col"], tile["level"]) if x == x}
-    level = dict(before)
-    heap = [(x, at) for at, x in level.items()]
-    heapq.heapify(heap)
-    while heap:
-        x, (r, c) = heapq.heappop(heap)
-        if x > level[r, c]:
-            continue
-        for dr, dc in STEPS:
-            at = (r + dr, c + dc)
-            if at in elev and (new := max(x, elev[at])) < level.get(at, math.inf):
-                level[at] = new
-                heapq.heappush(heap, (new, at))
-    fell = [(r, c, x) for (r, c), x in level.items() if x < before.get((r, c), math.inf)]
-    return pd.DataFrame(fell, columns=["row", "col", "level"])
-
-
-def flood_levels(grid: DataFrame, seeds: DataFrame, tile: int = 256, max_rounds: int = 10_000) -> DataFrame:
+#: The node that stands for the water outside, from which seeds are reached at their own height.
+OUTSIDE = -(1 << 63)
+
+
+def flood_levels(grid: DataFrame, seeds: DataFrame, max_rounds: int = 64) -> DataFrame:
     """row, col, level: the lowest water level at which each cell is reached from the seeds (the least over paths of
     the highest cell on the way); cells that aren't reached are left out.
 
-    Tiles of tile x tile cells are settled one by one in tasks; then levels cross the tile borders, and only tiles
-    that a border lowered are settled again.  Rounds are counted in tiles, not cells, and write only cells whose
-    level fell; a cell's level is the least of all rounds.
+    Least highest ways are those of a minimum spanning forest, which grows in rounds: every part takes its lowest edge
+    outwards and merges with the part behind it, until all that can are joined to the water outside.  A part's cells
+    all lie at its lowest edge or higher, and edges fall along the way to the part that all others of a merger
+    lead to; so a cell's level is the highest edge that the parts it was in took.  Parts at least halve every round.
     """
-    tiles = lambda df: df.withColumn("ty", F.floor(F.col("row") / tile).cast("int")).withColumn("tx", F.floor(F.col("col") / tile).cast("int"))
-    cells = graph.cut(tiles(grid.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("elev").cast("double").alias("elev"))))
-    start = cells.join(seeds.select("row", "col").distinct(), ["row", "col"], "left_semi")
-    fell = graph.cut(start.select("row", "col", F.col("elev").alias("level")))
-    held = [fell]
-    merged = lambda: functools.reduce(DataFrame.unionByName, held).groupBy("row", "col").agg(F.min("level").alias("level"))
+    key = lambda r, c: F.shiftleft(F.col(r).cast("long"), 32).bitwiseOR(F.col(c).cast("long").bitwiseAND(0xFFFFFFFF))
+    cells = graph.cut(grid.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("elev").cast("double").alias("elev")))
+    near = neighbours(cells).select(key("row", "col").alias("u"), "elev", F.col("nrow").alias("row"), F.col("ncol").alias("col"))
+    edges = near.join(cells.withColumnRenamed("elev", "_e"), ["row", "col"]).select("u", key("row", "col").alias("v"), F.greatest("elev", "_e").alias("w"))
+    start = cells.join(seeds.select("row", "col").distinct(), ["row", "col"], "left_semi").select(key("row", "col").alias("u"), F.lit(OUTSIDE).alias("v"), F.col("elev").alias("w"))
+    edges = graph.cut(edges.unionByName(start))
+    mergers: list[DataFrame] = []
     for _ in range(max_rounds):
-        stale = tiles(fell).select("ty", "tx").distinct()
-        if not fell.limit(1).count():
-            return graph.cut(merged())
-        known = tiles(merged()).join(stale, ["ty", "tx"], "left_semi").select("row", "col", "level")
-        open_ = cells.join(stale, ["ty", "tx"], "left_semi").join(known, ["row", "col"], "left").select("row", "col", "elev", F.coalesce("level", F.lit(float("nan"))).alias("level"), "ty", "tx")
-        inside = open_.groupBy("ty", "tx").applyInPandas(_settle, "row int, col int, level double")
-        settled = graph.cut(inside.unionByName(fell))
-        held.append(settled)
-        rim = (F.col("row") % tile).isin(0, tile - 1) | (F.col("col") % tile).isin(0, tile - 1)
-        out = neighbours(tiles(settled).where(rim)).where((F.floor(F.col("nrow") / tile) != F.col("ty")) | (F.floor(F.col("ncol") / tile) != F.col("tx")))
-        offers = out.groupBy(F.col("nrow").alias("row"), F.col("ncol").alias("col")).agg(F.min("level").alias("_in"))
-        offers = offers.join(cells, ["row", "col"]).select("row", "col", F.greatest("_in", "elev").alias("level"))
-        was = merged().withColumnRenamed("level", "_was")
-        fell = graph.cut(offers.join(was, ["row", "col"], "left").where("_was is null or level < _was").select("row", "col", "level"))
-        held.append(fell)
-        if len(held) > 2 * graph.MERGED_ROUNDS:
-            held = [graph.cut(merged())]
-    raise RuntimeError(f"not settled after {max_rounds} rounds")
+        merger = graph.hooked(edges, OUTSIDE)
+        mergers.append(merger)
+        roots = merger.select("u", "root")
+        moved = edges.join(roots, "u").where(F.col("root") != OUTSIDE).select(F.col("root").alias("ru"), F.col("v").alias("u"), "w")
+        # what leads outside does so for good
+        inner = moved.where(F.col("u") != OUTSIDE).join(roots, "u").select("ru", F.col("root").alias("rv"), "w")
+        both = inner.unionByName(moved.where(F.col("u") == OUTSIDE).select("ru", F.lit(OUTSIDE).alias("rv"), "w")).where("ru <> rv")
+        edges = graph.cut(both.groupBy(F.col("ru").alias("u"), F.col("rv").alias("v")).agg(F.min("w").alias("w")))
+        if edges.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"not settled after {max_rounds} rounds")
+    # from the last round to the first: a part's level is its edge's or that of what it became
+    levels = None
+    for merger in reversed(mergers):
+        own = merger.where(F.col("root") == OUTSIDE).select("u", F.col("w").alias("level"))
+        if levels is not None:
+            later = merger.where(F.col("root") != OUTSIDE).join(levels.withColumnRenamed("u", "root"), "root")
+            own = own.unionByName(later.select("u", F.greatest("w", "level").alias("level")))
+        levels = graph.cut(own)
+    return cells.withColumn("u", key("row", "col")).join(levels, "u").select("row", "col", "level")
 
 
 def sea_water(water: DataFrame, edge: DataFrame, least: int) -> DataFrame:

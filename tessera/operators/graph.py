@@ -1,16 +1,17 @@
 """Shortest paths, labels and connectivity as frontier relaxation over DataFrames.
 
 Only nodes whose value improved in a round are expanded in the next.  Rounds end when nothing improves;
-`max_rounds` raises instead of returning a partial answer.  State is cut with checkpoint() every few rounds.
+`max_rounds` raises instead of returning a partial answer.  State is cut by written tables.
 """
 
 from __future__ import annotations
 
 import functools
 import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -18,17 +19,23 @@ from pyspark.sql import functions as F
 MERGED_ROUNDS = 8
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir (one of our own only where none is set and all runs on this machine)."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """`df` checkpointed in the shared folder (one of our own only where none is set and all runs on this machine)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            if not sc.master.startswith("local["):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-            where = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(where)
-    return df.checkpoint()
+    """`df` as a table in the shared folder: lineage ends there, and plans know its true size (a checkpoint carries on
+    estimates, which rounds of joins multiply beyond all bounds)."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shortest(edges: DataFrame, sources: DataFrame, keys: Sequence[str] = (), max_rounds: int = 10_000) -> DataFrame:
@@ -119,6 +126,32 @@ def connected(edges: DataFrame, nodes: DataFrame, max_rounds: int = 1000) -> Dat
     raise RuntimeError(f"not settled after {max_rounds} rounds")
 
 
+def hooked(edges: DataFrame, outside: int, max_rounds: int = 64) -> DataFrame:
+    """u, w, root: one round of a spanning forest over edges (u, v, w; both directions, none from `outside`).
+
+    Every node takes its lowest edge (ties by the edge's ends, the same from both sides), which makes trees with two
+    nodes that chose each other, or `outside`, at the end; of the two the smaller is the root.  Roots are found by
+    doubling, so rounds grow with the logarithm of the longest chain; a node that has its root isn't read again.
+    """
+    order = F.struct("w", F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi"), "v")
+    picks = cut(edges.groupBy("u").agg(F.min(order).alias("e")).select("u", F.col("e.w").alias("w"), F.col("e.v").alias("p")))
+    back = picks.select(F.col("u").alias("p"), F.col("p").alias("_pp"))
+    mutual = (F.col("_pp") == F.col("u")) & (F.col("u") < F.col("p"))
+    state = picks.join(back, "p", "left").select("u", F.when(mutual, F.col("u")).otherwise(F.col("p")).alias("p"), (mutual | (F.col("p") == outside)).alias("ends"))
+    state = cut(state.withColumn("ends", F.coalesce("ends", F.lit(False))))
+    done: list[DataFrame] = []
+    for _ in range(max_rounds):
+        done.append(state.where("ends").select("u", F.col("p").alias("root")))
+        open_ = state.where("not ends")
+        if open_.isEmpty():
+            return picks.select("u", "w").join(functools.reduce(DataFrame.unionByName, done), "u")
+        # a node that ends elsewhere than in itself has its root; one that is a root is all its followers'
+        ahead = functools.reduce(DataFrame.unionByName, done).select(F.col("u").alias("p"), F.col("root").alias("_p"), F.lit(True).alias("_ends"))
+        ahead = ahead.unionByName(open_.select(F.col("u").alias("p"), F.col("p").alias("_p"), F.lit(False).alias("_ends")))
+        state = cut(open_.join(ahead, "p").select("u", F.col("_p").alias("p"), F.col("_ends").alias("ends")))
+    raise RuntimeError(f"roots not found in {max_rounds} rounds")
+
+
 def alternatives(edges: DataFrame, sources: DataFrame, targets: DataFrame, worst: float = 1.6, keep: int = 3, factor: float = 8.0) -> DataFrame:
     """rank, cost, lines (array, in order of riding), nodes: the best way and up to `keep` - 1 others.
 

@@ -106,8 +106,8 @@ def wind_maximum(spark, sf):
     return top.withColumn("region", live.wind_region(F.col("lat"), F.col("lon")))
 
 
-@query("search_circles", "WITH i AS (SELECT unnest(range(-3, 4)) * 250.0 * sqrt(2) AS dy), j AS (SELECT unnest(range(-3, 4)) * 250.0 * sqrt(2) AS dx), c AS (SELECT c_custkey AS id, (c_custkey % 120)::DOUBLE - 60 AS lat, (c_custkey % 300)::DOUBLE - 150 AS lon FROM customer WHERE c_custkey % 50 = 0) SELECT id, round(lat + dy / 60, 6) AS lat, round(lon + dx / (60 * cos(radians(lat + dy / 60))), 6) AS lon FROM c, i, j WHERE sqrt(dx * dx + dy * dy) <= 1000 + 250")
+@query("search_circles", "WITH i AS (SELECT unnest(range(-3, 4)) * 250.0 * sqrt(2) AS dy), j AS (SELECT unnest(range(-3, 4)) * 250.0 * sqrt(2) AS dx), c AS (SELECT c_custkey AS id, (c_custkey % 120)::DOUBLE - 60 AS lat, (c_custkey % 300)::DOUBLE - 150 AS lon FROM customer) SELECT id, round(lat + dy / 60, 6) AS lat, round(lon + dx / (60 * cos(radians(lat + dy / 60))), 6) AS lon FROM c, i, j WHERE sqrt(dx * dx + dy * dy) <= 1000 + 250")
 def search_circles(spark, sf):
-    """Circles of 250 nm that cover circles of 1,000 nm around every fiftieth customer's place."""
-    at = table(spark, sf, "customer").where("c_custkey % 50 = 0").selectExpr("c_custkey AS id", "cast(c_custkey % 120 AS double) - 60 AS lat", "cast(c_custkey % 300 AS double) - 150 AS lon")
+    """Circles of 250 nm that cover circles of 1,000 nm around every customer's place."""
+    at = table(spark, sf, "customer").selectExpr("c_custkey AS id", "cast(c_custkey % 120 AS double) - 60 AS lat", "cast(c_custkey % 300 AS double) - 150 AS lon")
     return live.cover_circles(at, 1000.0).select("id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))

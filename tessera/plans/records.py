@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, records
 from ..operators import flood, graph, joins
 from .fixtures import PTS, points
-from .graphs import _grid
+from .graphs import _G, _grid
 from .registry import query, table
 
 
@@ -117,13 +117,13 @@ def snapped_points(spark, sf):
 
 
 @query("gridded_series", f"""WITH {PTS}, a AS (SELECT n_nationkey AS i, n_nationkey * 7.5 - 90.0 AS v FROM nation), o AS (SELECT n_nationkey AS i, n_nationkey * 15.0 AS v FROM nation),
-  n AS (SELECT id, (SELECT arg_min(a.i, (abs(a.v - lat), a.v)) FROM a) AS y, (SELECT arg_min(o.i, (abs(o.v - (lon % 360 + 360) % 360), o.v)) FROM o) AS x FROM pts WHERE id % 10 = 0)
+  n AS (SELECT id, (SELECT arg_min(a.i, (abs(a.v - lat), a.v)) FROM a) AS y, (SELECT arg_min(o.i, (abs(o.v - (lon % 360 + 360) % 360), o.v)) FROM o) AS x FROM pts)
   SELECT id, y AS lat_index, x AS lon_index, event_id, value FROM n JOIN (SELECT event_id, value, event_id % 25 AS ey, event_id // 25 % 25 AS ex FROM events) ON ey = y AND ex = x""")
 def gridded_series(spark, sf):
-    """A series at the grid point nearest to each tenth point; longitudes of the grid run from 0 to 360."""
+    """A series at the grid point nearest to each point; longitudes of the grid run from 0 to 360."""
     axis = lambda e: table(spark, sf, "nation").selectExpr("cast(n_nationkey AS bigint) AS index", f"{e} AS value")
     series = table(spark, sf, "events").selectExpr("event_id", "value", "event_id % 25 AS lat_index", "event_id div 25 % 25 AS lon_index")
-    at = joins.nearest_on_axes(points(spark, sf).where("id % 10 = 0").select("id", "lat", "lon"), {"lat": axis("n_nationkey * 7.5D - 90"), "lon": axis("n_nationkey * 15.0D")}, series)
+    at = joins.nearest_on_axes(points(spark, sf).select("id", "lat", "lon"), {"lat": axis("n_nationkey * 7.5D - 90"), "lon": axis("n_nationkey * 15.0D")}, series)
     return at.select("id", "lat_index", "lon_index", "event_id", "value")
 
 
@@ -134,13 +134,28 @@ def _flooded(spark, sf):
     return flood.flood_grid(g, water, walls, g.where("col = 0"), bank_least=1.0, least_cells=3)
 
 
-@query("flood_grid", None)
+#: Water clamped, walls burnt, the sea's parts, banks of canals, the band beside open water, and levels; `f` is the result.
+_FLOODED = f"""{_G}, c AS (SELECT row, col, CASE WHEN col = 20 AND row % 3 = 0 THEN 20.0::DOUBLE WHEN elev < 3 THEN least(elev, 0) ELSE elev END AS elev, CASE WHEN elev < 3 THEN row % 9 = 4 END AS managed FROM g),
+  o AS (SELECT row, col, row * 40 + col AS id FROM c WHERE managed = false AND elev < 20),
+  p(row, col, top) USING KEY (row, col) AS (SELECT row, col, id FROM o UNION (SELECT o.row, o.col, min(p.top) FROM p JOIN o ON abs(o.row - p.row) + abs(o.col - p.col) = 1 JOIN recurring.p AS r ON r.row = o.row AND r.col = o.col WHERE p.top < r.top GROUP BY 1, 2)),
+  sea AS (SELECT row, col FROM p WHERE top IN (SELECT top FROM p GROUP BY 1 HAVING count(*) >= 3 AND bool_or(col = 0))),
+  bank AS (SELECT w.row, w.col, arg_min(l.elev, (pow(w.row - l.row, 2) + pow(w.col - l.col, 2), l.elev)) AS bank FROM c w, c l WHERE w.managed AND l.managed IS NULL AND l.elev < 19 GROUP BY 1, 2),
+  near AS (SELECT DISTINCT row + a AS row, col + b AS col FROM o, (SELECT unnest(range(-2, 3)) AS a), (SELECT unnest(range(-2, 3)) AS b) WHERE abs(a) + abs(b) <= 2),
+  band AS (SELECT * FROM near ANTI JOIN o USING (row, col)),
+  h AS (SELECT row, col, greatest(CASE WHEN bank IS NOT NULL AND elev < 19 THEN greatest(bank, 0.1) ELSE elev END, CASE WHEN band.row IS NOT NULL AND elev < 19 THEN 1.0 ELSE -1e9 END)::DOUBLE AS elev FROM c LEFT JOIN bank USING (row, col) LEFT JOIN band USING (row, col)),
+  t(row, col, level) USING KEY (row, col) AS (SELECT row, col, elev FROM h SEMI JOIN sea USING (row, col)
+    UNION (SELECT h.row, h.col, min(greatest(t.level, h.elev)) FROM t JOIN h ON abs(h.row - t.row) + abs(h.col - t.col) = 1 LEFT JOIN recurring.t AS r ON r.row = h.row AND r.col = h.col WHERE r.row IS NULL OR greatest(t.level, h.elev) < r.level GROUP BY 1, 2)),
+  f AS (SELECT c.row, c.col, CASE WHEN managed IS NULL THEN greatest(elev, 0.1) ELSE elev END AS elev, CASE WHEN level IS NOT NULL THEN CASE WHEN managed IS NULL THEN greatest(level, 0.1) ELSE level END END AS level FROM c LEFT JOIN t ON t.row = c.row AND t.col = c.col)"""
+
+
+@query("flood_grid", f"WITH RECURSIVE {_FLOODED} SELECT row, col, elev, level FROM f")
 def flood_grid(spark, sf):
-    """The whole composition: water, canals, walls, sea, banks, levels (tests compare with plain loops)."""
+    """The whole composition: water, canals, walls, sea, banks, levels."""
     return _flooded(spark, sf)
 
 
-@query("flood_exposure", None)
+@query("flood_exposure", f"""WITH RECURSIVE {PTS}, {_FLOODED}, x AS (SELECT id, least(greatest(floor(abs(lon) % 40), 0), 39)::INT AS col, least(greatest(floor(40 - abs(lat) % 40), 0), 39)::INT AS row FROM pts)
+  SELECT id, round(greatest(level, CASE WHEN level IS NOT NULL THEN 0.1 END), 2) AS level, round(greatest(elev, 0), 1) AS ground FROM x JOIN f USING (row, col)""")
 def flood_exposure(spark, sf):
     """Customers as buildings over the flood grid."""
     features = points(spark, sf).selectExpr("id", "abs(lon) % 40 AS lon", "abs(lat) % 40 AS lat")
@@ -169,7 +184,7 @@ def polygon_raster(spark, sf):
 @query("alternative_ways", None)
 def alternative_ways(spark, sf):
     """The best way between two parts and others that avoid its lines (tests compare with a heap)."""
-    p = table(spark, sf, "part").selectExpr("p_partkey AS k").where("k <= 2000")
+    p = table(spark, sf, "part").selectExpr("p_partkey AS k")
     up = p.where("k > 1").selectExpr("k AS src", "k div 2 AS dst", "cast(1 + k % 5 AS double) AS cost", "concat('L', k % 3) AS line").unionByName(p.where("k >= 7").selectExpr("k AS src", "k div 7 AS dst", "cast(2 + k % 3 AS double) AS cost", "concat('M', k % 4) AS line"))
     edges = up.unionByName(up.selectExpr("dst AS src", "src AS dst", "cost", "line"))
     start = table(spark, sf, "part").where("p_partkey = 150").selectExpr("p_partkey AS node", "0D AS cost", "p_partkey AS label")

@@ -29,11 +29,11 @@ def test_shortest_paths_and_labels(spark):
     assert got == best
 
 
-def test_flood_over_many_tiles(spark):
+def test_flood_levels(spark):
     rnd = random.Random(5)
     elev = {(r, c): float(rnd.randrange(20)) for r in range(9) for c in range(11) if (r, c) != (4, 4)}
     grid = spark.createDataFrame([(r, c, e) for (r, c), e in elev.items()], "row int, col int, elev double")
-    got = {(r["row"], r["col"]): r["level"] for r in flood.flood_levels(grid, grid.where("col = 0"), tile=4).collect()}
+    got = {(r["row"], r["col"]): r["level"] for r in flood.flood_levels(grid, grid.where("col = 0")).collect()}
     want, heap = {}, [(e, at) for at, e in elev.items() if at[1] == 0]
     heapq.heapify(heap)
     while heap:
