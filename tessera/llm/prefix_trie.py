@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .cluster import lookup, small_batches, written
 
 #: Nodes of a component that one task takes whole.
-LIMIT = 20_000
+LIMIT = 1_000
 ROOT = b""
 
 
