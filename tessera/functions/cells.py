@@ -66,18 +66,28 @@ def resolution_for_area(km2: Column) -> Column:
     return F.when(km2 <= 120, 9).when(km2 <= 900, 8).otherwise(7)
 
 
+def _halves(cell: Column) -> tuple[Column, Column]:
+    """A cell as two columns that pandas keeps exact beside nulls."""
+    return F.shiftright(cell, 32), cell.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _joined(high: pd.Series, low: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the cells that are not null, and the cells."""
+    known = np.flatnonzero(high.notna().to_numpy())
+    return known, (high.to_numpy()[known].astype(np.int64) << 32) | low.to_numpy()[known].astype(np.int64)
+
+
 def _per_column(kind: str, fn):
     """A column function of `fn` (numpy array of cells to a list or array of results); null cells give null."""
 
-    def run(cell: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(cell), dtype=object)
-        known = cell.notna().to_numpy()
-        if known.any():
-            found = fn(cell[known].to_numpy().astype(np.int64))
-            out[np.flatnonzero(known)] = pd.Series(list(found), index=np.flatnonzero(known), dtype=object)
+    def run(high: pd.Series, low: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(high), dtype=object)
+        known, ids = _joined(high, low)
+        if len(known):
+            out[known] = pd.Series(list(fn(ids)), index=known, dtype=object)
         return out
 
-    return F.pandas_udf(run, kind)
+    return lambda cell: F.pandas_udf(run, kind)(*_halves(cell))
 
 
 def at(lat: Column, lon: Column, res: int) -> Column:
@@ -102,14 +112,14 @@ def center(cell: Column) -> Column:
 def boundary(cell: Column) -> Column:
     """The closed ring of a cell's corners, counter-clockwise: array of struct (x = lon, y = lat) in degrees."""
 
-    def run(ids: pd.Series) -> pd.DataFrame:
-        x, y = [None] * len(ids), [None] * len(ids)
-        known = np.flatnonzero(ids.notna().to_numpy())
-        for i, ring in zip(known, hexgrid.boundary_of(ids.to_numpy()[known].astype(np.int64)) if len(known) else []):
+    def run(high: pd.Series, low: pd.Series) -> pd.DataFrame:
+        x, y = [None] * len(high), [None] * len(high)
+        known, ids = _joined(high, low)
+        for i, ring in zip(known, hexgrid.boundary_of(ids) if len(known) else []):
             y[i], x[i] = hexgrid.degrees_of(np.concatenate([ring, ring[:1]]))
         return pd.DataFrame({"x": x, "y": y})
 
-    corners = F.pandas_udf(run, "struct<x: array<double>, y: array<double>>")(cell)
+    corners = F.pandas_udf(run, "struct<x: array<double>, y: array<double>>")(*_halves(cell))
     return F.arrays_zip(corners["x"], corners["y"])
 
 

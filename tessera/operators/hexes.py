@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cells, geo, hexgrid
@@ -21,32 +21,124 @@ def indexed(df: DataFrame, res: int, lat: str = "lat", lon: str = "lon", name: s
     return df.withColumn(name, cells.at(F.col(lat), F.col(lon), res))
 
 
-def lattice_km(res: int) -> float:
-    """Points so far apart hit every cell of a resolution (the smallest cells have under half the mean area)."""
-    mean = 4 * math.pi * hexgrid.EARTH_KM**2 / (2 + 120 * 7**res)
-    return 0.65 * math.sqrt(mean / (2 * math.sqrt(3))) * math.sqrt(2)
+def reach_degrees(res: int) -> float:
+    """No centre of a cell under one of this resolution is further from its centre (0.67 of the mean spacing of cells
+    would do), so that the reach of a child lies within its parent's."""
+    mean = 4 * math.pi / (2 + 120 * 7**res)
+    return math.degrees(0.7 * math.sqrt(2 * mean / math.sqrt(3)))
+
+
+def _edges(ring: Column) -> Column:
+    """The edges of a ring, closed: x1, y1, x2, y2.  A ring whose end is its start 360 degrees on encloses the pole of
+    its hemisphere and is led over it."""
+    first, last = F.element_at(ring, 1), F.element_at(ring, -1)
+    pole = F.when(F.aggregate(ring, F.lit(0.0), lambda a, p: a + p["y"]) < 0, -90.0).otherwise(90.0)
+    corner = lambda p: F.struct(p["x"].alias("x"), pole.alias("y"))
+    around = (F.abs(F.abs(last["x"] - first["x"]) - 360) < 1e-9) & (F.abs(last["y"] - first["y"]) < 1e-9)
+    ring = F.transform(ring, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    whole = F.when(around, F.concat(ring, F.array(corner(F.element_at(ring, -1)), corner(F.element_at(ring, 1))))).otherwise(ring)
+    ends = F.concat(F.slice(whole, F.lit(2), F.size(whole) - 1), F.slice(whole, F.lit(1), F.lit(1)))
+    edges = F.zip_with(whole, ends, lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")))
+    return F.filter(edges, lambda e: (e["x1"] != e["x2"]) | (e["y1"] != e["y2"]))
+
+
+def _crossed(edges: Column, x0: Column, x1: Column, y: Column) -> Column:
+    """Whether an odd number of edges lies between (x0, y) and (x1, y)."""
+
+    def between(e: Column) -> Column:
+        at = (e["x2"] - e["x1"]) * (y - e["y1"]) / F.when(e["y2"] == e["y1"], F.lit(1.0)).otherwise(e["y2"] - e["y1"]) + e["x1"]
+        return ((e["y1"] > y) != (e["y2"] > y)) & ((x0 < at) != (x1 < at))
+
+    return F.size(F.filter(edges, between)) % 2 == 1
+
+
+def _turned(edges: Column) -> Column:
+    """Edges with x and y exchanged."""
+    return F.transform(edges, lambda e: F.struct(e["y1"].alias("x1"), e["x1"].alias("y1"), e["y2"].alias("x2"), e["x2"].alias("y2")))
+
+
+def _touching(edges: Column, x: Column, y: Column, dx: Column, dy: float) -> Column:
+    """The edges that touch the box of half sides dx, dy around (x, y)."""
+
+    def touches(e: Column) -> Column:
+        a, b = e["x2"] - e["x1"], e["y2"] - e["y1"]
+        near = (F.least(e["x1"], e["x2"]) <= x + dx) & (F.greatest(e["x1"], e["x2"]) >= x - dx) & (F.least(e["y1"], e["y2"]) <= y + dy) & (F.greatest(e["y1"], e["y2"]) >= y - dy)
+        return near & (F.abs(a * (y - e["y1"]) - b * (x - e["x1"])) <= F.abs(a) * dy + F.abs(b) * dx + 1e-9)
+
+    return F.filter(edges, touches)
+
+
+def _half_width(lat: Column, reach: float) -> Column:
+    """The half side in degrees of longitude of the box around a cap; all around where it holds a pole."""
+    return F.when(F.abs(lat) + reach >= 90, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), math.sin(math.radians(reach)) / F.cos(F.radians(lat))))))
+
+
+def _base_cells() -> Column:
+    ids = (np.int64(1) << 59) | (np.arange(122, dtype=np.int64) << 45) | ((np.int64(1) << 45) - 1)
+    lat, lon = hexgrid.center_of(ids)
+    return F.array(*(F.struct(F.lit(int(c)).cast("long").alias("cell"), F.lit(float(b)).alias("x"), F.lit(float(a)).alias("y")) for c, a, b in zip(ids, lat, lon)))
+
+
+def refined(polygons: DataFrame, res: int, keys: Sequence[str] = ("id",), spread_every: int = 2) -> DataFrame:
+    """keys, cell: cells of `res` and coarser ones that together are the fill of each polygon (keys, ring, and `holes`,
+    an array of rings, if there is such a column): all centres under a coarser cell lie in the polygon.
+
+    From the base cells down, a cell that no edge comes near is wholly inside or outside; only the others are parted
+    into children, and carry just the edges near them.  Whether a child's centre is inside follows from its
+    parent's and the edges between the two.  Rows are dealt anew every few levels, so one large polygon is many
+    tasks' work; its size is that of its border.
+    """
+    rings = F.concat(F.array("ring"), F.coalesce("holes", F.expr("array()"))) if "holes" in polygons.columns else F.array("ring")
+    rows = polygons.where(F.size("ring") >= 3).select(*keys, F.flatten(F.transform(rings, _edges)).alias("edges")).where(F.size("edges") > 0)
+    low, high = (lambda c: F.array_min(F.transform("edges", lambda e: F.least(e[f"{c}1"], e[f"{c}2"])))), (lambda c: F.array_max(F.transform("edges", lambda e: F.greatest(e[f"{c}1"], e[f"{c}2"]))))
+    rows = rows.select(*keys, "edges", low("x").alias("w"), high("x").alias("e"), low("y").alias("s"), high("y").alias("n"))
+    reach = reach_degrees(0)
+    rows = rows.withColumn("c", F.explode(_base_cells())).withColumn("turn", F.explode(F.array(*(F.lit(float(t)) for t in (-360, 0, 360)))))
+    rows = rows.select(*keys, "edges", F.col("c.cell").alias("cell"), (F.col("c.x") + F.col("turn")).alias("x"), F.col("c.y").alias("y"), "w", "e", "s", "n")
+    wide = _half_width(F.col("y"), reach)
+    rows = rows.where((F.col("x") + wide >= F.col("w")) & (F.col("x") - wide <= F.col("e")) & (F.col("y") + reach >= F.col("s")) & (F.col("y") - reach <= F.col("n")))
+    rows = rows.select(*keys, "cell", "x", "y", _crossed(F.col("edges"), F.col("x"), F.col("e") + 1, F.col("y")).alias("inside"), _touching(F.col("edges"), F.col("x"), F.col("y"), wide, reach).alias("edges"))
+    for r in range(res):
+        # where no edge is near, all of the cell is as its centre
+        whole = F.size("edges") == 0
+        rows = rows.where(~whole | F.col("inside"))
+        if r and r % spread_every == 0:
+            rows = rows.repartition("cell")
+        kids = F.explode(F.when(whole, F.array("cell")).otherwise(cells.children(F.col("cell"), r)))
+        rows = rows.select(*keys, "x", "y", "inside", "edges", whole.alias("whole"), kids.alias("cell"))
+        rows = rows.withColumn("c", cells.center(F.when(~F.col("whole"), F.col("cell"))))
+        x = F.coalesce(F.col("c.lon") + 360 * F.round((F.col("x") - F.col("c.lon")) / 360), F.col("x"))
+        rows = rows.select(*keys, "cell", "whole", "inside", "edges", F.col("x").alias("px"), F.col("y").alias("py"), x.alias("x"), F.coalesce("c.lat", "y").alias("y"))
+        # first along the parent's longitude, then along the child's latitude
+        flips = _crossed(_turned(F.col("edges")), F.col("py"), F.col("y"), F.col("px")) != _crossed(F.col("edges"), F.col("px"), F.col("x"), F.col("y"))
+        reach = reach_degrees(r + 1)
+        near = _touching(F.col("edges"), F.col("x"), F.col("y"), _half_width(F.col("y"), reach), reach)
+        rows = rows.select(*keys, "cell", "x", "y", (F.col("inside") != flips).alias("inside"), near.alias("edges"))
+    return rows.where("inside").select(*keys, "cell").distinct()
+
+
+def cell_ranges(fill: DataFrame, res: int, keys: Sequence[str] = ("id",)) -> DataFrame:
+    """keys, low, high: the ids at `res` under the cells of a fill (cells of `res` and coarser), as ranges."""
+    own = cells.resolution(F.col("cell"))
+    bounds = F.coalesce(*(F.when(own == r, F.struct(low.alias("low"), high.alias("high"))) for r in range(res + 1) for low, high in [cells.child_range(F.col("cell"), r, res)]))
+    return fill.select(*keys, bounds.alias("b")).select(*keys, "b.low", "b.high")
+
+
+def expanded(fill: DataFrame, res: int) -> DataFrame:
+    """A fill with its coarser cells replaced by all cells of `res` under them."""
+    others = [c for c in fill.columns if c != "cell"]
+    for r in range(res):
+        own = cells.resolution(F.col("cell")) == r
+        fill = fill.select(*others, F.explode(F.when(own, cells.children(F.col("cell"), r)).otherwise(F.array("cell"))).alias("cell"))
+    return fill
 
 
 def polyfill(polygons: DataFrame, res: int, keys: Sequence[str] = ("id",)) -> DataFrame:
-    """keys, cell: the cells whose centre lies in each polygon (keys, ring).
+    """keys, cell: the cells whose centre lies in each polygon (keys, ring, perhaps holes).
 
-    A lattice of points over the polygon's box, rows of it dealt to tasks, hits every cell that could count; each
-    cell's centre is then tested once.  A multipolygon is several rows of one key: its cells are united.
+    A multipolygon is several rows of one key: its cells are united.
     """
-    x, y = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    step = lattice_km(res) / (math.pi / 180 * hexgrid.EARTH_KM)
-    box = polygons.select(*keys, "ring", F.array_min(x).alias("_w"), F.array_min(y).alias("_s"), F.array_max(x).alias("_e"), F.array_max(y).alias("_n")).withColumn("_part", F.xxhash64("ring"))
-    rows = box.withColumn("_i", F.explode(F.sequence(F.lit(-1).cast("long"), F.ceil((F.col("_n") - F.col("_s")) / step) + 1))).repartition(*keys, "_part", "_i")
-    lat = F.greatest(F.lit(-90.0), F.least(F.lit(90.0), F.col("_s") + F.col("_i") * step))
-    wide = step / F.greatest(F.cos(F.radians(F.least(F.abs(lat) + step, F.lit(89.9)))), F.lit(0.002))
-    rows = rows.withColumn("_lat", lat).withColumn("_step", wide)
-    points = rows.withColumn("_j", F.explode(F.sequence(F.lit(-1).cast("long"), F.ceil((F.col("_e") - F.col("_w")) / F.col("_step")) + 1)))
-    lon = F.col("_w") + F.col("_j") * F.col("_step")
-    hit = points.select(*keys, "_part", cells.at(F.col("_lat"), lon, res).alias("cell")).distinct()
-    near = hit.join(box.select(*keys, "_part", "ring", "_w", "_e"), [*keys, "_part"]).withColumn("_c", cells.center(F.col("cell")))
-    # rings may go on beyond 180 degrees
-    east = F.col("_c.lon") + F.when(F.col("_c.lon") < F.col("_w"), F.when(F.col("_c.lon") + 360 <= F.col("_e"), 360).otherwise(0)).otherwise(0)
-    return near.where(geo.ring_contains(F.col("ring"), east, F.col("_c.lat"))).select(*keys, "cell").distinct()
+    return expanded(refined(polygons, res, keys), res).distinct()
 
 
 def fill_report(polygons: DataFrame, res: int) -> DataFrame:
@@ -57,16 +149,80 @@ def fill_report(polygons: DataFrame, res: int) -> DataFrame:
     return out.withColumn("coverage", F.when(F.col("poly_m2") > 0, F.round(F.col("hex_m2") / F.col("poly_m2"), 4)))
 
 
+def _cross(o: Column, p: Column, q: Column) -> Column:
+    return (p["x"] - o["x"]) * (q["y"] - o["y"]) - (q["x"] - o["x"]) * (p["y"] - o["y"])
+
+
+def _rotated(ring: Column) -> Column:
+    return F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, F.lit(1), F.lit(1)))
+
+
+def clipped(ring: Column, convex: Column) -> Column:
+    """A convex ring cut by a convex counter-clockwise one, one half-plane after the other."""
+    edges = F.zip_with(convex, _rotated(convex), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def cut(rest: Column, e: Column) -> Column:
+        def corners(p: Column, q: Column) -> Column:
+            s, t = _cross(e["a"], e["b"], p), _cross(e["a"], e["b"], q)
+            k = s / F.when(s == t, F.lit(1.0)).otherwise(s - t)
+            at = F.struct((p["x"] + (q["x"] - p["x"]) * k).alias("x"), (p["y"] + (q["y"] - p["y"]) * k).alias("y"))
+            return F.filter(F.array(F.when(s >= 0, p), F.when((s >= 0) != (t >= 0), at)), lambda x: x.isNotNull())
+
+        return F.flatten(F.zip_with(rest, _rotated(rest), corners))
+
+    return F.aggregate(edges, ring, cut)
+
+
+def fan(polygons: DataFrame, key: str, name: str) -> DataFrame:
+    """key, name: counter-clockwise triangles (array of three corners) from each ring's first corner, and name_sign,
+    -1 where the ring runs the other way there: with their signs they add up to the polygon, convex or not."""
+    ring = F.transform("ring", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    rows = polygons.where(F.size("ring") >= 3).select(key, ring.alias("_r")).withColumn("_i", F.explode(F.sequence(F.lit(1), F.size("_r") - 2)))
+    o, p, q = F.col("_r")[0], F.get("_r", F.col("_i")), F.get("_r", F.col("_i") + 1)
+    rows = rows.select(key, o.alias("_o"), p.alias("_p"), q.alias("_q"), F.signum(_cross(o, p, q)).alias(f"{name}_sign")).where(F.col(f"{name}_sign") != 0)
+    left = F.col(f"{name}_sign") > 0
+    return rows.select(key, f"{name}_sign", F.array("_o", F.when(left, F.col("_p")).otherwise(F.col("_q")), F.when(left, F.col("_q")).otherwise(F.col("_p"))).alias(name))
+
+
+def overlay(polygons: DataFrame, within: DataFrame, step: float = 5.0) -> DataFrame:
+    """id, other, area_m2: the area that polygons (id, ring) share with those of `within` (id, ring), where they do.
+
+    Triangles of both sides meet in tiles of `step` degrees (a pair counts in the tile of its boxes' corner) and are
+    cut by each other; signed, their areas add up to that of the polygons' pieces.  Areas are planar at the middle
+    latitude of the polygon's triangle.
+    """
+    sides = []
+    for df, key, name in ((polygons, "id", "a"), (within.withColumnRenamed("id", "other"), "other", "b")):
+        x, y = F.transform(name, lambda p: p["x"]), F.transform(name, lambda p: p["y"])
+        box = {f"{name}_w": F.array_min(x), f"{name}_e": F.array_max(x), f"{name}_s": F.array_min(y), f"{name}_n": F.array_max(y)}
+        tiles = lambda lo, hi, name=name: F.explode(F.sequence(F.floor(F.col(f"{name}_{lo}") / step), F.floor(F.col(f"{name}_{hi}") / step)))
+        sides.append(fan(df, key, name).withColumns(box).withColumn("_x", tiles("w", "e")).withColumn("_y", tiles("s", "n")))
+    near = sides[0].join(sides[1], ["_x", "_y"])
+    meet = (F.col("a_w") <= F.col("b_e")) & (F.col("b_w") <= F.col("a_e")) & (F.col("a_s") <= F.col("b_n")) & (F.col("b_s") <= F.col("a_n"))
+    corner = (F.floor(F.greatest("a_w", "b_w") / step) == F.col("_x")) & (F.floor(F.greatest("a_s", "b_s") / step) == F.col("_y"))
+    pieces = near.where(meet & corner).withColumn("piece", clipped(F.col("a"), F.col("b")))
+    pairs = F.zip_with("piece", _rotated(F.col("piece")), lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
+    twice = F.aggregate(pairs, F.lit(0.0), lambda t, v: t + v)
+    metres = math.radians(1) * geo.EARTH_KM * 1000
+    scale = metres * metres * F.cos(F.radians((F.col("a_s") + F.col("a_n")) / 2))
+    sums = pieces.groupBy("id", "other").agg(F.sum(F.col("a_sign") * F.col("b_sign") * twice / 2 * scale).alias("_m2"))
+    # a pair that only touches leaves a rest of rounding
+    return sums.select("id", "other", F.abs("_m2").alias("area_m2")).where("area_m2 > 1e-3")
+
+
 def carried_mean(polygons: DataFrame, within: DataFrame, res: int, value: str) -> DataFrame:
-    """cell, mean, n: polygons (id, ring, value) cut by the areas of `within` (id, ring), filled with cells, and each
-    cell's mean of the values it gets.
+    """cell, mean, n, area_mean: polygons (id, ring, value) cut by the areas of `within` (id, ring), the pieces filled
+    with cells, and each cell's mean of the values it gets, plain and weighted by the area of the pieces.
 
-    A cell's centre lies in the cut of two polygons if it lies in both, so that nothing has to be clipped.
+    A cell's centre lies in the cut of two polygons if it lies in both, so that the cut itself only gives the areas.
     """
+    known = polygons.where(F.col(value).isNotNull())
     inside = polyfill(within, res).select("cell").distinct()
-    own = polyfill(polygons.where(F.col(value).isNotNull()).select("id", "ring"), res).join(inside, "cell", "left_semi")
-    values = polygons.groupBy("id").agg(F.first(value).alias(value))
-    return own.join(values, "id").groupBy("cell").agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
+    own = polyfill(known.select("id", "ring"), res).join(inside, "cell", "left_semi")
+    areas = overlay(known.select("id", "ring"), within.select("id", "ring")).groupBy("id").agg(F.sum("area_m2").alias("_m2"))
+    values = known.groupBy("id").agg(F.first(value).alias(value)).join(areas, "id", "left")
+    weight = F.coalesce("_m2", F.lit(0.0))
+    return own.join(values, "id").groupBy("cell").agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"), (F.sum(F.col(value) * weight) / F.sum(weight)).alias("area_mean"))
 
 
 def descent(df: DataFrame, res: int, cell: str = "cell") -> DataFrame:

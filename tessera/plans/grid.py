@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import cells, geo
@@ -72,6 +74,18 @@ def fill_report(spark, sf):
     return hexes.fill_report(zones(spark, sf), 4)
 
 
+@query("overlay_areas", """WITH z AS (SELECT s_suppkey AS id, (s_suppkey * 7919 % 1200)::DOUBLE / 10 - 60 AS x, (s_suppkey * 104729 % 800)::DOUBLE / 10 - 40 AS y FROM supplier),
+  p AS (SELECT a.id, b.id AS other, a.y, least(1 - (greatest(a.x, b.x) - a.x) / 3 - (greatest(a.y, b.y) - a.y) / 4, 1 - (greatest(a.x, b.x) - b.x) / 3 - (greatest(a.y, b.y) - b.y) / 4) AS t FROM z a JOIN z b ON b.id % 4 = 0)
+  SELECT id, other, round(6 * t * t * pow(radians(1) * 6371, 2) * cos(radians(y + 2)), 3) AS km2 FROM p WHERE t > 0.01""")
+def overlay_areas(spark, sf):
+    """What each zone shares with every fourth one: translated triangles share a smaller one of their shape."""
+    z = zones(spark, sf)
+    found = hexes.overlay(z, z.where("id % 4 = 0"))
+    whole = 6 * (math.radians(1) * geo.EARTH_KM) ** 2
+    at = found.join(z.select("id", F.cos(F.radians(F.col("ring")[0]["y"] + 2)).alias("k")), "id")
+    return at.where(F.sqrt(F.col("area_m2") / 1e6 / (whole * F.col("k"))) > 0.01).select("id", "other", F.round(F.col("area_m2") / 1e6, 3).alias("km2"))
+
+
 @query("carried_mean", None)
 def carried_mean(spark, sf):
     """Zones with values, cut by every fourth zone: the mean value of each cell."""
