@@ -19,6 +19,11 @@ def _mask(resolution: int) -> int:
     return (1 << 3 * (DIGITS - resolution)) - 1
 
 
+def span(res: int) -> int:
+    """How far apart ids of neighbours in order are at a resolution."""
+    return 1 << 3 * (DIGITS - res)
+
+
 def resolution(cell: Column) -> Column:
     return F.shiftright(cell, 52).bitwiseAND(15).cast("int")
 

@@ -5,7 +5,9 @@ Cells are ids of `functions.cells`; rings are arrays of struct (x = lon, y = lat
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from collections.abc import Sequence
 
 import numpy as np
@@ -242,17 +244,39 @@ def area_drift(df: DataFrame, cell: str = "cell") -> DataFrame:
     return own.join(F.broadcast(mean), "res").select("cell", "res", "m2", (F.col("m2") / F.col("_mean")).alias("drift"))
 
 
+#: Ranges of ids that a scan is cut to at most (never fewer than the base cells).
+RANGES = 128
+
+
+def covering_ranges(parents: DataFrame, parent_res: int, res: int) -> list[tuple[int, int]]:
+    """The ids at `res` under the cells of `parents` (parent) as at most RANGES ranges: those of the finest
+    resolution that has so few cells over them, neighbours joined."""
+    column = lambda r: cells.parent(F.col("parent"), r)
+    known = parents.where("parent is not null").select("parent").distinct()
+    counts = known.agg(*(F.count_distinct(column(r)) for r in range(parent_res + 1))).first()
+    at = max(r for r in range(parent_res + 1) if counts[r] <= RANGES)
+    low, high = cells.child_range(F.col("at"), at, res)
+    rows = known.select(column(at).alias("at")).distinct().select(low.alias("low"), high.alias("high")).collect()  # RANGES at most
+    out: list[tuple[int, int]] = []
+    unit = cells.span(res)
+    for a, b in sorted((r["low"], r["high"]) for r in rows):
+        if out and a <= out[-1][1] + unit:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
 def under(df: DataFrame, cell: str, parents: DataFrame, parent_res: int, res: int) -> DataFrame:
     """The rows whose cell (of `res`) lies under one of the cells of `parents` (parent).
 
-    Ids under a cell are one range, so the scan is first cut to the range of all parents (two numbers from a sum reach
-    the driver): on a table sorted by cell it skips the files and row groups outside.
+    Ids under a cell are one range, so the scan is first cut to a few ranges: on a table sorted by cell it skips the
+    files and row groups outside and between them.  The cells of `parents` are looked at when the query is built.
     """
-    low, high = cells.child_range(F.col("parent"), parent_res, res)
-    ends = parents.agg(F.min(low), F.max(high)).first()
-    if ends[0] is None:
+    ranges = covering_ranges(parents, parent_res, res)
+    if not ranges:
         return df.limit(0)
-    near = df.where(F.col(cell).between(F.lit(ends[0]), F.lit(ends[1])))
+    near = df.where(functools.reduce(operator.or_, (F.col(cell).between(F.lit(a), F.lit(b)) for a, b in ranges)))
     return near.withColumn("parent", cells.parent(F.col(cell), parent_res)).join(parents.select("parent").distinct(), "parent", "left_semi").drop("parent")
 
 

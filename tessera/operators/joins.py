@@ -35,6 +35,15 @@ def _column(lon: Column, n: Column) -> Column:
     return F.pmod(F.floor((lon + 180) / 360 * n).cast("long"), n)
 
 
+def tile_of(lat: Column, lon: Column, km: float) -> tuple[Column, Column]:
+    """Tiles of at most `km` in height and width, so that any two points of one are less than 1.5 `km` apart."""
+    row = _rows(lat, km)
+    step = km / KM_PER_DEGREE
+    near = F.when((row * step - 90) * ((row + 1) * step - 90) <= 0, 0.0).otherwise(F.least(F.abs(row * step - 90), F.abs((row + 1) * step - 90)))
+    n = F.greatest(F.ceil(F.cos(F.radians(near)) * 360 / step), F.lit(1)).cast("long")
+    return row, _column(lon, n)
+
+
 def radius_pairs(left: DataFrame, right: DataFrame, km: float, radius: float = geo.EARTH_KM) -> DataFrame:
     """Pairs of `left` (id, lat, lon) and `right` (site, site_lat, site_lon) at most `km` apart, with `km`.
 

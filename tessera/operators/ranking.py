@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,18 +41,31 @@ def min_max_score(df: DataFrame, weights: dict[str, float]) -> DataFrame:
     return rows.crossJoin(F.broadcast(ends)).select(*df.columns, (scaled(F.col("_raw"), F.col("_a"), F.col("_b")) * 100).alias("score"))
 
 
-def greedy_apart(candidates: DataFrame, score: str, km: float, k: int) -> DataFrame:
-    """Up to k best candidates (id, lat, lon), each more than `km` from the ones before; one row a round
-    reaches the driver."""
-    spark, rest, picked = candidates.sparkSession, candidates, []
-    for i in range(k):
-        best = rest.orderBy(F.desc(score), "id").limit(1).collect()
-        if not best:
-            break
-        b = best[0]
-        picked.append((i + 1, b["id"], float(b["lat"]), float(b["lon"]), float(b[score])))
-        rest = rest.where(geo.haversine(F.col("lat"), F.col("lon"), F.lit(float(b["lat"])), F.lit(float(b["lon"]))) > km)
-    return spark.createDataFrame(picked, f"pick int, id long, lat double, lon double, {score} double")
+def greedy_apart(candidates: DataFrame, score: str, km: float, k: int, max_rounds: int = 200) -> DataFrame:
+    """pick, id, lat, lon, score: up to k best candidates (id, lat, lon; ties by id), each more than `km` from all
+    better picks.
+
+    A round picks every candidate that is the best within `km` of itself, wherever it is, and drops what these cover;
+    with many candidates rounds grow with their logarithm.  Only the best of each tile of half `km` can be one, so few
+    are compared with the rest.  Rounds end when none is left that could be among the k best picks.
+    """
+    rest = graph.cut(candidates.select(F.col("id").cast("long").alias("id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.col(score).cast("double").alias(score)))
+    value = lambda s, i: F.struct(F.col(s).alias("s"), (-F.col(i)).alias("i"))
+    picked: list[DataFrame] = []
+    for _ in range(max_rounds):
+        row, column = joins.tile_of(F.col("lat"), F.col("lon"), km / 2)
+        best = rest.groupBy(row.alias("_r"), column.alias("_c")).agg(F.max(F.struct(value(score, "id").alias("v"), F.struct("id", "lat", "lon", score).alias("x"))).alias("b"))
+        best = graph.cut(best.select(F.col("b.x.id").alias("site"), F.col("b.x.lat").alias("site_lat"), F.col("b.x.lon").alias("site_lon"), F.col(f"b.x.{score}").alias("site_score")))
+        beaten = joins.radius_pairs(rest, best, km).where(value(score, "id") > value("site_score", "site")).select("site").distinct()
+        won = graph.cut(best.join(beaten, "site", "left_anti"))
+        picked.append(won.select(F.col("site").alias("id"), F.col("site_lat").alias("lat"), F.col("site_lon").alias("lon"), F.col("site_score").alias(score)))
+        rest = graph.cut(rest.join(joins.radius_pairs(rest, won, km).select("id").distinct(), "id", "left_anti"))
+        top = rest.agg(F.max(value(score, "id")).alias("v")).first()["v"]
+        all_picked = functools.reduce(DataFrame.unionByName, picked)
+        if top is None or all_picked.where(value(score, "id") > F.struct(F.lit(top["s"]).cast("double").alias("s"), F.lit(top["i"]).cast("long").alias("i"))).limit(k).count() == k:
+            firsts = all_picked.orderBy(F.col(score).desc(), "id").limit(k)
+            return firsts.select(F.row_number().over(Window.orderBy(F.col(score).desc(), "id")).alias("pick"), "id", "lat", "lon", score)
+    raise RuntimeError(f"not settled after {max_rounds} rounds")
 
 
 def site_scores(points: DataFrame, sites: DataFrame, km: float) -> DataFrame:

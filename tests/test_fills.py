@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import cells, geo, hexgrid
-from tessera.operators import hexes
+from tessera.operators import hexes, ranking
 
 RING = "array<struct<x: double, y: double>>"
 
@@ -128,3 +128,43 @@ def test_means_and_reports(spark):
     for i, r in report.items():
         own = np.array([x["cell"] for x in hexes.polyfill(zones.where(f"id = {i}"), 5).collect()])
         assert r["n_cells"] == fills[i] == len(own) and np.isclose(r["hex_m2"], hexgrid.area_of(own).sum(), rtol=1e-12) and abs(r["coverage"] - 1) < 0.02
+
+
+def test_scattered_parents_skip_what_lies_between(spark, tmp_path):
+    every = (np.int64(1) << 59) | (np.int64(5) << 52) | (np.arange(122, dtype=np.int64) << 45) | ((np.int64(1) << 45) - 1)
+    base = spark.createDataFrame([(int(c),) for c in every], "cell long")
+    fine = base.selectExpr("cell", "explode(sequence(0, 48)) k")
+    rows = fine.selectExpr("(cell & ~(63L << 39)) | (cast(k div 7 as bigint) << 42) | (cast(k % 7 as bigint) << 39) cell")
+    rows.orderBy("cell").coalesce(1).write.option("parquet.block.size", "1024").option("parquet.page.size", "256").parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    at = lambda b: int(every[b] & ~(15 << 52) | (1 << 52)) & ~(7 << 42)
+    parents = spark.createDataFrame([(at(3),), (at(110),), (None,), (at(3),)], "parent long")
+    assert len(hexes.covering_ranges(parents, 1, 5)) == 2
+    found = hexes.under(table, "cell", parents, 1, 5)
+    assert found.count() == 14
+    pushed = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [" in pushed and "Or(" in pushed
+    # neighbours are one range, and very many parents are covered by coarser cells
+    near = spark.createDataFrame([(at(7) | d << 42,) for d in range(3)], "parent long")
+    assert len(hexes.covering_ranges(near, 1, 5)) == 1
+    many = rows.select(cells.parent(F.col("cell"), 2).alias("parent"))
+    assert 1 <= len(hexes.covering_ranges(many, 2, 5)) <= hexes.RANGES and hexes.under(table, "cell", many, 2, 5).count() == 122 * 49
+    assert hexes.under(table, "cell", parents.where("parent is null"), 1, 5).count() == 0
+
+
+def test_parallel_picks_equal_one_by_one(spark):
+    rnd = np.random.default_rng(8)
+    for n, km, k in ((300, 900.0, 12), (150, 4000.0, 500), (200, 30.0, 200)):
+        v = rnd.standard_normal((n, 3))
+        lat, lon = hexgrid.degrees_of(v / np.linalg.norm(v, axis=1, keepdims=True))
+        score = rnd.integers(0, 40, n)
+        df = spark.createDataFrame([(i, float(a), float(b), float(s)) for i, (a, b, s) in enumerate(zip(lat, lon, score))], "id long, lat double, lon double, score double")
+        want: list[int] = []
+        a, b = np.radians(lat), np.radians(lon)
+        far = lambda i, j: 2 * geo.EARTH_KM * np.arcsin(min(1.0, np.sqrt(np.sin((a[i] - a[j]) / 2) ** 2 + np.cos(a[i]) * np.cos(a[j]) * np.sin((b[i] - b[j]) / 2) ** 2)))
+        for i in sorted(range(n), key=lambda i: (-score[i], i)):
+            if len(want) < k and all(far(i, j) > km for j in want):
+                want.append(i)
+        got = ranking.greedy_apart(df, "score", km, k).orderBy("pick").collect()
+        assert [r["id"] for r in got] == want and [r["pick"] for r in got] == list(range(1, len(want) + 1))
+    assert ranking.greedy_apart(df.limit(0), "score", 5.0, 3).count() == 0
