@@ -173,6 +173,34 @@ def test_fold_takes_new_items_once_and_failed_ones_again(spark, tmp_path):
     assert poll("3", ("d", 4)) == [("a", 2), ("b", 4), ("c", 6), ("d", 8)]
 
 
+def test_fold_reads_only_what_is_new_and_survives_a_broken_poll(spark, tmp_path):
+    inbox, folder = tmp_path / "in", str(tmp_path / "state")
+    inbox.mkdir()
+    broken = []
+
+    def convert(df):
+        if broken:
+            raise RuntimeError("no network")
+        return df.withColumn("ok", F.col("name") != "never")
+
+    def poll(i, *names):
+        (inbox / f"{i}.json").write_text("\n".join(json.dumps({"name": n}) for n in names))
+        q = fold.fold_items(spark.readStream.schema("name string").json(str(inbox)), "name", convert, folder, max_tries=3)
+        q.awaitTermination()
+        return sum(p["numInputRows"] for p in q.recentProgress)
+
+    first = poll(0, *(f"n{i}" for i in range(50)), "never")
+    read = [poll(i, f"m{i}", "n3") for i in range(1, 6)]
+    assert first == 51 and read == [3, 3, 2, 2, 2]  # two that arrive, and the failed one until its third try
+    broken.append(True)
+    with pytest.raises(Exception, match="no network"):
+        poll(6, "late")
+    broken.clear()
+    poll(7, "last")
+    done = [r["name"] for r in spark.read.parquet(f"{folder}/done").collect()]
+    assert sorted(done) == sorted({*(f"n{i}" for i in range(50)), *(f"m{i}" for i in range(1, 6)), "late", "last"})
+
+
 def test_nested_settings(spark):
     def flatten(obj, prefix=""):
         return {k: v for key, value in obj.items() for k, v in (flatten(value, f"{prefix}{key}.") if isinstance(value, dict) else {f"{prefix}{key}": value}).items()}
