@@ -103,11 +103,21 @@ def label_borders(paths: DataFrame, edges: DataFrame) -> DataFrame:
     return both.groupBy(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).agg(F.min(F.col("_cs") + F.col("cost") + F.col("_cd")).alias("cost"))
 
 
-def ride_minutes(km: Column, category: Column, speeds: dict[str, float], dwell: float) -> Column:
-    out = F.lit(None).cast("double")
-    for name, kmh in speeds.items():
-        out = F.when(category == name, km / kmh * 60 + dwell).otherwise(out)
-    return out
+#: Mean speeds with stops (km/h) and dwell times (minutes) of the line categories.
+SPEEDS = {0: 150.0, 1: 55.0, 2: 32.0, 3: 45.0, 4: 20.0}
+DWELLS = {0: 1.0, 1: 0.7, 2: 0.6, 3: 0.7, 4: 0.5}
+
+
+def ride_minutes(km: Column, category: Column, speeds: dict = SPEEDS, dwells: dict = DWELLS) -> Column:
+    """Minutes of a ride at its category's speed and dwell; null for an unknown category."""
+    return F.coalesce(*(F.when(category == name, km / kmh * 60 + dwells[name]) for name, kmh in speeds.items()))
+
+
+def rides(borders: DataFrame, stations: DataFrame, speeds: dict = SPEEDS, dwells: dict = DWELLS) -> DataFrame:
+    """a, b, minutes (2 digits), km (3 digits): the links of `borders` (a, b, cost in km) between neighbouring stations as
+    rides, by the category of station a (label, category)."""
+    kind = stations.select(F.col("label").alias("a"), "category")
+    return borders.join(kind, "a").select("a", "b", F.round(ride_minutes(F.col("cost"), F.col("category"), speeds, dwells), 2).alias("minutes"), F.round("cost", 3).alias("km"))
 
 
 def connected(edges: DataFrame, nodes: DataFrame, max_rounds: int = 1000) -> DataFrame:

@@ -38,6 +38,42 @@ def traffic_pulse(spark, sf):
     return live.pulse(feed(spark, sf), ["ABC", "DEF"])
 
 
+_REGIONS = ["region0", "region1", "region2", "region3"]
+
+
+def fleet(spark, sf):
+    return live.first_seen(live.airborne(feed(spark, sf).withColumn("flags", (F.col("event_id") % 8).cast("int"))))
+
+
+@query("traffic_summary", f"""WITH {FEED}, {_AIR}, {_ONCE},
+  x AS (SELECT 'region' AS facet, region AS name FROM o UNION ALL SELECT 'airline', substr(cs, 1, 3) FROM o WHERE substr(cs, 1, 3) IN ('ABC', 'DEF') UNION ALL SELECT 'type', upper(trim(kind)) FROM o UNION ALL SELECT 'band', {_BAND} FROM o),
+  c AS (SELECT facet, name, count(*) AS n, row_number() OVER (PARTITION BY facet ORDER BY count(*) DESC, name) AS i FROM x GROUP BY 1, 2),
+  z AS (SELECT 'region' AS facet, unnest(['region0', 'region1', 'region2', 'region3']) AS name UNION ALL SELECT 'band', unnest(['<10k', '10-20k', '20-30k', '30-40k', '>40k']))
+  SELECT facet, name, n FROM c WHERE i <= CASE facet WHEN 'airline' THEN 12 WHEN 'type' THEN 10 ELSE 1000 END UNION ALL SELECT facet, name, 0 FROM z ANTI JOIN c USING (facet, name)
+  UNION ALL SELECT 'total', 'all', count(*) FROM o UNION ALL SELECT 'military', 'all', count(*) FILTER (event_id % 2 = 1) FROM o""")
+def traffic_summary(spark, sf):
+    """The whole pulse: facets with empty regions and bands, all aircraft, military ones."""
+    return live.summary(fleet(spark, sf), ["ABC", "DEF"], _REGIONS)
+
+
+@query("traffic_superlatives", f"""WITH {FEED}, {_AIR}, {_ONCE}, v AS (SELECT 'fastest' AS what, gs AS v, round_even(gs, 0) AS value, * FROM o UNION ALL SELECT 'highest', feet, floor(feet), * FROM o),
+  r AS (SELECT *, row_number() OVER (PARTITION BY what ORDER BY v DESC, source_rank, ts, lat, lon, hex) AS k FROM v WHERE v IS NOT NULL) SELECT what, upper(trim(cs)) AS cs, upper(trim(kind)) AS kind, region, value FROM r WHERE k = 1""")
+def traffic_superlatives(spark, sf):
+    return live.superlatives(fleet(spark, sf))
+
+
+@query("event_groups", """WITH e AS (SELECT event_id, ['Wildfires', 'Severe Storms', 'Volcanoes', 'Sea and Lake Ice', 'Drought'][event_id % 5 + 1] AS category, event_id * 7 % 1000 AS seq, event_id % 3 AS form, (event_id * 7919 % 17000)::DOUBLE / 100 - 85 AS lat, (event_id * 104729 % 36000)::DOUBLE / 100 - 180 AS lon FROM events),
+  k AS (SELECT *, ['wildfires', 'storms', 'volcanoes', 'ice'][event_id % 5 + 1] AS kind, row_number() OVER (PARTITION BY category ORDER BY seq, event_id) AS i FROM e WHERE form < 2 AND category <> 'Drought')
+  SELECT kind, event_id, 'event ' || event_id AS title, category, round(lat, 6) AS lat, round(lon, 6) AS lon FROM k WHERE kind <> 'wildfires' OR i <= 120""")
+def event_groups(spark, sf):
+    """Events with two observations each: points, polygons and lines, which give no place."""
+    at = "cast(event_id * 104729 % 36000 AS double) / 100 - 180 AS x", "cast(event_id * 7919 % 17000 AS double) / 100 - 85 AS y"
+    rows = table(spark, sf, "events").selectExpr("event_id", "event_id * 7 % 1000 AS seq", "concat('event ', event_id) AS title", "array(element_at(array('Wildfires', 'Severe Storms', 'Volcanoes', 'Sea and Lake Ice', 'Drought'), cast(event_id % 5 + 1 AS int)), 'Floods') AS categories", "event_id % 3 AS form", *at)
+    last = F.expr("struct(element_at(array('Point', 'Polygon', 'LineString'), cast(form + 1 AS int)) AS type, CASE form WHEN 0 THEN concat('[', x, ',', y, ']') WHEN 1 THEN concat('[[[', x, ',', y, '],[0,0],[1,1]]]') ELSE '[[0,0],[1,1]]' END AS coordinates)")
+    rows = rows.withColumn("geometry", F.array(F.expr("struct('Point' AS type, '[0,0]' AS coordinates)"), last))
+    return live.event_groups(rows).withColumn("lat", F.round("lat", 6)).withColumn("lon", F.round("lon", 6))
+
+
 @query("airborne_snapshot", f"WITH {FEED}, {_AIR} SELECT event_id, feet, round(gs * 1.943844, 6) AS kt FROM a")
 def airborne_snapshot(spark, sf):
     return live.airborne(feed(spark, sf)).select("event_id", "feet", F.round(geo.knots(F.col("gs")), 6).alias("kt"))

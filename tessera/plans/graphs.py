@@ -52,6 +52,16 @@ def label_borders(spark, sf):
     return graph.label_borders(graph.shortest(e, _start(spark, sf, "p_partkey % 500 = 1")), e)
 
 
+@query("rides", f"""WITH RECURSIVE {_LABELS}, b AS (SELECT least(p.label, q.label) AS a, greatest(p.label, q.label) AS b, min(p.cost + d.cost + q.cost) AS km FROM d JOIN t p ON p.node = d.src JOIN t q ON q.node = d.dst WHERE p.label <> q.label GROUP BY 1, 2)
+  SELECT a, b, round(km / [150, 55, 32, 45, 20][a // 500 % 5 + 1] * 60 + [1.0, 0.7, 0.6, 0.7, 0.5][a // 500 % 5 + 1]::DOUBLE, 2) AS minutes, round(km, 3) AS km FROM b""")
+def rides(spark, sf):
+    """Rides between neighbouring sources, at the speed of the first one's category."""
+    e = _edges(spark, sf)
+    borders = graph.label_borders(graph.shortest(e, _start(spark, sf, "p_partkey % 500 = 1")), e)
+    stations = table(spark, sf, "part").where("p_partkey % 500 = 1").selectExpr("p_partkey AS label", "cast(p_partkey div 500 % 5 AS int) AS category")
+    return graph.rides(borders, stations)
+
+
 @query("connected_parts", """WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey // 2 AS b FROM part WHERE p_partkey > 1 AND p_partkey % 16 <> 0), n AS (SELECT p_partkey AS node FROM part), r AS (SELECT node, node AS top FROM n UNION SELECT r.node, e.b FROM r JOIN e ON r.top = e.a) SELECT node, min(top) AS component FROM r GROUP BY 1""")
 def connected_parts(spark, sf):
     p = table(spark, sf, "part").selectExpr("p_partkey AS node")

@@ -6,8 +6,12 @@ beyond the watermark are dropped.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import geo
 
@@ -45,22 +49,92 @@ def airline(cs: Column) -> Column:
     return F.when(F.length(letters) == 3, letters)
 
 
+#: How many airlines and types are told.
+MOST = {"airline": 12, "type": 10}
+
+
 def pulse(events: DataFrame, airlines: list[str], most: dict[str, int] | None = None) -> DataFrame:
     """Batch: facet, name, n: the airborne aircraft, each once, by region, airline (of `airlines`), type and band.
 
     Only the `most` frequent airlines and types are told (12 and 10), ties by name.
     """
-    most = {"airline": 12, "type": 10} if most is None else most
+    return counted(first_seen(airborne(events)), airlines, MOST if most is None else most)
+
+
+def counted(fleet: DataFrame, airlines: list[str], most: dict[str, int]) -> DataFrame:
+    """facet, name, n of a fleet, one row for each aircraft."""
     code = airline(F.col("cs"))
     kind = F.upper(F.trim("kind"))
     facets = {"region": F.col("region"), "airline": F.when(code.isin(airlines), code), "type": F.when(kind != "", kind), "band": altitude_band(F.col("feet"))}
     each = F.explode(F.array(*(F.struct(F.lit(f).alias("facet"), c.alias("name")) for f, c in facets.items())))
-    counts = first_seen(airborne(events)).select(each.alias("x")).where("x.name is not null").groupBy("x.facet", "x.name").agg(F.count(F.lit(1)).alias("n"))
+    counts = fleet.select(each.alias("x")).where("x.name is not null").groupBy("x.facet", "x.name").agg(F.count(F.lit(1)).alias("n"))
     place = F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "name"))
     limit = F.coalesce(*(F.when(F.col("facet") == f, n) for f, n in most.items()), F.lit(2**31 - 1)) if most else F.lit(2**31 - 1)
     return counts.withColumn("_i", place).where(F.col("_i") <= limit).drop("_i")
 
 
+def summary(fleet: DataFrame, airlines: list[str], regions: list[str], most: dict[str, int] | None = None) -> DataFrame:
+    """facet, name, n of a fleet: as `pulse`, with regions and bands that have none, all aircraft (total) and those
+    whose `flags` mark them as military (bit 0)."""
+    spark = fleet.sparkSession
+    counts = counted(fleet, airlines, MOST if most is None else most)
+    empty = spark.createDataFrame([("region", r) for r in regions] + [("band", name) for _, name in BANDS], "facet string, name string")
+    marked = F.count_if(F.col("flags").bitwiseAND(1) == 1)
+    sums = fleet.agg(F.count(F.lit(1)).alias("total"), marked.alias("military")).select(F.explode(F.array(*(F.struct(F.lit(x).alias("facet"), F.lit("all").alias("name"), F.col(x).alias("n")) for x in ("total", "military")))).alias("x")).select("x.*")
+    whole = counts.join(F.broadcast(empty), ["facet", "name"], "full").select("facet", "name", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    return whole.unionByName(sums)
+
+
+def superlatives(fleet: DataFrame) -> DataFrame:
+    """what (fastest, highest), cs, kind, region, value: the first aircraft with the highest speed and altitude."""
+    order = ["source_rank", "ts", "lat", "lon", "hex"]
+    told = lambda c: F.coalesce(F.when(F.trim(c) != "", F.upper(F.trim(c))), F.lit("—")).alias(c)
+    each = F.explode(F.array(*(F.struct(F.lit(what).alias("what"), value.cast("double").alias("value")) for what, value in (("fastest", F.rint("gs")), ("highest", F.floor("feet"))))))
+    exact = F.when(F.col("x.what") == "fastest", F.col("gs")).otherwise(F.col("feet"))
+    rows = fleet.select("*", each.alias("x")).where("x.value is not null").withColumn("_v", exact)
+    first = F.min_by(F.struct(told("cs"), told("kind"), "region", "x.value"), F.struct(-F.col("_v"), *order))
+    return rows.groupBy("x.what").agg(first.alias("b")).select("what", "b.*")
+
+
+FLEET = "hex string, cs string, kind string, region string, feet double, gs double, flags int, lat double, lon double, source_rank int, ts timestamp"
+
+
+def fleet_changes(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
+    """Stream: the rows of FLEET that join the fleet (n = 1) and leave it (n = -1).
+
+    The state of an aircraft is its row, the first by source and time; a better row replaces it, and one that isn't
+    heard of for `gap_minutes` (by the watermark) leaves.  The sum of n by row is the fleet, and `summary` and
+    `superlatives` of that are what a batch over the same events gives.
+    """
+    names = [f.split()[0] for f in FLEET.split(", ")]
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = state.get if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(*key, *kept[1:], -1)], columns=[*names, "n"])
+            return
+        rows = pd.concat(list(frames))
+        first = rows.sort_values(["source_rank", "ts", "lat", "lon"], na_position="first").iloc[0]
+        new = tuple(None if pd.isna(first[c]) else first[c].to_pydatetime() if c == "ts" else first[c].item() if hasattr(first[c], "item") else first[c] for c in names)
+        place = lambda row: (row[9] is not None, row[9] or 0, row[10], row[7], row[8])
+        changed = kept is None or place(new) < place(kept)
+        state.update(new if changed else kept)
+        state.setTimeoutTimestamp(int(rows["ts"].max().timestamp() * 1000) + gap_minutes * 60_000)
+        if changed:
+            out = [(*new, 1)] if kept is None else [(*kept, -1), (*new, 1)]
+            yield pd.DataFrame(out, columns=[*names, "n"])
+
+    rows = airborne(events).where("hex is not null").withWatermark("ts", WATERMARK).select(*names)
+    return rows.groupBy("hex").applyInPandasWithState(step, f"{FLEET}, n long", FLEET, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def fleet_of(changes: DataFrame) -> DataFrame:
+    """The fleet after all `changes`: rows that joined and haven't left."""
+    names = [f.split()[0] for f in FLEET.split(", ")]
+    return changes.groupBy(*names).agg(F.sum("n").alias("n")).where("n > 0").drop("n")
+
+
 def pulse_stream(events: DataFrame, window: str = "5 minutes") -> DataFrame:
     """Stream: distinct aircraft of each tumbling window by band of their highest altitude; append mode."""
     per = airborne(events).withWatermark("ts", WATERMARK).groupBy(F.window("ts", window), "hex").agg(F.max("feet").alias("feet"))
@@ -116,6 +190,29 @@ def last_geometry(events: DataFrame, per_kind: int = 120) -> DataFrame:
     return rows.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= per_kind).drop("_i")
 
 
+#: The event categories that are told, and how many of a kind at most.
+EVENT_KINDS = {"Wildfires": "wildfires", "Severe Storms": "storms", "Volcanoes": "volcanoes", "Sea and Lake Ice": "ice"}
+EVENT_MOST = {"wildfires": 120}
+
+
+def event_groups(events: DataFrame) -> DataFrame:
+    """kind, event_id, title, category, lat, lon: natural events (seq, event_id, title, categories array<string>,
+    geometry array<struct<type, coordinates as JSON>>) at their last observed place, by the kind of their first category.
+
+    The place is a point or the first corner of a polygon's first ring; events of other kinds, and those whose last
+    geometry gives no place, go.  Of kinds in EVENT_MOST only the first by `seq` are told.
+    """
+    category = F.get("categories", F.lit(0))
+    kind = F.coalesce(*(F.when(category == c, k) for c, k in EVENT_KINDS.items()))
+    last = F.when(F.size("geometry") > 0, F.element_at("geometry", -1))
+    at = lambda i: F.coalesce(*(F.when(last["type"] == t, F.get_json_object(last["coordinates"], f"$[{path}{i}]")) for t, path in (("Point", ""), ("Polygon", "0][0][")))).try_cast("double")
+    rows = events.select("seq", "event_id", F.coalesce("title", F.lit("")).alias("title"), category.alias("category"), kind.alias("kind"), at(1).alias("lat"), at(0).alias("lon")).where("kind is not null and lat is not null and lon is not null")
+    capped = F.coalesce(*(F.when(F.col("kind") == k, n) for k, n in EVENT_MOST.items()), F.lit(2**31 - 1))
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("seq", "event_id"))
+    few = rows.where(F.col("kind").isin(*EVENT_MOST)).withColumn("_i", place).where(F.col("_i") <= capped).drop("_i")
+    return rows.where(~F.col("kind").isin(*EVENT_MOST)).unionByName(few).drop("seq")
+
+
 def cover_circles(searches: DataFrame, radius_nm: float, each_nm: float = 250.0) -> DataFrame:
     """For each search (id, lat, lon), the centres of circles of `each_nm` that cover a circle of `radius_nm` (a square
     lattice): id, lat, lon."""

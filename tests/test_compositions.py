@@ -240,3 +240,41 @@ def test_pyramid_factors_agree_with_the_level_table(spark, longest, want):
     catalog = spark.createDataFrame([(1, longest, 100, 10.0)], "raster int, width long, height long, res double")
     levels = sorted(r["k"] for r in raster.level_table(catalog, 2, 256).collect())
     assert raster.factors(longest, 100) == want and levels == list(range(len(want) + 1))
+
+
+def test_fleet_stream_equals_the_batch(spark, tmp_path):
+    rnd = random.Random(4)
+    hours = lambda h: f"2024-01-01 {int(h):02d}:{int(h % 1 * 60):02d}:00"
+    rows = [(f"h{rnd.randrange(30)}", rnd.choice(["ABC1", " def2 ", "", None]), rnd.choice([" a320", "B7", ""]), f"region{rnd.randrange(3)}", rnd.choice([None, float(rnd.randrange(60))]), float(rnd.randrange(60)), rnd.choice(["ground", "5000", "39000.4", "x", None]), rnd.choice([None, float(rnd.randrange(500))]), rnd.randrange(4), rnd.randrange(3), hours(rnd.random() * 0.15)) for _ in range(300)]
+    names = "hex string, cs string, kind string, region string, lat double, lon double, alt_baro string, gs double, flags int, source_rank int, ts "
+    events = spark.createDataFrame(rows, names + "string").withColumn("ts", F.col("ts").cast("timestamp"))
+    late = spark.createDataFrame([("new", "ABC9", "A1", "region1", 1.0, 1.0, "100", 1.0, 0, 0, hours(3))], names + "string").withColumn("ts", F.col("ts").cast("timestamp"))
+    for i in range(3):
+        events.where(F.pmod(F.hash("hex", "ts", "gs"), F.lit(3)) == i).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def poll():
+        stream = spark.readStream.schema(names + "timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        live.fleet_changes(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        return live.fleet_of(spark.read.parquet(f"{tmp_path}/out"))
+
+    batch = live.first_seen(live.airborne(events))
+    fleet = poll()
+    for what in (lambda f: live.summary(f, ["ABC", "DEF"], ["region0", "region1", "region2", "region9"]), live.superlatives):
+        assert sorted(map(str, what(fleet).collect())) == sorted(map(str, what(batch).collect()))
+    assert ("region", "region9", 0) in {tuple(r) for r in live.summary(fleet, [], ["region9"]).collect()}
+    for i in range(2):  # the watermark of the first moves, then the others leave
+        late.withColumn("gs", F.lit(float(i))).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        fleet = poll()
+    assert [r["hex"] for r in fleet.collect()] == ["new"]
+
+
+def test_rides_and_event_places(spark):
+    borders = spark.createDataFrame([(1, 2, 10.0), (2, 3, 4.4444), (9, 10, 1.0)], "a long, b long, cost double")
+    stations = spark.createDataFrame([(1, 0), (2, 4), (9, 7)], "label long, category int")
+    assert sorted(tuple(r) for r in graph.rides(borders, stations).collect()) == [(1, 2, 5.0, 10.0), (2, 3, 13.83, 4.444), (9, 10, None, 1.0)]
+    kind = "seq long, event_id long, title string, categories array<string>, geometry array<struct<type: string, coordinates: string>>"
+    rows = [(1, 1, None, ["Volcanoes"], [("Point", "[1,2]"), ("Polygon", "[[[3.5,4],[0,0]]]")]), (2, 2, "t", ["Wildfires", "Volcanoes"], [("Point", "[7,8]")]), (3, 3, "t", [], [("Point", "[7,8]")]), (4, 4, "t", ["Wildfires"], []), (5, 5, "t", ["Wildfires"], [("Point", "[]")]), (6, 6, "t", ["Wildfires"], None), (7, 7, "t", None, None)]
+    rows += [(100 + i, 100 + i, "w", ["Wildfires"], [("Point", "[1,1]")]) for i in range(130)]
+    got = {r["event_id"]: r for r in live.event_groups(spark.createDataFrame(rows, kind)).collect()}
+    assert (got[1]["kind"], got[1]["title"], got[1]["lat"], got[1]["lon"]) == ("volcanoes", "", 4.0, 3.5) and (got[2]["kind"], got[2]["lat"], got[2]["lon"]) == ("wildfires", 8.0, 7.0)
+    assert set(got) == {1, 2, *range(100, 219)}
