@@ -82,6 +82,32 @@ def band_stats(df: DataFrame, keys: Sequence[str], value: str, accuracy: int | N
     return df.groupBy(*keys).agg(F.count(value).alias("n"), (F.count(F.lit(1)) - F.count(value)).alias("missing"), F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), q.alias("q")).select("*", F.col("q")[1].alias("median"), F.col("q")[0].alias("p2"), F.col("q")[2].alias("p98")).drop("q")
 
 
+#: Sizes of the sketches, and what they promise: the share of the rank by which a quantile is off (99 of 100 times), and
+#: three standard errors of a count of different values.
+KLL_K, KLL_RANK_ERROR = 400, 0.01
+HLL_K, HLL_ERROR = 12, 0.05
+
+
+def cell_sketches(points: DataFrame, cell: str, value: str, ident: str) -> DataFrame:
+    """cell, n, ids (HLL sketch of `ident`), ranks (KLL sketch of `value`): one row of bounded size for each cell, to be
+    kept beside the points; all coarser resolutions come from it."""
+    return points.groupBy(F.col(cell).alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.hll_sketch_agg(ident, F.lit(HLL_K)).alias("ids"), F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(KLL_K)).alias("ranks"))
+
+
+def merged_sketches(sketches: DataFrame, resolutions: Sequence[int]) -> DataFrame:
+    """res, parent, n, ids, ranks: the sketches of cells, merged up to each resolution."""
+    each = F.explode(F.array(*(F.struct(F.lit(r).alias("res"), cells.parent(F.col("cell"), r).alias("parent")) for r in resolutions)))
+    rows = sketches.select(each.alias("x"), "n", "ids", "ranks")
+    return rows.groupBy("x.res", "x.parent").agg(F.sum("n").alias("n"), F.hll_union_agg("ids").alias("ids"), F.kll_merge_agg_double("ranks").alias("ranks"))
+
+
+def sketched_stats(merged: DataFrame, at: Sequence[float] = (0.02, 0.5, 0.98)) -> DataFrame:
+    """`merged` with its sketches read: distinct, and q, the quantiles at `at` (null without a value)."""
+    quantiles = F.array(*(F.kll_sketch_get_quantile_double("ranks", F.lit(float(t))) for t in at))
+    known = F.kll_sketch_get_n_double("ranks") > 0
+    return merged.withColumn("distinct", F.hll_sketch_estimate("ids")).withColumn("q", F.when(known, quantiles)).drop("ids", "ranks")
+
+
 def below(counts: DataFrame, keys: Sequence[str], value: str, n: str) -> DataFrame:
     """`counts` (one row for each value of each group, n of them) with `_before`, the number of smaller ones, and
     `_all`, the number in the group.

@@ -218,14 +218,27 @@ def line_cells(segments: DataFrame, west: float, north: float, step: float, widt
     return near.where(F.hypot(F.col("col") + 0.5 - F.col("x"), F.col("row") + 0.5 - F.col("y")) <= width / 2).select("row", "col").distinct()
 
 
-def polygon_cells(rings: DataFrame, west: float, north: float, step: float, share: float = 0.45) -> DataFrame:
-    """row, col: the grid cells that polygons (ring) cover for at least `share`, by 3 x 3 points in each cell."""
-    from ..functions import geo
+def polygon_cells(polygons: DataFrame, west: float, north: float, step: float, share: float = 0.45) -> DataFrame:
+    """row, col: the grid cells that polygons (ring, perhaps `holes`, an array of rings) cover for at least `share`, by
+    3 x 3 points in each cell; a point counts where it is in any polygon and not in that polygon's holes.
 
+    Each edge meets the rows of points between its ends; along a row, the crossings by rising x enclose runs of points
+    (even-odd), so no point is tested against a ring.
+    """
     fine = step / 3
-    x, y = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    box = rings.select("ring", F.floor((F.array_min(x) - west) / fine).cast("int").alias("_a"), F.floor((F.array_max(x) - west) / fine).cast("int").alias("_b"), F.floor((north - F.array_max(y)) / fine).cast("int").alias("_c"), F.floor((north - F.array_min(y)) / fine).cast("int").alias("_d"))
-    sub = box.withColumn("row", F.explode(F.sequence("_c", "_d"))).withColumn("col", F.explode(F.sequence("_a", "_b")))
-    inside = sub.where(geo.ring_contains(F.col("ring"), west + (F.col("col") + 0.5) * fine, north - (F.col("row") + 0.5) * fine)).select("row", "col").distinct()
+    rings = F.concat(F.array("ring"), F.coalesce("holes", F.expr("array()"))) if "holes" in polygons.columns else F.array("ring")
+    rows = polygons.where(F.size("ring") >= 3).select(rings.alias("_rings")).withColumn("_id", F.xxhash64("_rings")).distinct()
+    edge = lambda ring: F.zip_with(ring, F.concat(F.slice(ring, 2, F.size(ring) - 1), F.slice(ring, 1, 1)), lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")))
+    edges = rows.select("_id", F.explode(F.flatten(F.transform("_rings", edge))).alias("e")).select("_id", "e.*").where("y1 <> y2")
+    # the rows of points with y between the ends: from below the upper end to above the lower one
+    first, last = F.floor((north - F.greatest("y1", "y2")) / fine - 0.5), F.ceil((north - F.least("y1", "y2")) / fine - 0.5)
+    y = north - (F.col("row") + 0.5) * fine
+    met = edges.withColumn("row", F.explode(F.sequence(first.cast("int"), last.cast("int")))).where((F.col("y1") > y) != (F.col("y2") > y))
+    crossings = met.select("_id", "row", ((F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")).alias("x"))
+    order = Window.partitionBy("_id", "row").orderBy("x")
+    runs = crossings.withColumn("_i", F.row_number().over(order)).withColumn("_end", F.lead("x").over(order)).where("_i % 2 = 1")
+    # points x with start <= x < end
+    at = lambda c: F.ceil((F.col(c) - west) / fine - 0.5).cast("int")
+    inside = runs.select("row", at("x").alias("_a"), (at("_end") - 1).alias("_b")).where("_a <= _b").select("row", F.explode(F.sequence("_a", "_b")).alias("col")).distinct()
     cell = inside.groupBy(F.floor(F.col("row") / 3).cast("int").alias("row"), F.floor(F.col("col") / 3).cast("int").alias("col")).agg(F.count(F.lit(1)).alias("_n"))
     return cell.where(F.col("_n") / 9 >= share).select("row", "col")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import functions as F
 
 from ..functions import cells
@@ -69,6 +72,21 @@ def multi_resolution(spark, sf):
     return agg.multi_resolution(points(spark, sf), "cell", (3, 5, 7), F.col("cents"))
 
 
+@query("sketched_cells", " UNION ALL ".join(f"SELECT {r} AS res, {parent_sql('cell', r)} AS parent, count(*) AS n, count(DISTINCT id) AS ids, true AS distinct_fits, true AS ranks_fit FROM (WITH {PTS} SELECT * FROM pts) GROUP BY 2" for r in (4, 5, 6)))
+def sketched_cells(spark, sf):
+    """Sketches of cells merged to three resolutions, beside the exact figures: whether they keep what they promise."""
+    pts = points(spark, sf).select("id", "cell", F.col("cents").cast("double").alias("v"))
+    found = agg.sketched_stats(agg.merged_sketches(agg.cell_sketches(pts, "cell", "v", "id"), (4, 5, 6)))
+    each = F.explode(F.array(*(F.struct(F.lit(r).alias("res"), cells.parent(F.col("cell"), r).alias("parent")) for r in (4, 5, 6))))
+    rows = pts.select("id", "v", each.alias("x")).select("id", "v", "x.*").join(found, ["res", "parent"])
+    at = (0.02, 0.5, 0.98)
+    below = [F.count_if(F.col("v") < F.col("q")[i]) for i in range(3)] + [F.count_if(F.col("v") <= F.col("q")[i]) for i in range(3)]
+    exact = rows.groupBy("res", "parent", "n", "distinct").agg(F.count_distinct("id").alias("ids"), *(c.alias(f"b{i}") for i, c in enumerate(below)))
+    off = 3 * agg.KLL_RANK_ERROR
+    fits = functools.reduce(operator.and_, ((F.col(f"b{i}") <= (t + off) * F.col("n") + 1) & (F.col(f"b{i + 3}") >= (t - off) * F.col("n") - 1) for i, t in enumerate(at)))
+    return exact.select("res", "parent", "n", "ids", (F.abs(F.col("distinct") - F.col("ids")) <= agg.HLL_ERROR * F.col("ids")).alias("distinct_fits"), fits.alias("ranks_fit"))
+
+
 _ZONES = f"""WITH {PTS}, elev AS (SELECT cell, avg(elev) AS elev FROM pts GROUP BY 1), pop AS (SELECT cell, sum(cents) AS pop FROM pts WHERE nation % 3 <> 0 GROUP BY 1),
   base AS (SELECT e.cell, e.elev, coalesce(p.pop, 0) AS pop FROM elev e LEFT JOIN pop p USING (cell))"""
 _EDGES = (None, 0.0, 10.0, 50.0, 100.0, 200.0, 5000.0, None)

@@ -181,6 +181,16 @@ def polygon_raster(spark, sf):
     return flood.polygon_cells(z.select(F.array(corner(0.0, 0.0), corner(12.0, 0.0), corner(0.0, 15.0)).alias("ring")), 0.0, 70.0, 0.5)
 
 
+@query("polygon_raster_with_holes", """WITH z AS (SELECT (s_suppkey * 37 % 600)::DOUBLE / 10 AS x, (s_suppkey * 53 % 450)::DOUBLE / 10 AS y FROM supplier), p AS (SELECT r, c, (c + 0.5)::DOUBLE * (0.5::DOUBLE / 3) AS lon, 70 - (r + 0.5)::DOUBLE * (0.5::DOUBLE / 3) AS lat FROM (SELECT unnest(range(421)) AS r), (SELECT unnest(range(800)) AS c)),
+  i AS (SELECT DISTINCT r, c FROM p JOIN z ON lon > x AND lat > y AND (lon - x) / 12 + (lat - y) / 15 < 1 AND NOT (lon > x + 2.02 AND lat > y + 2.03 AND (lon - x - 2.02) / 4 + (lat - y - 2.03) / 5 < 1)) SELECT (r // 3)::INT AS row, (c // 3)::INT AS col FROM i GROUP BY 1, 2 HAVING count(*) / 9.0 >= 0.45""")
+def polygon_raster_with_holes(spark, sf):
+    """The triangles of `polygon_raster`, each with a smaller one cut out."""
+    z = table(spark, sf, "supplier").selectExpr("cast(s_suppkey * 37 % 600 AS double) / 10 AS x", "cast(s_suppkey * 53 % 450 AS double) / 10 AS y")
+    corner = lambda a, b: F.struct((F.col("x") + a).alias("x"), (F.col("y") + b).alias("y"))
+    ring, hole = F.array(corner(0.0, 0.0), corner(12.0, 0.0), corner(0.0, 15.0)), F.array(corner(2.02, 2.03), corner(6.02, 2.03), corner(2.02, 7.03))
+    return flood.polygon_cells(z.select(ring.alias("ring"), F.array(hole).alias("holes")), 0.0, 70.0, 0.5)
+
+
 @query("alternative_ways", None)
 def alternative_ways(spark, sf):
     """The best way between two parts and others that avoid its lines (tests compare with a heap)."""

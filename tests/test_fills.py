@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import cells, geo, hexgrid
-from tessera.operators import hexes, ranking
+from tessera.operators import aggregates, flood, hexes, ranking
 
 RING = "array<struct<x: double, y: double>>"
 
@@ -168,3 +168,46 @@ def test_parallel_picks_equal_one_by_one(spark):
         got = ranking.greedy_apart(df, "score", km, k).orderBy("pick").collect()
         assert [r["id"] for r in got] == want and [r["pick"] for r in got] == list(range(1, len(want) + 1))
     assert ranking.greedy_apart(df.limit(0), "score", 5.0, 3).count() == 0
+
+
+def test_rasterised_polygons_with_holes(spark):
+    rnd = np.random.default_rng(6)
+    rows = []
+    for i in range(6):
+        turn = np.sort(rnd.uniform(0, 2 * np.pi, 9))
+        ring = [(float(x), float(y)) for x, y in zip(20 + 3 * i + rnd.uniform(3, 9, 9) * np.cos(turn), 20 + rnd.uniform(3, 9, 9) * np.sin(turn))]
+        hole = [(20.3 + 3 * i + a, 19.7 + b) for a, b in ((0.0, 0.0), (2.0, 0.1), (1.0, 1.9))]
+        rows.append((ring, [hole] if i % 2 else None))
+    got = {tuple(r) for r in flood.polygon_cells(spark.createDataFrame(rows, f"ring {RING}, holes array<{RING}>"), 0.0, 40.0, 0.7).collect()}
+    fine = 0.7 / 3
+    r, c = (v.ravel() for v in np.meshgrid(np.arange(180), np.arange(240), indexing="ij"))
+    x, y = (c + 0.5) * fine, 40 - (r + 0.5) * fine
+    any_ = np.zeros(len(x), bool)
+    for ring, holes in rows:
+        own = contains(ring, x, y)
+        for hole in holes or []:
+            own ^= contains(hole, x, y)
+        any_ |= own
+    n: dict = {}
+    for a, b in zip(r[any_] // 3, c[any_] // 3):
+        n[a, b] = n.get((a, b), 0) + 1
+    assert got == {at for at, k in n.items() if k / 9 >= 0.45}
+
+
+def test_merged_sketches_keep_their_bounds(spark):
+    rnd = np.random.default_rng(9)
+    rows = [(int(hexgrid.cell_of(np.array([a]), np.array([b]), 4)[0]), float(v), int(i)) for a, b, v, i in zip(rnd.uniform(40, 50, 4000), rnd.uniform(0, 20, 4000), rnd.normal(size=4000), rnd.integers(0, 900, 4000))]
+    df = spark.createDataFrame(rows, "cell long, v double, id long")
+    table = aggregates.cell_sketches(df, "cell", "v", "id").cache()
+    found = aggregates.sketched_stats(aggregates.merged_sketches(table, (0, 2)), (0.25, 0.5, 0.9)).collect()
+    for r in found:
+        up = lambda c: c | cells._mask(r["res"]) & ~0
+        own = [x for x in rows if (up(x[0]) & ~(15 << 52)) | (r["res"] << 52) == r["parent"]]
+        values = np.sort([x[1] for x in own])
+        assert r["n"] == len(own) and abs(r["distinct"] - len({x[2] for x in own})) <= aggregates.HLL_ERROR * r["distinct"]
+        for t, q in zip((0.25, 0.5, 0.9), r["q"]):
+            assert abs(np.searchsorted(values, q) / len(values) - t) <= 3 * aggregates.KLL_RANK_ERROR + 1 / len(values)
+    assert sum(r["n"] for r in found if r["res"] == 2) == 4000
+    none = aggregates.cell_sketches(df.withColumn("v", F.lit(None).cast("double")), "cell", "v", "id")
+    assert all(r["q"] is None for r in aggregates.sketched_stats(aggregates.merged_sketches(none, (0,))).collect())
+    table.unpersist()
