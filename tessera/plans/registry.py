@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import feeds, graphs, grid, hexes, rasters, records, spatial, stats, tables  # noqa: E402, F401
+from . import feeds, files, graphs, grid, hexes, rasters, records, spatial, stats, tables  # noqa: E402, F401
