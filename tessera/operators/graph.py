@@ -120,27 +120,38 @@ def rides(borders: DataFrame, stations: DataFrame, speeds: dict = SPEEDS, dwells
     return borders.join(kind, "a").select("a", "b", F.round(ride_minutes(F.col("cost"), F.col("category"), speeds, dwells), 2).alias("minutes"), F.round("cost", 3).alias("km"))
 
 
-def connected(edges: DataFrame, nodes: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """node, component: the smallest node of each connected part (a, b are undirected edges)."""
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-    state = cut(nodes.select("node", F.col("node").alias("component")))
-    for _ in range(max_rounds):
-        near = both.join(state.select(F.col("node").alias("v"), "component"), "v").groupBy("u").agg(F.min("component").alias("_m"))
-        hop = state.join(near, state["node"] == near["u"], "left").select("node", F.least("component", "_m").alias("_c"), F.col("component").alias("_was"))
-        # pointer jump: the component of the component
-        jump = hop.join(state.select(F.col("node").alias("_c"), F.col("component").alias("_cc")), "_c", "left")
-        new = cut(jump.select("node", F.least("_c", "_cc").alias("component"), (F.least("_c", "_cc") < F.col("_was")).alias("_moved")))
-        state = new.select("node", "component")
-        if not new.where("_moved").limit(1).count():
-            return state
-    raise RuntimeError(f"not settled after {max_rounds} rounds")
-
-
-def hooked(edges: DataFrame, outside: int, max_rounds: int = 64) -> DataFrame:
+def connected(edges: DataFrame, nodes: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """node, component: the smallest node of each connected part (a, b are undirected edges).
+
+    Parts merge along edges in rounds (`hooked`), and each round works on what the last one left between parts, at most
+    half as many; the nodes themselves are read once at the end.
+    """
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).where("u <> v").distinct()
+    left = cut(both.withColumn("w", F.lit(0)))
+    mergers: list[DataFrame] = []
+    while not left.isEmpty():
+        if len(mergers) == max_rounds:
+            raise RuntimeError(f"not settled after {max_rounds} rounds")
+        roots = cut(hooked(left, None).select("u", "root"))
+        mergers.append(roots)
+        moved = left.join(roots, "u").select(F.col("root").alias("ru"), F.col("v").alias("u")).join(roots, "u")
+        left = cut(moved.where(F.col("ru") != F.col("root")).select(F.col("ru").alias("u"), F.col("root").alias("v"), F.lit(0).alias("w")).distinct())
+    if not mergers:
+        return nodes.select("node", F.col("node").alias("component"))
+    parts = mergers[-1]
+    for roots in reversed(mergers[:-1]):
+        later = parts.select(F.col("u").alias("root"), F.col("root").alias("_top"))
+        parts = roots.join(later, "root", "left").select("u", F.coalesce("_top", "root").alias("root"))
+    placed = cut(nodes.join(parts.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("root", "node").alias("_root")))
+    least = placed.groupBy("_root").agg(F.min("node").alias("component"))
+    return placed.join(least, "_root").select("node", "component")
+
+
+def hooked(edges: DataFrame, outside: int | None, max_rounds: int = 64) -> DataFrame:
     """u, w, root: one round of a spanning forest over edges (u, v, w; both directions, none from `outside`).
 
     Every node takes its lowest edge (ties by the edge's ends, the same from both sides), which makes trees with two
-    nodes that chose each other, or `outside`, at the end; of the two the smaller is the root.  Roots are found by
+    nodes that chose each other, or `outside` (if there is one), at the end; of the two the smaller is the root.  Roots are found by
     doubling, so rounds grow with the logarithm of the longest chain; a node that has its root isn't read again.
     """
     order = F.struct("w", F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi"), "v")

@@ -29,6 +29,20 @@ def test_shortest_paths_and_labels(spark):
     assert got == best
 
 
+def test_connected_parts(spark):
+    rnd = random.Random(9)
+    nodes = list(range(300))
+    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(200, 260)] + [(5, 5)]
+    top = {n: n for n in nodes}
+    for _ in nodes:
+        for a, b in edges:
+            top[a] = top[b] = min(top[a], top[b])
+    got = graph.connected(spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame([(n,) for n in nodes], "node long"))
+    assert {r["node"]: r["component"] for r in got.collect()} == top
+    alone = graph.connected(spark.createDataFrame([], "a long, b long"), spark.createDataFrame([(3,)], "node long"))
+    assert [tuple(r) for r in alone.collect()] == [(3, 3)]
+
+
 def test_flood_levels(spark):
     rnd = random.Random(5)
     elev = {(r, c): float(rnd.randrange(20)) for r in range(9) for c in range(11) if (r, c) != (4, 4)}
