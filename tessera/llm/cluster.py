@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +29,20 @@ def shared_folder(spark: SparkSession) -> str:
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-_scratch: list[list[str]] = []
+#: The tables of the innermost `scratch` around the caller; threads have their own.
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes the tables that `written` makes inside, but for those that stay, when it ends."""
-    _scratch.append([])
+    own: list[str] = []
+    before = _scratch.set(own)
     try:
         yield
     finally:
-        for path in _scratch.pop():
+        _scratch.reset(before)
+        for path in own:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
@@ -51,8 +55,9 @@ def written(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    if _scratch and not stays:
-        _scratch[-1].append(path)
+    own = _scratch.get()
+    if own is not None and not stays:
+        own.append(path)
     before = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")
     try:

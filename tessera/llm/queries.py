@@ -27,6 +27,8 @@ from .token_counts import token_counts
 
 #: The byte limit of a shard in op2_sharding and the pipeline: small, so that the given tables split into many.
 SHARD_BYTES = 64 << 10
+#: op3_quality_rules rejects a document that keeps less than so many percent of its words, so that some are.
+MIN_LEFT = 80
 #: Tokens of a window and of its repeated history in op10_chat_format: most conversations need several windows.
 CHAT_BUDGET, CHAT_HISTORY = 200, 50
 
@@ -45,7 +47,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents")).drop("text", "carried")
+    return quality_rules(table(spark, sf_dir, "documents"), min_left=MIN_LEFT).drop("text", "carried")
 
 
 def op4_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_sharding": oracle.op2(SHARD_BYTES),
-    "op3_quality_rules": oracle.op3(min_docs=4, max_share=10, max_docs=10_000, min_left=30),
+    "op3_quality_rules": oracle.op3(min_docs=4, max_share=10, max_docs=10_000, min_left=MIN_LEFT),
     "op5_decontaminate": oracle.op5(),
     "op7_lm_scores": oracle.op7(),
     "op8_substring_dedup": oracle.op8(),

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from tessera.llm import quality_rules
+from tessera.llm.queries import MIN_LEFT, QUERIES
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -37,3 +38,9 @@ def test_limits_against_plain_counts(spark, monkeypatch, lines):
     rows = [(d, "\n".join(rnd.choice([f"Line {rnd.randrange(9)} of  many", f"seldom {rnd.randrange(90)}x", "Common LINE", ""]) for _ in range(rnd.randrange(12))) if d % 17 else None, rnd.choice(["a", "a", "a", "b", None])) for d in range(300)]
     out = {r["doc_id"]: (r["n_removed_words"], r["text"] or "") for r in quality_rules.quality_rules(spark.createDataFrame(rows, SCHEMA).repartition(3), 4, 40, 45).collect()}
     assert out == expected(rows, 4, 40, 45)
+
+
+def test_depleted_documents_of_the_tables_are_rejected(spark):
+    rows = QUERIES["op3_quality_rules"](spark, "/root/testdata/sf0.01").where("not base_failed").collect()
+    depleted = [r for r in rows if 100 * (r["n_words"] - r["n_removed_words"]) < MIN_LEFT * r["n_words"]]
+    assert depleted and all(not r["kept"] for r in depleted) and sum(r["kept"] for r in rows) == len(rows) - len(depleted)
