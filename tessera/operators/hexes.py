@@ -6,6 +6,7 @@ Cells are ids of `functions.cells`; rings are arrays of struct (x = lon, y = lat
 from __future__ import annotations
 
 import functools
+import json
 import math
 import operator
 from collections.abc import Sequence
@@ -44,41 +45,31 @@ def _edges(ring: Column) -> Column:
     return F.filter(edges, lambda e: (e["x1"] != e["x2"]) | (e["y1"] != e["y2"]))
 
 
-def _crossed(edges: Column, x0: Column, x1: Column, y: Column) -> Column:
-    """Whether an odd number of edges lies between (x0, y) and (x1, y)."""
+# The expressions below are SQL text: a level has many, and text is parsed in one go.
+def _crossed(x0: str, x1: str, y: str, turned: bool = False) -> str:
+    """Whether an odd number of `edges` lies between (x0, y) and (x1, y); turned: x and y exchanged."""
+    ax, ay, bx, by = ("y1", "x1", "y2", "x2") if turned else ("x1", "y1", "x2", "y2")
+    at = f"((g.{bx} - g.{ax}) * ({y} - g.{ay}) / (CASE WHEN g.{by} = g.{ay} THEN 1D ELSE g.{by} - g.{ay} END) + g.{ax})"
+    return f"(size(filter(edges, g -> ((g.{ay} > {y}) != (g.{by} > {y})) AND (({x0} < {at}) != ({x1} < {at})))) % 2 = 1)"
 
-    def between(e: Column) -> Column:
-        at = (e["x2"] - e["x1"]) * (y - e["y1"]) / F.when(e["y2"] == e["y1"], F.lit(1.0)).otherwise(e["y2"] - e["y1"]) + e["x1"]
-        return ((e["y1"] > y) != (e["y2"] > y)) & ((x0 < at) != (x1 < at))
 
-    return F.size(F.filter(edges, between)) % 2 == 1
+def _touching(dx: str, dy: float) -> Column:
+    """The `edges` that touch the box of half sides dx, dy around (x, y)."""
+    a, b = "(g.x2 - g.x1)", "(g.y2 - g.y1)"
+    near = f"least(g.x1, g.x2) <= x + {dx} AND greatest(g.x1, g.x2) >= x - {dx} AND least(g.y1, g.y2) <= y + {dy!r}D AND greatest(g.y1, g.y2) >= y - {dy!r}D"
+    return F.expr(f"filter(edges, g -> {near} AND abs({a} * (y - g.y1) - {b} * (x - g.x1)) <= abs({a}) * {dy!r}D + abs({b}) * {dx} + 1e-9D)")
 
 
-def _turned(edges: Column) -> Column:
-    """Edges with x and y exchanged."""
-    return F.transform(edges, lambda e: F.struct(e["y1"].alias("x1"), e["x1"].alias("y1"), e["y2"].alias("x2"), e["x2"].alias("y2")))
-
-
-def _touching(edges: Column, x: Column, y: Column, dx: Column, dy: float) -> Column:
-    """The edges that touch the box of half sides dx, dy around (x, y)."""
-
-    def touches(e: Column) -> Column:
-        a, b = e["x2"] - e["x1"], e["y2"] - e["y1"]
-        near = (F.least(e["x1"], e["x2"]) <= x + dx) & (F.greatest(e["x1"], e["x2"]) >= x - dx) & (F.least(e["y1"], e["y2"]) <= y + dy) & (F.greatest(e["y1"], e["y2"]) >= y - dy)
-        return near & (F.abs(a * (y - e["y1"]) - b * (x - e["x1"])) <= F.abs(a) * dy + F.abs(b) * dx + 1e-9)
-
-    return F.filter(edges, touches)
-
-
-def _half_width(lat: Column, reach: float) -> Column:
-    """The half side in degrees of longitude of the box around a cap; all around where it holds a pole."""
-    return F.when(F.abs(lat) + reach >= 90, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), math.sin(math.radians(reach)) / F.cos(F.radians(lat))))))
+def _half_width(reach: float) -> str:
+    """The half side in degrees of longitude of the box around a cap at latitude y; all around where it holds a pole."""
+    return f"(CASE WHEN abs(y) + {reach!r}D >= 90 THEN 180D ELSE degrees(asin(least(1D, {math.sin(math.radians(reach))!r}D / cos(radians(y))))) END)"
 
 
 def _base_cells() -> Column:
     ids = (np.int64(1) << 59) | (np.arange(122, dtype=np.int64) << 45) | ((np.int64(1) << 45) - 1)
     lat, lon = hexgrid.center_of(ids)
-    return F.array(*(F.struct(F.lit(int(c)).cast("long").alias("cell"), F.lit(float(b)).alias("x"), F.lit(float(a)).alias("y")) for c, a, b in zip(ids, lat, lon)))
+    rows = [{"cell": int(c), "x": float(b), "y": float(a)} for c, a, b in zip(ids, lat, lon)]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<cell: long, x: double, y: double>>")
 
 
 def refined(polygons: DataFrame, res: int, keys: Sequence[str] = ("id",), spread_every: int = 2) -> DataFrame:
@@ -92,30 +83,29 @@ def refined(polygons: DataFrame, res: int, keys: Sequence[str] = ("id",), spread
     """
     rings = F.concat(F.array("ring"), F.coalesce("holes", F.expr("array()"))) if "holes" in polygons.columns else F.array("ring")
     rows = polygons.where(F.size("ring") >= 3).select(*keys, F.flatten(F.transform(rings, _edges)).alias("edges")).where(F.size("edges") > 0)
-    low, high = (lambda c: F.array_min(F.transform("edges", lambda e: F.least(e[f"{c}1"], e[f"{c}2"])))), (lambda c: F.array_max(F.transform("edges", lambda e: F.greatest(e[f"{c}1"], e[f"{c}2"]))))
-    rows = rows.select(*keys, "edges", low("x").alias("w"), high("x").alias("e"), low("y").alias("s"), high("y").alias("n"))
+    ends = {"w": "array_min(transform(edges, g -> least(g.x1, g.x2)))", "e": "array_max(transform(edges, g -> greatest(g.x1, g.x2)))", "s": "array_min(transform(edges, g -> least(g.y1, g.y2)))", "n": "array_max(transform(edges, g -> greatest(g.y1, g.y2)))"}
+    rows = rows.select(*keys, "edges", *(F.expr(v).alias(k) for k, v in ends.items()))
     reach = reach_degrees(0)
-    rows = rows.withColumn("c", F.explode(_base_cells())).withColumn("turn", F.explode(F.array(*(F.lit(float(t)) for t in (-360, 0, 360)))))
-    rows = rows.select(*keys, "edges", F.col("c.cell").alias("cell"), (F.col("c.x") + F.col("turn")).alias("x"), F.col("c.y").alias("y"), "w", "e", "s", "n")
-    wide = _half_width(F.col("y"), reach)
-    rows = rows.where((F.col("x") + wide >= F.col("w")) & (F.col("x") - wide <= F.col("e")) & (F.col("y") + reach >= F.col("s")) & (F.col("y") - reach <= F.col("n")))
-    rows = rows.select(*keys, "cell", "x", "y", _crossed(F.col("edges"), F.col("x"), F.col("e") + 1, F.col("y")).alias("inside"), _touching(F.col("edges"), F.col("x"), F.col("y"), wide, reach).alias("edges"))
+    wide = _half_width(reach)
+    rows = rows.withColumn("c", F.explode(_base_cells())).withColumn("turn", F.expr("explode(array(-360D, 0D, 360D))"))
+    rows = rows.select(*keys, "edges", "c.cell", F.expr("c.x + turn").alias("x"), "c.y", "w", "e", "s", "n")
+    rows = rows.where(f"x + {wide} >= w AND x - {wide} <= e AND y + {reach!r}D >= s AND y - {reach!r}D <= n")
+    rows = rows.select(*keys, "cell", "x", "y", F.expr(_crossed("x", "(e + 1)", "y")).alias("inside"), _touching(wide, reach).alias("edges"))
     for r in range(res):
         # where no edge is near, all of the cell is as its centre
-        whole = F.size("edges") == 0
-        rows = rows.where(~whole | F.col("inside"))
+        rows = rows.where("size(edges) > 0 OR inside")
         if r and r % spread_every == 0:
             rows = rows.repartition("cell")
+        whole = F.size("edges") == 0
         kids = F.explode(F.when(whole, F.array("cell")).otherwise(cells.children(F.col("cell"), r)))
         rows = rows.select(*keys, "x", "y", "inside", "edges", whole.alias("whole"), kids.alias("cell"))
         rows = rows.withColumn("c", cells.center(F.when(~F.col("whole"), F.col("cell"))))
-        x = F.coalesce(F.col("c.lon") + 360 * F.round((F.col("x") - F.col("c.lon")) / 360), F.col("x"))
-        rows = rows.select(*keys, "cell", "whole", "inside", "edges", F.col("x").alias("px"), F.col("y").alias("py"), x.alias("x"), F.coalesce("c.lat", "y").alias("y"))
+        place = (F.expr("coalesce(c.lon + 360 * round((x - c.lon) / 360), x)").alias("x"), F.expr("coalesce(c.lat, y)").alias("y"))
+        rows = rows.select(*keys, "cell", "inside", "edges", F.col("x").alias("px"), F.col("y").alias("py"), *place)
         # first along the parent's longitude, then along the child's latitude
-        flips = _crossed(_turned(F.col("edges")), F.col("py"), F.col("y"), F.col("px")) != _crossed(F.col("edges"), F.col("px"), F.col("x"), F.col("y"))
+        inside = F.expr(f"inside != ({_crossed('py', 'y', 'px', turned=True)} != {_crossed('px', 'x', 'y')})")
         reach = reach_degrees(r + 1)
-        near = _touching(F.col("edges"), F.col("x"), F.col("y"), _half_width(F.col("y"), reach), reach)
-        rows = rows.select(*keys, "cell", "x", "y", (F.col("inside") != flips).alias("inside"), near.alias("edges"))
+        rows = rows.select(*keys, "cell", "x", "y", inside.alias("inside"), _touching(_half_width(reach), reach).alias("edges"))
     return rows.where("inside").select(*keys, "cell").distinct()
 
 
