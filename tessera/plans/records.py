@@ -155,7 +155,7 @@ def flood_grid(spark, sf):
 
 
 @query("flood_exposure", f"""WITH RECURSIVE {PTS}, {_FLOODED}, x AS (SELECT id, least(greatest(floor(abs(lon) % 40), 0), 39)::INT AS col, least(greatest(floor(40 - abs(lat) % 40), 0), 39)::INT AS row FROM pts)
-  SELECT id, round(greatest(level, CASE WHEN level IS NOT NULL THEN 0.1 END), 2) AS level, round(greatest(elev, 0), 1) AS ground FROM x JOIN f USING (row, col)""")
+  SELECT id, round(greatest(level, CASE WHEN level IS NOT NULL THEN 0.1 END), 2) AS level, round(greatest(elev, 0), 1) AS ground FROM x LEFT JOIN f USING (row, col)""")
 def flood_exposure(spark, sf):
     """Customers as buildings over the flood grid."""
     features = points(spark, sf).selectExpr("id", "abs(lon) % 40 AS lon", "abs(lat) % 40 AS lat")
