@@ -20,7 +20,7 @@ _STEP = U64(0x9E3779B97F4A7C15)
 _MULT = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
 
 #: Bytes of text that one numpy batch holds, unless one document is larger.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 
 _SPACE = np.ones(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = False
