@@ -1,6 +1,7 @@
 """Nearest sites and sums within a radius: results of plain Python, and work that doesn't grow with the square."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tessera.operators import joins
@@ -47,3 +48,14 @@ def test_nearest_meets_few_sites(spark, crowded, monkeypatch):
 def test_nearest_three_is_its_sql(spark):
     sf = "/root/testdata/sf0.01"
     assert_same(spark, database(sf), sf, entry.queries()["nearest_three"], entry.oracle_sql()["nearest_three"])
+
+
+def test_nearest_within_meets_few_sites(spark, crowded, monkeypatch):
+    points, sites = crowded
+    some = points.where("id % 40 = 0 OR id >= 1800")
+    counts = met(monkeypatch)
+    got = {r["id"]: (r["site"], r["km"]) for r in joins.nearest_within(some, sites, 1000).collect()}
+    assert sum(counts) < 40 * some.count()
+    monkeypatch.undo()
+    pairs = joins.radius_pairs(some, sites, 1000).groupBy("id").agg(F.min(F.struct("km", "site")).alias("b"))
+    assert got == {r["id"]: (r["b"]["site"], r["b"]["km"]) for r in pairs.collect()}
