@@ -70,3 +70,8 @@ def test_none_within_meets_few_sites(spark, crowded, monkeypatch):
     monkeypatch.undo()
     near = joins.radius_pairs(some, sites.where("site > 100"), 300).select("id").distinct()
     assert got == {r["id"] for r in some.select("id").exceptAll(near).collect()}
+
+
+def test_service_kpis_searches_once(spark):
+    plan = entry.queries()["service_kpis"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_row" not in plan  # the search is written, not repeated by each of its readers
