@@ -70,8 +70,10 @@ def greedy_apart(candidates: DataFrame, score: str, km: float, k: int, max_round
 
 def site_scores(points: DataFrame, sites: DataFrame, km: float) -> DataFrame:
     """site, captured, score: points within reach plus half their mean closeness."""
-    near = joins.radius_pairs(points, sites, km)
-    return near.groupBy("site").agg(F.count(F.lit(1)).alias("captured"), F.avg(1 - F.col("km") / km).alias("_c")).select("site", "captured", (F.col("captured") + F.col("_c") * 0.5).alias("score"))
+    places = points.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("weight"))
+    near = joins.near_sums(sites.select(F.col("site").alias("id"), F.col("site_lat").alias("lat"), F.col("site_lon").alias("lon")), places, km, distances=True)
+    closeness = 1 - F.col("total") / F.col("n") / km
+    return near.select(F.col("id").alias("site"), F.col("n").alias("captured"), (F.col("n") + closeness * 0.5).alias("score"))
 
 
 #: Fixed values of a delivery round, in seconds: a home stop, a stop at a locker, a parcel put into one.

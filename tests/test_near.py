@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tessera.operators import joins
+from tessera.operators import joins, ranking
 
 from .compare import assert_same, database
 
@@ -88,3 +88,14 @@ def test_radius_counts_make_no_pair_rows(spark, crowded, monkeypatch):
     got = joins.radius_counts(some, sites, 1500).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, expected))
     assert not counts
+
+
+def test_site_scores_make_no_pair_rows(spark, crowded, monkeypatch):
+    points, sites = crowded
+    some = sites.where("site % 20 = 0 OR site > 3900")
+    pairs = joins.radius_pairs(points, some, 1200).groupBy("site").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) + F.avg(1 - F.col("km") / 1200) * 0.5).alias("score"))
+    expected = {r["site"]: (r["n"], round(r["score"], 5)) for r in pairs.collect()}
+    counts = met(monkeypatch)
+    got = {r["site"]: (r["captured"], round(r["score"], 5)) for r in ranking.site_scores(points, some, 1200).collect()}
+    assert got == expected
+    assert not counts
