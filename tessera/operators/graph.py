@@ -38,9 +38,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def shortest(edges: DataFrame, sources: DataFrame, keys: Sequence[str] = (), max_rounds: int = 10_000) -> DataFrame:
+def shortest(edges: DataFrame, sources: DataFrame, keys: Sequence[str] = (), max_rounds: int = 10_000, targets: DataFrame | None = None, weight: Column | None = None) -> DataFrame:
     """keys, node, cost, label, prev: the cheapest way from any source (keys, node, cost, label) over edges
-    (src, dst, cost; keys too if scenarios differ).  Ties go to the smaller label, then the smaller prev."""
+    (src, dst, cost; keys too if scenarios differ).  Ties go to the smaller label, then the smaller prev.
+
+    targets: (node); costs are then not negative, and no node is kept that costs more than the cheapest target known in
+    its scenario, so that a search reaches as far as its goal is and not over the whole graph.
+    weight: an edge's cost in a scenario, by columns of the edges and of the keys (its cost, where this is left out).
+    """
     keys = list(keys)
     on = [k for k in keys if k in edges.columns]
     best = F.min(F.struct("cost", "label", "prev")).alias("b")
@@ -51,15 +56,22 @@ def shortest(edges: DataFrame, sources: DataFrame, keys: Sequence[str] = (), max
     rounds, held = 0, [frontier]
     merged = lambda: functools.reduce(DataFrame.unionByName, held).groupBy(*keys, "node").agg(best).select(*pick)
     step = edges.withColumnRenamed("cost", "_w").withColumnRenamed("src", "node")
+    w = F.col("_w") if weight is None else weight
+    ends = None if targets is None else targets.select("node").distinct()
     while frontier.limit(1).count():
         if rounds >= max_rounds:
             raise RuntimeError(f"not settled after {max_rounds} rounds")
         rounds += 1
-        reach = frontier.join(step, ["node", *on]).select(*keys, F.col("dst").alias("_to"), (F.col("cost") + F.col("_w")).alias("cost"), "label", F.col("node").alias("prev")).withColumnRenamed("_to", "node")
+        reach = frontier.join(step, ["node", *on]).select(*keys, F.col("dst").alias("_to"), (F.col("cost") + w).alias("cost"), "label", F.col("node").alias("prev")).withColumnRenamed("_to", "node")
         reach = reach.groupBy(*keys, "node").agg(best).select(*pick)
         known = merged().select(*keys, "node", F.col("cost").alias("_cost"), F.col("label").alias("_label"))
         better = F.col("_cost").isNull() | (F.struct("cost", "label") < F.struct("_cost", "_label"))
-        frontier = cut(reach.join(known, [*keys, "node"], "left").where(better).select(*keys, "node", "cost", "label", "prev"))
+        reach = reach.join(known, [*keys, "node"], "left").where(better).select(*keys, "node", "cost", "label", "prev")
+        if ends is not None:
+            met = merged().unionByName(reach).join(ends, "node", "left_semi")
+            goal = met.groupBy(*keys).agg(F.min("cost").alias("_goal")) if keys else met.agg(F.min("cost").alias("_goal"))
+            reach = (reach.join(goal, keys, "left") if keys else reach.crossJoin(goal)).where("_goal IS NULL OR cost <= _goal").drop("_goal")
+        frontier = cut(reach)
         held.append(frontier)
         if len(held) > MERGED_ROUNDS:
             held = [cut(merged())]
@@ -180,13 +192,11 @@ def alternatives(edges: DataFrame, sources: DataFrame, targets: DataFrame, worst
     `factor` times as slow in turn; all these scenarios are solved in one loop.  Ways are counted at their true
     cost, those of the same lines once, none over `worst` times the best.
     """
-    plain = edges.select("src", "dst", "cost", "line")
-    first = _ways(plain.withColumn("scenario", F.lit("")), sources, targets, plain)
+    plain = cut(edges.select("src", "dst", "cost", "line"))
+    first = cut(_ways(plain, edges.sparkSession.createDataFrame([("",)], "scenario string"), sources, targets, factor))
     legs = first.select(F.explode("hops").alias("h")).where("h.line is not null").groupBy("h.line").agg(F.sum("h.cost").alias("_c")).orderBy(F.desc("_c"), "line").limit(3)
-    slow = cut(legs.select("line"))
-    scenarios = plain.crossJoin(F.broadcast(slow.withColumnRenamed("line", "scenario")))
-    scenarios = scenarios.withColumn("cost", F.when(F.col("line") == F.col("scenario"), F.col("cost") * factor).otherwise(F.col("cost")))
-    ways = first.unionByName(_ways(scenarios, sources, targets, plain))
+    slow = cut(legs.select(F.col("line").alias("scenario")))
+    ways = first.unionByName(_ways(plain, slow, sources, targets, factor))
     ways = ways.withColumn("lines", F.filter(F.transform("hops", lambda h: h["line"]), lambda x: x.isNotNull()))
     # consecutive rides on one line are one
     ridden = F.filter(F.transform("lines", lambda x, i: F.when((i == 0) | (F.get("lines", i - 1) != x), x)), lambda x: x.isNotNull())
@@ -197,20 +207,19 @@ def alternatives(edges: DataFrame, sources: DataFrame, targets: DataFrame, worst
     return near.withColumn("rank", F.row_number().over(Window.orderBy("cost", "nodes"))).select("rank", "cost", "lines", "nodes")
 
 
-def _ways(edges: DataFrame, sources: DataFrame, targets: DataFrame, plain: DataFrame) -> DataFrame:
-    """scenario, cost (by `plain`), hops (array of struct src, dst, cost, line): the best way of each scenario."""
-    names = edges.select("scenario").distinct()
-    least = edges.groupBy("scenario", "src", "dst").agg(F.min("cost").alias("cost"))
-    paths = shortest(least, sources.crossJoin(F.broadcast(names)), keys=["scenario"])
+def _ways(edges: DataFrame, names: DataFrame, sources: DataFrame, targets: DataFrame, factor: float) -> DataFrame:
+    """scenario, cost (by the edges), hops (array of struct src, dst, cost, line): the best way of each of the scenarios
+    `names`, in which the line of that name costs `factor` times as much."""
+    slowed = lambda cost: F.when(F.col("line") == F.col("scenario"), cost * factor).otherwise(cost)
+    paths = shortest(edges, sources.crossJoin(F.broadcast(names)), keys=["scenario"], targets=targets, weight=slowed(F.col("_w")))
     ends = paths.join(targets.select("node"), "node").groupBy("scenario").agg(F.min(F.struct("cost", "node")).alias("e")).select("scenario", "e.node")
     at, rows, hop = cut(ends), None, 0
-    while at.limit(1).count():
+    while rows is None or at.limit(1).count():
         back = cut(at.join(paths.select("scenario", "node", "prev"), ["scenario", "node"]).where("prev is not null").select("scenario", F.col("prev").alias("src"), F.col("node").alias("dst"), F.lit(-hop).alias("i")))
         rows = back if rows is None else rows.unionByName(back)
         at, hop = back.select("scenario", F.col("src").alias("node")), hop + 1
     # of parallel edges the one that made the scenario's way
-    used = rows.join(edges.withColumnRenamed("cost", "_slow"), ["scenario", "src", "dst"]).groupBy("scenario", "src", "dst", "i").agg(F.min_by("line", F.struct("_slow", F.coalesce("line", F.lit("")))).alias("line"))
-    true = plain.groupBy("src", "dst", F.coalesce("line", F.lit("")).alias("_l")).agg(F.min("cost").alias("cost"))
-    priced = used.withColumn("_l", F.coalesce("line", F.lit(""))).join(true, ["src", "dst", "_l"])
+    priced = rows.join(edges, ["src", "dst"]).groupBy("scenario", "src", "dst", "i").agg(F.min(F.struct(slowed(F.col("cost")).alias("slow"), F.coalesce("line", F.lit("")).alias("name"), "cost", "line")).alias("b"))
+    priced = priced.select("scenario", "src", "dst", "i", "b.cost", "b.line")
     hops = F.transform(F.array_sort(F.collect_list(F.struct("i", "src", "dst", "cost", "line"))), lambda h: F.struct(h["src"].alias("src"), h["dst"].alias("dst"), h["cost"].alias("cost"), h["line"].alias("line")))
     return priced.groupBy("scenario").agg(F.sum("cost").alias("cost"), hops.alias("hops"))

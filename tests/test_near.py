@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tessera.operators import joins, ranking
+from tessera.operators import graph, joins, ranking
 
 from .compare import assert_same, database
 
@@ -99,3 +99,12 @@ def test_site_scores_make_no_pair_rows(spark, crowded, monkeypatch):
     got = {r["site"]: (r["captured"], round(r["score"], 5)) for r in ranking.site_scores(points, some, 1200).collect()}
     assert got == expected
     assert not counts
+
+
+def test_a_search_ends_at_its_goal(spark):
+    up = spark.range(2, 3000).selectExpr("id AS src", "id div 2 AS dst", "cast(1 + id % 5 AS double) AS cost")
+    edges = up.unionByName(up.selectExpr("dst AS src", "src AS dst", "cost"))
+    start = spark.sql("SELECT 150L AS node, 0D AS cost, 150L AS label")
+    paths = graph.shortest(edges, start, targets=spark.sql("SELECT 37L AS node")).collect()
+    assert {r["node"]: r["cost"] for r in paths}[37] == 2.0  # 150 to 75 to 37, one each
+    assert len(paths) < 20 and max(r["cost"] for r in paths) <= 2.0
