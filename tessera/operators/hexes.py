@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cells, geo, hexgrid
+from . import graph
 
 
 def indexed(df: DataFrame, res: int, lat: str = "lat", lon: str = "lon", name: str = "cell") -> DataFrame:
@@ -72,6 +73,18 @@ def _base_cells() -> Column:
     return F.from_json(F.lit(json.dumps(rows)), "array<struct<cell: long, x: double, y: double>>")
 
 
+def shapes(polygons: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """keys, _shape of each polygon, and _shape, ring (and holes) once for each distinct one, dealt to many tasks: equal
+    polygons are worked on once."""
+    own = ["ring", "holes"] if "holes" in polygons.columns else ["ring"]
+    rows = polygons.where(F.size("ring") >= 3).select(*keys, *own)
+    if len(own) > 1:
+        rows = rows.withColumn("holes", F.coalesce("holes", F.expr("array()")))
+    once = graph.cut(rows.select(*own).distinct().withColumn("_shape", F.monotonically_increasing_id()))
+    members = graph.cut(rows.join(once, own).select(*keys, "_shape"))
+    return members, once.repartition(int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def refined(polygons: DataFrame, res: int, keys: Sequence[str] = ("id",), spread_every: int = 2) -> DataFrame:
     """keys, cell: cells of `res` and coarser ones that together are the fill of each polygon (keys, ring, and `holes`,
     an array of rings, if there is such a column): all centres under a coarser cell lie in the polygon.
@@ -181,14 +194,17 @@ def overlay(polygons: DataFrame, within: DataFrame, step: float = 5.0) -> DataFr
 
     Triangles of both sides meet in tiles of `step` degrees (a pair counts in the tile of its boxes' corner) and are
     cut by each other; signed, their areas add up to that of the polygons' pieces.  Areas are planar at the middle
-    latitude of the polygon's triangle.
+    latitude of the polygon's triangle.  Equal polygons are cut once; their pairs are joined to the areas at the end.
     """
-    sides = []
+    sides, members = [], []
     for df, key, name in ((polygons, "id", "a"), (within.withColumnRenamed("id", "other"), "other", "b")):
+        own, df = shapes(df.select(key, "ring"), [key])
+        members.append(own.withColumnRenamed("_shape", f"_{name}"))
+        df = df.withColumnRenamed("_shape", f"_{name}")
         x, y = F.transform(name, lambda p: p["x"]), F.transform(name, lambda p: p["y"])
         box = {f"{name}_w": F.array_min(x), f"{name}_e": F.array_max(x), f"{name}_s": F.array_min(y), f"{name}_n": F.array_max(y)}
         tiles = lambda lo, hi, name=name: F.explode(F.sequence(F.floor(F.col(f"{name}_{lo}") / step), F.floor(F.col(f"{name}_{hi}") / step)))
-        sides.append(fan(df, key, name).withColumns(box).withColumn("_x", tiles("w", "e")).withColumn("_y", tiles("s", "n")))
+        sides.append(fan(df, f"_{name}", name).withColumns(box).withColumn("_x", tiles("w", "e")).withColumn("_y", tiles("s", "n")))
     near = sides[0].join(sides[1], ["_x", "_y"])
     meet = (F.col("a_w") <= F.col("b_e")) & (F.col("b_w") <= F.col("a_e")) & (F.col("a_s") <= F.col("b_n")) & (F.col("b_s") <= F.col("a_n"))
     corner = (F.floor(F.greatest("a_w", "b_w") / step) == F.col("_x")) & (F.floor(F.greatest("a_s", "b_s") / step) == F.col("_y"))
@@ -197,7 +213,8 @@ def overlay(polygons: DataFrame, within: DataFrame, step: float = 5.0) -> DataFr
     twice = F.aggregate(pairs, F.lit(0.0), lambda t, v: t + v)
     metres = math.radians(1) * geo.EARTH_KM * 1000
     scale = metres * metres * F.cos(F.radians((F.col("a_s") + F.col("a_n")) / 2))
-    sums = pieces.groupBy("id", "other").agg(F.sum(F.col("a_sign") * F.col("b_sign") * twice / 2 * scale).alias("_m2"))
+    sums = graph.cut(pieces.groupBy("_a", "_b").agg(F.sum(F.col("a_sign") * F.col("b_sign") * twice / 2 * scale).alias("_m2")).where("_m2 <> 0"))
+    sums = sums.join(members[0], "_a").join(members[1], "_b").groupBy("id", "other").agg(F.sum("_m2").alias("_m2"))
     # a pair that only touches leaves a rest of rounding
     return sums.select("id", "other", F.abs("_m2").alias("area_m2")).where("area_m2 > 1e-3")
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tessera.operators import graph, joins, ranking
+from tessera.operators import graph, hexes, joins, ranking
 
 from .compare import assert_same, database
 
@@ -108,3 +108,21 @@ def test_a_search_ends_at_its_goal(spark):
     paths = graph.shortest(edges, start, targets=spark.sql("SELECT 37L AS node")).collect()
     assert {r["node"]: r["cost"] for r in paths}[37] == 2.0  # 150 to 75 to 37, one each
     assert len(paths) < 20 and max(r["cost"] for r in paths) <= 2.0
+
+
+def test_equal_polygons_are_cut_once(spark, monkeypatch):
+    ring = "array(named_struct('x', x, 'y', y), named_struct('x', x + 3, 'y', y), named_struct('x', x, 'y', y + 4)) AS ring"
+    one = spark.range(3).selectExpr("id", "id * 1D AS x", "id * 0.5D AS y").selectExpr("id", ring)
+    many = spark.range(300).selectExpr("id", "id % 3 * 1D AS x", "id % 3 * 0.5D AS y").selectExpr("id", ring)
+    areas = {(r["id"], r["other"]): r["area_m2"] for r in hexes.overlay(one, one).collect()}
+    cut, sizes = graph.cut, []
+
+    def counting(df):
+        table = cut(df)
+        sizes.append(table.count() if "_m2" in table.columns else 0)
+        return table
+
+    monkeypatch.setattr(graph, "cut", counting)
+    got = {(r["id"], r["other"]): r["area_m2"] for r in hexes.overlay(many, many.where("id % 4 = 0")).collect()}
+    assert got == {(a, b): areas[a % 3, b % 3] for a in range(300) for b in range(0, 300, 4) if (a % 3, b % 3) in areas}
+    assert max(sizes) == len(areas)
