@@ -92,34 +92,35 @@ def refined(polygons: DataFrame, res: int, keys: Sequence[str] = ("id",), spread
     From the base cells down, a cell that no edge comes near is wholly inside or outside; only the others are parted
     into children, and carry just the edges near them.  Whether a child's centre is inside follows from its
     parent's and the edges between the two.  Rows are dealt anew every few levels, so one large polygon is many
-    tasks' work; its size is that of its border.
+    tasks' work; its size is that of its border.  Equal polygons are filled once.
     """
-    rings = F.concat(F.array("ring"), F.coalesce("holes", F.expr("array()"))) if "holes" in polygons.columns else F.array("ring")
-    rows = polygons.where(F.size("ring") >= 3).select(*keys, F.flatten(F.transform(rings, _edges)).alias("edges")).where(F.size("edges") > 0)
+    members, polygons = shapes(polygons, keys)
+    rings = F.concat(F.array("ring"), "holes") if "holes" in polygons.columns else F.array("ring")
+    rows = polygons.select("_shape", F.flatten(F.transform(rings, _edges)).alias("edges")).where(F.size("edges") > 0)
     ends = {"w": "array_min(transform(edges, g -> least(g.x1, g.x2)))", "e": "array_max(transform(edges, g -> greatest(g.x1, g.x2)))", "s": "array_min(transform(edges, g -> least(g.y1, g.y2)))", "n": "array_max(transform(edges, g -> greatest(g.y1, g.y2)))"}
-    rows = rows.select(*keys, "edges", *(F.expr(v).alias(k) for k, v in ends.items()))
+    rows = rows.select("_shape", "edges", *(F.expr(v).alias(k) for k, v in ends.items()))
     reach = reach_degrees(0)
     wide = _half_width(reach)
     rows = rows.withColumn("c", F.explode(_base_cells())).withColumn("turn", F.expr("explode(array(-360D, 0D, 360D))"))
-    rows = rows.select(*keys, "edges", "c.cell", F.expr("c.x + turn").alias("x"), "c.y", "w", "e", "s", "n")
+    rows = rows.select("_shape", "edges", "c.cell", F.expr("c.x + turn").alias("x"), "c.y", "w", "e", "s", "n")
     rows = rows.where(f"x + {wide} >= w AND x - {wide} <= e AND y + {reach!r}D >= s AND y - {reach!r}D <= n")
-    rows = rows.select(*keys, "cell", "x", "y", F.expr(_crossed("x", "(e + 1)", "y")).alias("inside"), _touching(wide, reach).alias("edges"))
+    rows = rows.select("_shape", "cell", "x", "y", F.expr(_crossed("x", "(e + 1)", "y")).alias("inside"), _touching(wide, reach).alias("edges"))
     for r in range(res):
         # where no edge is near, all of the cell is as its centre
         rows = rows.where("size(edges) > 0 OR inside")
         if r and r % spread_every == 0:
-            rows = rows.repartition("cell")
+            rows = rows.repartition("cell", "_shape")
         whole = F.size("edges") == 0
         kids = F.explode(F.when(whole, F.array("cell")).otherwise(cells.children(F.col("cell"), r)))
-        rows = rows.select(*keys, "x", "y", "inside", "edges", whole.alias("whole"), kids.alias("cell"))
+        rows = rows.select("_shape", "x", "y", "inside", "edges", whole.alias("whole"), kids.alias("cell"))
         rows = rows.withColumn("c", cells.center(F.when(~F.col("whole"), F.col("cell"))))
         place = (F.expr("coalesce(c.lon + 360 * round((x - c.lon) / 360), x)").alias("x"), F.expr("coalesce(c.lat, y)").alias("y"))
-        rows = rows.select(*keys, "cell", "inside", "edges", F.col("x").alias("px"), F.col("y").alias("py"), *place)
+        rows = rows.select("_shape", "cell", "inside", "edges", F.col("x").alias("px"), F.col("y").alias("py"), *place)
         # first along the parent's longitude, then along the child's latitude
         inside = F.expr(f"inside != ({_crossed('py', 'y', 'px', turned=True)} != {_crossed('px', 'x', 'y')})")
         reach = reach_degrees(r + 1)
-        rows = rows.select(*keys, "cell", "x", "y", inside.alias("inside"), _touching(_half_width(reach), reach).alias("edges"))
-    return rows.where("inside").select(*keys, "cell").distinct()
+        rows = rows.select("_shape", "cell", "x", "y", inside.alias("inside"), _touching(_half_width(reach), reach).alias("edges"))
+    return rows.where("inside").select("_shape", "cell").distinct().join(members, "_shape").select(*keys, "cell").distinct()
 
 
 def cell_ranges(fill: DataFrame, res: int, keys: Sequence[str] = ("id",)) -> DataFrame:

@@ -126,3 +126,20 @@ def test_equal_polygons_are_cut_once(spark, monkeypatch):
     got = {(r["id"], r["other"]): r["area_m2"] for r in hexes.overlay(many, many.where("id % 4 = 0")).collect()}
     assert got == {(a, b): areas[a % 3, b % 3] for a in range(300) for b in range(0, 300, 4) if (a % 3, b % 3) in areas}
     assert max(sizes) == len(areas)
+
+
+def test_equal_polygons_are_filled_once(spark, monkeypatch):
+    ring = "array(named_struct('x', x, 'y', 1D), named_struct('x', x + 3, 'y', 1D), named_struct('x', x, 'y', 5D)) AS ring"
+    many = spark.range(200).selectExpr("id", "id % 2 * 1D AS x").selectExpr("id", ring)
+    cut, sizes = graph.cut, []
+
+    def counting(df):
+        table = cut(df)
+        sizes.append(table.count() if "ring" in table.columns else 0)
+        return table
+
+    monkeypatch.setattr(graph, "cut", counting)
+    rows = hexes.polyfill(many, 3).collect()
+    own = {i: sorted(r["cell"] for r in rows if r["id"] == i) for i in range(200)}
+    assert own[0] and own[1] and own[0] != own[1] and all(own[i] == own[i % 2] for i in own)
+    assert max(sizes) == 2
