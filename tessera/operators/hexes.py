@@ -301,7 +301,9 @@ def mismatch(df: DataFrame, cell: str = "cell") -> DataFrame:
     def run(ids: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_mismatch(int(c)) for c in ids], columns=["parent_m2", "children_m2", "leak_pct", "gap_pct", "area_ratio", "twist_deg"])
 
-    return df.select(F.col(cell).alias("cell")).distinct().select("cell", run("cell").alias("m")).select("cell", "m.*")
+    # ids are few bytes for much work: a number of partitions of our own, as adaptive execution would make one of them
+    own = df.select(F.col(cell).alias("cell")).distinct().repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return own.select("cell", run("cell").alias("m")).select("cell", "m.*")
 
 
 def _children(cell: int) -> np.ndarray:

@@ -143,3 +143,9 @@ def test_equal_polygons_are_filled_once(spark, monkeypatch):
     own = {i: sorted(r["cell"] for r in rows if r["id"] == i) for i in range(200)}
     assert own[0] and own[1] and own[0] != own[1] and all(own[i] == own[i % 2] for i in own)
     assert max(sizes) == 2
+
+
+def test_mismatch_is_many_tasks(spark):
+    base = spark.range(40).selectExpr(f"{(1 << 59) | (2 << 52) | ((1 << 39) - 1)} | shiftleft(id + 20, 45) | shiftleft(id % 7, 42) | shiftleft(id % 5, 39) AS cell")
+    rows = hexes.mismatch(base).withColumn("task", F.spark_partition_id()).collect()
+    assert len(rows) == 40 and len({r["task"] for r in rows}) > 1
