@@ -149,3 +149,34 @@ def test_mismatch_is_many_tasks(spark):
     base = spark.range(40).selectExpr(f"{(1 << 59) | (2 << 52) | ((1 << 39) - 1)} | shiftleft(id + 20, 45) | shiftleft(id % 7, 42) | shiftleft(id % 5, 39) AS cell")
     rows = hexes.mismatch(base).withColumn("task", F.spark_partition_id()).collect()
     assert len(rows) == 40 and len({r["task"] for r in rows}) > 1
+
+
+def gridded(spark, n, m):
+    """n points about two grid points and one without a latitude, m rows of series at either, some nowhere."""
+    points = spark.range(n).selectExpr("id", "CASE WHEN id <> 5 THEN id % 3 * 4D - 4 END AS lat", "id % 2 * -7D AS lon")
+    axes = {"lat": spark.sql("SELECT i AS index, i * 10D - 10 AS value FROM (SELECT explode(sequence(0L, 2L)) AS i)"), "lon": spark.sql("SELECT i AS index, i * 20D AS value FROM (SELECT explode(sequence(0L, 18L)) AS i)")}
+    return points, axes, spark.range(m).selectExpr("id AS event", "rand(7) AS value", "CASE WHEN id % 9 > 0 THEN 1L END AS lat_index", "id % 2 * 18 AS lon_index")
+
+
+def test_gridded_series_holds_points_as_a_pattern(spark, monkeypatch, tmp_path):
+    points, axes, series = gridded(spark, 100, 45_000)
+    monkeypatch.setattr(joins, "LIST_ROWS", 1 << 16, raising=False)
+    joins.nearest_on_axes(points, axes, series).select("id", "lat_index", "lon_index", "event", "value").write.parquet(f"{tmp_path}/out")
+    rows = spark.read.parquet(f"{tmp_path}/out")
+    assert rows.count() == rows.distinct().count() == 99 * 20_000
+    assert sum(f.stat().st_size for f in tmp_path.glob("out/*.parquet")) < rows.count()  # 12 bytes a row, point by point
+
+
+@pytest.mark.parametrize("lists, made", [(256, 1 << 22), (7, 50)])
+def test_gridded_series_has_all_pairs(spark, monkeypatch, lists, made):
+    monkeypatch.setattr(joins, "LIST_POINTS", lists, raising=False)
+    monkeypatch.setattr(joins, "LIST_ROWS", made, raising=False)
+    points, axes, series = gridded(spark, 100, 90)
+    got = joins.nearest_on_axes(points, axes, series)
+    events = series.collect()
+    at = {r["id"]: (0 if r["lat"] is None else 1, 18 if r["lon"] else 0) for r in points.collect()}
+    expected = sorted((i, *cell, e["event"], e["value"]) for i, cell in at.items() for e in events if (e["lat_index"], e["lon_index"]) == cell)
+    rows = got.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r["id"], r["lat_index"], r["lon_index"], r["event"], r["value"]) for r in rows) == expected
+    assert {(r["lat_grid"], r["lon_grid"]) for r in rows} == {(0.0, 0.0), (0.0, 360.0)}
+    assert lists > 7 or len({r["task"] for r in rows}) > 2
