@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 import pytest
 
 from tessera.llm import cluster, decontaminate
@@ -41,3 +42,28 @@ def test_against_plain_windows(spark, monkeypatch, large):
     texts += [(100, texts[5][1]), (101, None), (102, ""), (103, "NAMELESS item, of: just seven words")]
     rows = decontaminate.decontaminate(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in rows} == expected(texts, items)
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pipeline_stage_broadcasts_nothing_found_beyond_the_bound(spark, sf, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_FOUND", 0)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = corpus_pipeline.benchmark_passages(spark, docs, sf)
+    assert "Broadcast" not in planned(kept)
+    clean = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).where("not contaminated")
+    ids = sorted(r["doc_id"] for r in kept.select("doc_id").collect())
+    assert ids == sorted(r["doc_id"] for r in clean.collect()) and 0 < len(ids) < docs.count()
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_salted_lookup_is_a_merge(spark, how):
+    big = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 50 + [2, 3, None])], "key long, n int")
+    small = cluster.written(spark.createDataFrame([(1, [7, 8]), (3, []), (None, [9])], "key long, found array<int>"), "small")
+    joined = cluster.lookup(big, small, "key", how, broadcast_rows=0)
+    assert "Broadcast" not in planned(joined)
+    found = {1: [7, 8], 3: []}
+    expected = [(k, i, found.get(k)) for i, k in enumerate([1] * 50 + [2, 3, None]) if how == "left" or k in found]
+    assert sorted(((r["key"], r["n"], r["found"]) for r in joined.collect()), key=lambda r: r[1]) == expected
