@@ -6,6 +6,7 @@ import corpus_pipeline
 import pytest
 
 from tessera.llm import cluster, decontaminate
+from tessera.llm.queries import QUERIES
 
 
 def expected(texts, items, size=13, percent=5):
@@ -67,3 +68,14 @@ def test_salted_lookup_is_a_merge(spark, how):
     found = {1: [7, 8], 3: []}
     expected = [(k, i, found.get(k)) for i, k in enumerate([1] * 50 + [2, 3, None]) if how == "left" or k in found]
     assert sorted(((r["key"], r["n"], r["found"]) for r in joined.collect()), key=lambda r: r[1]) == expected
+
+
+def test_op5_is_the_same_without_broadcasts(spark, sf, monkeypatch):
+    op5 = QUERIES["op5_decontaminate"]
+    small = op5(spark, sf)
+    assert "BroadcastHashJoin" in planned(small)
+    monkeypatch.setattr(decontaminate, "BROADCAST_FOUND", 0)
+    large = op5(spark, sf)
+    assert "Broadcast" not in planned(large)
+    rows = sorted(large.collect())
+    assert rows == sorted(small.collect()) and any(r["n_items"] for r in rows)
