@@ -180,3 +180,14 @@ def test_gridded_series_has_all_pairs(spark, monkeypatch, lists, made):
     assert sorted((r["id"], r["lat_index"], r["lon_index"], r["event"], r["value"]) for r in rows) == expected
     assert {(r["lat_grid"], r["lon_grid"]) for r in rows} == {(0.0, 0.0), (0.0, 360.0)}
     assert lists > 7 or len({r["task"] for r in rows}) > 2
+
+
+def test_gridded_series_has_tasks_by_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(joins, "LIST_POINTS", 7)
+    monkeypatch.setattr(joins, "LIST_ROWS", 50)
+    monkeypatch.setattr(joins, "TASK_ROWS", 40, raising=False)
+    points, axes, series = gridded(spark, 100, 90)
+    tasks = lambda: len({r["task"] for r in joins.nearest_on_axes(points, axes, series).select(F.spark_partition_id().alias("task")).collect()})
+    many = tasks()
+    monkeypatch.setattr(joins, "TASK_ROWS", 1 << 26, raising=False)
+    assert many > 16 >= tasks()  # 4 threads make 16 parts of any number of rows
